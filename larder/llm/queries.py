@@ -6,8 +6,12 @@ import importlib
 
 #: Query name -> module; each module has a function of the query's name.
 _MODULES = {
+    "op2_media_columns": "media",
     "op3_packing": "packing",
+    "op6_language_id": "langid",
     "op7_simhash_near_dedup": "simhash",
+    "op8_warc": "warc",
+    "op9_token_file": "tokenfile",
 }
 
 
