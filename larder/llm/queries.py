@@ -8,6 +8,7 @@ import importlib
 _MODULES = {
     "op2_media_columns": "media",
     "op3_packing": "packing",
+    "op4_suffix_tree_scores": "lm",
     "op6_language_id": "langid",
     "op7_simhash_near_dedup": "simhash",
     "op8_warc": "warc",
