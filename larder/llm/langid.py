@@ -102,7 +102,7 @@ class Predictor:
         words = _LETTERS.findall(text.lower()) if text else []
         if not self.model.languages or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        unseen = set(words) - self.place.keys()
+        unseen = set(words).difference(self.place)
         if unseen:
             if len(self.place) > _MEMO_WORDS:
                 self.place.clear()

@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module; each module has a function of the query's name.
 _MODULES = {
+    "op10_benchmark_decontamination": "decontam",
     "op2_media_columns": "media",
     "op3_packing": "packing",
     "op4_suffix_tree_scores": "lm",
