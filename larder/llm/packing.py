@@ -68,7 +68,7 @@ class _Projector:
         words = text.lower().split()
         if not words:
             return np.zeros(DIMENSIONS)
-        unseen = set(words) - self.bucket.keys()
+        unseen = set(words).difference(self.bucket)
         if unseen:
             if len(self.bucket) > _MEMO_WORDS:
                 self.bucket.clear()

@@ -6,10 +6,12 @@ import importlib
 
 #: Query name -> module; each module has a function of the query's name.
 _MODULES = {
+    "op1_html_extraction": "htmltext",
     "op10_benchmark_decontamination": "decontam",
     "op2_media_columns": "media",
     "op3_packing": "packing",
     "op4_suffix_tree_scores": "lm",
+    "op5_pii": "pii",
     "op6_language_id": "langid",
     "op7_simhash_near_dedup": "simhash",
     "op8_warc": "warc",

@@ -48,7 +48,7 @@ class MemoTokenizer:
         out = []
         for text in texts:
             chunks = self.cut(text)
-            missing = set(chunks) - self.memo.keys()
+            missing = set(chunks).difference(self.memo)
             if missing:
                 if len(self.memo) > MEMO_ENTRIES:
                     self.memo.clear()
