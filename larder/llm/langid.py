@@ -72,7 +72,7 @@ class Model:
             counts[size][k][place[lang]] += n
         self.logs = {}
         for size, found in counts.items():
-            table = np.array(found).reshape(-1, len(self.languages)) + SMOOTHING
+            table = np.array(found).reshape(len(found), len(self.languages)) + SMOOTHING
             self.logs[size] = np.log(table / table.sum(0))
 
     def word(self, word: str) -> np.ndarray:
