@@ -25,5 +25,16 @@ def queries() -> dict:
     return found | {"pipeline": pipeline.run}
 
 
+_ORACLES = {
+    "op8_warc": """
+SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM coalesce(keeper, page_id) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM coalesce(keeper, page_id) THEN keeper END AS refers_to
+FROM (SELECT *, CASE WHEN strlen(payload) >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS keeper
+  FROM (SELECT page_id, coalesce(html, '') AS payload FROM pages))""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL cannot express the other operators' models, tokenizers, fingerprints and files; tests/llm has plain versions."""
+    return dict(_ORACLES)
