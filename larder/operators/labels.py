@@ -33,21 +33,20 @@ _NUMBER = re.compile(r"([0-9OoIl]{1,4}(?:[.,][0-9OoIl]{1,3})?)\s*(kj|k3|kcal|mg|
 _UNITS = {"k3": "kj", "ing": "mg", "ug": "µg"}
 
 
-def name_dimension(spark) -> DataFrame:
-    return spark.createDataFrame(_NAMES, "key string, name string")
-
-
 def synonym_match(labels: DataFrame) -> DataFrame:
     """id, key, likeness: the nutrient whose name is nearest to the normalised ``text``, if it is near enough.
 
-    The dimension of names is fixed and small, so every text meets every name; the best is kept by a map-side maximum.
+    The names are a fixed, small literal, so each row is matched where it is: no join and no shuffle.
     """
-    size = F.greatest(F.length("text"), F.length("name"))
-    edit = F.lit(1.0) - F.levenshtein("text", "name") / size
-    near = F.when(F.col("text") == F.col("name"), 1.0).when(F.col("text").contains(F.concat(F.lit(" "), "name", F.lit(" "))), 0.9).otherwise(edit)
-    met = labels.join(F.broadcast(name_dimension(labels.sparkSession))).withColumn("likeness", half_up(near, 4))
-    best = met.groupBy("id").agg(F.max_by(F.struct("key", "likeness"), F.struct("likeness", "key")).alias("b"))
-    return best.select("id", "b.key", "b.likeness").where(F.col("likeness") >= MATCH)
+    names = F.array(*[F.struct(F.lit(key).alias("key"), F.lit(name).alias("name")) for key, name in _NAMES])
+
+    def likeness(n: Column) -> Column:
+        text, name = F.col("text"), n["name"]
+        edit = F.lit(1.0) - F.levenshtein(text, name) / F.greatest(F.length(text), F.length(name))
+        return half_up(F.when(text == name, 1.0).when(text.contains(F.concat(F.lit(" "), name, F.lit(" "))), 0.9).otherwise(edit), 4)
+
+    best = F.array_max(F.transform(names, lambda n: F.struct(likeness(n).alias("likeness"), n["key"].alias("key"))))
+    return labels.select("id", best.alias("b")).select("id", "b.key", "b.likeness").where(F.col("likeness") >= MATCH)
 
 
 def repaired_energy(kj: Column, kcal: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.scalars import half_up
@@ -54,3 +54,23 @@ def gap_clusters(rows: DataFrame, keys: list[str], place: str, tolerance: float)
     marked = rows.withColumn("starts", F.coalesce(starts, F.lit(0)))
     running = Window.partitionBy(*keys).orderBy(place).rangeBetween(Window.unboundedPreceding, 0)
     return marked.withColumn("cluster", F.sum("starts").over(running)).drop("starts")
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """left's id with ``nearest``: right's id at the nearest ``place`` of the same keys; the smaller id on ties.
+
+    Both have keys, id and place.  Rows are merged in order and each looks back and ahead for its neighbours, so pairs are
+    never formed; a group is sorted once in each direction and streamed.
+    """
+    there = right.groupBy(*keys, place).agg(F.min("id").alias("id"))
+    there = there.select(*keys, place, F.lit(None).cast("long").alias("id"), F.struct(F.col(place).alias("at"), F.col("id").alias("other")).alias("near"))
+    both = left.select(*keys, place, F.col("id").cast("long").alias("id"), F.lit(None).cast(there.schema["near"].dataType).alias("near")).union(there)
+    first = F.col("id").isNotNull()  # neighbours at the same place come before the rows that look for them
+
+    def look(order: Column) -> Column:
+        window = Window.partitionBy(*keys).orderBy(order, first).rowsBetween(Window.unboundedPreceding, 0)
+        return F.last("near", ignorenulls=True).over(window)
+
+    found = both.withColumn("below", look(F.col(place).asc())).withColumn("above", look(F.col(place).desc())).where("id is not null")
+    far = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(place) - F.col(f"{side}.at")).alias("far"), F.col(f"{side}.other").alias("other")))
+    return found.select("id", F.least(far("below"), far("above"))["other"].alias("nearest"))

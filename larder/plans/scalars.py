@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larder.functions import scalars as S
+from larder.operators.series import nearest
 from larder.plans.registry import query
 from larder.sources import views as V
 
@@ -156,9 +157,9 @@ def redact_settings(spark, d):
 @query("SELECT c_custkey AS id, s_suppkey AS nearest FROM (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey) WHERE n = 1")
 def nearest_bucket(spark, d):
     """The nearest value of the same nation; the smallest key on ties."""
-    far = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
-    met = V.table(spark, d, "customer").join(V.table(spark, d, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"))
-    return met.groupBy(F.col("c_custkey").alias("id")).agg(F.min_by("s_suppkey", F.struct(far.alias("far"), "s_suppkey")).alias("nearest"))
+    left = V.table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("place"))
+    right = V.table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("place"))
+    return nearest(left, right, ["nation"], "place").where("nearest IS NOT NULL")
 
 
 @query("SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY abs(embedding[1]), vec_id) AS n FROM embeddings WHERE embedding[2] < 0.6) WHERE n <= 3")
