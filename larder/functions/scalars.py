@@ -173,3 +173,33 @@ def upper_median(values: Column) -> Column:
 
 def rotated(x: Column, y: Column, angle: Column) -> tuple[Column, Column]:
     return x * F.cos(angle) - y * F.sin(angle), x * F.sin(angle) + y * F.cos(angle)
+
+
+def goal_unit(stat: Column, percent: Column, weight_unit: str = "kg", length_unit: str = "cm") -> Column:
+    """Unit that a goal is shown in: a share of energy, a body measure's unit, or the nutrient's."""
+    body = F.when(stat == "weight", weight_unit).when(stat.isin("neck", "waist", "hips"), length_unit).when(stat == "body fat", "%")
+    energy = F.when(stat == "calories", "kcal").when(stat == "kilojoules", "kJ")
+    return F.when(percent, "%").otherwise(F.coalesce(body, energy, F.lit("g")))
+
+
+def language_tag(locale: Column) -> Column:
+    """``en-gb`` as ``en-GB``."""
+    return F.concat_ws("-", F.lower(F.split_part(locale, F.lit("-"), F.lit(1))), F.nullif(F.upper(F.split_part(locale, F.lit("-"), F.lit(2))), F.lit("")))
+
+
+def iso_date(day: Column) -> Column:
+    return F.date_format(day, "yyyy-MM-dd")
+
+
+def spoken_numbers(values: Column, decimal_mark: str = ".") -> Column:
+    """Numbers of an array as text to be read aloud, with the language's decimal mark."""
+    return F.concat_ws(", ", F.transform(values, lambda v: F.replace(number_text(v), F.lit("."), F.lit(decimal_mark))))
+
+
+def age_in_years(born: Column, today: Column) -> Column:
+    return F.floor(F.datediff(today, born) / 365.25).cast("int")
+
+
+def effective_weight_goal(kcal: Column, weight: Column, target: Column) -> Column:
+    """Daily energy moved by a fifth towards the target weight."""
+    return kcal * F.when(target > weight, 1.2).when(target < weight, 0.8).otherwise(1.0)

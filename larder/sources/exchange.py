@@ -54,3 +54,20 @@ def read_backup(spark: SparkSession, path: str, store: str, schema: str) -> Data
     files = spark.read.schema(f"{store} array<struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in StructType.fromDDL(schema))}>>").option("multiLine", True).json(path)
     rows = files.select(F.inline(store))
     return rows.withColumn("barcode", F.nullif("barcode", F.lit(""))) if "barcode" in rows.columns else rows
+
+
+def backup_version(version: Column, legacy: Column) -> Column:
+    """Layout of a backup: as it says, else 27 where only the older field is there, else 24."""
+    return F.coalesce(version.cast("int"), F.when(legacy.isNotNull(), 27), F.lit(24))
+
+
+def write_ring_backup(rows: DataFrame, folder: str, day: Column) -> None:
+    """A backup that keeps one folder for each weekday and overwrites only the one it is written on."""
+    stamped = rows.withColumn("weekday", F.dayofweek(day) - 1)
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("weekday").json(folder)
+
+
+def activity_payload(rows: DataFrame) -> DataFrame:
+    """JSON to send for each user and day whose energy is positive: user, day, payload."""
+    positive = rows.where("calories > 0")
+    return positive.select("user", "day", F.to_json(F.struct(F.date_format("day", "yyyy-MM-dd").alias("id"), F.col("calories").alias("kcalConsumed"))).alias("payload"))

@@ -112,3 +112,31 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {(r.day, r.event_type): (r.n, r.total) for r in spark.table("rollup").collect()}
     assert got == {(r.day, r.event_type): (r.n, r.total) for r in daily_totals(events).collect()}
+
+
+def test_small_texts(spark):
+    assert value(spark, S.language_tag(F.lit("EN-gb"))) == "en-GB" and value(spark, S.language_tag(F.lit("de"))) == "de"
+    assert value(spark, S.goal_unit(F.lit("waist"), F.lit(False))) == "cm" and value(spark, S.goal_unit(F.lit("fat"), F.lit(True))) == "%"
+    assert value(spark, S.spoken_numbers(F.array(F.lit(1.5), F.lit(-2.0)), ",")) == "1,5, −2"
+    assert value(spark, S.age_in_years(F.lit("2000-01-02").cast("date"), F.lit("2020-01-01").cast("date"))) == 19
+    assert value(spark, S.effective_weight_goal(F.lit(2000.0), F.lit(80), F.lit(70))) == 1600.0
+    assert value(spark, exchange.backup_version(F.lit(None).cast("int"), F.lit(3))) == 27
+
+
+def test_ring_backup_keeps_other_days(spark, tmp_path):
+    folder = str(tmp_path / "ring")
+    for day, name in (("2024-01-01", "a"), ("2024-01-02", "b"), ("2024-01-08", "c")):
+        exchange.write_ring_backup(spark.createDataFrame([(name,)], "name string"), folder, F.lit(day).cast("date"))
+    assert {(r.weekday, r.name) for r in spark.read.json(folder).collect()} == {(1, "c"), (2, "b")}
+    rows = spark.createDataFrame([("u", date(2024, 1, 1), 5.0), ("u", date(2024, 1, 2), -1.0)], "user string, day date, calories double")
+    assert [json.loads(r.payload) for r in exchange.activity_payload(rows).collect()] == [{"id": "2024-01-01", "kcalConsumed": 5.0}]
+
+
+def test_nearest_against_all_pairs(spark):
+    from larder.operators.series import nearest
+
+    left = [(n % 2, n, float(n * 7 % 13)) for n in range(40)]
+    right = [(n % 2, n, float(n * 5 % 11) + 0.5) for n in range(30)]
+    schema = "g int, id long, place double"
+    got = {r.id: r.nearest for r in nearest(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["g"], "place").collect()}
+    assert got == {i: min((abs(p - q), j) for h, j, q in right if h == g)[1] for g, i, p in left}
