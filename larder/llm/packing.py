@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
-A document's words are hashed into a fixed number of buckets; the counts are projected to three dimensions by a fixed
-random matrix, scaled by the text's length, and placed on a Hilbert curve.  Documents are range-sorted along the curve
+A document's token ids are hashed into a fixed number of buckets; the counts, scaled to length 1, are projected to three
+dimensions by a fixed random matrix and placed on a Hilbert curve.  Documents are range-sorted along the curve
 and each partition fills sequences with neighbouring documents one after another.  A document is cut wherever a sequence
 ends.  What is left at a partition's end is cut into sequences of power-of-two lengths, which need no padding.
 
@@ -26,10 +26,9 @@ from larder.llm.tokens import memo_tokenizer
 
 SEQUENCE = 2048
 END_ID = 1
-HASH_BUCKETS = 4096
+HASH_BITS = 12
 DIMENSIONS = 3
 BITS = 16
-_MEMO_WORDS = 400_000
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -57,37 +56,22 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key.astype(np.int64)
 
 
-class _Projector:
-    """Hashed word counts of a text, projected: the sum of its words' rows of a fixed random matrix."""
-
-    def __init__(self) -> None:
-        self.rows = np.random.default_rng(7).standard_normal((HASH_BUCKETS, DIMENSIONS))
-        self.bucket: dict[bytes, int] = {}
-
-    def point(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        if not words:
-            return np.zeros(DIMENSIONS)
-        unseen = set(words).difference(self.bucket)
-        if unseen:
-            if len(self.bucket) > _MEMO_WORDS:
-                self.bucket.clear()
-                unseen = set(words)
-            self.bucket.update((w, zlib.crc32(w) % HASH_BUCKETS) for w in unseen)
-        counts = np.bincount(np.fromiter(map(self.bucket.__getitem__, words), np.int64, len(words)), minlength=HASH_BUCKETS)
-        return counts @ self.rows / np.linalg.norm(counts)
+def project(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Hashed counts of a document's token ids, scaled to length 1 and projected: about normal in each dimension."""
+    counts = np.bincount((ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - HASH_BITS), minlength=1 << HASH_BITS).astype(float)
+    return counts @ rows / np.linalg.norm(counts)
 
 
 def _keyed_batches(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, projector, end = memo_tokenizer(path, "words"), _Projector(), np.array([end_id], "<u2").tobytes()
+        encoder, end = memo_tokenizer(path, "words"), np.array([end_id], "<u2").tobytes()
+        rows = np.random.default_rng(7).standard_normal((1 << HASH_BITS, DIMENSIONS))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                texts = part.column(1).fill_null("").to_pylist()
-                points = np.array([projector.point(t.encode()) for t in texts])
+                ids = [x + end for x in encoder.encode(part.column(1).fill_null("").to_pylist())]
+                points = np.array([project(np.frombuffer(x, "<u2"), rows) for x in ids])
                 grid = np.clip((points + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1)
-                ids = [x + end for x in encoder.encode(texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hilbert_key(grid)), pa.array(ids, pa.binary())], ["doc_id", "curve", "ids"])
 
     return run
