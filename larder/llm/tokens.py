@@ -19,8 +19,13 @@ from collections.abc import Iterable
 
 import numpy as np
 
+# Latin letters but U+0130, which becomes two characters in lower case, the second of them no letter.
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?=\s)")
-_LETTERS_THEN_MARKS = re.compile(r"( ?[A-Za-zß-öø-ɏ]+)([.,;:!?|%*#$&]+)")
+_LETTERS_THEN_MARKS = re.compile(r"( ?[A-Za-zß-öø-įı-ɏ]+)([.,;:!?|%*#$&]+)")
+_WORD = re.compile(r"[a-zß-öø-įı-ɏ]+")
+_SPACED_WORD = re.compile(r" [A-Za-zß-öø-įı-ɏ]+")
+_TOGETHER = 64
+_CHARACTERS_AT_ONCE = 500_000
 #: Entries of the memo, about 100 MB at most; beyond, it starts anew.
 MEMO_ENTRIES = 400_000
 
@@ -37,7 +42,15 @@ class MemoTokenizer:
         self.dtype = np.dtype(dtype)
         if self.tokenizer.get_vocab_size() > np.iinfo(self.dtype).max:
             raise ValueError(f"{dtype} does not hold the ids of {path}")
-        self.cut = {"words": self._words, "bytes": _BEFORE_SPACE.split}[cut]
+        # Plain words are encoded many at a time: each is one pre-token, and its last id (words) or first id (bytes) shows.
+        vocabulary = self.tokenizer.get_vocab()
+        mark = (lambda t: t.endswith("</w>")) if cut == "words" else (lambda t: t.startswith("\u0120"))
+        self.at_edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.at_edge[[i for t, i in vocabulary.items() if mark(t)]] = True
+        self.edge_is_last, self.glue, self.one_word, self.cut = {
+            "words": (1, " ", _WORD, self._words),
+            "bytes": (0, "", _SPACED_WORD, _BEFORE_SPACE.split),
+        }[cut]
         self.memo: dict[str, bytes] = {}
 
     @staticmethod
@@ -45,26 +58,46 @@ class MemoTokenizer:
         return text.encode().lower().decode().replace("\n", " ").split(" ")
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        out = []
+        out, held, size = [], [], 0
         for text in texts:
-            chunks = self.cut(text)
-            missing = set(chunks).difference(self.memo)
-            if missing:
-                if len(self.memo) > MEMO_ENTRIES:
-                    self.memo.clear()
-                    missing = set(chunks)
-                self._learn(missing)
-            out.append(b"".join(map(self.memo.__getitem__, chunks)))
-        return out
+            held.append(self.cut(text))
+            size += len(text)
+            if size > _CHARACTERS_AT_ONCE:
+                out += self._join(held)
+                held, size = [], 0
+        return out + self._join(held)
+
+    def _join(self, cuts: list[list[str]]) -> list[bytes]:
+        missing = set().union(*cuts).difference(self.memo)
+        if missing:
+            if len(self.memo) > MEMO_ENTRIES:
+                self.memo.clear()
+                missing = set().union(*cuts)
+            self._learn(missing)
+        return [b"".join(map(self.memo.__getitem__, chunks)) for chunks in cuts]
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: set[str]) -> None:
         memo = self.memo
         halves = {c: m.groups() for c in chunks if (m := _LETTERS_THEN_MARKS.fullmatch(c))}
-        whole = [c for c in chunks if c not in halves]
         parts = {p for pair in halves.values() for p in pair if p not in memo}
-        todo = list(parts.union(whole))
-        for chunk, found in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            memo[chunk] = np.array(found.ids, self.dtype).tobytes()
+        parts.update(c for c in chunks if c not in halves)
+        words = [p for p in parts if self.one_word.fullmatch(p)]
+        for at in range(0, len(words), _TOGETHER):
+            some = words[at : at + _TOGETHER]
+            ids = np.array(self._encode([self.glue.join(some)])[0], self.dtype)
+            edges = ((np.flatnonzero(self.at_edge[ids]) + self.edge_is_last) * self.dtype.itemsize).tolist()
+            edges = [0, *edges] if self.edge_is_last else [*edges, ids.nbytes]
+            if len(edges) == len(some) + 1:
+                found = ids.tobytes()
+                memo.update(zip(some, [found[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
+            else:  # not as expected of such words: one by one
+                memo.update(zip(some, [np.array(x, self.dtype).tobytes() for x in self._encode(some)], strict=True))
+        rest = list(parts.difference(words))
+        for chunk, ids in zip(rest, self._encode(rest), strict=True):
+            memo[chunk] = np.array(ids, self.dtype).tobytes()
         for chunk, (letters, marks) in halves.items():
             memo[chunk] = memo[letters] + memo[marks]
 
