@@ -9,7 +9,7 @@ The labeller is trained here, on a bounded sample of the pages (``TRAIN_PAGES``
 below no boilerplate element or class is article.  To see more layouts than a sample has, training also uses copies of
 its pages with boilerplate of all kinds spliced in and with the article's own tags renamed to plain containers.
 
-Edge cases: a null html is empty and has the empty text; a page whose sample has no weak label at all falls back on the
+Edge cases: a null html is empty and has the empty text; a row without page_id is not learned from; a page whose sample has no weak label at all falls back on the
 spliced copies' labels, and with no page at all nothing is fitted or returned; repeated rows give repeated rows; very
 long pages are labelled whole.  Only ``page_id``, ``url`` and ``html`` are read, so other columns cannot clash.
 """
@@ -335,8 +335,11 @@ def _spliced(blocks: list[Block], labels: list[int], pool: list[str], rng: rando
 
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Labeller:
     """Train on a bounded sample of the pages."""
-    small = pages.where(F.octet_length("html") <= TRAIN_BYTES).select("page_id", "html")
-    sample = small.orderBy(F.xxhash64(F.col("page_id").cast("string"), F.lit("pages")), "html").limit(train_pages).collect()
+    small = pages.where((F.octet_length("html") <= TRAIN_BYTES) & F.col("page_id").isNotNull()).select("page_id", "html")
+    # Ids first: every task sends its smallest to the driver, which must not be whole pages.
+    chosen = small.select("page_id").orderBy(F.xxhash64(F.col("page_id").cast("string"), F.lit("pages"))).limit(train_pages).collect()
+    sample = small.where(F.col("page_id").isin([row.page_id for row in chosen])).limit(train_pages).collect() if chosen else []
+    sample.sort(key=lambda row: (row.page_id, row.html))
     read = [b for row in sample if 0 < len(b := read_blocks(row.html)) <= TRAIN_BLOCKS]
     labelled = [(b, y) for b in read if any(y := [weak_label(x) for x in b])]
     pool = [x.text for b in read for x in b]
