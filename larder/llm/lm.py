@@ -39,7 +39,7 @@ END = b"\n"  # not in any word
 _PAD = END * DEPTH
 _STRETCH = 1024
 _BUFFER = 4 << 20
-_FLUSH = 1_500_000
+_FLUSH = 600_000
 
 
 def stream(words: list[bytes]) -> bytes:
