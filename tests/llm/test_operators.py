@@ -424,6 +424,24 @@ def test_recall_of_latent_search(spark, docs):
     assert ((latent @ latent.T >= decontam.MIN_COSINE) & near).sum() >= 0.9 * near.sum()
 
 
+def test_latent_spaces_lose_no_passage_of_a_large_block(spark):
+    """One space of that rank would lose over a tenth of some passages' lengths."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    items = decontam.Items([(k, " ".join(rng.choices(vocabulary, k=rng.choice([20, 32, 45]))), None) for k in range(450)])
+    weights = np.log(1000 / (1 + np.arange(len(items.number) + 1) % 500))
+    weights[0] = 0
+    passages, _ = items.passages()
+    full = np.sqrt(np.array([(np.bincount(row, minlength=len(weights)) ** 2 * weights**2).sum() for row in passages]))
+    one = weights[:, None] * decontam.latent_space(spark, items, weights)
+    assert (np.linalg.norm(one[passages].sum(1), axis=1) / full).min() < 0.9
+    kept = []
+    for k, (words, directions) in enumerate(decontam.latent_spaces(spark, items, weights)):
+        some = np.searchsorted(words, passages[k * decontam.SPACE : (k + 1) * decontam.SPACE])
+        kept.extend(np.linalg.norm(directions[some].sum(1), axis=1))
+    assert len(kept) == len(passages) > 2 * decontam.SPACE and np.allclose(kept, full, rtol=1e-3)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=20), st.lists(st.integers(0, 5), min_size=1, max_size=20))
 def test_lcs(a, b):
