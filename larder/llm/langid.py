@@ -2,8 +2,9 @@
 
 A known word counts with its log frequency in each language; an unseen word backs off to its known 4-grams, else its
 3-grams, 2-grams and single characters.  The classifier is fitted on a bounded sample of labelled documents
-(``DOCS_PER_LANGUAGE`` of each language, chosen by a hash of doc_id) and keeps at most ``ENTRIES`` words and n-grams, so
-the broadcast model does not grow with the corpus.  Prediction reads whole texts, and only the text.
+(``DOCS_PER_LANGUAGE`` of each language, chosen by a hash of doc_id) and keeps every word and n-gram of that sample; the
+broadcast model grows with the languages and the vocabulary of their samples, not with the corpus.  Prediction reads
+whole texts, and only the text.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; letters that no table knows give the
 alphabetically first language with score 1/number of languages; a row without doc_id is never learned from and is not
@@ -26,7 +27,6 @@ from larder.llm.common import id_remainder
 
 HELD_OUT_MODULUS, HELD_OUT = 4, 2
 DOCS_PER_LANGUAGE = 2000
-ENTRIES = 200_000
 GRAM_SIZES = (4, 3, 2, 1)
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -114,8 +114,8 @@ class Predictor:
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
-def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, entries: int = ENTRIES) -> Model:
-    """Learn from the labelled documents that are not held out; the sample and the model are bounded by the parameters."""
+def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
+    """Learn from the labelled documents that are not held out; the sample is bounded by the parameter."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder(F.col("doc_id"), HELD_OUT_MODULUS) != HELD_OUT))
     labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
     sizes = {row["lang"]: row["count"] for row in labelled.groupBy("lang").count().toLocalIterator()}  # a row for each language
@@ -125,8 +125,8 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, entries: in
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 20)) / (1 << 20)
     sample = labelled.where(place < share[F.col("lang")]).select("lang", "text")
     counted = sample.mapInArrow(_count_batches, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "size", "gram", "lang").limit(entries)
-    return Model(list(sizes), [tuple(row) for row in top.collect()])
+    found = counted.toArrow()  # all words and n-grams of the sample
+    return Model(list(sizes), list(zip(*(found.column(c).to_pylist() for c in ("lang", "size", "gram", "n")), strict=True)))
 
 
 def predictor(spark: SparkSession, model: Model):

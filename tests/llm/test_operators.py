@@ -197,6 +197,17 @@ def test_language_of_odd_rows(spark, odd, empty):
     assert {r.lang_pred for r in langid.identify(odd, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_every_word_and_gram_of_the_sample_is_kept(spark):
+    rng = random.Random(3)
+    words = {lang: {"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(n)} for lang, n in (("en", 60_000), ("xx", 300))}
+    rows = [(k, " ".join(some), lang) for lang, all_ in words.items() for k, some in enumerate(itertools.batched(sorted(all_), 1000)) if zlib.crc32(str(k).encode()) % 4 != 2]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learnt = {w for _, text, _ in rows for w in text.split()}
+    assert set(model.known[0]) == learnt and sum(map(len, model.known.values())) > 200_000
+    for size in langid.GRAM_SIZES:
+        assert set(model.known[size]) == {g for w in learnt for g in langid.grams(w, size)}
+
+
 def test_back_off_goes_to_shorter_grams():
     rows = [("en", 0, "the", 9), ("fr", 0, "le", 9), ("en", 3, "xyz", 5), ("fr", 1, "q", 5), ("en", 1, "z", 5)]
     model = langid.Model(["en", "fr"], rows)
