@@ -38,11 +38,15 @@ _MEMO_WORDS = 200_000
 
 # HTML's element names.
 _BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-_RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video".split())
+_RAW = frozenset("script style noscript textarea title iframe".split())
+_HIDDEN = frozenset("template object svg canvas audio video".split())  # nested elements whose text is not the page's
+_FOREIGN = frozenset(("svg", "math"))
+_LEAVE_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSES["body"] = {"head"}
-_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE) for tag in _RAW}
+_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE) for tag in _RAW | _HIDDEN}
 _SCOPES = frozenset("ul ol dl table div article section aside nav header footer main form body".split())
 #: Words in tags, classes and ids for what a part of a page is; every category is one measure of a path.
 CATEGORIES = {
@@ -73,22 +77,38 @@ class Block(NamedTuple):
 
 
 def read_blocks(html: str) -> list[Block]:
-    """The page's leaf blocks in order, without the text of scripts, styles, comments and the head."""
+    """The page's leaf blocks in order, without the text of scripts, styles, comments, embedded objects and the head.
+
+    A hidden element that never ends hides nothing; one that ends does not end the block around it.
+    """
     blocks: list[Block] = []
     stack: list[tuple[str, str]] = []  # tag, tag with class and id words
     parts: list[str] = []
     links = linked = 0
+    outside: tuple[str, ...] | None = None  # the path around a hidden element while in one
+    next_end: dict[str, int] = {}
+
+    def path() -> tuple[str, ...]:
+        return tuple(label for tag, label in stack if tag in _BLOCKS)
 
-    def end_block() -> None:
+    def end_block(around: tuple[str, ...] | None = None) -> None:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            blocks.append(Block(tuple(label for tag, label in stack if tag in _BLOCKS), text, min(linked, len(text))))
+            blocks.append(Block(path() if around is None else around, text, min(linked, len(text))))
         parts.clear()
         linked = 0
 
+    def ends(tag: str, at: int) -> bool:
+        if (end := next_end.get(tag, 0)) < at:
+            found = _ENDS[tag].search(html, at)
+            end = next_end[tag] = found.start() if found else len(html)
+        return end < len(html)
+
     def add(raw: str) -> None:
         nonlocal linked
+        if outside is not None:
+            return
         text = entities.unescape(raw)
         parts.append(text)
         if links:
@@ -122,14 +142,24 @@ def read_blocks(html: str) -> list[Block]:
             continue
         at = found.end()
         closing, tag, attributes = found[1], found[2].lower(), found[3]
+        empty = attributes.endswith("/")
         if tag in _RAW and not closing:
-            end = _ENDS[tag].search(html, at)
-            at = end.end() if end else len(html)
+            if not (empty and any(t in _FOREIGN for t, _ in stack)):
+                end = _ENDS[tag].search(html, at)
+                at = end.end() if end else len(html)
             continue
-        if tag in _BLOCKS:
-            end_block()
-        elif tag == "br":
-            parts.append(" ")
+        around = outside
+        if around is None:
+            if tag in _BLOCKS:
+                end_block()
+            elif tag == "br":
+                parts.append(" ")
+        if tag in _LEAVE_FOREIGN and not closing:
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] in _FOREIGN:
+                    del stack[depth:]
+                elif stack[depth][0] in _INTEGRATION or stack[depth][0] in _BLOCKS:
+                    break
         if closing:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
@@ -137,7 +167,7 @@ def read_blocks(html: str) -> list[Block]:
                     break
                 if stack[depth][0] in _SCOPES and tag not in _SCOPES:
                     break
-        elif tag not in _VOID and not attributes.endswith("/"):
+        elif tag not in _VOID and not empty and (tag not in _HIDDEN or ends(tag, at)):
             if tag in _CLOSES:
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] in _CLOSES[tag]:
@@ -146,10 +176,16 @@ def read_blocks(html: str) -> list[Block]:
                     if stack[depth][0] in _SCOPES:
                         break
             named = [w.lower() for m in _NAMED.findall(attributes) for w in _PARTS.findall(" ".join(m))] if attributes else []
+            if tag in _HIDDEN and outside is None:
+                outside = path()
             stack.append((tag, ".".join([tag, *named])))
+        if around is not None and not any(t in _HIDDEN for t, _ in stack):
+            outside = None
+            if tag in _BLOCKS:
+                end_block(around)
         if tag == "a":
             links = sum(t == "a" for t, _ in stack)
-    end_block()
+    end_block(outside)
     return blocks
 
 

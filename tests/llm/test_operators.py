@@ -515,6 +515,19 @@ def test_blocks_of_odd_html():
     assert text("<head><title>t</title></head>x<br>y") == ["x y"] and text("<a title='>'>k</a>") == ["k"]
 
 
+def test_embedded_elements_do_not_cut_the_text():
+    text = lambda h: [b.text for b in htmltext.read_blocks(h)]
+    assert text('<p>A <svg class="i"/> B</p><p>C</p>') == ["A B", "C"] and text("<p>A <math/> B</p><p>C</p>") == ["A B", "C"]
+    assert text("<p>A <svg><title>t</title><style/><g><text>x</text></g></svg> B</p><p>C</p>") == ["A B", "C"]
+    assert text("<p>A <svg><svg>x</svg>y</svg> B</p>") == ["A B"] and text("<div>A<object>x<object>y</object><p>z</p></object> B</div>") == ["A B"]
+    for tag in ("object", "video", "audio", "canvas", "template", "svg", "math"):
+        assert text(f"<div>A <{tag} id=k> B</div><p>C</p>") == ["A B", "C"]
+        assert text(f"<p>A <{tag}>x</p><p>C</p><p>D <{tag}>y</{tag}> E</p>")[-1] in ("D E", "D y E")
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    assert text("<p>A <video><source src=a>no video here</video> B</p>") == ["A B"] and text("<p>x<script>'</svg>'</script>y<textarea>z</textarea>") == ["xy"]
+    assert text("<div>A <svg>x<p>C</p><p>D</p></div></svg>") == ["A", "C", "D"]
+
+
 def test_html_of_odd_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "no tags"), (3, "u", "no tags"), (None, "u", "<article><p>x</p></article>"), (5, "u", "<article>" + "<p>word here.</p>" * 3000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
