@@ -29,6 +29,11 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def splits(df: DataFrame) -> int:
+    """How many tasks read ``df``, a scan or what is computed from one without a shuffle: a count that follows its bytes."""
+    return max(1, df.rdd.getNumPartitions())
+
+
 def storage(uri: str):
     """(pyarrow filesystem, path) of a folder or file; a bare path is local."""
     from pyarrow import fs

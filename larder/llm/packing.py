@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import staged
+from larder.llm.common import splits, staged
 from larder.llm.tokens import memo_tokenizer
 
 SEQUENCE = 2048
@@ -64,15 +64,18 @@ def project(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def _keyed_batches(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = memo_tokenizer(path, "words"), np.array([end_id], "<u2").tobytes()
+        encoder = memo_tokenizer(path, "words")
         rows = np.random.default_rng(7).standard_normal((1 << HASH_BITS, DIMENSIONS))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [x + end for x in encoder.encode(part.column(1).fill_null("").to_pylist())]
-                points = np.array([project(np.frombuffer(x, "<u2"), rows) for x in ids])
+            at = 0
+            for ids, sizes in encoder.encode(batch.column(1).fill_null("").to_pylist(), end_id):
+                ends = np.cumsum(sizes)
+                points = np.array([project(ids[e - n : e], rows) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)])
                 grid = np.clip((points + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hilbert_key(grid)), pa.array(ids, pa.binary())], ["doc_id", "curve", "ids"])
+                offsets = pa.py_buffer(np.append(0, 2 * ends).astype("<i8").tobytes())
+                held = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, offsets, pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sizes)), pa.array(hilbert_key(grid)), held.cast(pa.binary())], ["doc_id", "curve", "ids"])
+                at += len(sizes)
 
     return run
 
@@ -133,8 +136,9 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, end_id: i
     if length & (length - 1):
         raise ValueError("the sequence length must be a power of two")
     keyed = along_curve(docs, tokenizer_path, end_id)
-    # The staged table's key columns alone are sampled for the ranges; doc_id splits groups of copies.
-    ordered = keyed.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id").select("doc_id", "ids")
+    # As many ranges as the staged table has splits, so that a task's share does not grow with the input; only the key
+    # columns are sampled for them, and doc_id splits groups of copies.
+    ordered = keyed.repartitionByRange(splits(keyed), "curve", "doc_id").sortWithinPartitions("curve", "doc_id").select("doc_id", "ids")
     return ordered.mapInArrow(_packed_batches(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

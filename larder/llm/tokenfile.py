@@ -1,6 +1,7 @@
 """Token ids in Arrow IPC files of fixed-size-list batches.
 
-Documents are range-partitioned and sorted by doc_id, and each partition writes its run of ids as one Arrow file: rows
+Documents are range-partitioned and sorted by doc_id, into twice as many ranges as tasks read them, and each partition
+writes its run of ids as one Arrow file: rows
 are sequences of equal length with a mask of what is real, so row *i* of a memory-mapped file is found by arithmetic and
 read without a copy.  A second Arrow file lists the partition's documents with their place in that run.  Ids are stored
 in 16 bits, as the vocabulary fits.  A small manifest (one row a partition) gives each file's first id in the whole run.
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import fresh_path, staged, storage
+from larder.llm.common import fresh_path, splits, staged, storage
 from larder.llm.tokens import memo_tokenizer
 
 SEQUENCE = 2048
@@ -49,29 +50,28 @@ class _Writer:
         self.names = {f"{own}.{kind}": f"{self.path}.{kind}" for kind in ("arrow", "index.arrow")}
         self.sinks = [self.fs.open_output_stream(name) for name in self.names]
         self.ids, self.index = (pa.ipc.new_file(s, k) for s, k in zip(self.sinks, (_schema(length), _INDEX), strict=True))
-        self.rest, self.tokens, self.documents = b"", 0, 0
+        self.rest, self.tokens, self.documents = np.zeros(0, "<u2"), 0, 0
 
     def _rows(self, ids: np.ndarray, real: int) -> None:
         mask = pa.array(np.arange(len(ids)) < real)
         columns = [pa.FixedSizeListArray.from_arrays(x, self.length) for x in (pa.array(ids), mask)]
         self.ids.write_batch(pa.RecordBatch.from_arrays(columns, schema=_schema(self.length)))
 
-    def add(self, doc_ids: list, ids: list[bytes]) -> None:
-        sizes = np.array([len(x) // 2 for x in ids], np.int64)
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents' ids one after another, and how many each has."""
         starts = self.tokens + np.cumsum(sizes) - sizes
-        self.index.write_batch(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(sizes)], schema=_INDEX))
-        self.tokens += int(sizes.sum())
-        self.documents += len(ids)
-        run = np.frombuffer(b"".join([self.rest, *ids]), "<u2")
+        self.index.write_batch(pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), pa.array(starts), pa.array(sizes)], schema=_INDEX))
+        self.tokens += len(ids)
+        self.documents += len(sizes)
+        run = np.concatenate([self.rest, ids])
         full = len(run) // (ROWS * self.length) * ROWS * self.length
         for at in range(0, full, ROWS * self.length):
             self._rows(run[at : at + ROWS * self.length], ROWS * self.length)
-        self.rest = run[full:].tobytes()
+        self.rest = run[full:].copy()
 
     def close(self) -> None:
-        run = np.frombuffer(self.rest, "<u2")
-        if len(run):
-            self._rows(np.pad(run, (0, -len(run) % self.length)), len(run))
+        if n := len(self.rest):
+            self._rows(np.pad(self.rest, (0, -n % self.length)), n)
         for x in (self.ids, self.index, *self.sinks):
             x.close()
         for own, final in self.names.items():
@@ -108,14 +108,13 @@ class TokenFile:
 
 def _write_batches(folder: str, path: str, end_id: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, writer = memo_tokenizer(path, "bytes"), np.array([end_id], "<u2").tobytes(), None
-        part = TaskContext.get().partitionId()
+        encoder, writer, part = memo_tokenizer(path, "bytes"), None, TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            at = 0
+            for ids, sizes in encoder.encode(batch.column(1).fill_null("").to_pylist(), end_id):
                 writer = writer or _Writer(folder, part, length)
-                ids = [x + end for x in encoder.encode(some.column(1).fill_null("").to_pylist())]
-                writer.add(some.column(0).to_pylist(), ids)
+                writer.add(batch.column(0).slice(at, len(sizes)), ids, sizes)
+                at += len(sizes)
         if writer:
             writer.close()
             row = [[part], [writer.tokens], [writer.documents], [f"{folder}/part-{part:06d}"]]
@@ -129,7 +128,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, len
     """Write all documents; returns the manifest: part, tokens, documents, path, base (ids before the file)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
+    # Rows of one doc_id, or of none, are split by their texts' hashes, and equal rows by their place.
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    keys = ("doc_id", "hash", "place")
+    ordered = keyed.repartitionByRange(2 * splits(rows), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     folder = fresh_path(spark, "tokens")
     manifest = staged(spark, ordered.mapInArrow(_write_batches(folder, tokenizer_path, end_id, length), _MANIFEST), "manifest")
     base, based = 0, []
@@ -158,7 +160,8 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids before it in the whole run), n_tokens, ids_crc32 of each document, from the files."""
-    return manifest.select("path", "base").repartition("path").mapInArrow(_read_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = manifest.select("path", "base")
+    return files.repartition(max(1, files.count())).mapInArrow(_read_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

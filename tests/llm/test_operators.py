@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from larder.llm import common, decontam, htmltext, langid, lm, media, packing, pii, simhash, tokenfile, tokens, warc
+from larder.llm import common, decontam, htmltext, langid, lm, media, packing, pii, runs, simhash, tokenfile, tokens, warc
 
 SMALL = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -71,8 +71,31 @@ def crc(ids):
 @given(st.text(alphabet=st.sampled_from("aBz é́İßΣς'st.,;|!\n\t\r \x1c\x85 　1٣²<|endoftext|>"), max_size=40))
 def test_memo_tokenizer_is_exact(text):
     for name, cut in (("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")):
-        got = tokens.memo_tokenizer(public_tokenizers.path(name), cut).encode([text])[0]
-        assert np.frombuffer(got, "<u2").tolist() == plain_ids(name, [text], 0)[0][:-1]
+        texts = [text, "", text[::-1], text * 9]
+        ids, sizes = zip(*tokens.memo_tokenizer(public_tokenizers.path(name), cut).encode(texts, 7), strict=True)
+        want = plain_ids(name, texts, 7)
+        assert np.concatenate(ids).tolist() == [i for x in want for i in x] and np.concatenate(sizes).tolist() == [len(x) for x in want]
+
+
+def test_memo_tokenizer_of_documents(docs):
+    texts = [r.text or "" for r in docs.collect()] + ["x" * 500 + " y", "Wort, wörter; ÉCOLE! a.b <|endoftext|> don't", "many words,  and\n\n more " * 60_000] * 2
+    for name, cut in (("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")):
+        ids, sizes = zip(*tokens.MemoTokenizer(public_tokenizers.path(name), cut).encode(texts, 7), strict=True)
+        want = plain_ids(name, texts, 7)
+        assert np.concatenate(sizes).tolist() == [len(x) for x in want]
+        assert np.concatenate(ids).tolist() == [i for x in want for i in x]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(max_size=5), min_size=1, max_size=300))
+def test_runs_are_found_by_hash(words):
+    table, words = runs.Table(2), list(dict.fromkeys(words))
+    half = words[: len(words) // 2]
+    table.add(runs.hash_of(half), np.arange(len(half)))
+    assert table.find(runs.hash_of(words)).tolist() == [k if k < len(half) else -1 for k in range(len(words))]
+    text, codes, starts = runs.joined(["a" * 7, " ".join(words)])
+    begin = [7 + 1 + sum(len(w) + 1 for w in words[:k]) for k in range(len(words))]
+    assert (runs.hashes(codes, np.array(begin), np.array([b + len(w) for b, w in zip(begin, words, strict=True)])) == runs.hash_of(words)).all()
 
 
 def test_token_file(spark, docs, odd):
