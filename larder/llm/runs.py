@@ -18,7 +18,7 @@ LONGEST = 64
 _MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
-_CODES = 0x110000
+_PLANES = (0x250, 0x3000, 0x10000, 0x110000)  # of most texts the first or second holds all
 _WORD_END = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
 
 
@@ -54,19 +54,15 @@ def joined(texts: list[str], lower: bool = False) -> tuple[str, np.ndarray, np.n
 
 
 @cache
-def _folds() -> np.ndarray:
+def _folds(size: int) -> np.ndarray:
     """For each code point: 0 if no letter, digit or underscore, else its lower case (the first of it)."""
-    table = np.zeros(_CODES, np.uint32)
-    for code in range(_CODES):
-        c = chr(code)
-        if c.isalnum() or c == "_":
-            table[code] = ord(c.lower()[0])
-    return table
+    return np.array([ord(c.lower()[0]) if c.isalnum() or c == "_" else 0 for c in map(chr, range(size))], np.uint32)
 
 
 def folded(codes: np.ndarray) -> np.ndarray:
     """Lower-case letters, digits and underscores; 0 for all else."""
-    return _folds()[codes]
+    most = int(codes.max(initial=0))
+    return _folds(next(size for size in _PLANES if most < size))[codes]
 
 
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
