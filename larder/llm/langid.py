@@ -4,16 +4,19 @@ A known word counts with its log frequency in each language; an unseen word back
 3-grams, 2-grams and single characters.  The classifier is fitted on a bounded sample of labelled documents
 (``DOCS_PER_LANGUAGE`` of each language, chosen by a hash of doc_id) and keeps every word and n-gram of that sample; the
 broadcast model grows with the languages and the vocabulary of their samples, not with the corpus.  Prediction reads
-whole texts, and only the text.
+whole texts, and only the text; words and n-grams are looked up by 64-bit hash, all those of many texts at once.
 
-Edge cases: a null text or one without a letter is ``und`` with score 0; letters that no table knows give the
-alphabetically first language with score 1/number of languages; a row without doc_id is never learned from and is not
-held out; with no labelled row at all every text is ``und``.  Other columns are not read, so they cannot clash.
+The score is a softmax over the languages' log likelihoods, divided by the square root of the number of words, so that
+the length of a text alone does not make it certain.  ``known`` counts words that are known or have a known n-gram of
+two or more characters: without one the prediction is a guess.
+
+Edge cases: a null text or one without a letter is ``und`` with score 0; letters that no table knows, and ties, give the
+alphabetically first language, the former with score 1/number of languages; a row without doc_id is never learned from
+and is not held out; with no labelled row at all every text is ``und``.  Other columns are not read, so they cannot clash.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm import runs
 from larder.llm.common import id_remainder
 
 HELD_OUT_MODULUS, HELD_OUT = 4, 2
@@ -30,13 +34,22 @@ DOCS_PER_LANGUAGE = 2000
 GRAM_SIZES = (4, 3, 2, 1)
 SMOOTHING = 0.5
 UNKNOWN = "und"
-_MEMO_WORDS = 300_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Unseen words whose scores are kept; beyond, they are found anew.
+MEMO_WORDS = 500_000
+_CHARACTERS_AT_ONCE = 300_000
+_EDGE = "\0"  # what stands for a word's border in an n-gram
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    folded = runs.folded(runs.joined([text])[1], letters=True)
+    lower = folded.tobytes().decode("utf-32-le")
+    return [lower[b:e] for b, e in zip(*(x.tolist() for x in runs.runs(folded > 0)), strict=True)]
 
 
 def grams(word: str, size: int) -> list[str]:
-    """Character n-grams of a word between boundary marks; single characters are without marks."""
-    marked = word if size == 1 else f"_{word}_"
+    """Character n-grams of a word between border marks; single characters are without marks."""
+    marked = word if size == 1 else f"{_EDGE}{word}{_EDGE}"
     return [marked[i : i + size] for i in range(len(marked) - size + 1)]
 
 
@@ -45,7 +58,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         words: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update(_LETTERS.findall(text.lower()))
+            words.setdefault(lang, Counter()).update(words_of(text))
         total: Counter = Counter()
         for lang, counts in words.items():
             for word, n in counts.items():
@@ -58,60 +71,117 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 class Model:
-    """Log frequencies of words and n-grams in each language."""
+    """Log frequencies of words and n-grams in each language: a table of hashes for each size, and a row for each entry."""
 
-    def __init__(self, languages: list[str], rows: list[tuple[str, int, str, int]]):
+    def __init__(self, languages: list[str], found: pa.Table | None = None):
         self.languages = sorted(languages)
-        place = {lang: k for k, lang in enumerate(self.languages)}
-        self.known: dict[int, dict[str, int]] = {size: {} for size in (0, *GRAM_SIZES)}
-        counts = {size: [] for size in self.known}
-        for lang, size, gram, n in sorted(rows):
-            k = self.known[size].setdefault(gram, len(self.known[size]))
-            if k == len(counts[size]):
-                counts[size].append(np.zeros(len(self.languages)))
-            counts[size][k][place[lang]] += n
-        self.logs = {}
-        for size, found in counts.items():
-            table = np.array(found).reshape(len(found), len(self.languages)) + SMOOTHING
-            self.logs[size] = np.log(table / table.sum(0))
-
-    def word(self, word: str) -> np.ndarray:
-        if (k := self.known[0].get(word)) is not None:
-            return self.logs[0][k]
-        for size in GRAM_SIZES:
-            if found := [self.known[size][g] for g in grams(word, size) if g in self.known[size]]:
-                return self.logs[size][found].mean(0)
-        return np.zeros(len(self.languages))
+        self.tables, self.logs = {}, {}
+        if found is not None:
+            found = found.sort_by([("size", "ascending"), ("gram", "ascending"), ("lang", "ascending")])
+        for size in (0, *GRAM_SIZES):
+            own = None if found is None else found.filter(pa.compute.equal(found.column("size"), size))
+            encoded = pa.array([], pa.string()).dictionary_encode() if own is None else own.column("gram").combine_chunks().dictionary_encode()
+            texts = encoded.dictionary.to_pylist()
+            counts = np.full((len(texts), len(self.languages)), SMOOTHING)
+            self.tables[size] = runs.Table()
+            if texts:
+                place = {lang: k for k, lang in enumerate(self.languages)}
+                lang = np.array([place[x] for x in own.column("lang").to_pylist()])
+                np.add.at(counts, (encoded.indices.to_numpy(), lang), own.column("n").to_numpy())
+                self.tables[size].add(runs.hash_of(texts), np.arange(len(texts)))
+            self.logs[size] = np.log(counts / counts.sum(0)).astype(np.float32)
 
 
 class Predictor:
-    """Scores texts; keeps what it found for words in a memo of bounded size."""
+    """Scores many texts at once; keeps what it found for unseen words in a memo of bounded size."""
 
     def __init__(self, model: Model):
-        self.model, self.place = model, {}
-        self.table = np.zeros((1024, len(model.languages)))
-
-    def _learn(self, words: set[str]) -> None:
-        for word in words:
-            if (k := len(self.place)) == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[k] = self.model.word(word)
-            self.place[word] = k
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = _LETTERS.findall(text.lower()) if text else []
-        if not self.model.languages or not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
-        unseen = set(words).difference(self.place)
-        if unseen:
-            if len(self.place) > _MEMO_WORDS:
-                self.place.clear()
-                unseen = set(words)
-            self._learn(unseen)
-        total = self.table[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(0)
-        odds = np.exp(total - total.max())
-        best = int(odds.argmax())
-        return self.model.languages[best], float(odds[best] / odds.sum())
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table, self.memo, self.used = runs.Table(), np.zeros((1024, len(self.model.languages) + 1), np.float32), 0
+
+    def _back_off(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each word its mean log frequencies over the n-grams of the largest size that are known, and 1 if that is at least 2."""
+        out = np.zeros((len(begin), len(self.model.languages) + 1), np.float32)
+        left = np.arange(len(begin))
+        for size in GRAM_SIZES:
+            marks = int(size > 1)
+            first = begin[left] - marks
+            count = np.maximum(end[left] + marks - size + 1 - first, 0)
+            word = np.repeat(left, count)
+            at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            rows = self.model.tables[size].find(runs.hashes(codes, at, at + size))
+            word, rows = word[rows >= 0], rows[rows >= 0]
+            hits = np.bincount(word, minlength=len(begin))
+            some = np.flatnonzero(hits)
+            for k in range(len(self.model.languages)):
+                out[some, k] = np.bincount(word, self.model.logs[size][rows, k], len(begin))[some] / hits[some]
+            out[some, -1] = marks
+            left = left[hits[left] == 0]
+        return out
+
+    def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over each text's words of their log frequencies, with the number of known ones, and the number of words."""
+        _, codes, starts = runs.joined(["", *texts])  # a border before the first word
+        codes = runs.folded(codes, letters=True)
+        begin, end = runs.runs(codes > 0)
+        sums = np.zeros((len(begin), len(self.model.languages) + 1))
+        keys = runs.hashes(codes, begin, end)
+        number = self.model.tables[0].find(keys)
+        seen = np.flatnonzero(number >= 0)
+        sums[seen, :-1], sums[seen, -1] = self.model.logs[0][number[seen]], 1
+        unseen = np.flatnonzero(number < 0)
+        if self.used > MEMO_WORDS:
+            self._forget()
+        place = self.table.find(keys[unseen])
+        missing = unseen[place < 0]
+        if len(missing):
+            new, first = np.unique(keys[missing], return_index=True)
+            while self.used + len(new) > len(self.memo):
+                self.memo = np.concatenate([self.memo, np.zeros_like(self.memo)])
+            self.memo[self.used : self.used + len(new)] = self._back_off(codes, begin[missing[first]], end[missing[first]])
+            self.table.add(new, np.arange(self.used, self.used + len(new)))
+            self.used += len(new)
+            place = self.table.find(keys[unseen])
+        sums[unseen] = self.memo[place]
+        counts = np.diff(np.searchsorted(begin, starts[1:]))
+        text = np.repeat(np.arange(len(counts)), counts)
+        return np.stack([np.bincount(text, column, len(counts)) for column in sums.T], axis=1), counts
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, known words) of each text."""
+        sums, counts, held, size = [], [], [], 0
+
+        def flush() -> None:
+            nonlocal held, size
+            if held:
+                for out, found in zip((sums, counts), self._some(held), strict=True):
+                    out.append(found)
+            held, size = [], 0
+
+        for text in texts:
+            text = text or ""
+            if size + len(text) > _CHARACTERS_AT_ONCE:
+                flush()
+            if len(text) > 2 * _CHARACTERS_AT_ONCE:
+                found = [self._some([p]) for p in runs.pieces(text, _CHARACTERS_AT_ONCE)]
+                sums.append(sum(s for s, _ in found))
+                counts.append(sum(n for _, n in found))
+                continue
+            held.append(text)
+            size += len(text)
+        flush()
+        languages = self.model.languages
+        total, count = (np.concatenate(x) if x else np.zeros((0, len(languages) + 1) if x is sums else 0) for x in (sums, counts))
+        if not languages:
+            return [UNKNOWN] * len(total), np.zeros(len(total)), np.zeros(len(total), np.int64)
+        logs, known = total[:, :-1], total[:, -1].astype(np.int64)
+        odds = np.exp((logs - logs.max(1, keepdims=True)) / np.sqrt(np.maximum(count, 1))[:, None])
+        best = odds.argmax(1)
+        score = np.where(count > 0, odds.max(1) / odds.sum(1), 0.0)
+        return [languages[k] if n else UNKNOWN for k, n in zip(best.tolist(), count.tolist(), strict=True)], score, known
 
 
 def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
@@ -120,33 +190,32 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
     sizes = {row["lang"]: row["count"] for row in labelled.groupBy("lang").count().toLocalIterator()}  # a row for each language
     if not sizes:
-        return Model([], [])
+        return Model([])
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_per_language / n))])
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 20)) / (1 << 20)
     sample = labelled.where(place < share[F.col("lang")]).select("lang", "text")
     counted = sample.mapInArrow(_count_batches, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # all words and n-grams of the sample
-    return Model(list(sizes), list(zip(*(found.column(c).to_pylist() for c in ("lang", "size", "gram", "n")), strict=True)))
+    return Model(list(sizes), counted.toArrow())  # all words and n-grams of the sample
 
 
 def predictor(spark: SparkSession, model: Model):
-    """A function of a text column: struct(lang_pred, score)."""
+    """A function of a text column: struct(lang_pred, score, known)."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known long")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Predictor(shared.value)
         for batch in texts:
-            yield pd.DataFrame([own.predict(t) for t in batch], columns=["lang_pred", "score"])
+            yield pd.DataFrame(dict(zip(("lang_pred", "score", "known"), own.predict(batch.tolist()), strict=True)))
 
     return predict
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document."""
+    """doc_id, held_out, lang_pred, score, known (words) of every document."""
     found = predictor(docs.sparkSession, model)(F.col("text").cast("string"))
     held_out = F.coalesce(id_remainder(F.col("doc_id"), HELD_OUT_MODULUS) == HELD_OUT, F.lit(False))
-    return docs.select("doc_id", held_out.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
+    return docs.select("doc_id", held_out.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.*")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,15 +54,15 @@ def joined(texts: list[str], lower: bool = False) -> tuple[str, np.ndarray, np.n
 
 
 @cache
-def _folds(size: int) -> np.ndarray:
-    """For each code point: 0 if no letter, digit or underscore, else its lower case (the first of it)."""
-    return np.array([ord(c.lower()[0]) if c.isalnum() or c == "_" else 0 for c in map(chr, range(size))], np.uint32)
+def _folds(size: int, letters: bool) -> np.ndarray:
+    inside = str.isalpha if letters else (lambda c: c.isalnum() or c == "_")
+    return np.array([ord(c.lower()[0]) if inside(c) else 0 for c in map(chr, range(size))], np.uint32)
 
 
-def folded(codes: np.ndarray) -> np.ndarray:
-    """Lower-case letters, digits and underscores; 0 for all else."""
+def folded(codes: np.ndarray, letters: bool = False) -> np.ndarray:
+    """Lower case (its first character) of letters, digits and underscores, or of letters only; 0 for all else."""
     most = int(codes.max(initial=0))
-    return _folds(next(size for size in _PLANES if most < size))[codes]
+    return _folds(next(size for size in _PLANES if most < size), letters)[codes]
 
 
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

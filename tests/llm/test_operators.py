@@ -233,17 +233,54 @@ def test_every_word_and_gram_of_the_sample_is_kept(spark):
     rows = [(k, " ".join(some), lang) for lang, all_ in words.items() for k, some in enumerate(itertools.batched(sorted(all_), 1000)) if zlib.crc32(str(k).encode()) % 4 != 2]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     learnt = {w for _, text, _ in rows for w in text.split()}
-    assert set(model.known[0]) == learnt and sum(map(len, model.known.values())) > 200_000
+    assert model.tables[0].size == len(learnt) and sum(t.size for t in model.tables.values()) > 200_000
     for size in langid.GRAM_SIZES:
-        assert set(model.known[size]) == {g for w in learnt for g in langid.grams(w, size)}
+        known = {g for w in learnt for g in langid.grams(w, size)}
+        assert model.tables[size].size == len(known) and (model.tables[size].find(runs.hash_of(sorted(known))) >= 0).all()
+
+
+def plain_model(rows):
+    """log frequencies by size and n-gram, from (lang, size, n-gram, n)."""
+    languages = sorted({r[0] for r in rows})
+    logs = {}
+    for size in (0, *langid.GRAM_SIZES):
+        counts = {g: [langid.SMOOTHING + sum(r[3] for r in rows if r[:3] == (lang, size, g)) for lang in languages] for g in {r[2] for r in rows if r[1] == size}}
+        whole = [sum(c) for c in zip(*counts.values(), strict=True)]
+        logs[size] = {g: [np.log(x / w) for x, w in zip(c, whole, strict=True)] for g, c in counts.items()}
+    return languages, logs
+
+
+def plain_language(languages, logs, text):
+    words = ["".join(g) for yes, g in itertools.groupby(text, str.isalpha) if yes]
+    total, known = np.zeros(len(languages)), 0
+    for word in map(str.lower, words):
+        for size in (0, *langid.GRAM_SIZES):
+            found = [logs[size][g] for g in ([word] if size == 0 else langid.grams(word, size)) if g in logs[size]]
+            if found:
+                total, known = total + np.mean(found, axis=0), known + (size != 1)
+                break
+    odds = np.exp((total - total.max()) / max(1, len(words)) ** 0.5)
+    return (languages[odds.argmax()], odds.max() / odds.sum(), known) if words else ("und", 0.0, 0)
 
 
-def test_back_off_goes_to_shorter_grams():
-    rows = [("en", 0, "the", 9), ("fr", 0, "le", 9), ("en", 3, "xyz", 5), ("fr", 1, "q", 5), ("en", 1, "z", 5)]
-    model = langid.Model(["en", "fr"], rows)
-    assert model.word("the").argmax() == 0 and model.word("axyzb").argmax() == 0
-    assert model.word("aqb").argmax() == 1
-    assert not model.word("###").any()
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abcÉß \n1_", max_size=30), max_size=6), st.lists(st.tuples(st.sampled_from(["de", "en", "fr"]), st.text(alphabet="abcé", min_size=1, max_size=6)), min_size=1, max_size=12))
+def test_language_against_a_plain_scorer(texts, sample):
+    counts = Counter((lang, size, g) for lang, word in sample for size in (0, *langid.GRAM_SIZES) for g in ([word] if size == 0 else langid.grams(word, size)))
+    rows = [(*k, n) for k, n in counts.items()]
+    found = pa.table(dict(zip(("lang", "size", "gram", "n"), (pa.array(c) for c in zip(*rows, strict=True)), strict=True)))
+    languages, logs = plain_model(rows)
+    want = [plain_language(languages, logs, t) for t in texts]
+    got = list(zip(*langid.Predictor(langid.Model(languages, found)).predict(texts), strict=True))
+    for (lang, score, known), (lang2, score2, known2) in zip(got, want, strict=True):
+        assert known == known2 and score == pytest.approx(score2, abs=1e-4) and (lang == lang2 or abs(score - 1 / 2) < 0.2)
+
+
+def test_ties_and_long_texts_of_language():
+    rows = {"lang": ["en", "fr", "en", "fr"], "size": [0, 0, 0, 0], "gram": ["the", "le", "x", "x"], "n": [9, 9, 3, 3]}
+    own = langid.Predictor(langid.Model(["fr", "en"], pa.table(rows)))
+    lang, score, known = own.predict(["x", "???", "le " * 400_000 + "the", "xyz", None])
+    assert lang == ["en", "und", "fr", "en", "und"] and known.tolist() == [1, 0, 400_001, 0, 0] and score[0] == score[3] == 0.5 and score[2] > 0.99
 
 
 # Language model
