@@ -4,20 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, in local mode, one of our own where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larder-"))
-        root = spark.sparkContext.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_folder()
     return root.rstrip("/")
 
 
+@cache
+def _own_folder() -> str:
+    """For sessions in one process, as in tests."""
+    return tempfile.mkdtemp(prefix="larder-")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -29,6 +37,31 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that may hold a share of over 1 / HOT_KEYS of the rows; there are at most so many, so they are broadcast.
+HOT_KEYS = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, broadcast_rows: int = 200_000) -> DataFrame:
+    """Left join of ``rows`` with ``groups``, which has a row for each key and in ``n`` how many rows have it; drops ``n``.
+
+    ``groups`` must be a table that is cheap to read again.  Up to ``broadcast_rows`` it is broadcast.  Beyond, only its hot
+    keys are; their rows are spread by a salt, so no task gets all rows of a key, and the others are joined by a shuffle.
+    """
+    values = [c for c in groups.columns if c not in (key, "n")]
+    size = groups.agg(F.count("*").alias("keys"), F.sum("n").alias("rows")).first()
+    if size["keys"] <= broadcast_rows:
+        return rows.join(F.broadcast(groups.drop("n")), key, "left")
+    hot = F.col("n") > size["rows"] / HOT_KEYS
+    hot_groups = groups.where(hot).select(key, F.struct(*values).alias("_hot"), F.lit(True).alias("_is_hot"))
+    met = rows.join(F.broadcast(hot_groups), key, "left")
+    salt = F.when(F.col("_is_hot"), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    met = met.withColumn("_salt", salt)
+    cold_groups = groups.where(~hot).select(key, F.struct(*values).alias("_cold"), F.lit(-1).cast("long").alias("_salt"))
+    met = met.join(cold_groups, [key, "_salt"], "left")
+    value = F.when(F.col("_is_hot"), F.col("_hot")).otherwise(F.col("_cold"))
+    return met.select(*rows.columns, *[value[v].alias(v) for v in values])
+
+
 def splits(df: DataFrame) -> int:
     """How many tasks read ``df``, a scan or what is computed from one without a shuffle: a count that follows its bytes."""
     return max(1, df.rdd.getNumPartitions())

@@ -1,7 +1,7 @@
 """Media columns: content-addressed payloads in tar shards.
 
 Each task turns its texts into 8-bit grayscale PNG images (64 samples a row), names them by the SHA-256 of their
-samples and appends them to tar shards of bounded size; within a task a digest is stored once.  Rows carry digest,
+samples and appends them to tar shards of bounded size; within a task, whose share of texts is bounded, a digest is stored once.  Rows carry digest,
 shard, offset and length.  A digest that several tasks have stored is resolved to its first place by a small
 aggregation, so payload bytes are never shuffled and every row with that digest points to one object.  Header-only range
 reads (the first 33 bytes of an object) fill the metadata columns; features read the whole object back.
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import fresh_path, staged, storage, text_bytes
+from larder.llm.common import fresh_path, join_groups, splits, staged, storage, text_bytes
 
 WIDTH = 64
 SHARD_BYTES = 256 << 20
@@ -133,14 +133,14 @@ def _store_batches(folder: str):
     return run
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """Write all payloads; one row per document: doc_id, n_bytes, digest, shard, offset, length."""
+def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Write all payloads; a row for each document (doc_id, n_bytes, digest), and one for each digest (shard, offset, length, n documents)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = staged(spark, rows.mapInArrow(_store_batches(fresh_path(spark, "media")), _ROW), "media-rows")
     place = F.min(F.struct("shard", "offset", "length")).alias("place")
-    first = found.groupBy("digest").agg(place).select("digest", "place.*")
-    return found.select("doc_id", "n_bytes", "digest").join(first, "digest")
+    places = found.groupBy("digest").agg(place, F.count("*").alias("n")).select("digest", "place.*", "n")
+    return found.select("doc_id", "n_bytes", "digest"), staged(spark, places, "media-places")
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], size) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -186,10 +186,17 @@ def read_features(places: DataFrame) -> DataFrame:
     return places.mapInArrow(_feature_batches, "digest binary, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def media_columns(docs: DataFrame) -> DataFrame:
+    """Stores all payloads and gives each document the metadata and features of its object."""
+    spark = docs.sparkSession
+    rows, places = store(docs)
+    # Objects in the order of their shards, in as many tasks as wrote them: a task's share of bytes does not grow.
+    objects = places.select("digest", "shard", "offset", "length").repartitionByRange(splits(docs), "shard", "offset").sortWithinPartitions("shard", "offset")
+    features = staged(spark, read_features(read_metadata(objects)), "media-features")
+    counted = features.join(places.select("digest", "n"), "digest")
+    return join_groups(rows, staged(spark, counted, "media-features"), "digest", broadcast_rows=20_000)
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    rows = staged(spark, rows, "media-places")
-    objects = rows.select("digest", "shard", "offset", "length").distinct().repartition("shard").sortWithinPartitions("shard", "offset")
-    features = read_features(read_metadata(objects))
-    found = rows.select("doc_id", "n_bytes", "digest").join(features, "digest")
+    found = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")

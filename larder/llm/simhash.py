@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import staged, text_bytes
+from larder.llm.common import join_groups, staged, text_bytes
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -154,20 +154,21 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     pointers = edges.select(F.col("a").alias("name"), F.col("b").alias("root"))
     while True:
         further = pointers.select(F.col("name").alias("root"), F.col("root").alias("next"))
-        stepped = staged(spark, pointers.join(further, "root", "left").select("name", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
-        pointers = stepped.select("name", "root")
-        if stepped.where("moved").isEmpty():
+        # A large component's names all point to one root, so roots are counted before they are looked up.
+        roots = staged(spark, pointers.groupBy("root").agg(F.count("*").alias("n")).join(further, "root", "left"), "roots")
+        if roots.where("next is not null").isEmpty():
             return pointers
+        pointers = staged(spark, join_groups(pointers, roots, "root").select("name", F.coalesce("next", "root").alias("root")), "pointers")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, bits, component_id for every document."""
     spark = docs.sparkSession
     prints = staged(spark, fingerprints(docs), "fingerprints")
-    vertices = staged(spark, prints.groupBy("bits").agg(F.min("doc_id").alias("name")), "vertices")
-    roots = components(spark, close_links(vertices.where("name is not null")))
-    named = vertices.join(roots, "name", "left").select("bits", F.coalesce("root", "name").alias("component_id"))
-    return prints.join(named, "bits").select("doc_id", "bits", "component_id")
+    vertices = staged(spark, prints.groupBy("bits").agg(F.min("doc_id").alias("name"), F.count("*").alias("n")), "vertices")
+    roots = components(spark, close_links(vertices.where("name is not null").select("name", "bits")))
+    named = vertices.join(roots, "name", "left").select("bits", "n", F.coalesce("root", "name").alias("component_id"))
+    return join_groups(prints, staged(spark, named, "named"), "bits").select("doc_id", "bits", "component_id")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

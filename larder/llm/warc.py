@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import fresh_path, staged, storage, text_bytes
+from larder.llm.common import fresh_path, join_groups, staged, storage, text_bytes
 
 REVISIT_BYTES = 1000
 RANGE_BYTES = 8 << 20
@@ -81,9 +81,11 @@ def write_archives(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"digest": F.sha1("html"), "size": F.octet_length("html").cast("long")})
+    # Digests alone are grouped; the pages meet the groups that have copies where they are, unless these are too many to broadcast.
     large = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size")
-    keepers = large.agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").drop("n")
-    met = rows.join(keepers, ["digest", "size"], "left")
+    keepers = large.agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null")
+    keepers = staged(spark, keepers.select(F.concat_ws(":", "digest", "size").alias("key"), "keeper", "n"), "warc-copies")
+    met = join_groups(rows.withColumn("key", F.concat_ws(":", "digest", "size")), keepers, "key")
     refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     met = met.select("page_id", "url", "html", "digest", "size", refers.alias("refers_to"))
     met = met.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
@@ -158,9 +160,12 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record."""
-    starts = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = starts.select("path", "start", F.least(F.col("start") + range_bytes, "bytes").alias("end")).repartition("path", "start")
-    return ranges.mapInArrow(_read_batches, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    size = F.lit(range_bytes).cast("long")
+    starts = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, size)).alias("start"))
+    ranges = starts.select("path", "start", F.least(F.col("start") + range_bytes, "bytes").alias("end"))
+    # A task for each range: their rows are too small for Spark to see what is behind them.
+    count = manifest.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    return ranges.repartition(count).mapInArrow(_read_batches, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -334,9 +334,7 @@ def test_suffix_tree_against_a_plain_one(spark, docs):
 
 def test_media(spark, odd, docs, empty):
     for rows in (docs, odd):
-        stored = media.store(rows)
-        stored = common.staged(spark, stored, "t")
-        got = stored.join(media.read_features(media.read_metadata(stored.select("digest", "shard", "offset", "length").distinct())), "digest").toPandas()
+        got = media.media_columns(rows).toPandas()
         texts = rows.select("doc_id", "text").toPandas()
         assert len(got) == len(texts)
         for doc_id, group in texts.groupby("doc_id"):
@@ -346,12 +344,28 @@ def test_media(spark, odd, docs, empty):
             assert (mine.n_bytes, mine.payload_bytes) == (len(text), len(payload))
             assert (mine.payload_sha256, mine.tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
             assert (mine.width, mine.height, mine.bits) == (64, len(payload) // 64, 8)
-    shard = stored.select("shard").first().shard
+            image = media.png_encode(payload)
+            assert (mine.media_bytes, mine.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+            whole = sum(payload) / 64
+            stretches = [sum(payload[k * len(payload) // 64 : (k + 1) * len(payload) // 64]) for k in range(64)]
+            assert mine.feature == "%016x" % sum(1 << (63 - k) for k, s in enumerate(stretches) if s > whole)
+    shard = media.store(odd)[1].first().shard
     with tarfile.open(shard.removeprefix("file:")) as tar:
         for member in tar.getmembers():
             payload = media.png_decode(tar.extractfile(member).read())
             assert member.name == hashlib.sha256(payload).hexdigest() + ".png"
-    assert media.store(empty).count() == 0
+    assert media.media_columns(empty).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_hot_keys_are_joined_and_spread(spark, broadcast_rows, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    keys = [7] * 900 + list(range(100)) + [None, 5000]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key long, i long").repartition(3)
+    groups = [(k, n, k * 10) for k, n in Counter(keys).items() if k is not None and k < 5000]
+    joined = common.join_groups(rows, spark.createDataFrame(groups, "key long, n long, v long"), "key", broadcast_rows)
+    assert joined.columns == ["key", "i", "v"]
+    assert sorted((r.i, r.key, r.v) for r in joined.collect()) == [(i, k, k * 10 if k is not None and k < 5000 else None) for i, k in enumerate(keys)]
 
 
 # WARC
