@@ -4,14 +4,17 @@ A page is read into leaf blocks (stretches of text between block-level tags) wit
 numpy bidirectional LSTM reads the page's blocks in order, each as a vector of its tag path, its hashed words and its
 measures, and labels every block as article or not with the whole document as context.
 
-The labeller is trained here, on a bounded sample of the pages (``TRAIN_PAGES`` of at most ``TRAIN_BLOCKS`` blocks and
-``TRAIN_BYTES`` bytes, chosen by a hash of page_id), with weak labels: a block below an article or main element and
-below no boilerplate element or class is article.  To see more layouts than a sample has, training also uses copies of
-its pages with boilerplate of all kinds spliced in and with the article's own tags renamed to plain containers.
-
-Edge cases: a null html is empty and has the empty text; a row without page_id is not learned from; a page whose sample has no weak label at all falls back on the
-spliced copies' labels, and with no page at all nothing is fitted or returned; repeated rows give repeated rows; very
-long pages are labelled whole.  Only ``page_id``, ``url`` and ``html`` are read, so other columns cannot clash.
+The labeller is trained here, on a bounded sample of the pages (``TRAIN_PAGES`` pages of all sizes, chosen by a hash of
+page_id, of each the first ``TRAIN_BYTES``, in windows of ``TRAIN_BLOCKS`` blocks), with weak labels.  On a page with an
+article or main element, a block below it and below no boilerplate element or class is article.  On any other page it is
+a block below no boilerplate that reads as prose or stands in one container with such blocks.  To see more layouts than a
+sample has, training also uses copies of its pages with boilerplate of all kinds spliced in and with the article's own
+tags renamed to plain containers.
+
+Edge cases: a null html is empty and has the empty text; a row without page_id is not learned from; if no block of the
+sample is labelled article, each that is below no boilerplate is; with no block at all nothing is learned and no page has
+text; repeated rows give repeated rows and count once in training; very long pages are labelled whole.  Only ``page_id``,
+``url`` and ``html`` are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRAIN_PAGES, TRAIN_BLOCKS, TRAIN_BYTES = 240, 60, 100_000
+TRAIN_PAGES, TRAIN_BYTES, TRAIN_BLOCKS, TRAIN_WINDOWS = 240, 100_000, 60, 4
 EPOCHS = 25
 HIDDEN = 16
-PATH_BUCKETS, WORD_BUCKETS = 16, 24
+PATH_BUCKETS, WORD_BUCKETS = 48, 64
 _CELLS_AT_ONCE = 20_000
 _MEMO_PATHS = 20_000
 _MEMO_WORDS = 200_000
@@ -39,6 +42,7 @@ _MEMO_WORDS = 200_000
 # HTML's element names.
 _BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _RAW = frozenset("script style noscript textarea title iframe".split())
+_CODE = frozenset(("script", "style"))  # hide the rest of the page if they never end
 _HIDDEN = frozenset("template object svg canvas audio video".split())  # nested elements whose text is not the page's
 _FOREIGN = frozenset(("svg", "math"))
 _LEAVE_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
@@ -86,7 +90,7 @@ def read_blocks(html: str) -> list[Block]:
     parts: list[str] = []
     links = linked = 0
     outside: tuple[str, ...] | None = None  # the path around a hidden element while in one
-    next_end: dict[str, int] = {}
+    next_end: dict[str, tuple[int, int]] = {}
 
     def path() -> tuple[str, ...]:
         return tuple(label for tag, label in stack if tag in _BLOCKS)
@@ -99,11 +103,12 @@ def read_blocks(html: str) -> list[Block]:
         parts.clear()
         linked = 0
 
-    def ends(tag: str, at: int) -> bool:
-        if (end := next_end.get(tag, 0)) < at:
+    def ending(tag: str, at: int) -> int | None:
+        """Where the element's next end tag ends, if there is one."""
+        if next_end.get(tag, (0, 0))[0] < at:
             found = _ENDS[tag].search(html, at)
-            end = next_end[tag] = found.start() if found else len(html)
-        return end < len(html)
+            next_end[tag] = found.span() if found else (len(html), len(html) + 1)
+        return next_end[tag][1] if next_end[tag][0] < len(html) else None
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -144,9 +149,9 @@ def read_blocks(html: str) -> list[Block]:
         closing, tag, attributes = found[1], found[2].lower(), found[3]
         empty = attributes.endswith("/")
         if tag in _RAW and not closing:
-            if not (empty and any(t in _FOREIGN for t, _ in stack)):
-                end = _ENDS[tag].search(html, at)
-                at = end.end() if end else len(html)
+            if not (empty and (tag not in _CODE or any(t in _FOREIGN for t, _ in stack))):
+                end = ending(tag, at)
+                at = end or (len(html) if tag in _CODE else at)
             continue
         around = outside
         if around is None:
@@ -167,7 +172,7 @@ def read_blocks(html: str) -> list[Block]:
                     break
                 if stack[depth][0] in _SCOPES and tag not in _SCOPES:
                     break
-        elif tag not in _VOID and not empty and (tag not in _HIDDEN or ends(tag, at)):
+        elif tag not in _VOID and not empty and (tag not in _HIDDEN or ending(tag, at)):
             if tag in _CLOSES:
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] in _CLOSES[tag]:
@@ -189,12 +194,20 @@ def read_blocks(html: str) -> list[Block]:
     return blocks
 
 
-def weak_label(block: Block) -> int:
-    """1 below an article or main element and no boilerplate, else 0; of a page without such an element, unknown."""
-    words = [w for part in block.path for w in part.split(".")]
-    kinds = {_CATEGORY_OF[w] for w in words if w in _CATEGORY_OF}
-    inside = any(part.split(".")[0] in ("article", "main") for part in block.path)
-    return int(inside and kinds <= {0})
+def _boilerplate(block: Block) -> bool:
+    """Below an element or class of any kind but article."""
+    return any(_CATEGORY_OF.get(w) for part in block.path for w in part.split("."))
+
+
+def weak_labels(blocks: list[Block]) -> list[int]:
+    """For each block of a page 1 if it is likely article, else 0."""
+    inside = [any(part.split(".")[0] in ("article", "main") for part in b.path) for b in blocks]
+    free = [not _boilerplate(b) for b in blocks]
+    if any(inside):
+        return [int(i and f) for i, f in zip(inside, free, strict=True)]
+    prose = [f and len(b.text.split()) >= 10 and 3 * b.linked < len(b.text) and any(c in b.text for c in ".!?") for b, f in zip(blocks, free, strict=True)]
+    containers = {b.path[:-1] for b, p in zip(blocks, prose, strict=True) if p}
+    return [int(p or f and b.path[:-1] in containers and 2 * b.linked < len(b.text)) for b, p, f in zip(blocks, prose, free, strict=True)]
 
 
 class _Vectors:
@@ -369,20 +382,38 @@ def _spliced(blocks: list[Block], labels: list[int], pool: list[str], rng: rando
     return list(blocks), list(labels)
 
 
+def training_pages(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> list[str]:
+    """The first ``TRAIN_BYTES`` of a bounded sample of the pages."""
+    ids = pages.where("page_id is not null").select("page_id").distinct()
+    # Ids first: every task sends its smallest to the driver, which must not be whole pages.
+    chosen = ids.orderBy(F.xxhash64(F.col("page_id").cast("string"), F.lit("pages")), "page_id").limit(train_pages).collect()
+    if not chosen:
+        return []
+    start = F.substring(F.coalesce(F.col("html").cast("string"), F.lit("")), 1, TRAIN_BYTES)
+    sample = pages.where(F.col("page_id").isin([row.page_id for row in chosen])).groupBy("page_id").agg(F.min(start).alias("html"))
+    return [row.html for row in sample.orderBy("page_id").collect()]
+
+
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Labeller:
     """Train on a bounded sample of the pages."""
-    small = pages.where((F.octet_length("html") <= TRAIN_BYTES) & F.col("page_id").isNotNull()).select("page_id", "html")
-    # Ids first: every task sends its smallest to the driver, which must not be whole pages.
-    chosen = small.select("page_id").orderBy(F.xxhash64(F.col("page_id").cast("string"), F.lit("pages"))).limit(train_pages).collect()
-    sample = small.where(F.col("page_id").isin([row.page_id for row in chosen])).limit(train_pages).collect() if chosen else []
-    sample.sort(key=lambda row: (row.page_id, row.html))
-    read = [b for row in sample if 0 < len(b := read_blocks(row.html)) <= TRAIN_BLOCKS]
-    labelled = [(b, y) for b in read if any(y := [weak_label(x) for x in b])]
+    read = [b for html in training_pages(pages, train_pages) if (b := read_blocks(html))]
+    labels = [weak_labels(b) for b in read]
+    if not any(map(any, labels)):
+        labels = [[int(not _boilerplate(x)) for x in b] for b in read]
     pool = [x.text for b in read for x in b]
     rng, vectors, model = random.Random(1), _Vectors(), Labeller(_Vectors.size)
-    data = labelled + [s for b, y in labelled for s in (_spliced(b, y, pool, rng), _spliced(b, y, pool, rng))]
-    if data:
-        model.train([vectors.of(b) for b, _ in data], [np.array(y, np.float32) for _, y in data])
+    data = [s for b, y in zip(read, labels, strict=True) for s in ((b, y), _spliced(b, y, pool, rng), _spliced(b, y, pool, rng))]
+    # Windows of a page, each with vectors that know its place in the page; of a long page some at even distances.
+    windows = []
+    for b, y in data:
+        x, n = vectors.of(b), -(-len(b) // TRAIN_BLOCKS)
+        for k in range(0, n, -(-n // TRAIN_WINDOWS)):
+            own = slice(k * TRAIN_BLOCKS, (k + 1) * TRAIN_BLOCKS)
+            windows.append((x[own], np.array(y[own], np.float32)))
+    if windows:
+        model.train(*map(list, zip(*windows, strict=True)))
+    else:
+        model.p["ob"] -= 30
     return model
 
 

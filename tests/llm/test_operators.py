@@ -575,7 +575,7 @@ def test_main_text(spark):
 def test_other_layouts(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     model, vectors = htmltext.fit(pages), htmltext._Vectors()
-    main = [b.text for r in pages.limit(12).collect() for b in htmltext.read_blocks(r.html) if htmltext.weak_label(b)]
+    main = [b.text for r in pages.limit(12).collect() for bs in [htmltext.read_blocks(r.html)] for b, y in zip(bs, htmltext.weak_labels(bs), strict=True) if y]
     good = wrong = kept = 0
     for k in range(0, len(main) - 6, 6):
         own = main[k : k + 6]
@@ -591,6 +591,39 @@ def test_other_layouts(spark):
     assert good >= 0.95 * kept and wrong <= 0.1 * good
 
 
+def plain_page(rng, words, container, paragraphs):
+    """(html, article text) of a page whose class names are in none of the labeller's lists."""
+    say = lambda n: (" ".join(rng.choices(words, k=n)) + ".").capitalize()
+    body = [say(4), *(say(rng.randint(15, 40)) for _ in range(paragraphs))]
+    html = (
+        f"<html><head><title>t</title></head><body><div class=zq1><ul>{''.join(f'<li><a href=x>{rng.choice(words)}</a></li>' for _ in range(5))}</ul></div>"
+        f"{container[0]}<h2>{body[0]}</h2>{''.join(f'<p>{b}</p>' for b in body[1:])}{container[1]}"
+        f"<nav><a>home</a><a>back</a></nav><div class='footer'><p>{say(12)}</p></div></body></html>"
+    )
+    return html, "\n".join(body)
+
+
+@pytest.mark.parametrize("container,paragraphs", [(("<div class=kx>", "</div>"), 8), (("<article>", "</article>"), 72), (("<div class=kx>", "</div>"), 72), (("<main>", "</main>"), 700)])
+def test_pages_of_any_size_and_layout_are_learned_from(spark, container, paragraphs):
+    """Pages without article elements, pages of many blocks, and pages beyond the training bytes."""
+    rng = random.Random(4)
+    words = [w for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(20).collect() for w in (r.text or "").split()]
+    made = [plain_page(rng, words, container, paragraphs) for _ in range(40)]
+    pages = spark.createDataFrame([(k, "u", html) for k, (html, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.main_text(pages, htmltext.fit(pages)).collect()}
+    norm = lambda t: " ".join(t.split("\n")[0].split()) and [" ".join(x.split()) for x in t.split("\n")]
+    right = [len(set(norm(got[k])) & set(norm(want))) / len(set(norm(got[k])) | set(norm(want))) for k, (_, want) in enumerate(made)]
+    assert np.mean(right) >= 0.97
+
+
+def test_long_and_repeated_pages(spark):
+    page = "<main>" + "<p>some words of a page here.</p>" * 5000 + "</main><footer>legal</footer>"
+    pages = spark.createDataFrame([(1, "u", page)] * 3 + [(2, "u", page + "x"), (None, "u", page)], "page_id long, url string, html string")
+    assert len(htmltext.training_pages(pages)) == 2 and max(map(len, htmltext.training_pages(pages))) == htmltext.TRAIN_BYTES
+    got = htmltext.main_text(pages, htmltext.fit(pages)).collect()
+    assert len(got) == 5 and all(len(r.text.split("\n")) >= 4990 for r in got)
+
+
 def test_blocks_of_odd_html():
     text = lambda h: [b.text for b in htmltext.read_blocks(h)]
     assert text("") == [] and text("a < b &amp; c &nbsp; d") == ["a < b & c d"]
@@ -610,6 +643,10 @@ def test_embedded_elements_do_not_cut_the_text():
     assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
     assert text("<p>A <video><source src=a>no video here</video> B</p>") == ["A B"] and text("<p>x<script>'</svg>'</script>y<textarea>z</textarea>") == ["xy"]
     assert text("<div>A <svg>x<p>C</p><p>D</p></div></svg>") == ["A", "C", "D"]
+    assert text("<p>x<object data=y/><p>rest") == ["x", "rest"] and text("<p>x<iframe src=y /><p>rest") == ["x", "rest"]
+    assert text("<p>x<iframe src=y><p>rest") == ["x", "rest"] and text("<p>x<iframe>y</iframe>z<noscript>n</noscript>") == ["xz"]
+    assert text("<article><p>one<audio src=x><p>two<p>three</article>") == ["one", "two", "three"]
+    assert len(text("<p>a<iframe>" * 20_000)) == 20_000  # in linear time
 
 
 def test_html_of_odd_rows(spark):
