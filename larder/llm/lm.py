@@ -1,18 +1,23 @@
 """Language-model scores from a probabilistic suffix tree.
 
 A text is the stream of its words joined by single spaces, then an end mark; symbols are bytes.  Every training text's
-(context, next symbol) pairs up to ``DEPTH`` symbols of context are counted in Spark.  A context stays in the tree if it
-makes up at least ``MIN_SHARE`` of all symbols, which bounds the tree by DEPTH / MIN_SHARE contexts whatever the corpus,
-and if its next-symbol distribution diverges from its suffix's by at least ``MIN_DIVERGENCE`` nats.  Distributions are
-smoothed with that of the longest kept suffix.  For scoring the tree becomes an automaton whose state is the longest
-suffix of what was read; long texts are scored in stretches that first read the DEPTH symbols before them.
+(context, next symbol) pairs up to ``DEPTH`` symbols of context are counted in Spark (with the next symbol a context fits
+a 64-bit number).  A context stays in the tree if it is seen ``MIN_COUNT`` times and its next-symbol distribution diverges
+from that of its longest kept suffix by at least ``MIN_GAIN`` nats for each symbol that follows it: its count times the
+Kullback-Leibler divergence.  Both are absolute, so the tree grows with the corpus.  Distributions are smoothed with that
+of the longest kept suffix; a text's symbols are scored by the longest kept suffix of what was read.
+
+The tree is broadcast as tables of at most ``SLICE_ENTRIES`` (context, symbol) entries.  A larger one is cut into slices
+by the two symbols before the next one, which decide where in the tree a symbol is looked up, and the documents are read
+once for each slice; every symbol is scored in exactly one of them.
 
 The base score needs the exact count of every word.  Words with at least ``HEAVY_SHARE`` of all tokens (at most
 1 / HEAVY_SHARE of them) are broadcast; the others are looked up by a join on the word.
 
 Edge cases: a null text is empty and consists of the end token; with no training document every count is 0 and every
 byte has probability 1/256; a row without doc_id is not learned from and is not held out; repeated rows are scored each
-on their own.  Only ``doc_id`` and ``text`` are read, so other columns cannot clash.
+on their own; very long texts are scored in stretches that first read the DEPTH symbols before them.  Only ``doc_id`` and
+``text`` are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -26,18 +31,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm import runs
 from larder.llm.common import id_remainder, staged, text_bytes
 
 HELD_OUT_MODULUS, HELD_OUT = 7, 2
 DEPTH = 5
-MIN_SHARE = 1e-5
-MIN_DIVERGENCE = 0.01
+MIN_COUNT = 256
+MIN_GAIN = 8.0
+SLICE_ENTRIES = 3_000_000
 #: Weight of the suffix's distribution, in observations.
 PRIOR = 4.0
 HEAVY_SHARE = 5e-6
 END = b"\n"  # not in any word
 _PAD = END * DEPTH
-_STRETCH = 1024
+_SYMBOLS_AT_ONCE = 1 << 18
 _BUFFER = 4 << 20
 _FLUSH = 600_000
 
@@ -120,104 +127,165 @@ def _suffix(context, depth: int):
 
 
 def kept_contexts(train: DataFrame) -> DataFrame:
-    """depth, context, next, n of the contexts that the divergence test keeps (the empty one always)."""
+    """depth, context, total, suffix_depth (of its longest kept suffix), symbols and counts that follow, of each kept context."""
     spark = train.sparkSession
     grams = train.select("text").mapInArrow(_gram_batches, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     symbol = F.col("gram").bitwiseAND(F.lit(255))
     level = staged(spark, grams.select(F.shiftright("gram", 8).alias("context"), symbol.cast("int").alias("next"), "n"), "grams")
-    symbols = level.agg(F.sum("n")).first()[0] or 0
     levels = {}
     for depth in range(DEPTH, -1, -1):
         if depth < DEPTH:
-            level = level.groupBy(_suffix(F.col("context"), depth).alias("context"), "next").agg(F.sum("n").alias("n"))
-        totals = level.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_SHARE * symbols)
-        # At most 1 / MIN_SHARE contexts of each depth, so they may be broadcast.
-        levels[depth] = staged(spark, level.join(F.broadcast(totals), "context"), f"level{depth}")
-    kept = [levels[0].select(F.lit(0).alias("depth"), "context", "next", "n")]
+            level = staged(spark, level.groupBy(_suffix(F.col("context"), depth).alias("context"), "next").agg(F.sum("n").alias("n")), f"grams{depth}")
+        # At most 256 symbols follow a context, so its distribution is a short array, in the order of the symbols.
+        follow = F.array_sort(F.collect_list(F.struct("next", "n"))).alias("follow")
+        whole = level.groupBy("context").agg(F.sum("n").alias("total"), follow)
+        levels[depth] = whole if depth == 0 else whole.where(F.col("total") >= MIN_COUNT)
+    kept = [levels[0].select(F.lit(0).alias("depth"), "context", "total", F.lit(-1).alias("suffix_depth"), "follow")]
+    best = levels[0].select(F.col("context").alias("suffix"), F.lit(0).alias("suffix_depth"), F.col("total").alias("suffix_total"), F.map_from_entries("follow").alias("suffix_follow"))
     for depth in range(1, DEPTH + 1):
-        own, above = levels[depth], levels[depth - 1]
-        above = above.select(F.col("context").alias("suffix"), "next", (F.col("n") / F.col("total")).alias("q"))
-        p = F.col("n") / F.col("total")
-        both = own.withColumn("suffix", _suffix(F.col("context"), depth - 1)).join(above, ["suffix", "next"])
-        far = both.groupBy("context").agg(F.sum(p * F.log(p / F.col("q"))).alias("divergence")).where(F.col("divergence") >= MIN_DIVERGENCE)
-        kept.append(own.join(F.broadcast(far), "context").select(F.lit(depth).alias("depth"), "context", "next", "n"))
+        # Each context with its longest kept suffix, which its own suffix has found one level above.
+        met = levels[depth].withColumn("suffix", _suffix(F.col("context"), depth - 1)).join(best, "suffix")
+        p = lambda x: x["n"] / F.col("total")
+        q = lambda x: F.element_at("suffix_follow", x["next"]) / F.col("suffix_total")
+        gain = F.col("total") * F.aggregate("follow", F.lit(0.0), lambda s, x: s + p(x) * F.log(p(x) / q(x)))
+        met = staged(spark, met.withColumn("kept", gain >= MIN_GAIN * F.size("follow")), f"tree{depth}")
+        kept.append(met.where("kept").select(F.lit(depth).alias("depth"), "context", "total", "suffix_depth", "follow"))
+        own = F.map_from_entries("follow")
+        best = met.select(
+            F.col("context").alias("suffix"), F.when(F.col("kept"), depth).otherwise(F.col("suffix_depth")).alias("suffix_depth"),
+            F.when(F.col("kept"), F.col("total")).otherwise(F.col("suffix_total")).alias("suffix_total"), F.when(F.col("kept"), own).otherwise(F.col("suffix_follow")).alias("suffix_follow"),
+        )
     out = kept[0]
     for part in kept[1:]:
         out = out.unionByName(part)
     return out
 
 
-class Automaton:
-    """``step`` and ``log10`` by (state * symbols + symbol): the next state, and the symbol's log10 probability."""
+_ODD, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
+
+
+def _key(high, low, bits: int) -> np.ndarray:
+    """A key of two numbers, one to one, never 0 for a high number above 0."""
+    key = (np.asarray(high).astype(np.uint64) << np.uint64(bits)) | np.asarray(low).astype(np.uint64)
+    key = (key ^ (key >> _TURN)) * _ODD
+    return key ^ (key >> _TURN)
+
+
+class Tree:
+    """Kept contexts in tables: a number for each, and log10 probabilities of the symbols that followed them."""
 
     def __init__(self, rows: pa.Table):
-        depth, context, symbol, n = (rows.column(c).to_numpy() for c in ("depth", "context", "next", "n"))
-        seen = np.unique(symbol)
-        self.symbol_of = np.full(256, len(seen), np.uint8 if len(seen) < 256 else np.uint16)  # the last: all unseen bytes
-        self.symbol_of[seen] = np.arange(len(seen))
-        self.symbols = len(seen) + 1
-        # Counts of each kept context.
-        names = np.array([(d, c) for d, c in zip(depth.tolist(), context.tolist(), strict=True)] or [(0, 0)], np.int64)
-        names, row_of = np.unique(names, axis=0, return_inverse=True)
-        counts = np.zeros((len(names), self.symbols))
-        if len(n):
-            counts[row_of.ravel(), self.symbol_of[symbol]] = n
-        strings = [int(c).to_bytes(8, "big")[8 - d :] for d, c in names]
-        # A trie of all contexts in reading order; a state is a prefix of a context.
-        children: list[dict[int, int]] = [{}]
-        owner: list[int] = [0]  # the kept context that a state is, or -1
-        for k, text in enumerate(strings):
-            state = 0
-            for byte in text:
-                state = children[state].setdefault(int(self.symbol_of[byte]), len(children))
-                if state == len(children):
-                    children.append({})
-                    owner.append(-1)
-            owner[state] = k
-        step = np.zeros((len(children), self.symbols), np.int32)
-        log10 = np.zeros((len(children), self.symbols), np.float32)
-        chance = np.zeros((len(names), self.symbols))
-        unseen = 256 - len(seen)
-        root = counts[0] + 1.0
-        chance[0] = root / (counts[0].sum() + 256)
-        chance[0, -1] = 1 / (counts[0].sum() + 256) if unseen else 1e-300
-        fail, best = [0] * len(children), [0] * len(children)
-        queue = [0]
-        for state in queue:  # breadth first: a state's suffix link is done before it
-            if state:
-                step[state] = step[fail[state]]
-                best[state] = best[fail[state]]
-                if (k := owner[state]) >= 0:
-                    chance[k] = (counts[k] + PRIOR * chance[best[state]]) / (counts[k].sum() + PRIOR)
-                    best[state] = k
-            log10[state] = np.log10(chance[best[state]])
-            for symbol, child in children[state].items():
-                fail[child] = int(step[fail[state], symbol]) if state else 0
-                queue.append(child)
-            for symbol, child in children[state].items():
-                step[state, symbol] = child
-        self.step, self.log10 = step.ravel(), log10.ravel()
-
-    def score(self, streams: list[bytes]) -> np.ndarray:
-        """log10 probability of each stream."""
-        symbols = self.symbol_of[np.frombuffer(b"".join(_PAD + s for s in streams), np.uint8)]
+        """``rows`` as of ``kept_contexts``; a context's longest kept suffix must be among them."""
+        rows = rows.sort_by([("depth", "ascending"), ("context", "ascending")])
+        self.depth, context, total, suffix = (rows.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("depth", "context", "total", "suffix_depth"))
+        follow = rows.column("follow").combine_chunks()
+        sizes = follow.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        symbol, n = (follow.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("next", "n"))
+        count = len(context)
+        self.contexts, self.entries = runs.Table(), runs.Table()
+        self.contexts.add(_key(self.depth + 1, context, 56), np.arange(count))
+        of = np.repeat(np.arange(count), sizes)
+        self.entries.add(_key(of + 1, symbol, 8), np.arange(len(of)))
+        self.parent = np.where(suffix < 0, -1, self.contexts.find(_key(np.maximum(suffix, 0) + 1, context & ((1 << 8 * np.maximum(suffix, 0)) - 1), 56)))
+        self.miss = np.log10(PRIOR / (total + PRIOR))  # what a symbol that did not follow loses on its way to the suffix
+        whole = int(total[0]) if count else 0
+        self.unseen = -np.log10(whole + 256.0)
+        self.log10 = np.zeros(len(of))
+        for depth in range(DEPTH + 1):
+            own = np.flatnonzero(self.depth[of] == depth)
+            k = of[own]
+            if depth == 0:
+                self.log10[own] = np.log10((n[own] + 1) / (whole + 256.0))
+            else:
+                below = 10 ** self._find(self.parent[k], symbol[own])
+                self.log10[own] = np.log10((n[own] + PRIOR * below) / (total[k] + PRIOR))
+
+    def _find(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """log10 probability of each symbol behind its context."""
+        out = np.zeros(len(context))
+        left = np.arange(len(context))
+        while len(left):
+            at = context[left]
+            entry = np.where(at >= 0, self.entries.find(_key(at + 1, symbol[left], 8)), -2)
+            hit = entry >= 0
+            out[left[hit]] += self.log10[entry[hit]]
+            root = entry == -2
+            out[left[root]] += self.unseen
+            left, at = left[entry == -1], at[entry == -1]
+            out[left] += np.where(self.depth[at] > 0, self.miss[at], 0)
+            context[left] = self.parent[at]
+        return out
+
+    def score(self, streams: list[bytes], slices: np.ndarray | None = None, own: int = 0) -> np.ndarray:
+        """log10 probability of each stream, or of its symbols whose two symbols before them are in the slice ``own``."""
+        out = np.zeros(len(streams))
+        held, size, at = [], 0, 0
+        for k, stream in enumerate(streams):
+            if len(stream) > _SYMBOLS_AT_ONCE:  # alone, in stretches
+                out[at:k] = self._score(held, slices, own)
+                for begin in range(0, len(stream), _SYMBOLS_AT_ONCE):
+                    before = (_PAD + stream[:begin])[-DEPTH:] if begin < DEPTH else stream[begin - DEPTH : begin]
+                    out[k] += self._score([stream[begin : begin + _SYMBOLS_AT_ONCE]], slices, own, before)[0]
+                held, size, at = [], 0, k + 1
+                continue
+            held.append(stream)
+            size += len(stream)
+            if size > _SYMBOLS_AT_ONCE:
+                out[at : k + 1] = self._score(held, slices, own)
+                held, size, at = [], 0, k + 1
+        out[at : at + len(held)] = self._score(held, slices, own)
+        return out
+
+    def _score(self, streams: list[bytes], slices: np.ndarray | None, own: int, before: bytes = _PAD) -> np.ndarray:
+        if not streams:
+            return np.zeros(0)
+        symbols = np.frombuffer(b"".join(before + s for s in streams), np.uint8)
         sizes = np.array([len(s) for s in streams])
-        begins = np.cumsum(sizes + DEPTH) - sizes - DEPTH
-        pieces = -(-sizes // _STRETCH)
-        of = np.repeat(np.arange(len(streams)), pieces)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = begins[of] + nth * _STRETCH  # of the DEPTH symbols that are only read
-        length = np.minimum(_STRETCH, sizes[of] - nth * _STRETCH) + DEPTH
-        order = np.argsort(-length)
-        start, length, of = start[order], length[order], of[order]
-        state, total = np.zeros(len(of), np.int64), np.zeros(len(of))
-        active = np.searchsorted(-length, -np.arange(length.max(initial=0)), side="left")  # with more than t symbols
-        for t, live in enumerate(active.tolist()):
-            at = state[:live] * self.symbols + symbols[start[:live] + t]
-            if t >= DEPTH:
-                total[:live] += self.log10[at]
-            state[:live] = self.step[at]
-        return np.bincount(of, total, len(streams))
+        of = np.repeat(np.arange(len(streams)), sizes)
+        place = np.arange(len(of)) + (of + 1) * DEPTH
+        window = np.zeros(len(symbols), np.uint64)  # the DEPTH symbols before each
+        for back in range(1, DEPTH + 1):
+            window[back:] |= symbols[: len(symbols) - back].astype(np.uint64) << np.uint64(8 * (back - 1))
+        if slices is not None:
+            mine = slices[(window[place] & np.uint64(0xFFFF)).astype(np.int64)] == own
+            of, place = of[mine], place[mine]
+        window = window[place]
+        context = np.zeros(len(place), np.int64)
+        left = np.arange(len(place))
+        for depth in range(DEPTH, 0, -1):
+            found = self.contexts.find(_key(depth + 1, window[left] & np.uint64((1 << 8 * depth) - 1), 56)).astype(np.int64)
+            context[left[found >= 0]] = found[found >= 0]
+            left = left[found < 0]
+        context[left] = 0 if len(self.depth) else -1
+        return np.bincount(of, self._find(context, symbols[place].astype(np.int64)), len(streams))
+
+
+def sliced(rows: pa.Table, most: int = SLICE_ENTRIES) -> tuple[np.ndarray | None, list[pa.Table]]:
+    """The tree's slices: which one each pair of last symbols is in (None if there is one slice), and the contexts of each.
+
+    A slice has all contexts that end with its pairs, and all of fewer than two symbols.
+    """
+    sizes = pa.compute.list_value_length(rows.column("follow")).to_numpy()
+    if sizes.sum() <= most:
+        return None, [rows]
+    depth, pair = rows.column("depth").to_numpy(), rows.column("context").to_numpy() & 0xFFFF
+    weight = np.bincount(pair[depth >= 2], sizes[depth >= 2], 1 << 16)
+    slices = (np.cumsum(weight) // most).astype(np.int64)
+    return slices, [rows.filter(pa.array((depth < 2) | (slices[pair] == k))) for k in range(int(slices.max()) + 1)]
+
+
+def _slice_batches(shared, own: int):
+    """row, score: of each document what the slice's symbols add."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, slices = shared.value
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            scores = tree.score([stream(t.lower().split()) for t in text_bytes(batch.column(2))], slices, own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(scores))), pa.array(scores)], ["row", "score"])
+            row += len(scores)
+
+    return run
 
 
 def _score_batches(shared):
@@ -225,8 +293,8 @@ def _score_batches(shared):
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, heavy, end_log, end_known = shared.value
-        logs, row = heavy, TaskContext.get().partitionId() << 40
+        tree, slices, logs, end_log, end_known = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
@@ -245,7 +313,7 @@ def _score_batches(shared):
                             base += n * log
                     out.append((len(words) + 1, known, base, rare, times))
                 n_tokens, known, base, rare, times = zip(*out, strict=True)
-                columns = [np.arange(row, row + len(out)), some.column(0), some.column(1), n_tokens, known, base, model.score(streams), rare, times]
+                columns = [np.arange(row, row + len(out)), some.column(0), some.column(1), n_tokens, known, base, tree.score(streams, slices, 0), rare, times]
                 row += len(out)
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -260,15 +328,18 @@ def score(docs: DataFrame) -> DataFrame:
     train = rows.where("not held_out and doc_id is not null")
     counts = count_words(train)
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model = Automaton(kept_contexts(train).toArrow())
+    slices, tables = sliced(kept_contexts(train).toArrow())
     whole = float(tokens + distinct + 1)
     heavy = counts.where(F.col("c") >= HEAVY_SHARE * tokens).toArrow() if tokens else pa.table({"word": pa.array([], pa.binary()), "c": pa.array([], pa.int64())})
     logs = dict(zip(heavy.column("word").to_pylist(), np.log10((heavy.column("c").to_numpy() + 1) / whole).tolist(), strict=True))
     ends = counts.where(F.col("word") == F.lit(END)).select("c").first()
     end_count = ends.c if ends else 0
-    shared = spark.sparkContext.broadcast((model, logs, float(np.log10((end_count + 1) / whole)), int(end_count > 0)))
+    shared = spark.sparkContext.broadcast((Tree(tables[0]), slices, logs, float(np.log10((end_count + 1) / whole)), int(end_count > 0)))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<long>"
     scored = staged(spark, rows.mapInArrow(_score_batches(shared), schema), "scored")
+    others = [rows.mapInArrow(_slice_batches(spark.sparkContext.broadcast((Tree(t), slices)), k), "row long, score double") for k, t in enumerate(tables) if k]
+    for other in others:
+        scored = scored.join(staged(spark, other, "slice").withColumnRenamed("score", "more"), "row").withColumn("score", F.col("score") + F.col("more")).drop("more")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
     c = F.coalesce("c", F.lit(0))
     looked_up = rare.join(counts.where(F.col("c") < HEAVY_SHARE * tokens), "word", "left")

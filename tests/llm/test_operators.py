@@ -300,33 +300,64 @@ def test_base_score_and_model(spark, docs, odd, empty):
     assert lm.score(empty).collect() == []
 
 
-def test_suffix_tree_against_a_plain_one(spark, docs):
-    train = docs.limit(60).select("text")
+def plain_tree(texts):
+    """Kept contexts and the counts of what follows them, by the definition, from the shortest to the longest."""
+    counts: dict[bytes, Counter] = {}
+    for t in texts:
+        history = b"\n" * lm.DEPTH + t
+        for i in range(lm.DEPTH, len(history)):
+            for d in range(lm.DEPTH + 1):
+                counts.setdefault(history[i - d : i], Counter())[history[i]] += 1
+    kept = {b"": counts[b""]}
+    for context in sorted(counts, key=len):
+        own, total = counts[context], counts[context].total()
+        if context and total >= lm.MIN_COUNT:
+            suffix = kept[next(context[k:] for k in range(1, len(context) + 1) if context[k:] in kept)]
+            gain = sum(n * np.log(n / total / (suffix[s] / suffix.total())) for s, n in own.items())
+            if gain >= lm.MIN_GAIN * len(own):
+                kept[context] = own
+    return kept
+
+
+def plain_chance(kept, context: bytes, symbol: int) -> float:
+    state = next(context[k:] for k in range(len(context) + 1) if context[k:] in kept)
+    counts = kept[state]
+    if not state:
+        return (counts[symbol] + 1) / (counts.total() + 256)
+    return (counts[symbol] + lm.PRIOR * plain_chance(kept, state[1:], symbol)) / (counts.total() + lm.PRIOR)
+
+
+@pytest.mark.parametrize("least", [4, 256])
+def test_suffix_tree_against_a_plain_one(spark, docs, monkeypatch, least):
+    monkeypatch.setattr(lm, "MIN_COUNT", least)
+    monkeypatch.setattr(lm, "MIN_GAIN", 1.0)
+    train = docs.where("length(text) < 3000").limit(40).select("text")
     texts = [lm.stream((r.text or "").encode().lower().split()) for r in train.collect()]
-    table = lm.kept_contexts(train).toArrow()
-    kept: dict[bytes, Counter] = {}
-    for d, c, s, n in zip(*(table.column(x).to_pylist() for x in ("depth", "context", "next", "n")), strict=True):
-        kept.setdefault(int(c).to_bytes(8, "big")[8 - d :], Counter())[s] += n
-    counted = Counter((t[max(0, i - 2) : i], t[i]) for t in (b"\n" * 2 + t for t in texts) for i in range(2, len(t)))
-    for context in list(kept)[:200]:
-        if len(context) == 2:
-            assert kept[context] == {s: n for (c, s), n in counted.items() if c == context}
-    model = lm.Automaton(table)
-    total = 10.0 ** model.log10.reshape(-1, model.symbols).astype(float)
-    assert np.allclose(total[:, :-1].sum(1) + total[:, -1] * (256 - (model.symbols - 1)), 1, atol=1e-4)
-
-    def chance(context: bytes, symbol: int) -> float:
-        state = next(context[k:] for k in range(len(context) + 1) if context[k:] in kept)
-        counts = kept[state]
-        if not state:
-            return (counts[symbol] + 1) / (sum(counts.values()) + 256)
-        return (counts[symbol] + lm.PRIOR * chance(state[1:], symbol)) / (sum(counts.values()) + lm.PRIOR)
-
-    some = [*texts[:3], b"\n", "zzz ünseen ☃ words\n".encode()]
-    for text, got in zip(some, model.score(some), strict=True):
+    table, kept = lm.kept_contexts(train).toArrow(), plain_tree(texts)
+    got = {int(r["context"]).to_bytes(8, "big")[8 - r["depth"] :]: {x["next"]: x["n"] for x in r["follow"]} for r in table.to_pylist()}
+    assert got == kept and max(map(len, kept)) > 2
+    some = [*texts[:3], b"\n", "zzz ünseen ☃ words\n".encode(), texts[0][:-1] * 3]
+    want = []
+    for text in some:
         history = b"\n" * lm.DEPTH + text
-        want = sum(np.log10(chance(history[i - lm.DEPTH : i], history[i])) for i in range(lm.DEPTH, len(history)))
-        assert got == pytest.approx(want, rel=1e-4)
+        want.append(sum(np.log10(plain_chance(kept, history[i - lm.DEPTH : i], history[i])) for i in range(lm.DEPTH, len(history))))
+    assert lm.Tree(table).score(some) == pytest.approx(want, rel=1e-6)
+    slices, tables = lm.sliced(table, 500)
+    assert len(tables) > 2 and all(t.num_rows < table.num_rows for t in tables)
+    assert sum(lm.Tree(t).score(some, slices, k) for k, t in enumerate(tables)) == pytest.approx(want, rel=1e-6)
+    monkeypatch.setattr(lm, "_SYMBOLS_AT_ONCE", 100)
+    assert lm.Tree(table).score(some) == pytest.approx(want, rel=1e-6)
+
+
+def test_scores_do_not_depend_on_slices(spark, docs, monkeypatch):
+    whole = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    monkeypatch.setattr(lm, "sliced", lambda rows, f=lm.sliced: f(rows, 3000))
+    assert {r.doc_id: pytest.approx(r.score, rel=1e-9) for r in lm.score(docs).collect()} == whole
+
+
+def test_the_tree_grows_with_the_corpus(spark, docs):
+    sizes = [lm.kept_contexts(docs.where(f"doc_id % {k} = 0").select("text")).count() for k in (8, 1)]
+    assert sizes[1] > 2 * sizes[0]
 
 
 # Media
