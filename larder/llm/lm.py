@@ -45,8 +45,8 @@ HEAVY_SHARE = 5e-6
 END = b"\n"  # not in any word
 _PAD = END * DEPTH
 _SYMBOLS_AT_ONCE = 1 << 18
-_BUFFER = 4 << 20
-_FLUSH = 600_000
+_BUFFER = 1 << 20
+_FLUSH = 300_000
 
 
 def stream(words: list[bytes]) -> bytes:
