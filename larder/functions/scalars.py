@@ -203,3 +203,35 @@ def age_in_years(born: Column, today: Column) -> Column:
 def effective_weight_goal(kcal: Column, weight: Column, target: Column) -> Column:
     """Daily energy moved by a fifth towards the target weight."""
     return kcal * F.when(target > weight, 1.2).when(target < weight, 0.8).otherwise(1.0)
+
+
+# What one of a label's units is in the unit that the app keeps for the nutrient.
+_IN_GRAMS = {"g": 1.0, "mg": 1e-3, "µg": 1e-6}
+
+
+def label_to_app_unit(value: Column, unit: Column, app_unit: Column) -> Column:
+    """A label's value in the app's unit; other units than g, mg and µg leave it."""
+    factor = F.round(F.log10(_lookup(unit, _IN_GRAMS) / _lookup(app_unit, _IN_GRAMS)))
+    return F.when(factor >= 0, value * F.pow(F.lit(10.0), factor)).when(factor < 0, value / F.pow(F.lit(10.0), -factor)).otherwise(value)
+
+
+def energy_unit_name(unit: Column) -> Column:
+    """The nutrient whose unit it is."""
+    return _lookup(unit, {"kcal": "calories", "kJ": "kilojoules"})
+
+
+def locale_date(day: Column) -> Column:
+    """Day and month with two digits, and the year."""
+    return F.date_format(day, "dd/MM/yyyy")
+
+
+def legacy_unescape(text: Column) -> Column:
+    """The old escapes: %uXXXX and %XX, each one character (basic plane)."""
+    pieces = F.split(F.regexp_replace(text, r"%(?:u([0-9A-Fa-f]{4})|([0-9A-Fa-f]{2}))", "\u0001%$1$2\u0002"), "[\u0001\u0002]")
+
+    def read(piece: Column) -> Column:
+        code = F.conv(F.substring(piece, 2, 4), 16, 10).cast("int")
+        utf16 = F.unhex(F.lpad(F.hex(code), 4, "0"))
+        return F.when(piece.rlike("^%[0-9A-Fa-f]{2}([0-9A-Fa-f]{2})?$"), F.decode(utf16, "UTF-16BE")).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, read), "")

@@ -1,109 +1,140 @@
 """Nutrition labels: text lines with places on an image become values per column.
 
-Numbers, synonyms and headers are read with built-in expressions where a row is enough; putting a label together needs
-the geometry of all its lines, a few dozen, and runs per label in ``applyInPandas``.
+Numbers, nutrient names and headers are read with built-in expressions; only putting a label together, which needs the
+geometry of all its lines, a few dozen, runs per label in ``applyInPandas``.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.scalars import KCAL_PER_KJ, half_up
+from larder.functions.scalars import KCAL_PER_KJ, half_up, normalise_label
 
-# Names of nutrients on labels, in the usual order of a label.
+# Names of nutrients on labels, normalised, in the usual order of a label.
 SYNONYMS = {
-    "energy": ("energy", "energie", "energia", "energetic value", "brennwert", "valor energetico", "valeur energetique"),
-    "fat": ("fat", "total fat", "fett", "matieres grasses", "lipides", "grasas", "grassi"),
-    "saturated-fat": ("saturated fat", "saturates", "saturated", "gesattigte fettsauren", "acides gras satures", "saturadas", "acidos grasos saturados"),
-    "carbohydrates": ("carbohydrate", "carbohydrates", "total carbohydrate", "kohlenhydrate", "glucides", "hidratos de carbono", "carboidrati"),
-    "sugars": ("sugars", "sugar", "zucker", "sucres", "azucares", "zuccheri"),
-    "fiber": ("fibre", "fiber", "dietary fiber", "ballaststoffe", "fibres alimentaires", "fibra alimentaria"),
-    "proteins": ("protein", "proteins", "eiweiss", "proteines", "proteinas", "proteine"),
-    "salt": ("salt", "salz", "sel", "sal", "sale"),
+    "energy": ("energy", "energie", "energia", "energetic value", "calories", "brennwert", "valor energetico", "valeur energetique", "valore energetico"),
+    "fat": ("fat", "total fat", "fett", "matieres grasses", "lipides", "grasas", "grassi", "lipidos", "vet"),
+    "saturated-fat": ("saturated fat", "saturates", "saturated", "gesattigte fettsauren", "acides gras satures", "saturadas", "acidos grasos saturados", "grassi saturi", "acidi grassi saturi", "verzadigde vetzuren"),
+    "monounsaturated-fat": ("monounsaturated fat", "monounsaturates", "einfach ungesattigte fettsauren", "acides gras monoinsatures", "monoinsaturadas"),
+    "polyunsaturated-fat": ("polyunsaturated fat", "polyunsaturates", "mehrfach ungesattigte fettsauren", "acides gras polyinsatures", "poliinsaturadas"),
+    "trans-fat": ("trans fat", "transfat", "trans fettsauren", "acides gras trans", "grasas trans", "grassi trans"),
+    "cholesterol": ("cholesterol", "cholesterin", "colesterol", "colesterolo"),
+    "carbohydrates": ("carbohydrate", "carbohydrates", "total carbohydrate", "kohlenhydrate", "glucides", "hidratos de carbono", "carboidrati", "koolhydraten"),
+    "sugars": ("sugars", "sugar", "total sugars", "zucker", "sucres", "azucares", "zuccheri", "suikers"),
+    "added-sugars": ("added sugars", "includes added sugars", "zugesetzter zucker", "sucres ajoutes"),
+    "starch": ("starch", "starke", "amidon", "almidon", "amido"),
+    "polyols": ("polyols", "mehrwertige alkohole", "polioles", "polioli"),
+    "fiber": ("fibre", "fiber", "dietary fiber", "dietary fibre", "ballaststoffe", "fibres alimentaires", "fibra alimentaria", "fibre alimentari", "vezels"),
+    "proteins": ("protein", "proteins", "eiweiss", "proteines", "proteinas", "proteine", "eiwitten"),
+    "salt": ("salt", "salz", "sel", "sal", "sale", "zout"),
     "sodium": ("sodium", "natrium", "sodio"),
+    "potassium": ("potassium", "kalium", "potasio", "potassio"),
+    "calcium": ("calcium", "kalzium", "calcio"),
+    "iron": ("iron", "eisen", "fer", "hierro", "ferro"),
+    "magnesium": ("magnesium", "magnesio"),
+    "zinc": ("zinc", "zink", "zinco"),
+    "vitamin-a": ("vitamin a", "vitamine a", "vitamina a"),
+    "vitamin-b12": ("vitamin b12", "vitamine b12", "vitamina b12"),
+    "vitamin-c": ("vitamin c", "vitamine c", "vitamina c"),
+    "vitamin-d": ("vitamin d", "vitamine d", "vitamina d"),
+    "vitamin-e": ("vitamin e", "vitamine e", "vitamina e"),
+    "caffeine": ("caffeine", "koffein", "cafeine", "cafeina"),
+    "alcohol": ("alcohol", "alkohol", "alcool"),
 }
 _NAMES = [(key, name) for key, names in SYNONYMS.items() for name in names]
 MATCH = 0.75
-_NUMBER = re.compile(r"([0-9OoIl]{1,4}(?:[.,][0-9OoIl]{1,3})?)\s*(kj|k3|kcal|mg|µg|ug|g|ing|ml|%)?(?![a-z])", re.IGNORECASE)
-_UNITS = {"k3": "kj", "ing": "mg", "ug": "µg"}
+# Words before a part of a nutrient; units as they are read and as they are meant.
+_OF_WHICH = "^(of which|davon|dont|de las cuales|di cui|waarvan) "
+_UNITS = {"cal": "kcal", "ca": "kcal", "k": "kj", "k3": "kj", "kl": "kj", "ing": "mg", "rng": "mg", "μg": "µg", "ug": "µg", "mcg": "µg"}
+_PLAIN_UNITS = ("kj", "kcal", "mg", "µg", "g", "ml", "%")
+_UNIT = "|".join(sorted([*_UNITS, *_PLAIN_UNITS], key=len, reverse=True))
+#: A number that is no part of a name (B12, omega-3) or of a longer number, and its unit unless that begins a word.
+_NUMBER = rf"(?i)(?<![\p{{L}}0-9.,])(?<!\p{{L}}[-‐])[0-9]+(?:[.,][0-9]+)?(?:\s*(?:{_UNIT}))?(?!\p{{L}})"
 
 
-def synonym_match(labels: DataFrame) -> DataFrame:
-    """id, key, likeness: the nutrient whose name is nearest to the normalised ``text``, if it is near enough.
+def nearest_name(text: Column) -> Column:
+    """struct(likeness, key) of the nutrient whose name is nearest to a normalised text: 1 if equal, 0.9 and a little more
+    the longer the name if contained as words, else what an edit distance leaves.
 
     The names are a fixed, small literal, so each row is matched where it is: no join and no shuffle.
     """
     names = F.array(*[F.struct(F.lit(key).alias("key"), F.lit(name).alias("name")) for key, name in _NAMES])
 
     def likeness(n: Column) -> Column:
-        text, name = F.col("text"), n["name"]
+        name = n["name"]
         edit = F.lit(1.0) - F.levenshtein(text, name) / F.greatest(F.length(text), F.length(name))
-        return half_up(F.when(text == name, 1.0).when(text.contains(F.concat(F.lit(" "), name, F.lit(" "))), 0.9).otherwise(edit), 4)
+        within = F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), name, F.lit(" ")))
+        return half_up(F.when(text == name, 1.0).when(within, F.lit(0.9) + F.length(name) / 1000).otherwise(edit), 4)
 
-    best = F.array_max(F.transform(names, lambda n: F.struct(likeness(n).alias("likeness"), n["key"].alias("key"))))
-    return labels.select("id", best.alias("b")).select("id", "b.key", "b.likeness").where(F.col("likeness") >= MATCH)
+    return F.array_max(F.transform(names, lambda n: F.struct(likeness(n).alias("likeness"), n["key"].alias("key"))))
 
 
-def repaired_energy(kj: Column, kcal: Column) -> Column:
-    """kJ that fits the kcal: as read, else without a leading or a trailing 1 that was a line of the table, else as read."""
-    expected = kcal / KCAL_PER_KJ
-    fits = lambda v: F.abs(v - expected) <= F.greatest(F.lit(3.0), expected * 0.06)
-    text = kj.cast("long").cast("string")
-    front = F.when(text.startswith("1"), F.substring(text, 2, 20).try_cast("double"))
-    back = F.when(text.endswith("1"), F.substring(text, F.lit(1), F.length(text) - 1).try_cast("double"))
-    return F.when(fits(kj), kj).when(fits(front), front).when(fits(back), back).otherwise(kj)
+def synonym_match(labels: DataFrame) -> DataFrame:
+    """id, key, likeness of the nearest nutrient of each ``text``, if it is near enough."""
+    return labels.select("id", nearest_name(F.col("text")).alias("b")).select("id", "b.key", "b.likeness").where(F.col("likeness") >= MATCH)
 
 
-def header(text: Column) -> tuple[Column, Column, Column]:
-    """Basis (100 or serving), amount and unit of a column's header."""
-    amount = F.regexp_extract(text, r"(?i)([0-9]+(?:[.,][0-9]+)?)\s*(g|ml)\b", 1)
-    number = F.replace(amount, F.lit(","), F.lit(".")).try_cast("double")
-    unit = F.lower(F.regexp_extract(text, r"(?i)[0-9]\s*(g|ml)\b", 1))
-    return F.when(number == 100, "100").when(number.isNotNull() | text.rlike("(?i)serving|portion"), "serving"), number, F.nullif(unit, F.lit(""))
+def label_key(text: Column) -> Column:
+    """The nutrient that a line of a label names, or null."""
+    plain = F.regexp_replace(normalise_label(F.regexp_replace(text, _NUMBER, " ")), _OF_WHICH, "")
+    best = nearest_name(plain)
+    return F.when((plain != "") & (best["likeness"] >= MATCH), best["key"])
+
+
+def label_numbers(text: Column) -> Column:
+    """array of struct(value, unit): the numbers of a line.
 
+    A capital O before a decimal mark or a unit is a zero, as is an o that is all of the line but its unit; a leading zero
+    without a mark has lost it (02 is 0.2); a comma before three digits groups thousands of kJ, kcal or mg, else it is a
+    decimal mark.
+    """
+    zero = F.regexp_replace(text, rf"(?<![\p{{L}}0-9])O(?=[.,]?[0-9]*\s?(?i:g|mg|µg|kj|kcal)\b)", "0")
+    zero = F.regexp_replace(zero, r"(?i)^(\s*)o(\s?m?g\s*)$", "$10$2")
+
+    def read(match: Column) -> Column:
+        digits = F.regexp_extract(match, r"^[0-9.,]+", 0)
+        spelled = F.lower(F.trim(F.regexp_replace(match, r"^[0-9.,]+", "")))
+        unit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in _UNITS.items() for x in pair]), spelled), spelled)
+        grouped = digits.rlike(r"^[1-9][0-9]?,[0-9]{3}$") & unit.isin("kj", "kcal", "mg")
+        plain = F.when(digits.rlike("^0[0-9]+$"), F.regexp_replace(digits, "^0", "0.")).when(grouped, F.replace(digits, F.lit(","), F.lit(""))).otherwise(F.replace(digits, F.lit(","), F.lit(".")))
+        return F.struct(plain.try_cast("double").alias("value"), unit.alias("unit"))
 
-def _normal(text: str) -> str:
-    import unicodedata
+    return F.transform(F.regexp_extract_all(zero, F.lit(f"({_NUMBER})"), F.lit(1)), read)
 
-    plain = unicodedata.normalize("NFD", text.lower().replace("ß", "ss"))
-    return " ".join(re.findall("[a-z0-9]+", "".join(c for c in plain if not unicodedata.combining(c))))
+
+def _fits(kj: Column, kcal: Column) -> Column:
+    expected = kcal / KCAL_PER_KJ
+    return F.abs(kj - expected) <= F.greatest(F.lit(3.0), expected * 0.06)
+
+
+def _without_line(value: Column) -> tuple[Column, Column]:
+    """A number without a leading or a trailing 1, which may have been a line of the table."""
+    text = value.cast("long").cast("string")
+    front = F.when(text.startswith("1"), F.substring(text, 2, 20).try_cast("double"))
+    return front, F.when(text.endswith("1"), F.substring(text, F.lit(1), F.length(text) - 1).try_cast("double"))
 
 
-def _edits(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
+def repaired_kcal(kj: Column, kcal: Column) -> Column:
+    """kcal that fit the kJ: as read, else without a 1 at either end, else as read."""
+    front, back = _without_line(kcal)
+    return F.when(_fits(kj, kcal), kcal).when(_fits(kj, front), front).when(_fits(kj, back), back).otherwise(kcal)
 
 
-def nutrient_of(text: str) -> str | None:
-    best, found = MATCH, None
-    words = re.sub(r"^(of which|davon|dont|de las cuales|di cui)\b", "", _normal(text)).strip()
-    for key, name in _NAMES:
-        if not words or abs(len(words) - len(name)) > 3 and name not in words:
-            continue
-        near = 1.0 if words == name else 0.9 + len(name) / 1000 if f" {name} " in f" {words} " else 1 - _edits(words, name) / max(len(words), len(name))
-        if near > best:
-            best, found = near, key
-    return found
+def repaired_energy(kj: Column, kcal: Column) -> Column:
+    """kJ that fits the kcal: as read, else without a 1 at either end, else as read; kcal are repaired first."""
+    front, back = _without_line(kj)
+    return F.when(_fits(kj, kcal), kj).when(_fits(front, kcal), front).when(_fits(back, kcal), back).otherwise(kj)
 
 
-def numbers_of(text: str) -> list[tuple[float, str]]:
-    """(value, unit) of each number of a line, with letters that stand for digits read as such."""
-    out = []
-    for digits, unit in _NUMBER.findall(text):
-        digits = digits.replace("O", "0").replace("o", "0").replace("I", "1").replace("l", "1").replace(",", ".")
-        if len(digits) > 1 and digits[0] == "0" and digits.isdigit():
-            digits = f"0.{digits[1:]}"  # the point was lost
-        out.append((float(digits), _UNITS.get(unit.lower(), unit.lower())))
-    return out
+def header(text: Column) -> tuple[Column, Column, Column]:
+    """Basis (100 or serving), amount and unit of a column's header."""
+    amount = F.regexp_extract(text, r"(?i)([0-9]+(?:[.,][0-9]+)?)\s*(g|ml)\b", 1)
+    number = F.replace(amount, F.lit(","), F.lit(".")).try_cast("double")
+    unit = F.lower(F.regexp_extract(text, r"(?i)[0-9]\s*(g|ml)\b", 1))
+    return F.when(number == 100, "100").when(number.isNotNull() | text.rlike("(?i)serving|portion"), "serving"), number, F.nullif(unit, F.lit(""))
 
 
 def _clusters(places: np.ndarray, tolerance: float) -> np.ndarray:
@@ -114,34 +145,35 @@ def _clusters(places: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def read_label(lines: pd.DataFrame) -> pd.DataFrame:
-    """Values of one label: a row per column and nutrient."""
-    angle = float(np.median(lines.angle))
-    x = lines.cx * np.cos(-angle) - lines.cy * np.sin(-angle)
-    y = lines.cx * np.sin(-angle) + lines.cy * np.cos(-angle)
-    height = float(np.median(lines.h))
-    table = lines.assign(x=x, y=y, row=_clusters(y.to_numpy(), 0.5 * height), label=[nutrient_of(t) for t in lines.text], numbers=[numbers_of(t) for t in lines.text])
-    heads = table[table.text.str.contains(r"(?i)\b100\s*(?:g|ml)\b|serving|portion", regex=True)]
-    values = table[(table.numbers.str.len() > 0) & table.label.isna() & ~table.index.isin(heads.index)].copy()
-    if values.empty:
-        return pd.DataFrame({"image_id": [], "column": [], "basis": [], "key": [], "value": [], "unit": []})
-    values["column"] = _clusters(values.x.to_numpy(), 1.2 * height)
-    out, seen = [], set()
-    for _, v in values.sort_values("y").iterrows():
-        names = table[table.label.notna()]
-        if names.empty:
-            continue
-        name = names.iloc[int(np.argmin(np.abs(names.y.to_numpy() - v.y)))]
-        if abs(name.y - v.y) > 1.6 * height:
-            continue
-        basis = "100" if heads.empty else ("100" if re.search(r"\b100\b", heads.iloc[int(np.argmin(np.abs(heads.x.to_numpy() - v.x)))].text) else "serving")
-        for number, unit in v.numbers:
-            key = "kilojoules" if unit == "kj" else "calories" if unit == "kcal" else name.label
-            if (v.column, key) not in seen and unit != "%":
-                seen.add((v.column, key))
-                out.append((lines.image_id.iloc[0], int(v.column), basis, key, number, unit))
-    return pd.DataFrame(out, columns=["image_id", "column", "basis", "key", "value", "unit"])
+    """Values of one label: a row per column and nutrient; each value belongs to the nearest named row of its height."""
+    angle, height = float(np.median(lines.angle)), float(np.median(lines.h))
+    cx, cy = lines.cx.to_numpy(), lines.cy.to_numpy()
+    x, y = cx * np.cos(-angle) - cy * np.sin(-angle), cx * np.sin(-angle) + cy * np.cos(-angle)
+    head, named = lines.is_head.to_numpy(bool), lines.key.notna().to_numpy()
+    value = np.flatnonzero((lines.numbers.str.len() > 0).to_numpy() & ~head)
+    found: list[tuple] = []
+    if len(value) and named.any():
+        column_of = dict(zip(value.tolist(), _clusters(np.where(named[value], np.inf, x[value]), 1.2 * height).tolist(), strict=True))
+        seen = set()
+        for k in value[np.argsort(y[value], kind="stable")].tolist():
+            row = k if named[k] else np.flatnonzero(named)[np.argmin(np.abs(y[named] - y[k]))]
+            if abs(y[row] - y[k]) > 1.6 * height:
+                continue
+            nearest = np.flatnonzero(head)[np.argmin(np.abs(x[head] - x[k]))] if head.any() else None
+            basis = "100" if nearest is None or lines.is_100.iloc[nearest] else "serving"
+            for number in lines.numbers.iloc[k]:
+                unit = number["unit"]
+                key = "kilojoules" if unit == "kj" else "calories" if unit == "kcal" else lines.key.iloc[row]
+                if (column_of[k], key) not in seen and unit != "%" and number["value"] is not None:
+                    seen.add((column_of[k], key))
+                    found.append((lines.image_id.iloc[0], column_of[k], basis, key, number["value"], unit))
+    return pd.DataFrame(found, columns=["image_id", "column", "basis", "key", "value", "unit"])
 
 
 def parse_labels(lines: DataFrame) -> DataFrame:
     """image_id, column, basis, key, value, unit from lines (image_id, text, cx, cy, h, angle); a label's lines are few."""
-    return lines.groupBy("image_id").applyInPandas(read_label, "image_id long, column int, basis string, key string, value double, unit string")
+    read = lines.withColumns({
+        "numbers": label_numbers(F.col("text")), "key": label_key(F.col("text")),
+        "is_head": F.col("text").rlike(r"(?i)\b100\s*(?:g|ml)\b|serving|portion"), "is_100": F.col("text").rlike(r"\b100\b"),
+    })
+    return read.groupBy("image_id").applyInPandas(read_label, "image_id long, column int, basis string, key string, value double, unit string")

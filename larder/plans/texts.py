@@ -48,7 +48,7 @@ def _usda(spark, d) -> DataFrame:
     entry = lambda name, unit, value: F.struct(F.lit(name).alias("nutrientName"), F.lit(unit).alias("unitName"), value.alias("value"))
     nutrients = F.array(
         entry("Energy", "KCAL", size * 10), entry("Energy (Atwater)", "KCAL", size * 11), entry("Protein", "G", size / 2),
-        entry("Carbohydrate, by difference", "G", size), entry("Fiber, total dietary", "G", size / 4), entry("Sugars, total including NLEA", "G", size * 0.8), entry("Sodium, Na", "MG", size * 100),
+        entry("Carbohydrate, by difference", "G", size), entry("Fiber, total dietary", "G", size / 4), entry("Total Sugars", "G", size * 0.8), entry("Sodium, Na", "MG", size * 100), entry("Vitamin B-12", "UG", size * 3), entry("Zinc, Zn", "MG", size * 7),
     )
     nutrients = F.filter(nutrients, lambda n: ~((k % 6 == 0) & n["nutrientName"].startswith("Energy")))
     measure = lambda text, grams: F.struct(F.lit(text).alias("disseminationText"), grams.alias("gramWeight"))
@@ -58,7 +58,7 @@ def _usda(spark, d) -> DataFrame:
 
 @query("""SELECT 'fdcId_' || CAST(p_partkey AS VARCHAR) AS barcode, p_name AS name, p_brand AS brand, portion, 'g' AS unit, x.n AS nutrient, floor(x.v * portion / 100 * 100e0 + 0.5e0) / 100e0 AS value FROM
  (SELECT *, unnest([{'n': 'calories', 'v': p_size * 10e0}, {'n': 'proteins', 'v': p_size / 2e0}, {'n': 'carbohydrates', 'v': greatest(p_size - p_size / 4e0, p_size * 0.8e0)}, {'n': 'fiber', 'v': p_size / 4e0}, {'n': 'sugars', 'v': p_size * 0.8e0},
- {'n': 'sodium', 'v': p_size * 100e0}, {'n': 'salt', 'v': p_size * 100e0 * 0.0025e0}]) AS x FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 50e0 ELSE 200e0 END AS portion FROM part WHERE p_partkey % 6 <> 0))""")
+ {'n': 'vitamin-b12', 'v': p_size * 3e0}, {'n': 'zinc', 'v': p_size * 7e0}, {'n': 'sodium', 'v': p_size * 100e0}, {'n': 'salt', 'v': p_size * 100e0 * 0.0025e0}]) AS x FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 50e0 ELSE 200e0 END AS portion FROM part WHERE p_partkey % 6 <> 0))""")
 def usda_normalise(spark, d):
     return fooddata.usda_foods(_usda(spark, d))
 
@@ -101,6 +101,14 @@ def parse_header(spark, d):
     return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), basis.alias("basis"), amount.alias("amount"), unit.alias("unit"))
 
 
+@query("SELECT p_partkey AS id, p_size * 10e0 AS kcal FROM part")
+def energy_repair_kcal(spark, d):
+    """Every third kcal was read with a table line as a leading 1; the kJ tell."""
+    kcal = F.col("p_size").cast("double") * 10
+    read = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("1"), kcal.cast("long").cast("string")).cast("double")).otherwise(kcal)
+    return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), B.repaired_kcal(F.floor(kcal / S.KCAL_PER_KJ + F.lit(0.5)).cast("double"), read).alias("kcal"))
+
+
 @query("SELECT p_partkey AS id, floor(p_size * 10 / 0.23900573614e0 + 0.5e0) AS kj FROM part")
 def energy_repair(spark, d):
     """Every third kJ was read with a table line as a leading 1; the kcal tell."""
@@ -110,7 +118,28 @@ def energy_repair(spark, d):
     return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), B.repaired_energy(read, kcal).alias("kj"))
 
 
-@query()
+@query("""SELECT id, x.value AS value, x.unit AS unit FROM (SELECT p_partkey AS id, unnest(CASE p_partkey % 10
+ WHEN 0 THEN [{'value': p_size::DOUBLE, 'unit': 'g'}] WHEN 1 THEN [{'value': 3e0, 'unit': 'µg'}] WHEN 2 THEN [{'value': 12345e0, 'unit': 'mg'}]
+ WHEN 3 THEN [{'value': p_size * 1000 + 190e0, 'unit': 'kj'}] WHEN 4 THEN [{'value': 0.5e0, 'unit': 'g'}] WHEN 5 THEN [{'value': 0.2e0, 'unit': 'g'}, {'value': p_size::DOUBLE, 'unit': '%'}]
+ WHEN 6 THEN [{'value': 7e0, 'unit': 'g'}] WHEN 7 THEN [{'value': 2.5e0, 'unit': 'µg'}] WHEN 8 THEN [{'value': 0e0, 'unit': 'g'}] END) AS x FROM part)""")
+def label_numbers(spark, d):
+    """Lines as they are read from labels: names with letters that look like digits, lost marks, grouped thousands."""
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey")
+    lines = ["Oil {} g", "Vitamin B12 3 µg", "12345 mg", "{},190 kJ", "O,5 g", "02g ({} %)", "Omega-3 7 g", "2.5 ug soil", "og", "Sol"]
+    text = F.replace(F.element_at(F.array(*map(F.lit, lines)), (k % 10 + 1).cast("int")), F.lit("{}"), size)
+    return V.table(spark, d, "part").select(k.alias("id"), F.inline(B.label_numbers(text)))
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'trans-fat' WHEN 1 THEN 'saturated-fat' WHEN 2 THEN 'saturated-fat' WHEN 3 THEN 'fat' WHEN 4 THEN 'sugars' WHEN 5 THEN 'vitamin-b12' WHEN 6 THEN 'carbohydrates' END AS key FROM part")
+def label_key(spark, d):
+    """The nutrient that a line names, whatever numbers are on it."""
+    lines = ["Trans fat 0 g", "Grassi saturi", "davon gesättigte Fettsäuren", "Matières grasses 3,5g", "dont sucres", "Vitamin B12 3 µg", "Total Carbohydrat", "12 %"]
+    text = F.element_at(F.array(*map(F.lit, lines)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), B.label_key(text).alias("key"))
+
+
+@query("""SELECT p_partkey AS image_id, CAST(0 AS INTEGER) AS "column", '100' AS basis, x.k AS key, x.v AS value, x.u AS unit FROM (SELECT *, unnest([
+ {'k': 'calories', 'v': p_size * 10e0, 'u': 'kcal'}, {'k': 'fat', 'v': p_size + 0.5e0, 'u': 'g'}, {'k': 'sugars', 'v': CAST('0.' || p_size AS DOUBLE), 'u': 'g'}, {'k': 'proteins', 'v': p_size * 1e0, 'u': 'g'}]) AS x FROM part)""")
 def parse_label(spark, d):
     """Whole labels, a few lines for each part, on a slightly turned photo."""
     size = F.col("p_size").cast("string")

@@ -15,10 +15,46 @@ NUTRIENTS = ("fat", "saturated-fat", "carbohydrates", "sugars", "fiber", "protei
 
 # The second database's nutrient names; a name is found as part of an entry's name, the first entry wins.
 USDA_NAMES = {
-    "calories": "Energy", "fat": "Total lipid (fat)", "saturated-fat": "Fatty acids, total saturated", "carbohydrates": "Carbohydrate, by difference",
-    "sugars": "Sugars, total", "fiber": "Fiber, total dietary", "proteins": "Protein", "sodium": "Sodium, Na", "cholesterol": "Cholesterol",
-    "calcium": "Calcium, Ca", "iron": "Iron, Fe", "potassium": "Potassium, K", "vitamin-c": "Vitamin C",
-}
+    "calories": "Energy",
+    "fat": "Total lipid (fat)",
+    "saturated-fat": "Fatty acids, total saturated",
+    "carbohydrates": "Carbohydrate, by difference",
+    "sugars": "Total Sugars",
+    "fiber": "Fiber, total dietary",
+    "proteins": "Protein",
+    "monounsaturated-fat": "Fatty acids, total monounsaturated",
+    "polyunsaturated-fat": "Fatty acids, total polyunsaturated",
+    "sodium": "Sodium",
+    "cholesterol": "Cholesterol",
+    "trans-fat": "Fatty acids, total trans",
+    "vitamin-a": "Vitamin A",
+    "vitamin-b1": "Thiamin",
+    "vitamin-b2": "Riboflavin",
+    "vitamin-pp": "Niacin",
+    "pantothenic-acid": "Pantothenic acid",
+    "vitamin-b6": "Vitamin B-6",
+    "biotin": "Biotin",
+    "vitamin-b9": "Folate, total",
+    "vitamin-b12": "Vitamin B-12",
+    "vitamin-c": "Vitamin C",
+    "vitamin-d": "Vitamin D",
+    "vitamin-e": "Vitamin E",
+    "vitamin-k": "Vitamin K",
+    "potassium": "Potassium",
+    "calcium": "Calcium",
+    "phosphorus": "Phosphorus",
+    "iron": "Iron",
+    "magnesium": "Magnesium",
+    "zinc": "Zinc",
+    "copper": "Copper",
+    "manganese": "Manganese",
+    "fluoride": "Fluoride",
+    "selenium": "Selenium",
+    "iodine": "Iodine",
+    "caffeine": "Caffeine",
+    "alcohol": "Alcohol",
+    "sucrose": "Sucrose",
+}
 
 
 def _number(nutriments: Column, key: str) -> Column:
