@@ -69,11 +69,11 @@ def png_decode(image: bytes) -> bytes:
     return np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, width + 1)[:, 1:].tobytes()
 
 
-def average_hash(payload: bytes) -> str:
-    """64 bits: which of 64 equal stretches of the samples are brighter than the whole, as hex."""
+def average_hash(payload: bytes) -> bytes:
+    """64 bits: which of 64 equal stretches of the samples are brighter than the whole."""
     samples = np.frombuffer(payload, np.uint8)
     sums = np.add.reduceat(samples, np.arange(64) * len(samples) // 64, dtype=np.int64)
-    return np.packbits(sums * 64 > samples.sum(dtype=np.int64)).tobytes().hex()
+    return np.packbits(sums * 64 > samples.sum(dtype=np.int64)).tobytes()
 
 
 class _Shards:
@@ -144,7 +144,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], size) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Each batch (digest, shard, offset, length) with a range of each object: ``size(length)`` bytes from its start."""
+    """Each batch (digest, shard, offset, length, n) with a range of each object: ``size(length)`` bytes from its start."""
     at, source = None, None
     for batch in batches:
         found = []
@@ -169,21 +169,21 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             payload = png_decode(image)
             if hashlib.sha256(payload).digest() != digest:
                 raise ValueError(f"the stored object {digest.hex()} is damaged")
-            rows.append((len(payload), digest.hex(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), average_hash(payload)))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)]
-        keep = [batch.column(i) for i in (0, 4, 5, 6)]
-        yield pa.RecordBatch.from_arrays(keep + columns, ["digest", "width", "height", "bits", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            rows.append((len(payload), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).digest(), average_hash(payload)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)]
+        keep = [batch.column(i) for i in (0, 4, 5, 6, 7)]
+        yield pa.RecordBatch.from_arrays(keep + columns, ["digest", "n", "width", "height", "bits", "payload_bytes", "tail_crc32", "media_bytes", "media_digest", "hash"])
 
 
 def read_metadata(places: DataFrame) -> DataFrame:
-    """Adds width, height and bits to (digest, shard, offset, length), by reading headers only."""
-    return places.mapInArrow(_header_batches, "digest binary, shard string, offset long, length long, width int, height int, bits int")
+    """Adds width, height and bits to (digest, shard, offset, length, n), by reading headers only."""
+    return places.mapInArrow(_header_batches, "digest binary, shard string, offset long, length long, n long, width int, height int, bits int")
 
 
 def read_features(places: DataFrame) -> DataFrame:
-    """Digest columns and a feature of whole objects, for rows of ``read_metadata``."""
-    return places.mapInArrow(_feature_batches, "digest binary, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Digests, sizes and a feature of whole objects, read back and held against their names, for rows of ``read_metadata``."""
+    return places.mapInArrow(_feature_batches, "digest binary, n long, width int, height int, bits int, payload_bytes long, tail_crc32 long, media_bytes long, media_digest binary, hash binary")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -191,10 +191,11 @@ def media_columns(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows, places = store(docs)
     # Objects in the order of their shards, in as many tasks as wrote them: a task's share of bytes does not grow.
-    objects = places.select("digest", "shard", "offset", "length").repartitionByRange(splits(docs), "shard", "offset").sortWithinPartitions("shard", "offset")
+    objects = places.repartitionByRange(splits(docs), "shard", "offset").sortWithinPartitions("shard", "offset")
     features = staged(spark, read_features(read_metadata(objects)), "media-features")
-    counted = features.join(places.select("digest", "n"), "digest")
-    return join_groups(rows, staged(spark, counted, "media-features"), "digest", broadcast_rows=20_000)
+    found = join_groups(rows, features, "digest", broadcast_rows=20_000)
+    hexed = {"payload_sha256": "digest", "media_sha256": "media_digest", "feature": "hash"}
+    return found.withColumns({name: F.lower(F.hex(c)) for name, c in hexed.items()})
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
