@@ -208,7 +208,7 @@ def predictor(spark: SparkSession, model: Model):
         for batch in texts:
             yield pd.DataFrame(dict(zip(("lang_pred", "score", "known"), own.predict(batch.tolist()), strict=True)))
 
-    return predict
+    return predict.asNondeterministic()  # so that it runs once, however often its result is used
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

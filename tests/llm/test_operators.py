@@ -810,3 +810,84 @@ def test_registered_queries():
     names = set(queries.queries())
     assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n != "pipeline"} and "pipeline" in names
     assert json.dumps(queries.oracle_sql()) is not None
+
+
+# The registered queries, end to end
+
+CONTRACT = {
+    "op1_html_extraction": "page_id bigint, url string, text string, n_chars bigint",
+    "op2_media_columns": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op3_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op4_suffix_tree_scores": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op5_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op6_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op7_simhash_near_dedup": "doc_id bigint, fingerprint string, component_id bigint",
+    "op8_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op9_token_file": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op10_benchmark_decontamination": "doc_id bigint, item_id bigint",
+    "pipeline": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+}
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory):
+    """A folder of few rows with nulls and repeated rows, and one of empty tables."""
+    some, none = (str(tmp_path_factory.mktemp(n)) for n in ("some", "none"))
+    long = "a text that is long enough to be read as a language and has a few more words than others do"
+    documents = [(1, None, "en"), (2, "", None), (3, f"{long} mail a.b@c.org", "en"), (4, f"{long} mail a.b@c.org", None), (4, f"{long} mail a.b@c.org", None), (None, long + " twice", "en"), (5, "12 %", "de"), (9, "ein Satz mit Wörtern und noch mehr Wörtern", "de")]
+    rows = {
+        "documents": spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in documents], DOC),
+        "pages": spark.createDataFrame([(1, "u", None), (2, None, "<article><p>some words here.</p></article>"), (2, None, "<p>x</p>"), (3, "u", "y" * 1200), (4, "u", "y" * 1200)], "page_id long, url string, html string"),
+        "benchmark": spark.createDataFrame([(1, "wholly other words of an item"), (2, None)], "item_id long, text string"),
+    }
+    for name, table in rows.items():
+        table.coalesce(1).write.parquet(f"{some}/{name}.parquet")
+        table.where("false").write.parquet(f"{none}/{name}.parquet")
+    return some, none
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_contract_of_registered_queries(spark, folders, name):
+    import __spark_entry__
+
+    some, none = folders
+    query = __spark_entry__.queries()[name]
+    got = query(spark, some)
+    want = [tuple(c.split()) for c in CONTRACT[name].split(", ")]
+    assert [(c, t) for c, t in got.dtypes if c in dict(want)] == want
+    rows = got.collect()
+    assert query(spark, none).collect() == []
+    if name in ("op1_html_extraction", "op8_warc"):
+        assert len(rows) == 5
+    elif name in ("op3_packing", "pipeline"):
+        assert sum(r.length for r in rows) == sum({(r.doc_id, r.sequence_id, r.offset): r.length for r in rows}.values()) > 0
+    elif name != "op10_benchmark_decontamination":
+        assert len(rows) == 8 and Counter(r.doc_id for r in rows)[4] == 2
+    if name == "op6_language_id":
+        assert {r.lang_pred for r in rows if r.doc_id in (1, 2, 5)} == {"und"} and {r.held_out for r in rows if r.doc_id is None} == {False}
+    if name == "op7_simhash_near_dedup":
+        assert {(r.fingerprint, r.component_id) for r in rows if r.doc_id in (1, 2)} == {("0" * 16, 1)}
+    if name == "pipeline":
+        assert {r.doc_id for r in rows} == {3, 9, None} or {r.doc_id for r in rows} == {3, 9}
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    import corpus_pipeline as pipeline
+
+    text = "one text with enough words to be told apart from any other text here"
+    other = "ganz anderer Inhalt steht in diesem Satz und er ist auch lang genug dafür"
+    docs = spark.createDataFrame([(1, text, "en", "s", 1), (1, text, "en", "s", 1), (1, other, "de", "s", 1), (None, text, "en", "s", 1)], DOC)
+    assert sorted((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, SMALL).collect()) == [(1, other), (1, text)]
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    docs = docs.union(spark.createDataFrame([(None, f"{text} {item}", "en", "s", 1), (1, item, "en", "s", 1)], DOC))
+    assert sorted(r.text for r in pipeline.decontamination(spark, docs, SMALL).collect()) == sorted([text] * 3 + [other])
+
+
+def test_pipeline_language_uses_its_prediction(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(k, "the house is near the old river and the boat", "en") for k in range(30)] + [(k, "das alte Haus steht nahe bei einem Fluss", "de") for k in range(30, 60)]
+    odd = [(101, "das Haus bei einem Boot", None), (102, "你好世界", None), (103, "12 34", "en"), (104, None, "en"), (None, "the boat", None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows + odd], DOC)
+    kept = {r.doc_id: r.lang for r in pipeline.language(spark, docs, SMALL).collect() if r.doc_id is None or r.doc_id > 100}
+    assert kept == {101: "de", None: "en"}
