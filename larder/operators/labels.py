@@ -80,8 +80,9 @@ def synonym_match(labels: DataFrame) -> DataFrame:
 def label_key(text: Column) -> Column:
     """The nutrient that a line of a label names, or null."""
     plain = F.regexp_replace(normalise_label(F.regexp_replace(text, _NUMBER, " ")), _OF_WHICH, "")
-    best = nearest_name(plain)
-    return F.when((plain != "") & (best["likeness"] >= MATCH), best["key"])
+    # Bound as lambda variables, both are computed once for a line and not once for each name.
+    best = F.transform(F.array(plain), nearest_name)
+    return F.transform(best, lambda x: F.when(x["likeness"] >= MATCH, x["key"]))[0]
 
 
 def label_numbers(text: Column) -> Column:
