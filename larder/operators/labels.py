@@ -1,13 +1,10 @@
-"""Nutrition labels: text lines with places on an image become values per column.
+"""The lines of nutrition labels: numbers, nutrient names, headers and energies, all read with built-in expressions.
 
-Numbers, nutrient names and headers are read with built-in expressions; only putting a label together, which needs the
-geometry of all its lines, a few dozen, runs per label in ``applyInPandas``.
+``labeltables`` puts the lines of a label together.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,15 +58,18 @@ def nearest_name(text: Column) -> Column:
 
     The names are a fixed, small literal, so each row is matched where it is: no join and no shuffle.
     """
-    names = F.array(*[F.struct(F.lit(key).alias("key"), F.lit(name).alias("name")) for key, name in _NAMES])
+    names = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in (("key", key), ("name", name), ("words", f" {name} "), ("most", len(name) // 3), ("held", 0.9 + len(name) / 1000))]) for key, name in _NAMES])
 
-    def likeness(n: Column) -> Column:
-        name = n["name"]
-        edit = F.lit(1.0) - F.levenshtein(text, name) / F.greatest(F.length(text), F.length(name))
-        within = F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), name, F.lit(" ")))
-        return half_up(F.when(text == name, 1.0).when(within, F.lit(0.9) + F.length(name) / 1000).otherwise(edit), 4)
+    def likeness(t: Column, n: Column) -> Column:
+        # Of a likeness of MATCH or more, the edits are at most a third of the name; beyond that the distance is -1, not worked out.
+        edits = F.call_function("levenshtein", t["text"], n["name"], n["most"])
+        edit = F.when(edits >= 0, F.lit(1.0) - edits / F.greatest(t["length"], F.length(n["name"]))).otherwise(0.0)
+        return F.when(t["text"] == n["name"], 1.0).when(F.contains(t["words"], n["words"]), n["held"]).otherwise(edit)
 
-    return F.array_max(F.transform(names, lambda n: F.struct(likeness(n).alias("likeness"), n["key"].alias("key"))))
+    # Bound as lambda variables, the text and the best name are worked out once and not once for each use.
+    told = F.array(F.struct(text.alias("text"), F.concat(F.lit(" "), text, F.lit(" ")).alias("words"), F.length(text).alias("length")))
+    best = F.transform(told, lambda t: F.array_max(F.transform(names, lambda n: F.struct(likeness(t, n).alias("likeness"), n["key"].alias("key")))))
+    return F.transform(best, lambda x: F.struct(half_up(x["likeness"], 4).alias("likeness"), x["key"].alias("key")))[0]
 
 
 def synonym_match(labels: DataFrame) -> DataFrame:
@@ -78,15 +78,25 @@ def synonym_match(labels: DataFrame) -> DataFrame:
 
 
 def label_key(text: Column) -> Column:
-    """The nutrient that a line of a label names, or null."""
-    plain = F.regexp_replace(normalise_label(F.regexp_replace(text, _NUMBER, " ")), _OF_WHICH, "")
-    # Bound as lambda variables, both are computed once for a line and not once for each name.
-    best = F.transform(F.array(plain), nearest_name)
-    return F.transform(best, lambda x: F.when(x["likeness"] >= MATCH, x["key"]))[0]
+    """The nutrient that a line of a label names, or null; names in several languages stand between slashes or bars."""
+    return label_match(text)["key"]
+
+
+def label_match(text: Column) -> Column:
+    """struct(likeness, key) of the nutrient that a line names, or null."""
+    parts = F.split(F.regexp_replace(text, _NUMBER, " "), "[/|]")
+    plain = F.filter(F.transform(parts, lambda part: F.regexp_replace(normalise_label(part), _OF_WHICH, "")), lambda part: part != "")
+    # Bound as lambda variables, these are computed once for a line and not once for each name.
+    return F.array_max(F.filter(F.transform(plain, nearest_name), lambda x: x["likeness"] >= MATCH))
 
 
 def label_numbers(text: Column) -> Column:
-    """array of struct(value, unit): the numbers of a line.
+    """array of struct(value, unit): the numbers of a line."""
+    return F.transform(label_tokens(text), lambda t: F.struct(t["value"].alias("value"), t["unit"].alias("unit")))
+
+
+def label_tokens(text: Column) -> Column:
+    """array of struct(value, unit, digits, at): the numbers of a line, their digits as read, and their middle's place in the line, 0 to 1.
 
     A capital O before a decimal mark or a unit is a zero, as is an o that is all of the line but its unit; a leading zero
     without a mark has lost it (02 is 0.2); a comma before three digits groups thousands of kJ, kcal or mg, else it is a
@@ -101,9 +111,19 @@ def label_numbers(text: Column) -> Column:
         unit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in _UNITS.items() for x in pair]), spelled), spelled)
         grouped = digits.rlike(r"^[1-9][0-9]?,[0-9]{3}$") & unit.isin("kj", "kcal", "mg")
         plain = F.when(digits.rlike("^0[0-9]+$"), F.regexp_replace(digits, "^0", "0.")).when(grouped, F.replace(digits, F.lit(","), F.lit(""))).otherwise(F.replace(digits, F.lit(","), F.lit(".")))
-        return F.struct(plain.try_cast("double").alias("value"), unit.alias("unit"))
+        return F.struct(plain.try_cast("double").alias("value"), unit.alias("unit"), digits.alias("digits"))
+
+    def placed(x: Column) -> Column:
+        letters = lambda strings, n: F.aggregate(F.slice(strings, F.lit(1), n), F.lit(0), lambda a, s: a + F.length(s))
 
-    return F.transform(F.regexp_extract_all(zero, F.lit(f"({_NUMBER})"), F.lit(1)), read)
+        def token(match: Column, i: Column) -> Column:
+            middle = letters(x["between"], i + 1) + letters(x["matches"], i) + F.length(match) / 2
+            return read(match).withField("at", middle / F.greatest(F.length(x["line"]), F.lit(1)))
+
+        return F.transform(x["matches"], token)
+
+    matches = F.regexp_extract_all(zero, F.lit(f"({_NUMBER})"), F.lit(1))
+    return F.transform(F.array(F.struct(zero.alias("line"), matches.alias("matches"), F.split(zero, _NUMBER).alias("between"))), placed)[0]
 
 
 def _fits(kj: Column, kcal: Column) -> Column:
@@ -136,45 +156,3 @@ def header(text: Column) -> tuple[Column, Column, Column]:
     number = F.replace(amount, F.lit(","), F.lit(".")).try_cast("double")
     unit = F.lower(F.regexp_extract(text, r"(?i)[0-9]\s*(g|ml)\b", 1))
     return F.when(number == 100, "100").when(number.isNotNull() | text.rlike("(?i)serving|portion"), "serving"), number, F.nullif(unit, F.lit(""))
-
-
-def _clusters(places: np.ndarray, tolerance: float) -> np.ndarray:
-    order = np.argsort(places, kind="stable")
-    number = np.zeros(len(places), int)
-    number[order] = np.append(0, np.cumsum(np.diff(places[order]) > tolerance))
-    return number
-
-
-def read_label(lines: pd.DataFrame) -> pd.DataFrame:
-    """Values of one label: a row per column and nutrient; each value belongs to the nearest named row of its height."""
-    angle, height = float(np.median(lines.angle)), float(np.median(lines.h))
-    cx, cy = lines.cx.to_numpy(), lines.cy.to_numpy()
-    x, y = cx * np.cos(-angle) - cy * np.sin(-angle), cx * np.sin(-angle) + cy * np.cos(-angle)
-    head, named = lines.is_head.to_numpy(bool), lines.key.notna().to_numpy()
-    value = np.flatnonzero((lines.numbers.str.len() > 0).to_numpy() & ~head)
-    found: list[tuple] = []
-    if len(value) and named.any():
-        column_of = dict(zip(value.tolist(), _clusters(np.where(named[value], np.inf, x[value]), 1.2 * height).tolist(), strict=True))
-        seen = set()
-        for k in value[np.argsort(y[value], kind="stable")].tolist():
-            row = k if named[k] else np.flatnonzero(named)[np.argmin(np.abs(y[named] - y[k]))]
-            if abs(y[row] - y[k]) > 1.6 * height:
-                continue
-            nearest = np.flatnonzero(head)[np.argmin(np.abs(x[head] - x[k]))] if head.any() else None
-            basis = "100" if nearest is None or lines.is_100.iloc[nearest] else "serving"
-            for number in lines.numbers.iloc[k]:
-                unit = number["unit"]
-                key = "kilojoules" if unit == "kj" else "calories" if unit == "kcal" else lines.key.iloc[row]
-                if (column_of[k], key) not in seen and unit != "%" and number["value"] is not None:
-                    seen.add((column_of[k], key))
-                    found.append((lines.image_id.iloc[0], column_of[k], basis, key, number["value"], unit))
-    return pd.DataFrame(found, columns=["image_id", "column", "basis", "key", "value", "unit"])
-
-
-def parse_labels(lines: DataFrame) -> DataFrame:
-    """image_id, column, basis, key, value, unit from lines (image_id, text, cx, cy, h, angle); a label's lines are few."""
-    read = lines.withColumns({
-        "numbers": label_numbers(F.col("text")), "key": label_key(F.col("text")),
-        "is_head": F.col("text").rlike(r"(?i)\b100\s*(?:g|ml)\b|serving|portion"), "is_100": F.col("text").rlike(r"\b100\b"),
-    })
-    return read.groupBy("image_id").applyInPandas(read_label, "image_id long, column int, basis string, key string, value double, unit string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import scalars as S
 from larder.operators import labels as B
+from larder.operators import labeltables as T
 from larder.operators.series import gap_clusters
 from larder.plans.registry import query
 from larder.sources import fooddata
@@ -138,17 +139,85 @@ def label_key(spark, d):
     return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), B.label_key(text).alias("key"))
 
 
-@query("""SELECT p_partkey AS image_id, CAST(0 AS INTEGER) AS "column", '100' AS basis, x.k AS key, x.v AS value, x.u AS unit FROM (SELECT *, unnest([
+def _photo(spark, d, texts: list[tuple[str, float, float]], turn: float = 0.02) -> DataFrame:
+    """A label for each part on a slightly turned photo; in a text {} is the part's size, {4} a quarter and {1} one with a mark lost."""
+    size = F.col("p_size")
+    quarter = (size / 4).cast("decimal(9,2)").cast("string")
+    spelled = {"{}": size.cast("string"), "{4}": quarter, "{1}": F.replace(quarter, F.lit("."), F.lit(""))}
+
+    def line(text: str, x: float, y: float):
+        value = F.lit(text)
+        for mark, number in spelled.items():
+            value = F.replace(value, F.lit(mark), number)
+        return F.struct(value.alias("text"), F.lit(float(x)).alias("cx"), F.lit(float(y)).alias("cy"), F.lit(10.0 * len(text)).alias("w"))
+
+    rows = V.table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), F.inline(F.array(*[line(*t) for t in texts])))
+    return rows.select("image_id", "text", (F.col("cx") - F.col("cy") * turn).alias("cx"), (F.col("cy") + F.col("cx") * turn).alias("cy"), "w", F.lit(20.0).alias("h"), F.lit(turn).alias("angle"))
+
+
+@query("""SELECT p_partkey AS image_id, CAST(0 AS INTEGER) AS "column", '100' AS basis, 100e0 AS amount, x.k AS key, x.v AS value, x.u AS unit FROM (SELECT *, unnest([
  {'k': 'calories', 'v': p_size * 10e0, 'u': 'kcal'}, {'k': 'fat', 'v': p_size + 0.5e0, 'u': 'g'}, {'k': 'sugars', 'v': CAST('0.' || p_size AS DOUBLE), 'u': 'g'}, {'k': 'proteins', 'v': p_size * 1e0, 'u': 'g'}]) AS x FROM part)""")
 def parse_label(spark, d):
-    """Whole labels, a few lines for each part, on a slightly turned photo."""
-    size = F.col("p_size").cast("string")
-    line = lambda text, x, y: F.struct(text.alias("text"), F.lit(float(x)).alias("cx"), F.lit(float(y)).alias("cy"))
-    lines = F.array(
-        line(F.lit("per 100 g"), 300, 0), line(F.lit("Energy"), 40, 30), line(F.concat(size, F.lit("0 kcal")), 300, 31), line(F.lit("Fat"), 30, 60), line(F.concat(size, F.lit(",5 g")), 300, 61),
-        line(F.lit("of which sugars"), 70, 90), line(F.concat(F.lit("0"), size, F.lit(" g")), 300, 91), line(F.lit("Protein"), 40, 120), line(F.concat(size, F.lit(" g")), 300, 120),
-    )
-    rows = V.table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), F.inline(lines))
-    turn = 0.02
-    turned = rows.select("image_id", "text", (F.col("cx") - F.col("cy") * turn).alias("cx"), (F.col("cy") + F.col("cx") * turn).alias("cy"), F.lit(20.0).alias("h"), F.lit(turn).alias("angle"))
-    return B.parse_labels(turned)
+    """Whole labels, a few lines for each part."""
+    texts = [("per 100 g", 300, 0), ("Energy", 40, 30), ("{}0 kcal", 300, 31), ("Fat", 30, 60), ("{},5 g", 300, 61), ("of which sugars", 70, 90), ("0{} g", 300, 91), ("Protein", 40, 120), ("{} g", 300, 120)]
+    return T.parse_labels(_photo(spark, d, texts))
+
+
+#: Two columns; carbohydrates' name is not readable, saturated fat's takes two lines, salt's is cut off, a stray number stands below.
+_TABLE = [
+    ("per 100 g", 300, 0), ("per serving 25 g", 500, 0), ("Energy", 40, 30), ("{}.00 kcal", 300, 31), ("{4} kcal", 500, 31), ("Oil / Fat", 55, 60), ("{}.00 g", 300, 61), ("{1} g", 500, 61), ("Saturated fatty", 85, 80), ("acids", 45, 100), ("{}.40 g", 300, 90), ("{4} g", 500, 90),
+    ("#~#", 30, 120), ("{}.00 g", 300, 121), ("{4} g", 500, 121), ("of which sugars", 85, 150), ("{}.00 g", 300, 151), ("{4} g", 500, 151), ("Protein", 45, 180), ("{}.00 g", 300, 181), ("{4} g", 500, 181), ("{}.00 g", 300, 211), ("{4} g", 500, 211), ("77", 900, -200),
+]
+
+
+@query("""SELECT p_partkey AS image_id, x.c AS "column", x.b AS basis, x.a AS amount, y.k AS key, y.v AS value FROM (SELECT *, unnest([{'c': CAST(0 AS INTEGER), 'b': '100', 'a': 100e0, 'q': 1e0}, {'c': CAST(1 AS INTEGER), 'b': 'serving', 'a': 25e0, 'q': 4e0}]) AS x FROM part),
+ LATERAL (SELECT unnest([{'k': 'calories', 'v': p_size / x.q}, {'k': 'fat', 'v': CASE WHEN x.c = 0 OR p_size <> 4 THEN p_size / x.q END}, {'k': 'saturated-fat', 'v': CASE WHEN x.c = 0 THEN p_size + 0.4e0 ELSE p_size / 4e0 END}, {'k': 'carbohydrates', 'v': p_size / x.q}, {'k': 'sugars', 'v': p_size / x.q}, {'k': 'proteins', 'v': p_size / x.q}, {'k': 'salt', 'v': p_size / x.q}]) AS y) WHERE y.v IS NOT NULL""")
+def label_table(spark, d):
+    """Labels with two columns, a wrapped name, two unreadable ones and a lost decimal mark in one column ("100 g" for 1.00 g reads as a head)."""
+    return T.parse_labels(_photo(spark, d, _TABLE)).drop("unit")
+
+
+@query("""SELECT p_partkey AS image_id, CASE WHEN x.k IN ('fat', 'sugars') THEN 0 ELSE 1 END AS panel, x.k AS key, x.v AS value FROM (SELECT *, unnest([{'k': 'fat', 'v': p_size + 0.5e0}, {'k': 'sugars', 'v': p_size * 1e0}, {'k': 'proteins', 'v': p_size / 4e0}, {'k': 'salt', 'v': 3e0}]) AS x FROM part)""")
+def label_panels(spark, d):
+    """Two tables side by side are two panels."""
+    texts = [("per 100 g", 250, 0), ("per 100 g", 850, 0), ("Fat", 40, 30), ("{}.5 g", 250, 30), ("Sugars", 55, 60), ("{} g", 250, 60), ("Protein", 640, 30), ("{4} g", 850, 30), ("Salt", 625, 60), ("3 g", 850, 60)]
+    rows = T.panels(T.grouped_lines(_photo(spark, d, texts, 0.0))).select("image_id", "panel", F.explode(F.arrays_zip("keys", "rows")).alias("r"))
+    return rows.select("image_id", "panel", F.col("r.keys").alias("key"), F.explode("r.rows.items").alias("t")).select("image_id", "panel", "key", "t.value")
+
+
+@query("SELECT p_partkey AS image_id, 15e0 AS x0, -10e0 AS y0, 345e0 AS x1, 70e0 AS y1 FROM part")
+def label_bounds(spark, d):
+    """The box around a table; words elsewhere on the photo are no part of it."""
+    texts = [("per 100 g", 300, 0), ("Fat", 30, 30), ("9.50 g", 300, 30), ("Sugars", 45, 60), ("1.50 g", 300, 60), ("Best before", 300, 500)]
+    return T.table_bounds(_photo(spark, d, texts, 0.0))
+
+
+@query("SELECT p_partkey AS id, (p_size + 4) / 4e0 AS value FROM part")
+def decimal_repair(spark, d):
+    """A serving's value lost its mark; the one of 100 still has its own."""
+    size = F.col("p_size").cast("double") + 4
+    digits = F.replace((size / 4).cast("decimal(9,2)").cast("string"), F.lit("."), F.lit(""))
+    value = T.repaired_decimal(digits.cast("double"), digits, size / 4, F.concat(size.cast("long").cast("string"), F.lit(".0")))
+    return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), value.alias("value"))
+
+
+@query("SELECT p_partkey AS id, CAST(x.p AS INTEGER) AS place, x.k AS key FROM (SELECT p_partkey, unnest(CASE p_partkey % 3 WHEN 0 THEN [{'p': 0, 'k': 'fat'}, {'p': 1, 'k': 'saturated-fat'}, {'p': 2, 'k': 'carbohydrates'}, {'p': 3, 'k': 'sugars'}] WHEN 1 THEN [{'p': 0, 'k': 'fiber'}, {'p': 1, 'k': 'proteins'}, {'p': 2, 'k': 'salt'}] ELSE [{'p': 0, 'k': 'sugars'}, {'p': 1, 'k': 'fiber'}, {'p': 2, 'k': NULL}, {'p': 3, 'k': 'proteins'}] END) AS x FROM part)")
+def infer_rows(spark, d):
+    """Rows of values whose names could not be read, told by their neighbours."""
+    null = F.lit(None).cast("string")
+    read = F.when(F.col("p_partkey") % 3 == 0, F.array(null, F.lit("saturated-fat"), null, F.lit("sugars"))).when(F.col("p_partkey") % 3 == 1, F.array(F.lit("fiber"), F.lit("proteins"), null)).otherwise(F.array(F.lit("sugars"), null, null, F.lit("proteins")))
+    rows = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), read.alias("read"))
+    return rows.select("id", F.posexplode(T.with_inferred(F.col("read"))).alias("place", "key"))
+
+
+@query("""SELECT p_partkey AS image_id, 'fat' AS key, CASE WHEN p_partkey % 2 = 0 THEN p_size + 0.25e0 ELSE p_size * 1e0 END AS value FROM part
+ UNION ALL SELECT p_partkey, 'salt', 2e0 FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, 'sugars', 4e0 FROM part WHERE p_partkey % 5 = 0""")
+def review_label(spark, d):
+    """What was read in the chosen column, with the user's edits; text that is no number drops the nutrient, and new ones are added."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    cell = lambda basis, key, value: F.struct(F.lit(basis).alias("basis"), F.lit(key).alias("key"), value.cast("double").alias("value"))
+    parts = V.table(spark, d, "part")
+    values = parts.select(k.alias("image_id"), F.inline(F.array(cell("100", "fat", size), cell("100", "salt", F.lit(2)), cell("serving", "fat", F.lit(1)))))
+    edit = lambda when, key, text: F.when(when, F.struct(F.lit(key).alias("key"), text.alias("text")))
+    edits = F.array_compact(F.array(edit(k % 2 == 0, "fat", F.concat(size.cast("string"), F.lit(",25g"))), edit(k % 3 == 0, "salt", F.lit("n/a")), edit(k % 5 == 0, "sugars", F.lit("4"))))
+    return T.reviewed(values, parts.select(k.alias("image_id"), F.inline(edits)), parts.select(k.alias("image_id"), F.lit("100").alias("basis")))

@@ -1,14 +1,17 @@
 """Scalars, sources, sinks, goals and the stream, on small fixtures."""
 
 import json
+import math
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
 from larder.functions import scalars as S
 from larder.operators import goals as G
+from larder.operators import labeltables
 from larder.operators import nutrition as N
 from larder.sources import exchange, fooddata
 from larder.sources import views as V
@@ -140,3 +143,46 @@ def test_nearest_against_all_pairs(spark):
     schema = "g int, id long, place double"
     got = {r.id: r.nearest for r in nearest(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["g"], "place").collect()}
     assert got == {i: min((abs(p - q), j) for h, j, q in right if h == g)[1] for g, i, p in left}
+
+
+def test_alignment_costs_least():
+    """Every order-keeping choice of pairs is tried; none costs less than the one that is found."""
+    rng = np.random.default_rng(5)
+
+    def cost(names, rows, of):
+        pairs = [(k, j) for j, k in enumerate(of) if k is not None]
+        assert pairs == sorted(pairs) and len({k for k, _ in pairs}) == len(pairs)
+        far = [abs(names[k] - rows[j]) / 10 for k, j in pairs]
+        assert all(f <= labeltables.REACH for f in far)
+        return sum(f * f for f in far) + len(names) + len(rows) - 2 * len(pairs)
+
+    def least(names, rows):
+        if not len(names) or not len(rows):
+            return len(names) + len(rows)
+        far = abs(names[0] - rows[0]) / 10
+        paired = far * far + least(names[1:], rows[1:]) if far <= labeltables.REACH else math.inf
+        return min(paired, 1 + least(names[1:], rows), 1 + least(names, rows[1:]))
+
+    for n, m in ((0, 0), (0, 3), (3, 0), (1, 1), (4, 5), (5, 3), (5, 5)):
+        names, rows = np.sort(rng.uniform(0, 60, n)), np.sort(rng.uniform(0, 60, m))
+        assert cost(names, rows, labeltables.aligned(names, rows, 10.0)) == pytest.approx(least(names, rows))
+
+
+def test_labels_without_use(spark):
+    """No line, blank lines, null texts, and words without a number give no value; a clashing extra column does no harm."""
+    schema = "image_id long, text string, cx double, cy double, h double, angle double, key string"
+    rows = [(1, None, 0.0, 0.0, 20.0, 0.0, "k"), (1, " ", 0.0, 9.0, 20.0, None, "k"), (2, "Fat", 0.0, 0.0, 20.0, None, "k"), (2, "Fat", 0.0, 0.0, 20.0, None, "k")]
+    for some in ([], rows):
+        lines = spark.createDataFrame(some, schema)
+        assert labeltables.parse_labels(lines).collect() == []
+        assert labeltables.table_bounds(lines).collect() == []
+
+
+def test_serving_is_told_by_values(spark):
+    """The second column has no head: its values are a fifth of the first's, so it is a serving of 20."""
+    texts = [("per 100 g", 300, 0)]
+    for k, (name, value) in enumerate((("Fat", 10), ("Sugars", 20), ("Protein", 30))):
+        texts += [(name, 40, 30 * k + 30), (f"{value} g", 300, 30 * k + 30), (f"{value // 5} g", 700, 30 * k + 30)]
+    lines = spark.createDataFrame([(1, t, float(x), float(y), 20.0, 0.0) for t, x, y in texts], "image_id long, text string, cx double, cy double, h double, angle double")
+    found = {(r["column"], r.key): (r.basis, r.amount, r.value) for r in labeltables.parse_labels(lines).collect()}
+    assert found[0, "fat"] == ("100", 100.0, 10.0) and found[1, "fat"] == ("serving", 20.0, 2.0) and len(found) == 6
