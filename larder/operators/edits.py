@@ -6,16 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.scalars import convert_unit, half_up
+from larder.operators.numbering import numbered
 
 
-def insert_all(rows: DataFrame, new: DataFrame) -> DataFrame:
-    """Adds rows with ids of their own, and others behind the last id, in the order of their names."""
-    from pyspark.sql import Window
+def last_id(rows: DataFrame) -> int:
+    return rows.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
 
-    last = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    place = F.row_number().over(Window.partitionBy(F.col("id").isNull()).orderBy("name"))
-    numbered = new.withColumn("_place", place).crossJoin(F.broadcast(last))  # one row
-    return rows.unionByName(numbered.withColumn("id", F.coalesce("id", F.col("_last") + F.col("_place"))).drop("_place", "_last"))
+def insert_all(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """Adds rows with ids of their own, and others behind the last id of ``rows``, in the order of their names, then of their other columns."""
+    others = [c for c in new.columns if c not in ("id", "name")]
+    numbers = numbered(new.where("id is null").drop("id"), ["name", *others], "id", last_id(rows))
+    return rows.unionByName(new.where("id is not null")).unionByName(numbers.select(new.columns))
+
+
+def resolve_or_insert(foods: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Foods after some were chosen, and the chosen ones, each with the id of the food that it now is.
+
+    A chosen row with an id is that food, which is hidden no longer.  One without, as a remote search gives it, is the
+    first food with its barcode that is not archived.  One that is not there either is added with the next id; of
+    rows with one barcode the first (by name, then the other columns) is added, and all of them are that food; rows
+    without barcode are each added.  Both tables have id, barcode, name and the foods' other columns.
+    """
+    known = foods.where("not archived and barcode is not null").groupBy("barcode").agg(F.min("id").alias("_found"))
+    rows = chosen.join(known, "barcode", "left").withColumn("id", F.coalesce("id", "_found")).drop("_found").select(foods.columns)
+    missing = rows.where("id is null")
+    fields = [c for c in foods.columns if c not in ("id", "barcode")]
+    first = F.min(F.struct(*["name"], *[c for c in fields if c != "name"])).alias("_first")
+    coded = missing.where("barcode is not null").groupBy("barcode").agg(first).select("barcode", "_first.*")
+    wanted = coded.unionByName(missing.where("barcode is null").select("barcode", *fields))
+    added = numbered(wanted, ["barcode", "name", *[c for c in fields if c != "name"]], "id", last_id(foods)).select(foods.columns)
+    new_ids = added.where("barcode is not null").select("barcode", F.col("id").alias("_new"))
+    coded_rows = missing.where("barcode is not null").join(new_ids, "barcode").withColumn("id", F.col("_new")).select(foods.columns)
+    resolved = rows.where("id is not null").unionByName(coded_rows).unionByName(added.where("barcode is null"))
+    return selected(foods, rows.where("id is not null")).select(foods.columns).unionByName(added), resolved
 
 
 def delete_keys(rows: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
@@ -64,18 +88,18 @@ def saved_stats(values: Column, units: dict[str, str], internal: dict[str, str])
     return F.transform_values(numbers, stored)
 
 
-def set_goal(goals: DataFrame, new: DataFrame) -> DataFrame:
-    """A goal that is set for a stat on a day replaces that day's, else it is added behind the stat's others."""
-    last = goals.groupBy("stat").agg(F.max("seq").alias("_last"))
-    same = goals.select(F.col("stat").alias("_stat"), F.col("effective_from").alias("_day"), F.col("seq").alias("_seq"))
-    on = (F.col("stat") == F.col("_stat")) & F.col("effective_from").eqNullSafe(F.col("_day"))
-    placed = new.join(last, "stat", "left").join(same, on, "left")
-    placed = placed.select(*new.columns, F.coalesce("_seq", F.col("_last") + 1, F.lit(0)).alias("seq"))
-    return goals.join(placed.select("stat", "seq"), ["stat", "seq"], "left_anti").unionByName(placed)
+def set_goal(goals: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """A goal that is set for a stat on a day replaces that day's, else it is added behind the stat's others; ``keys`` name a list's owner and stat."""
+    last = goals.groupBy(*keys).agg(F.max("seq").alias("_last"))
+    same = goals.groupBy(*keys, "effective_from").agg(F.max("seq").alias("_seq"))
+    on = [F.col(f"n.{k}") == F.col(f"s.{k}") for k in keys] + [F.col("n.effective_from").eqNullSafe(F.col("s.effective_from"))]
+    placed = new.join(last, keys, "left").alias("n").join(same.alias("s"), on, "left")
+    placed = placed.select(*[f"n.{c}" for c in new.columns], F.coalesce("_seq", F.col("_last") + 1, F.lit(0)).alias("seq"))
+    return delete_goal(goals, placed, keys).unionByName(placed)
 
 
-def delete_goal(goals: DataFrame, gone: DataFrame) -> DataFrame:
-    return goals.join(gone.select("stat", "seq"), ["stat", "seq"], "left_anti")
+def delete_goal(goals: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    return goals.join(gone.select(*keys, "seq"), [*keys, "seq"], "left_anti")
 
 
 def may_rename(names: DataFrame, wanted: DataFrame) -> DataFrame:

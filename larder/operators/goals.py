@@ -8,29 +8,37 @@ from pyspark.sql import functions as F
 from larder.functions.scalars import half_up, percent_goal, weekday
 
 
-def goal_asof(days: DataFrame, goals: DataFrame) -> DataFrame:
-    """For each (day, stat) the last goal of the list that is undated or in effect; the list is small and its order decides.
+def goal_asof(days: DataFrame, goals: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, day, stat, seq, shared, percent, goal: for each day the last goal of its owner's list that is undated or in effect.
 
-    ``max_by`` on the list's place keeps one row per day in the map-side aggregation, so no window or sort is needed.
+    ``days`` has keys (such as the user) and day, ``goals`` keys, stat, seq (the place in the list, which decides), the day
+    effective_from, and the goal's fields.  Goals and days of an owner and stat are merged in the order of days and the
+    last goal so far is carried on: one shuffle by (keys, stat), neither a broadcast nor pairs of days and goals.  A
+    group is as long as an owner's distinct days and goals, so the calendar bounds it.
     """
-    met = days.join(F.broadcast(goals), F.col("effective_from").isNull() | (F.col("effective_from") <= F.col("day")))
-    chosen = F.max_by(F.struct("seq", "shared", "percent", "goal"), "seq").alias("g")
-    return met.groupBy("day", "stat").agg(chosen).select("day", "stat", "g.*")
-
-
-def day_goal(days: DataFrame, goals: DataFrame) -> DataFrame:
-    """day, stat, value: the weekday's goal, or the first for shared ones; percentages become grams of the day's energy goal."""
-    found = goal_asof(days, goals)
+    fields = F.struct("seq", "shared", "percent", "goal")
+    begins = goals.select(*keys, "stat", F.col("effective_from").alias("day"), fields.alias("g"), F.lit(0).alias("asked"))
+    asked = days.select(*keys, "day").distinct().join(goals.select(*keys, "stat").distinct(), keys)
+    asked = asked.select(*keys, "stat", "day", F.lit(None).cast(begins.schema["g"].dataType).alias("g"), F.lit(1).alias("asked"))
+    so_far = Window.partitionBy(*keys, "stat").orderBy(F.asc_nulls_first("day"), "asked").rowsBetween(Window.unboundedPreceding, 0)
+    found = begins.unionByName(asked).withColumn("g", F.max("g").over(so_far))  # the largest seq
+    return found.where("asked = 1 and g is not null").select(*keys, "day", "stat", "g.*")
+
+
+def day_goal(days: DataFrame, goals: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, day, stat, value: the weekday's goal, or the first for shared ones; percentages become grams of the day's energy goal."""
+    found = goal_asof(days, goals, keys)
     raw = found.withColumn("raw", F.when(F.col("shared"), F.col("goal")[0]).otherwise(F.element_at("goal", (weekday(F.col("day")) + 1).cast("int"))))
-    energy = F.max(F.when(F.col("stat") == "calories", F.col("raw"))).over(Window.partitionBy("day"))
+    energy = F.max(F.when(F.col("stat") == "calories", F.col("raw"))).over(Window.partitionBy(*keys, "day"))
     value = F.when(F.col("percent"), percent_goal(F.col("raw"), F.col("energy"), F.col("stat"))).otherwise(F.col("raw"))
-    return raw.withColumn("energy", energy).select("day", "stat", value.alias("value"))
+    return raw.withColumn("energy", energy).select(*keys, "day", "stat", value.alias("value"))
 
 
 def average_goal(goals: DataFrame) -> DataFrame:
-    """stat, seq, average: the first value of a shared goal, else the mean of the week."""
+    """Every goal's keys, stat, seq, and average: the first value of a shared goal, else the mean of the week."""
     week = F.aggregate("goal", F.lit(0.0), lambda a, x: a + x) / 7
-    return goals.select("stat", "seq", F.when(F.col("shared"), F.col("goal")[0]).otherwise(half_up(week)).alias("average"))
+    rest = [c for c in goals.columns if c not in ("effective_from", "shared", "percent", "goal")]
+    return goals.select(*rest, F.when(F.col("shared"), F.col("goal")[0]).otherwise(half_up(week)).alias("average"))
 
 
 def auto_adjust(actual: DataFrame, keys: list[str], first_day: int | None = None, trailing: int | None = None) -> DataFrame:

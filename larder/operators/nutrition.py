@@ -14,21 +14,30 @@ def multiplier(portion: Column, food_portion: Column, quantity: Column) -> Colum
     return F.try_divide(portion, food_portion) * quantity
 
 
+def with_kilojoules(nutrition: Column) -> Column:
+    """A nutrition map; kilojoules that it lacks are derived from its calories."""
+    kj = F.create_map(F.lit("kilojoules"), nutrition["calories"] / KCAL_PER_KJ)
+    lacks = ~F.map_contains_key(nutrition, "kilojoules") & nutrition["calories"].isNotNull()
+    return F.when(lacks, F.map_concat(nutrition, kj)).otherwise(nutrition)
+
+
 def long_nutrition(foods: DataFrame, derive_kj: bool = True) -> DataFrame:
-    """food_id, food_portion, nutrient, value; kilojoules that a food lacks are derived from its calories."""
-    nutrition = F.col("nutrition")
-    if derive_kj:
-        kj = F.create_map(F.lit("kilojoules"), nutrition["calories"] / KCAL_PER_KJ)
-        lacks = ~F.map_contains_key(nutrition, "kilojoules") & nutrition["calories"].isNotNull()
-        nutrition = F.when(lacks, F.map_concat(nutrition, kj)).otherwise(nutrition)
+    """food_id, food_portion, nutrient, value."""
+    nutrition = with_kilojoules(F.col("nutrition")) if derive_kj else F.col("nutrition")
     return foods.select(F.col("id").alias("food_id"), F.col("portion").alias("food_portion"), F.explode(nutrition).alias("nutrient", "value"))
 
 
 def item_nutrients(items: DataFrame, foods: DataFrame, derive_kj: bool = True) -> DataFrame:
-    """Each item's nutrients for its portion, rounded per item; items of unknown foods are left out."""
-    scaled = items.join(long_nutrition(foods, derive_kj), "food_id")
-    amount = F.col("value") * multiplier(F.col("portion"), F.col("food_portion"), F.col("quantity"))
-    return scaled.withColumn("amount", F.coalesce(F.nanvl(half_up(amount), F.lit(0.0)), F.lit(0.0))).drop("value", "food_portion")
+    """Each item's nutrients for its portion, rounded per item; items of unknown foods are left out.
+
+    Items meet their food's map, one row each, and the map is made long behind the join.
+    """
+    nutrition = with_kilojoules(F.col("nutrition")) if derive_kj else F.col("nutrition")
+    found = foods.select(F.col("id").alias("food_id"), F.col("portion").alias("_food_portion"), nutrition.alias("_nutrition"))
+    met = items.join(found, "food_id").withColumn("_times", multiplier(F.col("portion"), F.col("_food_portion"), F.col("quantity")))
+    rows = met.select(*items.columns, "_times", F.explode("_nutrition").alias("nutrient", "_value"))
+    amount = F.coalesce(F.nanvl(half_up(F.col("_value") * F.col("_times")), F.lit(0.0)), F.lit(0.0))
+    return rows.select(*items.columns, "nutrient", amount.alias("amount"))
 
 
 def apply_mode(rows: DataFrame, mode: str) -> DataFrame:
@@ -46,8 +55,12 @@ def apply_mode(rows: DataFrame, mode: str) -> DataFrame:
 
 
 def total_nutrition(items: DataFrame, foods: DataFrame, keys: list[str], mode: str = "subtract", derive_kj: bool = True) -> DataFrame:
-    """keys, nutrient, total.  Sums are of decimals, so that their order does not matter."""
-    rows = apply_mode(item_nutrients(items, foods, derive_kj), mode)
+    """keys, nutrient, total.  Sums are of decimals, so that their order does not matter.
+
+    Every group of items has calories, 0 where none of its foods is known.
+    """
+    rows = apply_mode(item_nutrients(items, foods, derive_kj), mode).select(*keys, "nutrient", "amount")
+    rows = rows.unionByName(items.select(*keys, F.lit("calories").alias("nutrient"), F.lit(0.0).alias("amount")))
     total = F.sum(F.col("amount").cast("decimal(18,2)")).cast("double")
     return rows.groupBy(*keys, "nutrient").agg(total.alias("total"))
 

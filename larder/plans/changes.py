@@ -65,6 +65,25 @@ def bulk_insert(spark, d):
     return E.insert_all(V.foods(spark, d).where("name is not null").select("id", "name"), new)
 
 
+_CHOSEN = """(SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 10 <> 0 THEN CAST(s_suppkey % 1800 + 1000 AS VARCHAR) END AS barcode, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey END AS id FROM supplier)"""
+
+
+@query(f"""SELECT id, barcode, name, coalesce(hidden, false) AND id NOT IN (SELECT coalesce(c.id, f.id) FROM {_CHOSEN} c LEFT JOIN (SELECT barcode, min(id) AS id FROM foods WHERE NOT archived GROUP BY 1) f
+ ON c.barcode = f.barcode WHERE coalesce(c.id, f.id) IS NOT NULL) AS hidden FROM foods UNION ALL
+ SELECT (SELECT max(id) FROM foods) + row_number() OVER (ORDER BY barcode NULLS FIRST, name), barcode, name, false FROM (SELECT c.barcode, min(s_name) AS name FROM {_CHOSEN} c
+ LEFT JOIN (SELECT barcode, min(id) AS id FROM foods WHERE NOT archived GROUP BY 1) f ON c.barcode = f.barcode WHERE c.id IS NULL AND f.id IS NULL GROUP BY c.barcode, CASE WHEN c.barcode IS NULL THEN s_suppkey END)""", "foods")
+def choose_remote(spark, d):
+    """Foods after suppliers' records were chosen as a remote search gives them: some are stored already, some known by their barcode, the others are added."""
+    foods = V.foods(spark, d).select("id", "barcode", "name", "archived", "hidden")
+    return E.resolve_or_insert(foods, _chosen(spark, d))[0].select("id", "barcode", "name", "hidden")
+
+
+def _chosen(spark, d):
+    k = F.col("s_suppkey")
+    code = F.when(k % 10 != 0, (k % 1800 + 1000).cast("string"))
+    return V.table(spark, d, "supplier").select(F.when(k % 4 == 0, k).alias("id"), code.alias("barcode"), F.col("s_name").alias("name"), F.lit(False).alias("archived"), F.lit(False).alias("hidden"))
+
+
 @query("SELECT id, name FROM foods WHERE id NOT IN (SELECT s_suppkey FROM supplier)", "foods")
 def delete_by_key(spark, d):
     return E.delete_keys(V.foods(spark, d).select("id", "name"), V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
@@ -107,16 +126,27 @@ def save_stats(spark, d):
     return V.table(spark, d, "events").select(F.col("event_id").alias("id"), F.explode(stored).alias("stat", "value"))
 
 
-_NEW_GOALS = [("calories", "1997-06-01", 2500.0), ("fat", "2001-01-01", 65.0), ("sugars", "2001-01-01", 25.0)]
+@query("""SELECT "user", stat, seq, effective_from, goal[1] AS first FROM goals WHERE NOT (stat = 'calories' AND seq = 1 AND "user" % 5 = 0) AND NOT (stat = 'proteins' AND "user" % 13 = 0)
+ UNION ALL SELECT c_custkey, 'calories', 1, DATE '1997-06-01' + CAST(c_custkey % 200 AS INTEGER), 2500e0 FROM customer WHERE c_custkey % 5 = 0
+ UNION ALL SELECT c_custkey, 'fat', 2, DATE '2001-01-01', c_nationkey + 0e0 FROM customer WHERE c_custkey % 7 = 0
+ UNION ALL SELECT c_custkey, 'sugars', 0, DATE '2001-01-01', 25e0 FROM customer WHERE c_custkey % 11 = 0""", "goals")
+def edit_goals(spark, d):
+    """Some users edit a goal, some add one or a stat's first, and some delete a stat's only one."""
+    goals = V.goals(spark, d).select("user", "stat", "seq", "effective_from", F.col("goal")[0].alias("first"))
+    k, keys = F.col("c_custkey"), ["user", "stat"]
 
+    def goal(stat, day, first):
+        return F.struct(F.lit(stat).alias("stat"), F.coalesce(day, F.lit(None).cast("date")).alias("effective_from"), first.alias("first"))
 
-@query("""SELECT stat, seq, CAST(effective_from AS DATE) AS effective_from, goal[1] AS first FROM goals WHERE NOT (stat = 'calories' AND seq = 1) AND NOT (stat = 'proteins')
- UNION ALL SELECT * FROM (VALUES ('calories', 1, DATE '1997-06-01', 2500e0), ('fat', 2, DATE '2001-01-01', 65e0), ('sugars', 0, DATE '2001-01-01', 25e0)) t(stat, seq, effective_from, first)""", "goals")
-def edit_goals(spark, d):
-    """One goal is edited, one is added, a stat gets its first, and a stat's only one is deleted."""
-    goals = V.goals(spark).select("stat", "seq", "effective_from", F.col("goal")[0].alias("first"))
-    new = spark.createDataFrame(_NEW_GOALS, "stat string, effective_from string, first double").withColumn("effective_from", F.to_date("effective_from"))
-    return E.delete_goal(E.set_goal(goals, new), goals.where("stat = 'proteins'")).select("stat", "seq", "effective_from", "first")
+    later = F.lit("2001-01-01").cast("date")
+    edits = [
+        F.when(k % 5 == 0, goal("calories", F.date_add(F.lit("1997-06-01").cast("date"), (k % 200).cast("int")), F.lit(2500.0))),
+        F.when(k % 7 == 0, goal("fat", later, F.col("c_nationkey").cast("double"))),
+        F.when(k % 11 == 0, goal("sugars", later, F.lit(25.0))),
+    ]
+    new = V.table(spark, d, "customer").select(k.alias("user"), F.inline(F.array_compact(F.array(*edits))))
+    gone = goals.where("stat = 'proteins' and user % 13 = 0")
+    return E.delete_goal(E.set_goal(goals, new, keys), gone, keys).select("user", "stat", "seq", "effective_from", "first")
 
 
 @query("SELECT old, new, new NOT IN (SELECT DISTINCT event_type FROM events UNION SELECT 'fat') AS allowed FROM (SELECT DISTINCT p_brand AS old, CASE WHEN p_size % 3 = 0 THEN 'fat' WHEN p_size % 3 = 1 THEN p_type ELSE 'view' END AS new FROM part)")
@@ -127,12 +157,15 @@ def may_rename(spark, d):
     return E.may_rename(names, wanted)
 
 
-@query("""SELECT n.stat, n.unit, x.seq, x.value FROM (VALUES ('calories', 'kcal'), ('fat', 'g'), ('proteins', 'g'), ('salt', 'g')) n(stat, unit) LEFT JOIN (SELECT stat, seq, goal[1] AS value FROM goals) x ON n.stat = x.stat""", "goals")
+@query("""SELECT g."user", n.stat, CASE n.stat WHEN 'calories' THEN 'kcal' WHEN 'kilojoules' THEN 'kJ' ELSE 'g' END AS unit, g.seq, g.goal[1] AS value
+ FROM (SELECT DISTINCT nutrient AS stat FROM nutrients) n LEFT JOIN goals g ON n.stat = g.stat""", "nutrients goals")
 def nutriment_catalogue(spark, d):
-    """Nutriments with their units and goals; one without a goal stays."""
-    names = spark.createDataFrame([("calories",), ("fat",), ("proteins",), ("salt",)], "stat string")
+    """Every nutriment that a food has, with its unit and the users' goals; one without a goal stays."""
+    from larder.operators.nutrition import with_kilojoules
+
+    names = V.known_foods(spark, d).select(F.explode(F.map_keys(with_kilojoules(F.col("nutrition")))).alias("stat")).distinct()
     units = names.withColumn("unit", S.goal_unit(F.col("stat"), F.lit(False)))
-    return units.join(V.goals(spark).select("stat", "seq", F.col("goal")[0].alias("value")), "stat", "left")
+    return units.join(V.goals(spark, d).select("user", "stat", "seq", F.col("goal")[0].alias("value")), "stat", "left").select("user", "stat", "unit", "seq", "value")
 
 
 @query("SELECT DISTINCT event_type AS stat, 'body' AS kind FROM events UNION ALL SELECT DISTINCT nutrient, 'nutriment' FROM nutrients", "nutrients")
@@ -152,7 +185,7 @@ def manual_order(spark, d):
 
 
 @query("""SELECT "user", day, '{"user":' || CAST("user" AS VARCHAR) || ',"totals":[' || totals || ']}' AS payload FROM (SELECT "user", day, string_agg('{"nutrient":"' || nutrient || '","total":' || total || '}', ',' ORDER BY nutrient) AS totals FROM
- (SELECT "user", day, nutrient, CAST(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS BIGINT) AS VARCHAR) AS total FROM amounts WHERE amount >= 0 GROUP BY "user", day, nutrient) GROUP BY "user", day)""", "amounts")
+ (SELECT "user", day, nutrient, CAST(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS BIGINT) AS VARCHAR) AS total FROM summed WHERE amount >= 0 GROUP BY "user", day, nutrient) GROUP BY "user", day)""", "summed")
 def statistics_payload(spark, d):
     """What is sent of each user's day: whole totals of its nutrients as JSON."""
     from larder.operators.nutrition import total_nutrition

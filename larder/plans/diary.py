@@ -22,21 +22,21 @@ def total_nutrition(spark, d):
     return _day_totals(spark, d)
 
 
-_SUMS = 'SELECT day, {name} AS nutrient, CAST(sum(CAST({value} AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM amounts WHERE {where} GROUP BY ALL'
+_SUMS = 'SELECT day, {name} AS nutrient, CAST(sum(CAST({value} AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM summed WHERE {where} GROUP BY ALL'
 _ENERGY = "nutrient IN ('calories', 'kilojoules')"
 
 
-@query(_SUMS.format(name="nutrient", value="amount", where="amount >= 0"), "amounts")
+@query(_SUMS.format(name="nutrient", value="amount", where="amount >= 0"), "summed")
 def total_ignore(spark, d):
     return _day_totals(spark, d, "ignore", ["day"])
 
 
-@query(_SUMS.format(name="CASE WHEN amount < 0 THEN 'burned-' || nutrient ELSE nutrient END", value="abs(amount)", where=f"amount >= 0 OR {_ENERGY}"), "amounts")
+@query(_SUMS.format(name="CASE WHEN amount < 0 THEN 'burned-' || nutrient ELSE nutrient END", value="abs(amount)", where=f"amount >= 0 OR {_ENERGY}"), "summed")
 def total_disclose(spark, d):
     return _day_totals(spark, d, "disclose", ["day"])
 
 
-@query(_SUMS.format(name="nutrient", value="amount", where=f"amount >= 0 OR {_ENERGY}"), "amounts")
+@query(_SUMS.format(name="nutrient", value="amount", where=f"amount >= 0 OR {_ENERGY}"), "summed")
 def total_subtract(spark, d):
     return _day_totals(spark, d, "subtract", ["day"])
 
@@ -47,7 +47,7 @@ def derived_kj(spark, d):
     return rows.where("nutrient = 'kilojoules'").select("food_id", F.col("value").alias("kilojoules"))
 
 
-@query(f'SELECT day, category, nutrient, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM amounts WHERE amount >= 0 OR {_ENERGY} GROUP BY ALL', "amounts")
+@query(f'SELECT day, category, nutrient, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM summed WHERE amount >= 0 OR {_ENERGY} GROUP BY ALL', "summed")
 def group_totals(spark, d):
     return _day_totals(spark, d, "subtract", ["day", "category"])
 
@@ -79,22 +79,22 @@ def scale_item(spark, d):
 
 _WIDE = """SELECT day, coalesce(sum(CASE WHEN nutrient = 'fat' THEN total END), 0) AS fat, coalesce(sum(CASE WHEN nutrient = 'saturated-fat' THEN total END), 0) AS saturated_fat,
  coalesce(sum(CASE WHEN nutrient = 'carbohydrates' THEN total END), 0) AS carbohydrates, coalesce(sum(CASE WHEN nutrient = 'sugars' THEN total END), 0) AS sugars,
- coalesce(sum(CASE WHEN nutrient = 'proteins' THEN total END), 0) AS proteins FROM (SELECT day, nutrient, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM amounts WHERE amount >= 0 GROUP BY ALL) GROUP BY day"""
+ coalesce(sum(CASE WHEN nutrient = 'proteins' THEN total END), 0) AS proteins FROM (SELECT day, nutrient, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM summed WHERE amount >= 0 GROUP BY ALL) GROUP BY day"""
 
 
 @query(f"""SELECT day, x.macro AS macro, x.energy AS energy FROM (SELECT day, unnest([{{'macro': 'fat', 'energy': (fat - saturated_fat) * 9e0}}, {{'macro': 'saturated-fat', 'energy': saturated_fat * 9e0}},
- {{'macro': 'carbohydrates', 'energy': (carbohydrates - sugars) * 4e0}}, {{'macro': 'sugars', 'energy': sugars * 4e0}}, {{'macro': 'proteins', 'energy': proteins * 4e0}}]) AS x FROM ({_WIDE})) WHERE x.energy > 0""", "amounts")
+ {{'macro': 'carbohydrates', 'energy': (carbohydrates - sugars) * 4e0}}, {{'macro': 'sugars', 'energy': sugars * 4e0}}, {{'macro': 'proteins', 'energy': proteins * 4e0}}]) AS x FROM ({_WIDE})) WHERE x.energy > 0""", "summed")
 def macro_split(spark, d):
     return N.macro_split(_day_totals(spark, d, "ignore", ["day"]), ["day"])
 
 
 @query(f"""SELECT day, floor(fat * 9e0 * 100 / whole * 100 + 0.5) / 100 AS fat_percent, floor(carbohydrates * 4e0 * 100 / whole * 100 + 0.5) / 100 AS carbohydrates_percent,
- floor(proteins * 4e0 * 100 / whole * 100 + 0.5) / 100 AS proteins_percent, 0e0 AS alcohol_percent FROM (SELECT *, nullif(fat * 9e0 + carbohydrates * 4e0 + proteins * 4e0 + 0e0, 0) AS whole FROM ({_WIDE}))""", "amounts")
+ floor(proteins * 4e0 * 100 / whole * 100 + 0.5) / 100 AS proteins_percent, 0e0 AS alcohol_percent FROM (SELECT *, nullif(fat * 9e0 + carbohydrates * 4e0 + proteins * 4e0 + 0e0, 0) AS whole FROM ({_WIDE}))""", "summed")
 def macro_percent(spark, d):
     return N.macro_percent(_day_totals(spark, d, "ignore", ["day"]), ["day"])
 
 
-@query(f"SELECT day, nutrient, floor(total * 100e0 + 0.5e0) / 100e0 AS total FROM ({_SUMS.format(name='nutrient', value='amount', where='amount >= 0')}) WHERE nutrient IN ('calories', 'fat', 'proteins') AND total <> 0", "amounts")
+@query(f"SELECT day, nutrient, floor(total * 100e0 + 0.5e0) / 100e0 AS total FROM ({_SUMS.format(name='nutrient', value='amount', where='amount >= 0')}) WHERE nutrient IN ('calories', 'fat', 'proteins') AND total <> 0", "summed")
 def nutrient_totals(spark, d):
     totals = _day_totals(spark, d, "ignore", ["day"]).where(F.col("nutrient").isin("calories", "fat", "proteins") & (F.col("total") != 0))
     return totals.withColumn("total", S.half_up(F.col("total")))
@@ -120,7 +120,7 @@ def selection_energy(spark, d):
     return rows.groupBy("entry").agg(F.count("*").alias("items"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("energy"))
 
 
-@query("SELECT entry, category, nutrient, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM amounts WHERE category <> 2 AND (amount >= 0 OR nutrient IN ('calories', 'kilojoules')) GROUP BY ALL", "amounts")
+@query("SELECT entry, category, nutrient, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM summed WHERE category <> 2 AND (amount >= 0 OR nutrient IN ('calories', 'kilojoules')) GROUP BY ALL", "summed")
 def clear_group(spark, d):
     """Entries' totals after one meal group was cleared."""
     items = V.diary_items(spark, d).where("category <> 2")
@@ -146,38 +146,36 @@ def diary_csv(spark, d):
 # Goals
 
 
-@query("SELECT day, stat, g.seq AS seq, g.goal[1] AS first_value FROM goal_asof", "goal_asof")
+@query('SELECT "user", day, stat, g.seq AS seq, g.goal[1] AS first_value FROM goal_asof', "goal_asof")
 def goal_asof(spark, d):
-    days = V.diary(spark, d).select("day").distinct()
-    return G.goal_asof(days, V.goals(spark)).select("day", "stat", "seq", F.col("goal")[0].alias("first_value"))
+    return G.goal_asof(V.diary(spark, d), V.goals(spark, d), ["user"]).select("user", "day", "stat", "seq", F.col("goal")[0].alias("first_value"))
 
 
-@query("SELECT day, stat, value FROM day_goals WHERE stat = 'fat'", "day_goals")
+@query("""SELECT "user", day, stat, value FROM day_goals WHERE stat = 'fat'""", "day_goals")
 def percent_goal(spark, d):
-    return G.day_goal(V.diary(spark, d).select("day").distinct(), V.goals(spark)).where("stat = 'fat'")
+    return G.day_goal(V.diary(spark, d), V.goals(spark, d), ["user"]).where("stat = 'fat'")
 
 
-@query("SELECT stat, seq, days, CASE WHEN shared THEN goal[1] ELSE floor((goal[1] + goal[2] + goal[3] + goal[4] + goal[5] + goal[6] + goal[7]) / 7 * 100e0 + 0.5e0) / 100e0 END AS average FROM goals, (SELECT count(DISTINCT day) AS days FROM diary)", "goals diary")
+@query('SELECT "user", stat, seq, CASE WHEN shared THEN goal[1] ELSE floor((goal[1] + goal[2] + goal[3] + goal[4] + goal[5] + goal[6] + goal[7]) / 7 * 100e0 + 0.5e0) / 100e0 END AS average FROM goals', "goals")
 def average_goal(spark, d):
-    days = V.diary(spark, d).agg(F.countDistinct("day").alias("days"))
-    return G.average_goal(V.goals(spark)).crossJoin(F.broadcast(days))
+    return G.average_goal(V.goals(spark, d))
 
 
 def _against_goals(spark, d) -> DataFrame:
-    goals = G.day_goal(V.diary(spark, d).select("day").distinct(), V.goals(spark))
+    goals = G.day_goal(V.diary(spark, d), V.goals(spark, d), ["user"])
     totals = _day_totals(spark, d).withColumnRenamed("nutrient", "stat")
-    return totals.join(goals.withColumnRenamed("value", "goal"), ["day", "stat"]).select("user", "day", "stat", "total", "goal")
+    return totals.join(goals.withColumnRenamed("value", "goal"), ["user", "day", "stat"]).select("user", "day", "stat", "total", "goal")
 
 
 @query("""SELECT t."user", t.day, stat, total, value AS goal, value - total AS remaining, CASE WHEN total / value > 2 THEN 1e0 WHEN total / value > 1 THEN total / value - 1 ELSE total / value END AS progress
- FROM day_totals t JOIN day_goals g ON t.day = g.day AND t.nutrient = g.stat""", "day_totals day_goals")
+ FROM day_totals t JOIN day_goals g ON t."user" = g."user" AND t.day = g.day AND t.nutrient = g.stat""", "day_totals day_goals")
 def diary_vs_goals(spark, d):
     rows = _against_goals(spark, d)
     return rows.select("*", (F.col("goal") - F.col("total")).alias("remaining"), S.goal_progress(F.col("total"), F.col("goal")).alias("progress"))
 
 
 @query("""SELECT t."user", t.day, stat, CASE WHEN total / value > 2 THEN 1e0 WHEN total / value > 1 THEN total / value - 1 ELSE total / value END AS progress, total > value AS over
- FROM day_totals t JOIN day_goals g ON t.day = g.day AND t.nutrient = g.stat WHERE stat = 'calories'""", "day_totals day_goals")
+ FROM day_totals t JOIN day_goals g ON t."user" = g."user" AND t.day = g.day AND t.nutrient = g.stat WHERE stat = 'calories'""", "day_totals day_goals")
 def goal_progress(spark, d):
     rows = _against_goals(spark, d).where("stat = 'calories'")
     return rows.select("user", "day", "stat", S.goal_progress(F.col("total"), F.col("goal")).alias("progress"), (F.col("total") > F.col("goal")).alias("over"))

@@ -26,12 +26,14 @@ _VIEWS = {
     "body_stats": """
   SELECT user_id AS "user", CAST(ts AS DATE) AS day, event_type AS stat, arg_max(value, event_id) AS value FROM events GROUP BY ALL""",
     "goals": """
-  SELECT * FROM (VALUES ('calories', 0, NULL, true, false, [2000e0, 2000e0, 2000e0, 2000e0, 2000e0, 2000e0, 2000e0]),
-    ('calories', 1, DATE '1997-06-01', false, false, [2200e0, 2000e0, 2000e0, 2000e0, 2000e0, 2100e0, 2300e0]),
-    ('calories', 2, DATE '1996-01-01', true, false, [1800e0, 1800e0, 1800e0, 1800e0, 1800e0, 1800e0, 1800e0]),
-    ('fat', 0, NULL, true, false, [70e0, 70e0, 70e0, 70e0, 70e0, 70e0, 70e0]),
-    ('fat', 1, DATE '1998-01-01', true, true, [30e0, 30e0, 30e0, 30e0, 30e0, 30e0, 30e0]),
-    ('proteins', 0, DATE '1996-03-01', false, false, [50e0, 60e0, 60e0, 60e0, 60e0, 60e0, 50e0])) t(stat, seq, effective_from, shared, percent, goal)""",
+  SELECT "user", x.stat AS stat, x.seq AS seq, x.effective_from AS effective_from, x.shared AS shared, x.percent AS percent, x.goal AS goal
+  FROM (SELECT c_custkey AS "user", unnest([
+    {'stat': 'calories', 'seq': CAST(0 AS INTEGER), 'effective_from': CAST(NULL AS DATE), 'shared': true, 'percent': false, 'goal': [c_nationkey * 10 + 1800e0, c_nationkey * 10 + 1800e0, c_nationkey * 10 + 1800e0, c_nationkey * 10 + 1800e0, c_nationkey * 10 + 1800e0, c_nationkey * 10 + 1800e0, c_nationkey * 10 + 1800e0]},
+    {'stat': 'calories', 'seq': CAST(1 AS INTEGER), 'effective_from': DATE '1997-06-01' + CAST(c_custkey % 200 AS INTEGER), 'shared': false, 'percent': false, 'goal': [c_nationkey + 2200e0, 2000e0, 2000e0, 2000e0, 2000e0, 2100e0, 2300e0]},
+    CASE WHEN c_custkey % 4 = 0 THEN {'stat': 'calories', 'seq': CAST(2 AS INTEGER), 'effective_from': DATE '1996-01-01', 'shared': true, 'percent': false, 'goal': [1700e0, 1700e0, 1700e0, 1700e0, 1700e0, 1700e0, 1700e0]} END,
+    {'stat': 'fat', 'seq': CAST(0 AS INTEGER), 'effective_from': CAST(NULL AS DATE), 'shared': true, 'percent': false, 'goal': [70e0, 70e0, 70e0, 70e0, 70e0, 70e0, 70e0]},
+    {'stat': 'fat', 'seq': CAST(1 AS INTEGER), 'effective_from': DATE '1998-01-01', 'shared': true, 'percent': true, 'goal': [30e0, 30e0, 30e0, 30e0, 30e0, 30e0, 30e0]},
+    CASE WHEN c_custkey % 3 <> 0 THEN {'stat': 'proteins', 'seq': CAST(0 AS INTEGER), 'effective_from': DATE '1996-03-01', 'shared': false, 'percent': false, 'goal': [50e0, 60e0, 60e0, 60e0, 60e0, 60e0, 50e0]} END]) AS x FROM customer) WHERE x IS NOT NULL""",
     "nutrients": """
   SELECT food_id, food_portion, x.k AS nutrient, x.v AS value FROM (SELECT id AS food_id, portion AS food_portion, unnest([
     {'k': 'calories', 'v': calories}, {'k': 'fat', 'v': fat}, {'k': 'saturated-fat', 'v': saturated_fat},
@@ -40,18 +42,21 @@ _VIEWS = {
     "amounts": """
   SELECT i.*, nutrient, floor(value * ((i.portion / food_portion) * i.quantity) * 100e0 + 0.5e0) / 100e0 AS amount
   FROM diary_items i JOIN nutrients USING (food_id)""",
+    "summed": """
+  SELECT * FROM amounts UNION ALL SELECT *, 'calories', 0e0 FROM diary_items""",
     "day_totals": """
-  SELECT "user", day, nutrient, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM amounts
+  SELECT "user", day, nutrient, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM summed
   WHERE amount >= 0 OR nutrient IN ('calories', 'kilojoules') GROUP BY ALL""",
     "goal_asof": """
-  SELECT day, stat, arg_max(g, seq) AS g FROM (SELECT DISTINCT day FROM diary) d JOIN (SELECT *, {'seq': seq, 'shared': shared, 'percent': percent, 'goal': goal} AS g FROM goals) g
-  ON effective_from IS NULL OR effective_from <= day GROUP BY day, stat""",
+  SELECT "user", day, stat, arg_max(g, seq) AS g FROM (SELECT DISTINCT "user", day FROM diary) d
+  JOIN (SELECT *, {'seq': seq, 'shared': shared, 'percent': percent, 'goal': goal} AS g FROM goals) USING ("user")
+  WHERE effective_from IS NULL OR effective_from <= day GROUP BY "user", day, stat""",
     "day_goals": """
-  SELECT day, stat, CASE WHEN percent THEN floor(raw / 100 * energy / CASE stat WHEN 'fat' THEN 9e0 WHEN 'proteins' THEN 4e0 END + 0.5e0) ELSE raw END AS value
-  FROM (SELECT *, max(CASE WHEN stat = 'calories' THEN raw END) OVER (PARTITION BY day) AS energy FROM
-    (SELECT day, stat, g.percent AS percent, CASE WHEN g.shared THEN g.goal[1] ELSE g.goal[dayofweek(day) + 1] END AS raw FROM goal_asof))""",
+  SELECT "user", day, stat, CASE WHEN percent THEN floor(raw / 100 * energy / CASE stat WHEN 'fat' THEN 9e0 WHEN 'proteins' THEN 4e0 END + 0.5e0) ELSE raw END AS value
+  FROM (SELECT *, max(CASE WHEN stat = 'calories' THEN raw END) OVER (PARTITION BY "user", day) AS energy FROM
+    (SELECT "user", day, stat, g.percent AS percent, CASE WHEN g.shared THEN g.goal[1] ELSE g.goal[dayofweek(day) + 1] END AS raw FROM goal_asof))""",
     "calorie_days": """
-  SELECT t."user", t.day, t.total, value AS goal FROM day_totals t JOIN day_goals g ON t.day = g.day AND t.nutrient = g.stat WHERE stat = 'calories'""",
+  SELECT t."user", t.day, t.total, value AS goal FROM day_totals t JOIN day_goals g ON t."user" = g."user" AND t.day = g.day AND t.nutrient = g.stat WHERE stat = 'calories'""",
     "series": """
   SELECT "user", day, total AS value FROM day_totals WHERE nutrient = 'calories' AND total <> 0""",
     "stat_days": """SELECT "user", stat, day, value FROM body_stats WHERE value <> 0""",
@@ -63,7 +68,7 @@ _VIEWS = {
 }
 _NEEDS = {
     "known_foods": ["foods"], "diary_items": ["diary"], "nutrients": ["known_foods"], "amounts": ["diary_items", "nutrients"],
-    "day_totals": ["amounts"], "goal_asof": ["diary", "goals"], "day_goals": ["goal_asof"], "calorie_days": ["day_totals", "day_goals"],
+    "summed": ["amounts"], "day_totals": ["summed"], "goal_asof": ["diary", "goals"], "day_goals": ["goal_asof"], "calorie_days": ["day_totals", "day_goals"],
     "series": ["day_totals"], "stat_days": ["body_stats"], "filled": ["stat_days"],
 }
 

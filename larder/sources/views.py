@@ -66,15 +66,26 @@ def body_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("user_id").alias("user"), F.to_date("ts").alias("day"), F.col("event_type").alias("stat")).agg(last)
 
 
-def goals(spark: SparkSession) -> DataFrame:
-    """stat, seq (place in the list), effective_from, shared, percent, goal (seven weekday values from Sunday)."""
-    rows = [
-        ("calories", 0, None, True, False, [2000.0] * 7),
-        ("calories", 1, "1997-06-01", False, False, [2200.0, 2000.0, 2000.0, 2000.0, 2000.0, 2100.0, 2300.0]),
-        ("calories", 2, "1996-01-01", True, False, [1800.0] * 7),
-        ("fat", 0, None, True, False, [70.0] * 7),
-        ("fat", 1, "1998-01-01", True, True, [30.0] * 7),
-        ("proteins", 0, "1996-03-01", False, False, [50.0, 60.0, 60.0, 60.0, 60.0, 60.0, 50.0]),
-    ]
-    schema = "stat string, seq int, effective_from string, shared boolean, percent boolean, goal array<double>"
-    return spark.createDataFrame(rows, schema).withColumn("effective_from", F.to_date("effective_from"))
+def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user, stat, seq (place in the list), effective_from, shared, percent, goal (seven weekday values from Sunday).
+
+    Every customer has a list for energy and fat and two of three have one for proteins; some lists are not in the order
+    of their days, and the later place counts.
+    """
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("double")
+    date = lambda text: F.lit(text).cast("date")
+
+    def goal(stat: str, seq: int, day, shared: bool, percent: bool, *values):
+        week = F.array(*[F.lit(float(v)) if isinstance(v, int) else v for v in values * (7 if len(values) == 1 else 1)])
+        return F.struct(F.lit(stat).alias("stat"), F.lit(seq).alias("seq"), F.coalesce(day, F.lit(None).cast("date")).alias("effective_from"), F.lit(shared).alias("shared"), F.lit(percent).alias("percent"), week.alias("goal"))
+
+    undated = F.lit(None).cast("date")
+    rows = F.array(
+        goal("calories", 0, undated, True, False, n * 10 + 1800),
+        goal("calories", 1, F.date_add(date("1997-06-01"), (k % 200).cast("int")), False, False, n + 2200, 2000, 2000, 2000, 2000, 2100, 2300),
+        F.when(k % 4 == 0, goal("calories", 2, date("1996-01-01"), True, False, 1700)),
+        goal("fat", 0, undated, True, False, 70),
+        goal("fat", 1, date("1998-01-01"), True, True, 30),
+        F.when(k % 3 != 0, goal("proteins", 0, date("1996-03-01"), False, False, 50, 60, 60, 60, 60, 60, 50)),
+    )
+    return table(spark, sf_dir, "customer").select(k.alias("user"), F.inline(F.array_compact(rows)))

@@ -65,12 +65,6 @@ def test_auto_adjust_against_a_loop(spark):
             assert got[day] == max(0.0, float(int(goal - over / 2 + 0.5)))
 
 
-def test_later_in_the_list_wins(spark):
-    days = spark.createDataFrame([(date(1996, 6, 1),), (date(1999, 6, 1),)], "day date")
-    found = {(r.day.year, r.stat): r.seq for r in G.goal_asof(days, V.goals(spark)).collect()}
-    assert found[1996, "calories"] == found[1999, "calories"] == 2
-
-
 def test_food_list_and_backup(spark, tmp_path):
     food = {"name": "a", "unit": "g", "portion": "200g", "uniqueId": "7", "nutrition": {"fat": "1.5", "salt": ""}, "categories": ["x"]}
     (tmp_path / "list.json").write_text(json.dumps({"version": 1, "foodList": [food, {"name": "no unit", "portion": 1}]}))
