@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from functools import cache, reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -125,16 +127,55 @@ def tidy_signed(value: Column) -> Column:
     return F.concat(F.lit("‎"), sign, number_text(F.abs(value)))
 
 
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+_ESCAPED = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
+#: Code points that a numeric reference may not name are read as in old Windows texts.
+_C1 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
+
+@cache
+def _references() -> tuple[str, str, str]:
+    """Of the standard's named references: a JSON map from names to characters, and patterns of those that need no semicolon and of any reference."""
+    names = {name: text for name, text in html5.items()}
+    bare = "|".join(sorted((n for n in names if not n.endswith(";")), key=lambda n: (-len(n), n)))
+    return json.dumps(names), bare, rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|{bare})"
+
+
+def _code_point(number: Column) -> Column:
+    """The character of a code point: of none that exists, a replacement character; of 0x80 to 0x9F, the Windows one."""
+    windows = F.substring(F.lit(_C1), (number - 0x7F).cast("int"), F.lit(1))
+    odd = number.isNull() | (number == 0) | ((number >= 0xD800) & (number < 0xE000)) | (number > 0x10FFFF)
+    above = number - 0x10000
+    pair = F.concat(F.lpad(F.hex(F.shiftright(above, 10) + 0xD800), 4, "0"), F.lpad(F.hex(above.bitwiseAND(F.lit(0x3FF)) + 0xDC00), 4, "0"))
+    utf16 = F.when(number >= 0x10000, pair).otherwise(F.lpad(F.hex(number), 4, "0"))
+    return F.when(odd, F.lit("\ufffd")).when((number >= 0x80) & (number < 0xA0), windows).otherwise(F.decode(F.unhex(utf16), "UTF-16BE"))
 
 
 def html_unescape(text: Column) -> Column:
-    """The common named references; the ampersand last, so that nothing is decoded twice."""
-    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), _ENTITIES, text)
+    """Character references decoded in one pass, so none that comes of it is decoded again: numeric ones, and all named ones of the standard.
+
+    Of names without a semicolon the longest that may stand so counts (``&notit;`` is ``¬it;``); other text is left.
+    """
+    names, bare, reference = _references()
+    table = F.from_json(F.lit(names), "map<string,string>")
+
+    def read(found: Column) -> Column:
+        # A name with a semicolon that is none may begin with one that needs none.
+        head = F.regexp_extract(found, f"^&({bare})", 1)
+        name = F.try_element_at(table, F.substring(found, 2, 64))
+        named = F.coalesce(name, F.when(head != "", F.concat(F.try_element_at(table, head), F.substring(found, F.length(head) + 2, F.lit(1 << 20)))), found)
+        figures = F.regexp_extract(found, r"^&#[xX]?0*([0-9a-fA-F]*)", 1)  # without zeros in front
+        base = F.when(found.rlike("^&#[xX]"), 16).otherwise(10)
+        number = F.when(F.length(figures) > 7, F.lit(1 << 24)).when(base == 16, F.conv(figures, 16, 10).cast("long")).otherwise(F.conv(figures, 10, 10).cast("long"))
+        return F.when(found.startswith("&#"), _code_point(F.coalesce(number, F.lit(0).cast("long")))).otherwise(named)
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"({reference})"), F.lit(1)), read)
+    between = F.split(text, reference, -1)
+    decoded = F.array_join(F.flatten(F.zip_with(between, found, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def html_escape(text: Column) -> Column:
-    return reduce(lambda c, pair: F.replace(c, F.lit(pair[1]), F.lit(pair[0])), (_ENTITIES[-1], *_ENTITIES[:4]), text)
+    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), _ESCAPED, text)
 
 
 def leading_number(text: Column) -> Column:
@@ -149,6 +190,23 @@ def serving_amount(text: Column) -> Column:
     return F.coalesce(half_up(F.try_divide(top, bottom), 3), number)
 
 
+def decimal_number(text: Column) -> Column:
+    """The first run of digits, points and commas, as a number: its first comma is a point, and what follows a second point is left."""
+    run = F.regexp_extract(text, r"[0-9.,]+", 0)
+    return F.regexp_extract(F.regexp_replace(run, r"^([^,]*),", "$1."), r"^[0-9]*\.?[0-9]+|^[0-9]+", 0).try_cast("double")
+
+
+def serving_number(text: Column) -> Column:
+    """A fraction that is the text's first number, with three decimals, else the first decimal number."""
+    top, bottom = (F.regexp_extract(text, r"^[^0-9]*([0-9]+)\s*/\s*([0-9]+)", k).try_cast("double") for k in (1, 2))
+    return F.coalesce(half_up(F.try_divide(top, bottom), 3), decimal_number(text))
+
+
+def unit_text(text: Column) -> Column:
+    """The letters behind the first number that letters follow, with spaces, hyphens and apostrophes between them."""
+    return F.regexp_extract(text, r"[0-9]+\P{L}*?(\p{L}[\p{L}'\-\s]*)", 1)
+
+
 def serving_unit(text: Column) -> Column:
     return F.lower(F.regexp_extract(text, r"[0-9]\s*(\p{L}+)", 1))
 

@@ -108,6 +108,19 @@ def may_rename(names: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(taken, "new", "left").select("old", "new", F.col("_taken").isNull().alias("allowed"))
 
 
+def new_activities(fetched: DataFrame, stored: DataFrame) -> DataFrame:
+    """Items of burned energy for fetched activities that are not stored yet.
+
+    ``fetched`` has user, day, date_time, calories and name, of which the last may be null; ``stored`` the items as they
+    are kept: user, day, date_time, category, quantity (kcal, negative) and description.  An activity is there already
+    if an item equals it in every field, where null equals null; equal fetched ones are one.  The join's keys are all
+    fields, so a day with many activities is spread over the shuffle.
+    """
+    items = fetched.select("user", "day", "date_time", F.lit(0).alias("category"), (-F.col("calories")).alias("quantity"), F.col("name").alias("description"))
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"s.{c}")) for c in items.columns]
+    return items.dropDuplicates().alias("n").join(stored.alias("s"), same, "left_anti")
+
+
 def backup_due(last: Column, now: Column, minutes: int = 60) -> Column:
     """Never made, or made more than so many minutes ago."""
     return F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(last) > 60 * minutes, F.lit(True))

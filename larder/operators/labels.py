@@ -10,41 +10,61 @@ from pyspark.sql import functions as F
 
 from larder.functions.scalars import KCAL_PER_KJ, half_up, normalise_label
 
-# Names of nutrients on labels, normalised, in the usual order of a label.
+# Names of nutrients on labels, normalised.  Vitamins' names follow a rule, below; further languages are a parameter.
 SYNONYMS = {
-    "energy": ("energy", "energie", "energia", "energetic value", "calories", "brennwert", "valor energetico", "valeur energetique", "valore energetico"),
-    "fat": ("fat", "total fat", "fett", "matieres grasses", "lipides", "grasas", "grassi", "lipidos", "vet"),
-    "saturated-fat": ("saturated fat", "saturates", "saturated", "gesattigte fettsauren", "acides gras satures", "saturadas", "acidos grasos saturados", "grassi saturi", "acidi grassi saturi", "verzadigde vetzuren"),
-    "monounsaturated-fat": ("monounsaturated fat", "monounsaturates", "einfach ungesattigte fettsauren", "acides gras monoinsatures", "monoinsaturadas"),
-    "polyunsaturated-fat": ("polyunsaturated fat", "polyunsaturates", "mehrfach ungesattigte fettsauren", "acides gras polyinsatures", "poliinsaturadas"),
-    "trans-fat": ("trans fat", "transfat", "trans fettsauren", "acides gras trans", "grasas trans", "grassi trans"),
+    "energy": ("energy", "energie", "energia", "energi", "valeur energetique", "valor energetico", "valore energetico", "brennwert", "energetische waarde", "wartosc energetyczna", "energiaa", "calories", "kalorien", "calorias"),
+    "fat": ("fat", "total fat", "fat total", "fett", "matieres grasses", "lipides", "grassi", "grassi totali", "grasas", "lipidos", "gordura", "gorduras", "vet", "vetten", "tluszcz", "materia grassa", "fedt", "rasva", "rasvaa", "zsir", "tuky"),
+    "saturated-fat": ("saturated", "saturates", "saturated fat", "sat fat", "gesattigte fettsauren", "gesattigte", "acides gras satures", "satures", "acidi grassi saturi", "saturi", "saturadas", "grasas saturadas", "acidos grasos saturados", "saturados", "gordura saturada", "verzadigd", "verzadigde vetzuren", "kwasy tluszczowe nasycone", "mattat fett", "mettede fettsyrer"),
+    "trans-fat": ("trans", "trans fat", "trans fatty acids", "trans fats", "acides gras trans", "grasas trans"),
+    "monounsaturated-fat": ("monounsaturated", "monounsaturates", "mono unsaturates", "monounsaturated fat", "einfach ungesattigte fettsauren", "acides gras mono insatures", "monoinsaturi", "monoinsaturadas"),
+    "polyunsaturated-fat": ("polyunsaturated", "polyunsaturates", "poly unsaturates", "polyunsaturated fat", "mehrfach ungesattigte fettsauren", "acides gras poly insatures", "polinsaturi", "poliinsaturadas"),
     "cholesterol": ("cholesterol", "cholesterin", "colesterol", "colesterolo"),
-    "carbohydrates": ("carbohydrate", "carbohydrates", "total carbohydrate", "kohlenhydrate", "glucides", "hidratos de carbono", "carboidrati", "koolhydraten"),
-    "sugars": ("sugars", "sugar", "total sugars", "zucker", "sucres", "azucares", "zuccheri", "suikers"),
-    "added-sugars": ("added sugars", "includes added sugars", "zugesetzter zucker", "sucres ajoutes"),
-    "starch": ("starch", "starke", "amidon", "almidon", "amido"),
-    "polyols": ("polyols", "mehrwertige alkohole", "polioles", "polioli"),
-    "fiber": ("fibre", "fiber", "dietary fiber", "dietary fibre", "ballaststoffe", "fibres alimentaires", "fibra alimentaria", "fibre alimentari", "vezels"),
-    "proteins": ("protein", "proteins", "eiweiss", "proteines", "proteinas", "proteine", "eiwitten"),
-    "salt": ("salt", "salz", "sel", "sal", "sale", "zout"),
+    "carbohydrates": ("carbohydrate", "carbohydrates", "total carbohydrate", "carbohydrate total", "carbs", "kohlenhydrate", "glucides", "carboidrati", "hidratos de carbono", "carbohidratos", "koolhydraten", "weglowodany", "kulhydrat", "kolhydrat", "karbohydrat", "sacharidy"),
+    "sugars": ("sugars", "sugar", "total sugars", "zucker", "sucres", "zuccheri", "azucares", "acucares", "suikers", "cukry", "sukkerarter", "sockerarter"),
+    "fiber": ("fibre", "fiber", "dietary fiber", "dietary fibre", "ballaststoffe", "fibres alimentaires", "fibres", "fibre alimentari", "fibra", "fibra alimentaria", "fibra alimentar", "vezels", "voedingsvezel", "blonnik", "kostfiber", "vlaknina"),
+    "proteins": ("protein", "proteins", "eiweiss", "proteines", "proteine", "proteinas", "eiwitten", "bialko", "bilkoviny"),
+    "salt": ("salt", "salz", "sel", "sale", "sal", "zout", "sol", "suola", "sul"),
     "sodium": ("sodium", "natrium", "sodio"),
     "potassium": ("potassium", "kalium", "potasio", "potassio"),
-    "calcium": ("calcium", "kalzium", "calcio"),
-    "iron": ("iron", "eisen", "fer", "hierro", "ferro"),
+    "calcium": ("calcium", "calcio", "kalzium"),
+    "iron": ("iron", "eisen", "fer", "ferro", "hierro"),
     "magnesium": ("magnesium", "magnesio"),
-    "zinc": ("zinc", "zink", "zinco"),
-    "vitamin-a": ("vitamin a", "vitamine a", "vitamina a"),
-    "vitamin-b12": ("vitamin b12", "vitamine b12", "vitamina b12"),
-    "vitamin-c": ("vitamin c", "vitamine c", "vitamina c"),
-    "vitamin-d": ("vitamin d", "vitamine d", "vitamina d"),
-    "vitamin-e": ("vitamin e", "vitamine e", "vitamina e"),
-    "caffeine": ("caffeine", "koffein", "cafeine", "cafeina"),
-    "alcohol": ("alcohol", "alkohol", "alcool"),
+    "lactose": ("lactose", "lattosio", "lactosa", "laktose"),
+    "sucrose": ("sucrose", "saccharose"),
+    "glucose": ("glucose", "glukose"),
+    "fructose": ("fructose", "fruktose"),
+    "caffeine": ("caffeine", "koffein", "cafeine"),
+    "alcohol": ("alcohol", "alkohol"),
+    "vitamin-b1": ("thiamin", "thiamine", "tiamina"),
+    "vitamin-b2": ("riboflavin", "riboflavine", "riboflavina"),
+    "vitamin-pp": ("niacin", "niacine", "niacina", "vitamin b3"),
+    "vitamin-b9": ("folate", "folic acid", "folsaure", "acide folique", "acido folico"),
+    "zinc": ("zinc", "zink"),
+    "phosphorus": ("phosphorus", "phosphor", "phosphore", "fosforo"),
 }
-_NAMES = [(key, name) for key, names in SYNONYMS.items() for name in names]
+#: Vitamins that are called by their letter, in English and German, French and Dutch, and Italian, Spanish and Portuguese.
+_LETTERED = ("a", "c", "d", "e", "b1", "b2", "b6", "b9", "b12")
+
+
+def synonyms(extra: dict[str, tuple[str, ...]] | None = None) -> dict[str, tuple[str, ...]]:
+    """key -> names: the fixed ones, vitamins by their letters, and further ones."""
+    found = {key: tuple(names) for key, names in SYNONYMS.items()}
+    for letter in _LETTERED:
+        found[f"vitamin-{letter}"] = found.get(f"vitamin-{letter}", ()) + tuple(f"{word} {letter}" for word in ("vitamin", "vitamine", "vitamina"))
+    for key, names in (extra or {}).items():
+        found[key] = found.get(key, ()) + tuple(names)
+    return found
+
+
 MATCH = 0.75
+#: Names of at least so many characters may be read with errors; and as a run of words within other ones.
+_SPELLED, _HIDDEN = 4, 5
+#: A text and a name of lengths up to this much apart are compared as a whole, others run by run.
+_LENGTHS_APART = 3
+#: How much a run of words counts beside a whole text.
+_RUN_WEIGHT = 0.95
 # Words before a part of a nutrient; units as they are read and as they are meant.
-_OF_WHICH = "^(of which|davon|dont|de las cuales|di cui|waarvan) "
+_OF_WHICH = r"\b(of which|dont|davon|di cui|de las cuales|de los cuales|waarvan|including|incl|w tym|des quels|dos quais)\b"
 _UNITS = {"cal": "kcal", "ca": "kcal", "k": "kj", "k3": "kj", "kl": "kj", "ing": "mg", "rng": "mg", "μg": "µg", "ug": "µg", "mcg": "µg"}
 _PLAIN_UNITS = ("kj", "kcal", "mg", "µg", "g", "ml", "%")
 _UNIT = "|".join(sorted([*_UNITS, *_PLAIN_UNITS], key=len, reverse=True))
@@ -52,42 +72,65 @@ _UNIT = "|".join(sorted([*_UNITS, *_PLAIN_UNITS], key=len, reverse=True))
 _NUMBER = rf"(?i)(?<![\p{{L}}0-9.,])(?<!\p{{L}}[-‐])[0-9]+(?:[.,][0-9]+)?(?:\s*(?:{_UNIT}))?(?!\p{{L}})"
 
 
-def nearest_name(text: Column) -> Column:
-    """struct(likeness, key) of the nutrient whose name is nearest to a normalised text: 1 if equal, 0.9 and a little more
-    the longer the name if contained as words, else what an edit distance leaves.
+def nearest_name(text: Column, extra: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """struct(likeness, key) of the nutrient whose name is nearest to a normalised text.
 
-    The names are a fixed, small literal, so each row is matched where it is: no join and no shuffle.
+    Equal texts have 1, a name contained as words 0.9; else what an edit distance leaves of the whole text if it is about
+    as long as the name, and if it is not, of its best run of as many words as the name has, weighted 0.95.  Longer names
+    get a little more.  The names are a fixed, small literal, so each row is matched where it is: no join and no shuffle.
     """
-    names = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in (("key", key), ("name", name), ("words", f" {name} "), ("most", len(name) // 3), ("held", 0.9 + len(name) / 1000))]) for key, name in _NAMES])
+    names = [(key, name, name.count(" ") + 1) for key, own in synonyms(extra).items() for name in own]
+    order = {key: -place for place, key in enumerate(synonyms(extra))}  # of equal likenesses the first nutrient's counts
+    longest = max(n for _, _, n in names)
+    # Edits beyond what a likeness of MATCH allows are not worked out.
+    fields = [(("key", k), ("name", name), ("words", f" {name} "), ("n", n), ("size", len(name)), ("order", order[k]), ("most", (len(name) + _LENGTHS_APART) // 3), ("more", len(name) / 1000)) for k, name, n in names]
+    table = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in row]) for row in fields])
+
+    def told(words: Column) -> Column:
+        runs = [F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " ")) for n in range(1, longest + 1)]  # noqa: B023
+        none = F.array().cast("array<string>")
+        runs = [F.when(F.size(words) >= n, run).otherwise(none) for n, run in enumerate(runs, 1)]
+        whole = F.array_join(words, " ")
+        return F.struct(whole.alias("text"), F.concat(F.lit(" "), whole, F.lit(" ")).alias("words"), F.length(whole).alias("length"), F.array(*runs).alias("runs"))
+
+    def edits_left(a: Column, size: Column, n: Column) -> Column:
+        edits = F.call_function("levenshtein", a, n["name"], n["most"])  # -1 beyond, which pmod makes a large number
+        return F.lit(1.0) - F.pmod(edits, F.lit(1 << 20)) / F.greatest(size, n["size"])
 
     def likeness(t: Column, n: Column) -> Column:
-        # Of a likeness of MATCH or more, the edits are at most a third of the name; beyond that the distance is -1, not worked out.
-        edits = F.call_function("levenshtein", t["text"], n["name"], n["most"])
-        edit = F.when(edits >= 0, F.lit(1.0) - edits / F.greatest(t["length"], F.length(n["name"]))).otherwise(0.0)
-        return F.when(t["text"] == n["name"], 1.0).when(F.contains(t["words"], n["words"]), n["held"]).otherwise(edit)
+        near = F.abs(t["length"] - n["size"]) <= _LENGTHS_APART
+        best_run = F.array_max(F.transform(F.element_at(t["runs"], n["n"]), lambda run: edits_left(run, F.length(run), n)))
+        return n["more"] + (
+            F.when(t["text"] == n["name"], 1.0)
+            .when(F.contains(t["words"], n["words"]), 0.9)
+            .when(near & (n["size"] >= _SPELLED), edits_left(t["text"], t["length"], n))
+            .when(~(near & (n["size"] >= _SPELLED)) & (n["size"] >= _HIDDEN), F.coalesce(best_run, F.lit(0.0)) * _RUN_WEIGHT)
+            .otherwise(0.0)
+        )
 
     # Bound as lambda variables, the text and the best name are worked out once and not once for each use.
-    told = F.array(F.struct(text.alias("text"), F.concat(F.lit(" "), text, F.lit(" ")).alias("words"), F.length(text).alias("length")))
-    best = F.transform(told, lambda t: F.array_max(F.transform(names, lambda n: F.struct(likeness(t, n).alias("likeness"), n["key"].alias("key")))))
+    bound = F.transform(F.array(F.split(text, " ")), told)
+    best = F.transform(bound, lambda t: F.array_max(F.transform(table, lambda n: F.struct(likeness(t, n).alias("likeness"), n["order"].alias("order"), n["key"].alias("key")))))
     return F.transform(best, lambda x: F.struct(half_up(x["likeness"], 4).alias("likeness"), x["key"].alias("key")))[0]
 
 
-def synonym_match(labels: DataFrame) -> DataFrame:
+def synonym_match(labels: DataFrame, extra: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """id, key, likeness of the nearest nutrient of each ``text``, if it is near enough."""
-    return labels.select("id", nearest_name(F.col("text")).alias("b")).select("id", "b.key", "b.likeness").where(F.col("likeness") >= MATCH)
+    return labels.select("id", label_match(F.col("text"), extra).alias("b")).where("b is not null").select("id", "b.key", "b.likeness")
 
 
-def label_key(text: Column) -> Column:
+def label_key(text: Column, extra: dict[str, tuple[str, ...]] | None = None) -> Column:
     """The nutrient that a line of a label names, or null; names in several languages stand between slashes or bars."""
-    return label_match(text)["key"]
+    return label_match(text, extra)["key"]
 
 
-def label_match(text: Column) -> Column:
-    """struct(likeness, key) of the nutrient that a line names, or null."""
+def label_match(text: Column, extra: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """struct(likeness, key) of the nutrient that a line names, or null; "of which" and the like, and numbers, do not count."""
     parts = F.split(F.regexp_replace(text, _NUMBER, " "), "[/|]")
-    plain = F.filter(F.transform(parts, lambda part: F.regexp_replace(normalise_label(part), _OF_WHICH, "")), lambda part: part != "")
+    plain = lambda part: F.trim(F.regexp_replace(F.regexp_replace(normalise_label(part), rf"{_OF_WHICH}|\b[0-9]+\b", " "), " +", " "))
+    plain = F.filter(F.transform(parts, plain), lambda part: F.length(part) > 1)
     # Bound as lambda variables, these are computed once for a line and not once for each name.
-    return F.array_max(F.filter(F.transform(plain, nearest_name), lambda x: x["likeness"] >= MATCH))
+    return F.array_max(F.filter(F.transform(plain, lambda part: nearest_name(part, extra)), lambda x: x["likeness"] >= MATCH))
 
 
 def label_numbers(text: Column) -> Column:

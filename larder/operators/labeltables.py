@@ -155,7 +155,7 @@ def grouped_lines(lines: DataFrame) -> DataFrame:
         below = F.when(loose(line), F.get(_by(F.filter("raw", lambda o: loose(o) & near(o)), "y"), F.lit(0)))
 
         def joined(b: Column) -> Column:
-            match = F.when(b.isNotNull(), _let(normalise_label(F.concat_ws(" ", line["text"], b["text"])), nearest_name))
+            match = F.when(b.isNotNull(), _let(normalise_label(F.concat_ws(" ", line["text"], b["text"])), lambda t: nearest_name(t)))
             key = _let(match, lambda m: F.when(m["likeness"] >= WRAPPED, m["key"]))
             return F.struct(((line["y"] + b["y"]) / 2).alias("y"), F.least(left(line), left(b)).alias("x"), key.alias("key"), i.alias("line"))
 

@@ -223,15 +223,6 @@ def quick_add_energy(spark, d):
     return V.table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.sum(value.cast("decimal(24,6)")).cast("double").alias("calories"))
 
 
-@query("SELECT \"user\", day, count(*) AS items, CAST(count(DISTINCT category) AS BIGINT) AS groups, min(food_id) AS first_food FROM diary_items GROUP BY ALL", "diary_items")
-def migrate_diary(spark, d):
-    """Flat entries of the old layout become one document a day."""
-    item = F.struct("food_id", "portion", "quantity", "category")
-    days = V.diary_items(spark, d).groupBy("user", "day").agg(F.collect_list(item).alias("items"))
-    groups = F.size(F.array_distinct(F.transform("items", lambda i: i["category"]))).cast("long")
-    return days.select("user", "day", F.size("items").cast("long").alias("items"), groups.alias("groups"), F.array_min(F.transform("items", lambda i: i["food_id"])).alias("first_food"))
-
-
 @query("SELECT food_id AS id, CASE nutrient WHEN 'proteins' THEN 'protein' WHEN 'carbohydrates' THEN 'carbs' ELSE nutrient END AS nutrient, value FROM nutrients WHERE nutrient <> 'kilojoules'", "nutrients")
 def migrate_nutrients(spark, d):
     old = {"proteins": "protein", "carbohydrates": "carbs"}
@@ -241,16 +232,6 @@ def migrate_nutrients(spark, d):
     return V.known_foods(spark, d).select("id", F.explode(nutrition).alias("nutrient", "value"))
 
 
-@query("SELECT user_id AS \"user\", count(CASE WHEN event_type = 'click' THEN 1 END) AS show_in_diary, count(CASE WHEN event_type = 'view' THEN 1 END) AS show_in_stats FROM events GROUP BY 1")
-def migrate_goals(spark, d):
-    """Flat keys such as calories-show-in-diary become columns of their stat."""
-    key = F.when(F.col("event_type") == "click", F.lit("calories-show-in-diary")).when(F.col("event_type") == "view", F.lit("calories-show-in-stats"))
-    rows = V.table(spark, d, "events").select(F.col("user_id").alias("user"), key.alias("key"))
-    field = F.regexp_extract("key", r"-(show-in-\w+)$", 1)
-    counts = [F.count(F.when(field == f, 1)).alias(f.replace("-", "_")) for f in ("show-in-diary", "show-in-stats")]
-    return rows.groupBy("user").agg(*counts)
-
-
 @query("SELECT id, CASE WHEN name IS NULL THEN 'no name' WHEN id % 7 = 0 THEN 'no unit' ELSE 'ok' END AS status, CASE WHEN name IS NOT NULL AND id % 7 <> 0 THEN 'custom_' || CAST(id AS VARCHAR) END AS barcode FROM foods", "foods")
 def import_foods_validate(spark, d):
     rows = V.foods(spark, d).withColumn("unit", F.when(F.col("id") % 7 != 0, F.col("unit")))

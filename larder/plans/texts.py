@@ -15,51 +15,64 @@ from larder.sources import views as V
 
 
 def _products(spark, d) -> DataFrame:
-    """Each part as a product's JSON; every third without a serving, every fourth with energy in kJ only."""
+    """Each part as a product's JSON, in six kinds: per 100 only, a serving with kJ only, a fraction of a cup with kcal, a quantity only, a prepared one with alcohol, and one without any amount."""
     k, size = F.col("p_partkey"), F.col("p_size").cast("double")
-    text = lambda c: c.cast("decimal(18,2)").cast("string")
-    suffixes = F.when(k % 3 == 0, F.array(F.lit("_100g"))).otherwise(F.array(F.lit("_100g"), F.lit("_serving")))
-
-
-    def entry(name, value):
-        return lambda s: F.struct(F.concat(F.lit(name), s).alias("key"), text(F.when(s == "_100g", value).otherwise(value / 4)).alias("value"))
-
-    entries = []
-    for name, value in (("energy-kcal", F.when(k % 4 != 0, size * 10)), ("energy-kj", size * 40), ("fat", size), ("sugars", F.when(k % 5 != 0, size / 2))):
-        entries.append(F.transform(suffixes, entry(name, value)))
-    nutriments = F.map_from_entries(F.filter(F.concat(*entries), lambda e: e["value"].isNotNull()))
+    kinds = [
+        {"energy_100g": size * 40, "energy-kcal_100g": size * 10, "fat_100g": size, "sodium_100g": size / 8, "vitamin-d_100g": F.lit(0.25)},
+        {"energy_serving": size * 10, "fat_serving": size / 4, "fat_100g": size},
+        {"energy_serving": size * 4, "energy-kcal_serving": size + 0.75, "energy_100g": size * 8},
+        {"energy": size * 4, "fat": size},
+        {"energy_prepared_serving": size * 2, "fat_prepared_serving": size, "fat_serving": size * 9, "alcohol_prepared_serving": F.lit(40.0)},
+        {"fat": size},
+    ]
+    per = lambda values: F.element_at(F.array(*values), (k % 6 + 1).cast("int"))
+    null = F.lit(None).cast("string")
+    nutriments = per([F.create_map(*[x for key, v in kind.items() for x in (F.lit(key), v.cast("string"))]) for kind in kinds])
     product = F.struct(
-        F.concat(F.lit("0"), k.cast("string")).alias("code"), F.col("p_name").alias("product_name"), F.concat("p_brand", F.lit(",x")).alias("brands"),
-        F.lit("500 ml").alias("quantity"), F.when(k % 3 != 0, F.lit("25 g (1 piece)")).alias("serving_size"), nutriments.alias("nutriments"),
+        F.concat(F.lit("0"), k.cast("string")).alias("code"), F.when(k % 7 == 1, F.concat(F.lit("caf&eacute; &amp;lt; "), "p_name")).alias("product_name_en"),
+        F.when(k % 7 > 1, F.col("p_name")).alias("product_name_de"), F.concat("p_brand", F.lit("&#39;s,x")).alias("brands"), per([F.lit("500 ml"), F.lit("9"), null, F.lit("330 ml"), null, F.lit("")]).alias("quantity"),
+        per([F.lit("(2 cl)"), F.lit("25 g (1 piece)"), F.lit("1/2 Cup"), null, F.lit("2,5 CL"), null]).alias("serving_size"), nutriments.alias("nutriments"),
     )
     return V.table(spark, d, "part").select(F.to_json(product).alias("json"))
 
 
-@query("""SELECT barcode, name, brand, portion, unit, x.nutrient AS nutrient, x.value AS value FROM (SELECT CAST(p_partkey AS VARCHAR) AS barcode, p_name AS name, p_brand AS brand,
- CASE WHEN p_partkey % 3 = 0 THEN 100e0 ELSE 25e0 END AS portion, CASE WHEN p_partkey % 3 = 0 THEN 'ml' ELSE 'g' END AS unit, unnest([
- {'nutrient': 'calories', 'value': CASE WHEN p_partkey % 4 <> 0 THEN CAST(CAST(p_size * 10e0 / q AS DECIMAL(18, 2)) AS DOUBLE) ELSE floor(CAST(CAST(p_size * 40e0 / q AS DECIMAL(18, 2)) AS DOUBLE) * 0.23900573614e0 * 100e0 + 0.5e0) / 100e0 END},
- {'nutrient': 'fat', 'value': CAST(CAST(p_size / q AS DECIMAL(18, 2)) AS DOUBLE)}, {'nutrient': 'sugars', 'value': CASE WHEN p_partkey % 5 <> 0 THEN CAST(CAST(p_size / 2e0 / q AS DECIMAL(18, 2)) AS DOUBLE) END}]) AS x
- FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 1e0 ELSE 4e0 END AS q FROM part)) WHERE x.value IS NOT NULL""")
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS barcode, '0' || CAST(p_partkey AS VARCHAR) AS original_barcode, CASE p_partkey % 7 WHEN 0 THEN '0' || CAST(p_partkey AS VARCHAR) WHEN 1 THEN 'café &lt; ' || p_name ELSE p_name END AS name,
+ p_brand || chr(39) || 's' AS brand, CASE p_partkey % 6 WHEN 0 THEN 100e0 WHEN 1 THEN 25e0 WHEN 2 THEN 0.5e0 WHEN 3 THEN 330e0 ELSE 2.5e0 END AS portion,
+ CASE p_partkey % 6 WHEN 0 THEN 'ml' WHEN 1 THEN 'g' WHEN 2 THEN 'Cup' WHEN 3 THEN 'ml' ELSE 'cl' END AS unit, x.n AS nutrient, x.v AS value FROM (SELECT *, unnest(CASE p_partkey % 6
+ WHEN 0 THEN [{'n': 'calories', 'v': p_size * 10e0}, {'n': 'kilojoules', 'v': p_size * 40e0}, {'n': 'fat', 'v': p_size * 1e0}, {'n': 'sodium', 'v': p_size / 8e0 / 0.001e0}, {'n': 'vitamin-d', 'v': 0.25e0 / 0.000001e0}]
+ WHEN 1 THEN [{'n': 'calories', 'v': floor(p_size * 10e0 * 0.23900573614e0 + 0.5e0)}, {'n': 'kilojoules', 'v': p_size * 10e0}, {'n': 'fat', 'v': p_size / 4e0}]
+ WHEN 2 THEN [{'n': 'calories', 'v': p_size * 1e0}, {'n': 'kilojoules', 'v': p_size * 4e0}] WHEN 3 THEN [{'n': 'calories', 'v': p_size * 4e0}, {'n': 'kilojoules', 'v': p_size * 4e0}]
+ WHEN 4 THEN [{'n': 'calories', 'v': floor(p_size * 2e0 * 0.23900573614e0 + 0.5e0)}, {'n': 'kilojoules', 'v': p_size * 2e0}, {'n': 'fat', 'v': p_size * 1e0}, {'n': 'alcohol', 'v': 2.5e0 / 0.1e0 * 40e0 / 100e0 * 0.7893e0}] END) AS x FROM part)""")
 def off_normalise(spark, d):
     return fooddata.products(_products(spark, d))
 
 
 def _usda(spark, d) -> DataFrame:
+    """Each part as a food's JSON, in six kinds: a serving in g, a described measure of the last's weight, the largest measure, none, a serving in ml, and energy in kJ only."""
     k, size = F.col("p_partkey"), F.col("p_size").cast("double")
-    entry = lambda name, unit, value: F.struct(F.lit(name).alias("nutrientName"), F.lit(unit).alias("unitName"), value.alias("value"))
+    entry = lambda name, unit, value: F.struct(F.lit(name).alias("nutrientName"), F.lit(unit).alias("unitName"), value.cast("double").alias("value"))
     nutrients = F.array(
-        entry("Energy", "KCAL", size * 10), entry("Energy (Atwater)", "KCAL", size * 11), entry("Protein", "G", size / 2),
-        entry("Carbohydrate, by difference", "G", size), entry("Fiber, total dietary", "G", size / 4), entry("Total Sugars", "G", size * 0.8), entry("Sodium, Na", "MG", size * 100), entry("Vitamin B-12", "UG", size * 3), entry("Zinc, Zn", "MG", size * 7),
+        entry("Energy", "kJ", size * 40), entry("Energy (Atwater)", "KCAL", size * 10 + 0.25), entry("Energy", "KCAL", size * 11), entry("Protein", "G", size / 2), entry("Protein, other", "G", size * 3),
+        entry("Carbohydrate, by difference", "G", size), entry("Fiber, total dietary", "G", size / 4), entry("Total Sugars", "G", size * 0.8), entry("Sodium, Na", "MG", size * 100),
+        entry("Vitamin B-12", "UG", size * 3), entry("Vitamin A, RAE", "MG", size), entry("Vitamin D (D2 + D3)", "IU", size), entry("Zinc, Zn", "G", size / 1000),
+    )
+    nutrients = F.filter(nutrients, lambda n: ~((k % 6 == 5) & (F.lower(n["unitName"]) == "kcal")))
+    measure = lambda text, grams: F.struct(F.lit(text).alias("disseminationText"), F.lit(float(grams)).alias("gramWeight"))
+    half, bowl = F.array(measure("1 slice", 20), measure(fooddata.UNSPECIFIED, 200), measure("1/2 large-sized cup", 200)), F.array(measure("slice", 20), measure("bowl", 300), measure(fooddata.UNSPECIFIED, 250))
+    food = F.struct(
+        k.alias("fdcId"), F.col("p_name").alias("description"), F.col("p_brand").alias("brandOwner"), F.when(k % 6 == 0, 50.0).when(k % 6 == 1, 3.0).when(k % 6 == 4, 30.0).alias("servingSize"),
+        F.when(k % 6 == 0, "g").when(k % 6 == 1, "cup").when(k % 6 == 4, "ml").alias("servingSizeUnit"), F.when(k % 6 < 2, half).when(k % 6 == 2, bowl).alias("foodMeasures"), nutrients.alias("foodNutrients"),
     )
-    nutrients = F.filter(nutrients, lambda n: ~((k % 6 == 0) & n["nutrientName"].startswith("Energy")))
-    measure = lambda text, grams: F.struct(F.lit(text).alias("disseminationText"), grams.alias("gramWeight"))
-    food = F.struct(k.alias("fdcId"), F.col("p_name").alias("description"), F.col("p_brand").alias("brandOwner"), F.when(k % 2 == 0, F.lit(50.0)).alias("servingSize"), F.array(measure("slice", F.lit(20.0)), measure("cup", F.lit(200.0))).alias("foodMeasures"), nutrients.alias("foodNutrients"))
     return V.table(spark, d, "part").select(F.to_json(food).alias("json"))
 
 
-@query("""SELECT 'fdcId_' || CAST(p_partkey AS VARCHAR) AS barcode, p_name AS name, p_brand AS brand, portion, 'g' AS unit, x.n AS nutrient, floor(x.v * portion / 100 * 100e0 + 0.5e0) / 100e0 AS value FROM
- (SELECT *, unnest([{'n': 'calories', 'v': p_size * 10e0}, {'n': 'proteins', 'v': p_size / 2e0}, {'n': 'carbohydrates', 'v': greatest(p_size - p_size / 4e0, p_size * 0.8e0)}, {'n': 'fiber', 'v': p_size / 4e0}, {'n': 'sugars', 'v': p_size * 0.8e0},
- {'n': 'vitamin-b12', 'v': p_size * 3e0}, {'n': 'zinc', 'v': p_size * 7e0}, {'n': 'sodium', 'v': p_size * 100e0}, {'n': 'salt', 'v': p_size * 100e0 * 0.0025e0}]) AS x FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 50e0 ELSE 200e0 END AS portion FROM part WHERE p_partkey % 6 <> 0))""")
+@query("""SELECT 'fdcId_' || CAST(p_partkey AS VARCHAR) AS barcode, p_name AS name, p_brand AS brand, portion, unit, x.n AS nutrient, x.v AS value FROM (SELECT *, unnest([{'n': 'calories', 'v': kcal}, {'n': 'kilojoules', 'v': floor(kcal / 0.23900573614e0 + 0.5e0)},
+ {'n': 'proteins', 'v': floor(p_size / 2e0 * t * 100e0 + 0.5e0) / 100e0}, {'n': 'carbohydrates', 'v': greatest(floor(p_size * t * 100e0 + 0.5e0) / 100e0 - floor(p_size / 4e0 * t * 100e0 + 0.5e0) / 100e0, floor(p_size * 0.8e0 * t * 100e0 + 0.5e0) / 100e0)},
+ {'n': 'fiber', 'v': floor(p_size / 4e0 * t * 100e0 + 0.5e0) / 100e0}, {'n': 'sugars', 'v': floor(p_size * 0.8e0 * t * 100e0 + 0.5e0) / 100e0}, {'n': 'sodium', 'v': floor(p_size * 100e0 * t * 100e0 + 0.5e0) / 100e0},
+ {'n': 'salt', 'v': floor(p_size * 100e0 * t * 100e0 + 0.5e0) / 100e0 * 0.0025e0}, {'n': 'vitamin-b12', 'v': floor(p_size * 3e0 * t * 100e0 + 0.5e0) / 100e0}, {'n': 'vitamin-a', 'v': floor(p_size / 0.001e0 * t * 100e0 + 0.5e0) / 100e0},
+ {'n': 'zinc', 'v': floor(p_size / 1000e0 / 0.001e0 * t * 100e0 + 0.5e0) / 100e0}]) AS x FROM (SELECT *, floor((p_size * 10e0 + 0.25e0) * t + 0.5e0) AS kcal FROM (SELECT *,
+ CASE p_partkey % 6 WHEN 0 THEN 50e0 WHEN 1 THEN 0.5e0 WHEN 2 THEN 300e0 WHEN 3 THEN 100e0 ELSE 30e0 END AS portion, CASE p_partkey % 6 WHEN 0 THEN 0.5e0 WHEN 1 THEN 2e0 WHEN 2 THEN 3e0 WHEN 3 THEN 1e0 ELSE 0.3e0 END AS t,
+ CASE p_partkey % 6 WHEN 1 THEN 'large-sized cup (' || chr(8206) || '200' || chr(8201) || 'g)' WHEN 4 THEN 'ml' ELSE 'g' END AS unit FROM part WHERE p_partkey % 6 <> 5)))""")
 def usda_normalise(spark, d):
     return fooddata.usda_foods(_usda(spark, d))
 
@@ -77,7 +90,7 @@ def _labels(spark, d) -> DataFrame:
     return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int")).alias("text"))
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'fat' WHEN 1 THEN 'proteins' WHEN 2 THEN 'sugars' WHEN 3 THEN 'carbohydrates' END AS key, CASE p_partkey % 5 WHEN 0 THEN 1e0 WHEN 1 THEN 1e0 WHEN 2 THEN floor((1 - levenshtein('sugers', 'sugars') / 6e0) * 10000e0 + 0.5e0) / 10000e0 ELSE floor((1 - levenshtein('total carbohydrat', 'total carbohydrate') / 18e0) * 10000e0 + 0.5e0) / 10000e0 END AS likeness FROM part WHERE p_partkey % 5 <> 4")
+@query("SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'fat' WHEN 1 THEN 'proteins' WHEN 2 THEN 'sugars' WHEN 3 THEN 'carbohydrates' END AS key, floor((CASE p_partkey % 5 WHEN 0 THEN 1.003e0 WHEN 1 THEN 1.008e0 WHEN 2 THEN 1 - levenshtein('sugers', 'sugars') / 6e0 + 0.006e0 ELSE 1 - levenshtein('total carbohydrat', 'total carbohydrate') / 18e0 + 0.018e0 END) * 10000e0 + 0.5e0) / 10000e0 AS likeness FROM part WHERE p_partkey % 5 <> 4")
 def synonym_match(spark, d):
     return B.synonym_match(_labels(spark, d))
 
@@ -131,11 +144,11 @@ def label_numbers(spark, d):
     return V.table(spark, d, "part").select(k.alias("id"), F.inline(B.label_numbers(text)))
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'trans-fat' WHEN 1 THEN 'saturated-fat' WHEN 2 THEN 'saturated-fat' WHEN 3 THEN 'fat' WHEN 4 THEN 'sugars' WHEN 5 THEN 'vitamin-b12' WHEN 6 THEN 'carbohydrates' END AS key FROM part")
+@query("SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 0 THEN 'trans-fat' WHEN 1 THEN 'saturated-fat' WHEN 2 THEN 'saturated-fat' WHEN 3 THEN 'fat' WHEN 4 THEN 'sugars' WHEN 5 THEN 'vitamin-b12' WHEN 6 THEN 'carbohydrates' WHEN 8 THEN 'carbohydrates' WHEN 9 THEN 'fiber' END AS key FROM part")
 def label_key(spark, d):
     """The nutrient that a line names, whatever numbers are on it."""
-    lines = ["Trans fat 0 g", "Grassi saturi", "davon gesättigte Fettsäuren", "Matières grasses 3,5g", "dont sucres", "Vitamin B12 3 µg", "Total Carbohydrat", "12 %"]
-    text = F.element_at(F.array(*map(F.lit, lines)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    lines = ["Trans fat 0 g", "Acidi grassi saturi", "davon gesättigte Fettsäuren", "Matières grasses 3,5g", "dont sucres", "Vitamin B12 3 µg", "Total Carbohydrat", "12 %", "qq Kohlenhydrata ww zz", "aa b Dietery Fibre ccc d"]
+    text = F.element_at(F.array(*map(F.lit, lines)), (F.col("p_partkey") % 10 + 1).cast("int"))
     return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), B.label_key(text).alias("key"))
 
 

@@ -85,16 +85,41 @@ def test_csv_and_secrets(spark, tmp_path):
 
 
 def test_products_branches(spark):
-    def product(**more):
-        return (json.dumps({"code": "0123", "product_name": "x", "brands": "B, C"} | more),)
-
-    rows = [
-        product(serving_size="1/2 cup", nutriments={"energy-kj_serving": "100", "fat_serving": ""}),
-        product(code="5", quantity="1 l", nutriments={"energy-kcal_100g": 7, "fat_prepared_100g": "2"}),
-        product(nutriments={}),
-    ]
-    found = fooddata.products(spark.createDataFrame(rows, "json string")).collect()
-    assert {(r.barcode, r.portion, r.unit, r.nutrient, r.value) for r in found} == {("123", 0.5, "cup", "calories", 23.9), ("5", 100.0, "ml", "calories", 7.0), ("5", 100.0, "ml", "fat", 2.0)}
+    def found(prefer_100g=False, **more):
+        row = json.dumps({"code": "0123", "product_name": "x", "brands": "B, C"} | more)
+        rows = fooddata.products(spark.createDataFrame([(row,)], "json string"), prefer_100g=prefer_100g).collect()
+        return {(r.portion, r.unit) for r in rows}, {r.nutrient: r.value for r in rows}
+
+    both = {"energy_serving": "100", "fat_serving": "", "energy_100g": 418.4, "energy-kcal_100g": "99.5", "fat_100g": "2", "salt_100g": None}
+    assert found(serving_size="1/2 cup", nutriments=both) == ({(0.5, "cup")}, {"calories": 24.0, "kilojoules": 100.0})
+    assert found(True, serving_size="30 ml", nutriments=both) == ({(100.0, "ml")}, {"calories": 99.5, "kilojoules": 418.4, "fat": 2.0})
+    assert found(serving_size="a slice", nutriments=both)[0] == {(100.0, "g")}
+    assert found(serving_size="12,5 G", nutriments={"energy-kcal_serving": "7.9", "energy_serving": 1, "sodium_serving": 0.5}) == ({(12.5, "g")}, {"calories": 7.0, "kilojoules": 1.0, "sodium": 500.0})
+    assert found(quantity="1 Bottle", nutriments={"energy-kcal": 5, "energy": 20, "fat": 3}) == ({(1.0, "Bottle")}, {"calories": 5.0, "kilojoules": 20.0})
+    assert found(quantity="", nutriments=both | {"energy_100g": None})[1] == {"fat": 2.0}
+    prepared = {"energy_prepared_100g": "10", "fat_prepared_100g": 1, "fat_100g": 9, "alcohol_prepared_100g": 5}
+    assert found(serving_size="(5 cl)", nutriments=prepared) == ({(100.0, "ml")}, {"calories": 2.0, "kilojoules": 10.0, "fat": 1.0, "alcohol": pytest.approx(3.9465)})
+    assert found(nutriments=None) == found(nutriments={}) == found(quantity="none", nutriments={"energy": 1}) == (set(), {})
+
+
+def test_foods_branches(spark):
+    energy = {"nutrientName": "Energy", "unitName": "KCAL", "value": 239}
+
+    def found(prefer_100g=False, nutrients=(energy,), **more):
+        row = json.dumps({"fdcId": 1, "description": "x", "foodNutrients": list(nutrients)} | more)
+        rows = fooddata.usda_foods(spark.createDataFrame([(row,)], "json string"), prefer_100g=prefer_100g).collect()
+        return {(r.portion, r.unit) for r in rows}, {r.nutrient: r.value for r in rows}
+
+    measure = lambda text, grams: {"disseminationText": text, "gramWeight": grams}
+    kj = {"nutrientName": "Energy", "unitName": "kJ", "value": 1000}
+    iu = {"nutrientName": "Vitamin D (D2 + D3), International Units", "unitName": "IU", "value": 40}
+    assert found(servingSize=3, servingSizeUnit="cup", nutrients=(kj, energy, iu)) == ({(100.0, "g")}, {"calories": 239.0, "kilojoules": 1000.0})
+    assert found(nutrients=(kj,)) == (set(), {}) and found(nutrients=()) == (set(), {})
+    assert found(servingSize=50, servingSizeUnit="ml")[0] == {(50.0, "ml")} and found(True, servingSize=50, servingSizeUnit="ml")[0] == {(100.0, "ml")}
+    assert found(foodMeasures=[measure("1 cup", 244), measure("2 tbsp", 30)]) == ({(2.0, "tbsp (\u200e30\u2009g)")}, {"calories": 72.0, "kilojoules": 301.0})
+    assert found(foodMeasures=[measure(fooddata.UNSPECIFIED, 100)])[0] == {(100.0, "g")}
+    assert found(foodMeasures=[measure("1 cup", 244), measure("big", 300), measure(fooddata.UNSPECIFIED, 100)])[0] == {(300.0, "g")}
+    assert found(foodMeasures=[])[0] == {(100.0, "g")}
 
 
 def test_stream_equals_batch(spark, tmp_path):
