@@ -1,7 +1,7 @@
 """Centroid clustering over a vector-approximation file.
 
-Every vector is compressed to four bits for each dimension: the number of its cell among sixteen.  For a set of centroids
-a lookup table gives the smallest and largest squared distance from each centroid to each cell of each dimension; summed
+Every vector is compressed to six bits for each dimension: the number of its cell among 64.  For a set of centroids a
+lookup table gives the smallest and largest squared distance from each centroid to each cell of each dimension; summed
 over a vector's cells they bound its distance to every centroid.  Where one centroid's interval lies below all others the
 vector is assigned from its cells alone.  Only where intervals overlap is the full vector fetched, that is handed to
 Python, and compared exactly.  Results are the same as without cells.
@@ -20,6 +20,7 @@ are as many clusters as vectors; an empty table has no row.  Only ``vec_id`` and
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +37,9 @@ ROUNDS = 3
 DIMENSIONS = 64
 SCALE = 64
 LARGEST = 1 << 27
-#: Cells of a dimension; two cell numbers share a byte.
-CELLS = 16
+#: Bits of a component's cell.  With four, intervals of the given tables' 64 dimensions overlap for every vector.
+BITS = 6
+CELLS = 1 << BITS
 #: Vectors (of the smallest hashes) from which cells are cut.
 SAMPLE = 4096
 
@@ -60,6 +62,22 @@ def exact_distances(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.stack([np.square(vectors - c).sum(1) for c in centroids], 1)
 
 
+def _cuts(sample: np.ndarray, low: int, high: int) -> np.ndarray:
+    """``CELLS`` - 1 ascending first values of cells between ``low`` and ``high``."""
+    quantiles = np.ceil(np.quantile(sample, np.arange(1, CELLS) / CELLS)).astype(np.int64)
+    cuts = {int(c) for c in quantiles if low < c <= high}
+    ends = [low, *sorted(cuts), high + 1]
+    widest = [(a - b, a) for a, b in zip(ends, ends[1:], strict=False)]
+    heapq.heapify(widest)
+    while len(cuts) < CELLS - 1 and widest and widest[0][0] < -1:
+        width, begin = heapq.heappop(widest)
+        middle = begin - width // 2
+        cuts.add(middle)
+        heapq.heappush(widest, (begin - middle, begin))
+        heapq.heappush(widest, (middle - (begin - width), middle))
+    return np.array(sorted(cuts) + [high] * (CELLS - 1 - len(cuts)), np.int64)
+
+
 @dataclass(frozen=True)
 class Cells:
     """Cuts between the cells of each dimension, and the least and largest component that each cell may hold."""
@@ -70,17 +88,23 @@ class Cells:
 
     @classmethod
     def cut(cls, sample: np.ndarray, low: np.ndarray, high: np.ndarray) -> Cells:
-        """Cells with about as many of the sample's components each, between the least and largest component of all vectors."""
-        cuts = np.ceil(np.quantile(sample, np.arange(1, CELLS) / CELLS, axis=0)).astype(np.int64).T
-        cuts = np.clip(cuts, low[:, None], high[:, None])
+        """Cells with about as many of the sample's components each, between the least and largest component of all vectors.
+
+        Where components repeat, quantiles coincide; the cells that are left over split the widest ones, so components of
+        few different values have a cell each.
+        """
+        cuts = np.stack([_cuts(x, int(a), int(b)) for x, a, b in zip(sample.T, low, high, strict=True)])
         return cls(cuts, np.concatenate([low[:, None], cuts], 1), np.concatenate([cuts - 1, high[:, None]], 1))
 
-    def numbers(self, vectors: np.ndarray) -> np.ndarray:
-        """The cell of each component; two a byte."""
+    def packed(self, vectors: np.ndarray) -> np.ndarray:
+        """The cells of each vector's components, ``BITS`` bits each, as rows of bytes."""
         found = np.stack([np.searchsorted(cuts, x, side="right") for cuts, x in zip(self.cuts, vectors.T, strict=True)], 1).astype(np.uint8)
-        if found.shape[1] % 2:
-            found = np.concatenate([found, np.zeros((len(found), 1), np.uint8)], 1)
-        return found[:, ::2] << 4 | found[:, 1::2]
+        return np.packbits(np.unpackbits(found[:, :, None], axis=2)[:, :, 8 - BITS :].reshape(len(found), -1), axis=1)
+
+    def unpacked(self, rows: np.ndarray) -> np.ndarray:
+        """The cells of packed rows: vectors x dimensions."""
+        bits = np.unpackbits(rows, axis=1)[:, : BITS * len(self.cuts)].reshape(len(rows), -1, BITS)
+        return np.packbits(bits, axis=2)[:, :, 0] >> (8 - BITS)
 
     def tables(self, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Smallest and largest squared distance: dimensions x CELLS x centroids."""
@@ -93,8 +117,7 @@ class Cells:
         lower, upper = self.tables(centroids)
         least = np.zeros((len(packed), len(centroids)), np.int64)
         most = least.copy()
-        for d in range(len(self.low)):
-            cell = packed[:, d // 2] >> 4 if d % 2 == 0 else packed[:, d // 2] & 15
+        for d, cell in enumerate(self.unpacked(packed).T):
             least += lower[d][cell]
             most += upper[d][cell]
         best = most.argmin(1)
@@ -124,7 +147,7 @@ def _approximated(vectors: DataFrame, cells: Cells) -> DataFrame:
 
     @F.pandas_udf("binary")
     def pack(vec: pd.Series) -> pd.Series:
-        return pd.Series([row.tobytes() for row in cells.numbers(np.stack(vec.to_numpy()).astype(np.int64))], dtype=object) if len(vec) else pd.Series([], dtype=object)
+        return pd.Series([row.tobytes() for row in cells.packed(np.stack(vec.to_numpy()).astype(np.int64))], dtype=object) if len(vec) else pd.Series([], dtype=object)
 
     return vectors.select("vec_id", pack("vec").alias("cells"), "vec")
 

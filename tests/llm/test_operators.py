@@ -808,7 +808,7 @@ def test_registered_queries():
     from larder.llm import queries
 
     names = set(queries.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n != "pipeline"} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n != "pipeline"} and "pipeline" in names
     assert json.dumps(queries.oracle_sql()) is not None
 
 
@@ -825,6 +825,9 @@ CONTRACT = {
     "op8_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
     "op9_token_file": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op10_benchmark_decontamination": "doc_id bigint, item_id bigint",
+    "op11_license_scans": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
+    "op12_centroid_clustering": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+    "op13_ranked_lexical_search": "item_id bigint, rank int, doc_id bigint, score bigint",
     "pipeline": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
 }
 
@@ -839,6 +842,7 @@ def folders(spark, tmp_path_factory):
         "documents": spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in documents], DOC),
         "pages": spark.createDataFrame([(1, "u", None), (2, None, "<article><p>some words here.</p></article>"), (2, None, "<p>x</p>"), (3, "u", "y" * 1200), (4, "u", "y" * 1200)], "page_id long, url string, html string"),
         "benchmark": spark.createDataFrame([(1, "wholly other words of an item"), (2, None)], "item_id long, text string"),
+        "embeddings": spark.createDataFrame([(1, [0.1] * 64), (1, [0.1] * 64), (2, None), (3, [0.1] * 5), (None, [0.5] * 64)], "vec_id long, embedding array<float>"),
     }
     for name, table in rows.items():
         table.coalesce(1).write.parquet(f"{some}/{name}.parquet")
@@ -861,7 +865,9 @@ def test_contract_of_registered_queries(spark, folders, name):
         assert len(rows) == 5
     elif name in ("op3_packing", "pipeline"):
         assert sum(r.length for r in rows) == sum({(r.doc_id, r.sequence_id, r.offset): r.length for r in rows}.values()) > 0
-    elif name != "op10_benchmark_decontamination":
+    elif name == "op12_centroid_clustering":
+        assert len(rows) == 3 and {r.inertia for r in rows} == {0}
+    elif name not in ("op10_benchmark_decontamination", "op13_ranked_lexical_search"):
         assert len(rows) == 8 and Counter(r.doc_id for r in rows)[4] == 2
     if name == "op6_language_id":
         assert {r.lang_pred for r in rows if r.doc_id in (1, 2, 5)} == {"und"} and {r.held_out for r in rows if r.doc_id is None} == {False}
