@@ -61,7 +61,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     All rows stay; a null text stays null, with a null count; what the model accepts is learned from all documents here.
     """
     found = staged(spark, docs.withColumn("_spans", pii.finder()(F.col("text").cast("string"))), "candidates")
-    model = pii.fit(found.select(F.col("_spans").alias("spans")))
+    model = pii.fit(found.select("doc_id", F.col("_spans").alias("spans")))
     cleaned = found.withColumn("text", pii.redact(spark, model)(F.col("text").cast("string"), F.col("_spans")))
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
