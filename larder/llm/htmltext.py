@@ -36,7 +36,7 @@ EPOCHS = 25
 HIDDEN = 16
 PATH_BUCKETS, WORD_BUCKETS = 48, 64
 _CELLS_AT_ONCE = 20_000
-_MEMO_PATHS = 20_000
+_MEMO_CHARACTERS = 4_000_000
 _MEMO_WORDS = 200_000
 
 # HTML's element names.
@@ -51,6 +51,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSES["body"] = {"head"}
 _ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE) for tag in _RAW | _HIDDEN}
+_BARRIERS = _INTEGRATION | _BLOCKS
 _SCOPES = frozenset("ul ol dl table div article section aside nav header footer main form body".split())
 #: Words in tags, classes and ids for what a part of a page is; every category is one measure of a path.
 CATEGORIES = {
@@ -68,48 +69,132 @@ CATEGORIES = {
 _NAMES = list(CATEGORIES)
 _CATEGORY_OF = {word: k for k, words in enumerate(CATEGORIES.values()) for word in words}
 _TAGS = ("p", "li", "a", "td", "h1", "h2", "h3", "blockquote", "pre", "figcaption")
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_TAG_MARKS = re.compile(r"[>\"']")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class Path:
+    """The open block elements above a text, each "tag" or "tag.name.name", as a chain of shared nodes, so that a path costs one node however deep it is."""
+
+    __slots__ = ("parent", "label", "size", "in_main", "boilerplate", "vector", "_below")
+
+    def __init__(self, parent: Path | None = None, label: str = ""):
+        self.parent, self.label, self.vector, self._below = parent, label, None, {}
+        words = label.split(".")
+        self.size = parent.size + 1 if parent else 0
+        self.in_main = bool(parent) and (parent.in_main or words[0] in ("article", "main"))
+        self.boilerplate = bool(parent) and (parent.boilerplate or any(_CATEGORY_OF.get(w) for w in words))
+
+    def below(self, label: str) -> Path:
+        """The path with one more element; equal paths of one root are one object."""
+        if (node := self._below.get(label)) is None:
+            node = self._below[label] = Path(self, label)
+        return node
+
+    def __bool__(self) -> bool:
+        return True
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __iter__(self) -> Iterator[str]:
+        labels, node = [], self
+        while node.parent:
+            labels.append(node.label)
+            node = node.parent
+        return reversed(labels)
+
+
 class Block(NamedTuple):
-    path: tuple[str, ...]  # open elements, each "tag" or "tag.name.name"
+    path: Path
     text: str
     linked: int  # characters inside links
 
 
-def read_blocks(html: str) -> list[Block]:
+class _Open:
+    """The open elements of a page, with the places of each tag and of some groups of tags, so that none is ever searched for."""
+
+    def __init__(self, root: Path):
+        self.tags: list[str] = []
+        self.paths = [root]
+        self.places: dict[str, list[int]] = {}
+        self.scopes, self.foreign, self.barriers, self.hidden = self.groups = [], [], [], []
+
+    def push(self, tag: str, label: str) -> None:
+        place = len(self.tags)
+        self.tags.append(tag)
+        self.paths.append(self.paths[-1].below(label) if tag in _BLOCKS else self.paths[-1])
+        self.places.setdefault(tag, []).append(place)
+        for group, members in zip(self.groups, (_SCOPES, _FOREIGN, _BARRIERS, _HIDDEN), strict=True):
+            if tag in members:
+                group.append(place)
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.tags) > place:
+            self.places[self.tags.pop()].pop()
+            self.paths.pop()
+        for group in self.groups:
+            while group and group[-1] >= place:
+                group.pop()
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost of some tags, or -1."""
+        return max((own[-1] for tag in tags if (own := self.places.get(tag))), default=-1)
+
+    def in_scope(self, place: int) -> bool:
+        return place > (self.scopes[-1] if self.scopes else -1)
+
+
+def read_blocks(html: str, root: Path | None = None) -> list[Block]:
     """The page's leaf blocks in order, without the text of scripts, styles, comments, embedded objects and the head.
 
-    A hidden element that never ends hides nothing; one that ends does not end the block around it.
+    A hidden element that never ends hides nothing; one that ends does not end the block around it.  Time grows with the
+    page's length, whatever is unclosed in it.
     """
     blocks: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, tag with class and id words
+    stack = _Open(root or Path())
     parts: list[str] = []
     links = linked = 0
-    outside: tuple[str, ...] | None = None  # the path around a hidden element while in one
+    outside: Path | None = None  # the path around a hidden element while in one
     next_end: dict[str, tuple[int, int]] = {}
+    last_mark = html.rfind(">")  # no tag ends behind it
+    ends: dict[int, int] = {}  # from a quotation mark outside quotations to the end of its tag
 
-    def path() -> tuple[str, ...]:
-        return tuple(label for tag, label in stack if tag in _BLOCKS)
-
-    def end_block(around: tuple[str, ...] | None = None) -> None:
+    def end_block(around: Path | None = None) -> None:
         nonlocal linked
-        text = _SPACE.sub(" ", "".join(parts)).strip()
+        text = _SPACE.sub(" ", "".join(parts)).strip() if parts else ""
         if text:
-            blocks.append(Block(path() if around is None else around, text, min(linked, len(text))))
+            blocks.append(Block(stack.paths[-1] if around is None else around, text, min(linked, len(text))))
         parts.clear()
         linked = 0
 
     def ending(tag: str, at: int) -> int | None:
         """Where the element's next end tag ends, if there is one."""
         if next_end.get(tag, (0, 0))[0] < at:
-            found = _ENDS[tag].search(html, at)
+            found = _ENDS[tag].search(html, at, last_mark + 1)
             next_end[tag] = found.span() if found else (len(html), len(html) + 1)
         return next_end[tag][1] if next_end[tag][0] < len(html) else None
 
+    def tag_end(at: int) -> int:
+        """Place of the ">" behind a tag's attributes, which may be quoted, or -1."""
+        passed, end = [], -1
+        while at <= last_mark:
+            mark = _TAG_MARKS.search(html, at).start()
+            if html[mark] == ">" or mark in ends:
+                end = ends.get(mark, mark)
+                break
+            passed.append(mark)
+            close = html.find(html[mark], mark + 1)
+            if close < 0:
+                break
+            at = close + 1
+        ends.update(dict.fromkeys(passed, end))
+        return end
+
     def add(raw: str) -> None:
         nonlocal linked
         if outside is not None:
@@ -136,20 +221,20 @@ def read_blocks(html: str) -> list[Block]:
             end = html.find(">", start)
             at = end + 1 if end >= 0 else len(html)
             continue
-        found = _TAG.match(html, start)
-        if not found:
-            end = html.find(">", start) if html[start + 1 : start + 2].isalpha() or html.startswith("</", start) else -1
-            if end < 0:
+        found = _TAG.match(html, start) if start < last_mark else None
+        end = tag_end(found.end()) if found else -1
+        if end < 0:
+            if start < last_mark and (found or html.startswith("</", start)):
+                at = html.find(">", start) + 1
+            else:
                 add("<")
                 at = start + 1
-            else:
-                at = end + 1
             continue
-        at = found.end()
-        closing, tag, attributes = found[1], found[2].lower(), found[3]
+        closing, tag, attributes = found[1], found[2].lower(), html[found.end() : end]
+        at = end + 1
         empty = attributes.endswith("/")
         if tag in _RAW and not closing:
-            if not (empty and (tag not in _CODE or any(t in _FOREIGN for t, _ in stack))):
+            if not (empty and (tag not in _CODE or stack.foreign)):
                 end = ending(tag, at)
                 at = end or (len(html) if tag in _CODE else at)
             continue
@@ -160,54 +245,38 @@ def read_blocks(html: str) -> list[Block]:
             elif tag == "br":
                 parts.append(" ")
         if tag in _LEAVE_FOREIGN and not closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in _FOREIGN:
-                    del stack[depth:]
-                elif stack[depth][0] in _INTEGRATION or stack[depth][0] in _BLOCKS:
-                    break
+            while stack.foreign and stack.foreign[-1] > (stack.barriers[-1] if stack.barriers else -1):
+                stack.cut(stack.foreign[-1])
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
-                if stack[depth][0] in _SCOPES and tag not in _SCOPES:
-                    break
+            place = stack.last(tag)
+            if place >= 0 and (tag in _SCOPES or stack.in_scope(place)):
+                stack.cut(place)
         elif tag not in _VOID and not empty and (tag not in _HIDDEN or ending(tag, at)):
-            if tag in _CLOSES:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] in _CLOSES[tag]:
-                        del stack[depth:]
-                        break
-                    if stack[depth][0] in _SCOPES:
-                        break
+            if tag in _CLOSES and (place := stack.last(*_CLOSES[tag])) >= 0 and stack.in_scope(place):
+                stack.cut(place)
             named = [w.lower() for m in _NAMED.findall(attributes) for w in _PARTS.findall(" ".join(m))] if attributes else []
             if tag in _HIDDEN and outside is None:
-                outside = path()
-            stack.append((tag, ".".join([tag, *named])))
-        if around is not None and not any(t in _HIDDEN for t, _ in stack):
+                outside = stack.paths[-1]
+            stack.push(tag, ".".join([tag, *named]))
+        if around is not None and not stack.hidden:
             outside = None
             if tag in _BLOCKS:
                 end_block(around)
         if tag == "a":
-            links = sum(t == "a" for t, _ in stack)
+            links = len(stack.places.get("a", ()))
     end_block(outside)
     return blocks
 
 
-def _boilerplate(block: Block) -> bool:
-    """Below an element or class of any kind but article."""
-    return any(_CATEGORY_OF.get(w) for part in block.path for w in part.split("."))
-
-
 def weak_labels(blocks: list[Block]) -> list[int]:
-    """For each block of a page 1 if it is likely article, else 0."""
-    inside = [any(part.split(".")[0] in ("article", "main") for part in b.path) for b in blocks]
-    free = [not _boilerplate(b) for b in blocks]
+    """For each block of a page 1 if it is likely article, else 0.  Boilerplate is what is below an element or class of any kind but article."""
+    inside = [b.path.in_main for b in blocks]
+    free = [not b.path.boilerplate for b in blocks]
     if any(inside):
         return [int(i and f) for i, f in zip(inside, free, strict=True)]
     prose = [f and len(b.text.split()) >= 10 and 3 * b.linked < len(b.text) and any(c in b.text for c in ".!?") for b, f in zip(blocks, free, strict=True)]
-    containers = {b.path[:-1] for b, p in zip(blocks, prose, strict=True) if p}
-    return [int(p or f and b.path[:-1] in containers and 2 * b.linked < len(b.text)) for b, p, f in zip(blocks, prose, free, strict=True)]
+    containers = {id(b.path.parent) for b, p in zip(blocks, prose, strict=True) if p}
+    return [int(p or f and id(b.path.parent) in containers and 2 * b.linked < len(b.text)) for b, p, f in zip(blocks, prose, free, strict=True)]
 
 
 class _Vectors:
@@ -216,24 +285,27 @@ class _Vectors:
     size = len(_NAMES) + len(_TAGS) + PATH_BUCKETS + WORD_BUCKETS + 6
 
     def __init__(self) -> None:
-        self.paths: dict[tuple, np.ndarray] = {}
         self.words: dict[str, int] = {}
 
-    def _path(self, path: tuple[str, ...]) -> np.ndarray:
-        if path not in self.paths:
-            if len(self.paths) > _MEMO_PATHS:
-                self.paths.clear()
-            out = np.zeros(len(_NAMES) + len(_TAGS) + PATH_BUCKETS, np.float32)
-            for part in path:
-                tag, *named = part.split(".")
-                for word in (tag, *named):
-                    if word in _CATEGORY_OF:
-                        out[_CATEGORY_OF[word]] = 1
-                if tag in _TAGS:
-                    out[len(_NAMES) + _TAGS.index(tag)] = 1
-                out[len(_NAMES) + len(_TAGS) + zlib.crc32(part.encode()) % PATH_BUCKETS] = 0.3
-            self.paths[path] = out
-        return self.paths[path]
+    def _path(self, path: Path) -> np.ndarray:
+        """The parent's measures and the last element's; kept with the path."""
+        above = []
+        while path.vector is None and path.parent:
+            above.append(path)
+            path = path.parent
+        if path.vector is None:
+            path.vector = np.zeros(len(_NAMES) + len(_TAGS) + PATH_BUCKETS, np.float32)
+        for node in reversed(above):
+            out = path.vector.copy()
+            tag, *named = node.label.split(".")
+            for word in (tag, *named):
+                if word in _CATEGORY_OF:
+                    out[_CATEGORY_OF[word]] = 1
+            if tag in _TAGS:
+                out[len(_NAMES) + _TAGS.index(tag)] = 1
+            out[len(_NAMES) + len(_TAGS) + zlib.crc32(node.label.encode()) % PATH_BUCKETS] = 0.3
+            node.vector, path = out, node
+        return path.vector
 
     def _word(self, word: str) -> int:
         if (k := self.words.get(word)) is None:
@@ -274,7 +346,7 @@ class Labeller:
     def _sigmoid(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def _run(self, side: str, x: np.ndarray, live: np.ndarray):
+    def _run(self, side: str, x: np.ndarray, live: np.ndarray, learn: bool = True):
         """x: time, page, measure; live: time, page.  The states, and what learning needs of every step."""
         h = np.zeros((x.shape[1], self.hidden), np.float32)
         c, n, trace = h, self.hidden, []
@@ -288,13 +360,14 @@ class Labeller:
             c2 = np.where(on, f * c + i * new, c)
             tanh = np.tanh(c2)
             h2 = np.where(on, o * tanh, h)
-            trace.append((t, h, c, i, f, o, new, tanh, on))
+            if learn:
+                trace.append((t, h, c, i, f, o, new, tanh, on))
             h, c, states[t] = h2, c2, h2
         return states, trace
 
-    def forward(self, x: np.ndarray, live: np.ndarray):
-        left, left_trace = self._run("l", x, live)
-        right, right_trace = self._run("r", x, live)
+    def forward(self, x: np.ndarray, live: np.ndarray, learn: bool = True):
+        left, left_trace = self._run("l", x, live, learn)
+        right, right_trace = self._run("r", x, live, learn)
         both = np.concatenate([left, right], axis=2)
         return self._sigmoid(both @ self.p["o"] + self.p["ob"][0]), both, left_trace, right_trace
 
@@ -342,7 +415,7 @@ class Labeller:
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: -len(pages[k]))
         while order:
             some, order = order[: (n := max(1, _CELLS_AT_ONCE // len(pages[order[0]])))], order[n:]
-            scores = self.forward(*padded([pages[k] for k in some]))[0]
+            scores = self.forward(*padded([pages[k] for k in some]), learn=False)[0]
             for column, k in enumerate(some):
                 out[k] = scores[: len(pages[k]), column] >= 0.5
         return out
@@ -359,8 +432,21 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _spliced(blocks: list[Block], labels: list[int], pool: list[str], rng: random.Random) -> tuple[list[Block], list[int]]:
     """A copy of a page in another layout: plain containers for the article's tags, boilerplate of some kinds spliced in."""
     plain = rng.choice([None, "div.content", "div.post", "section", "div"])
-    renamed = lambda part: plain if plain and part.split(".")[0] in ("article", "main") else part
-    out = [(b._replace(path=tuple(map(renamed, b.path))), y) for b, y in zip(blocks, labels, strict=True)]
+    copies: dict[int, Path] = {}
+    root = Path()
+
+    def renamed(path: Path) -> Path:
+        """Its copy below ``root``; of nodes that were met before, the one that was made then."""
+        above = []
+        while path.parent and id(path) not in copies:
+            above.append(path)
+            path = path.parent
+        copy = copies[id(path)] if path.parent else root
+        for node in reversed(above):
+            copy = copies[id(node)] = copy.below(plain if plain and node.label.split(".")[0] in ("article", "main") else node.label)
+        return copy
+
+    out = [(b._replace(path=renamed(b.path)), y) for b, y in zip(blocks, labels, strict=True)]
     inside = [k for k, (_, y) in enumerate(out) if y]
     for _ in range(rng.randint(1, 4)):
         kind = rng.choice(_NAMES[1:])
@@ -369,11 +455,11 @@ def _spliced(blocks: list[Block], labels: list[int], pool: list[str], rng: rando
         part = tag if tag == word else f"{tag}.{word}"
         within = inside and rng.random() < 0.5  # in the article, else before or behind it
         k = rng.choice(inside) + rng.randint(0, 1) if within else rng.choice([0, len(out)])
-        near = out[min(k, len(out) - 1)][0].path if within else ("html", "body")
-        above = near[: max(2, len(near) - 1)] if within else near
+        near = out[min(k, len(out) - 1)][0].path if within else root.below("html").below("body")
+        above = near.parent if within and len(near) > 2 else near
         texts = [" ".join(rng.choice(pool).split()[: rng.randint(1, 40 if kind in ("comments", "notice", "sidebar") else 12)]) for _ in range(rng.randint(1, 4))]
         leaf = rng.choice(["p", "li", None])
-        path = (*above, part, leaf) if leaf else (*above, part)
+        path = above.below(part).below(leaf) if leaf else above.below(part)
         out[k:k] = [(Block(path, t, len(t) if leaf == "li" and kind in ("navigation", "sidebar") else 0), 0) for t in texts if t]
         inside = [j for j, (_, y) in enumerate(out) if y]
     if not out:
@@ -399,7 +485,7 @@ def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Labeller:
     read = [b for html in training_pages(pages, train_pages) if (b := read_blocks(html))]
     labels = [weak_labels(b) for b in read]
     if not any(map(any, labels)):
-        labels = [[int(not _boilerplate(x)) for x in b] for b in read]
+        labels = [[int(not x.path.boilerplate) for x in b] for b in read]
     pool = [x.text for b in read for x in b]
     rng, vectors, model = random.Random(1), _Vectors(), Labeller(_Vectors.size)
     data = [s for b, y in zip(read, labels, strict=True) for s in ((b, y), _spliced(b, y, pool, rng), _spliced(b, y, pool, rng))]
@@ -419,11 +505,15 @@ def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Labeller:
 
 def _text_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, vectors = shared.value, _Vectors()
+        model, vectors, root, read = shared.value, _Vectors(), Path(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                pages = [read_blocks(h) for h in some.column(2).fill_null("").to_pylist()]
+                some, pages = batch.slice(at, 512), []
+                for h in some.column(2).fill_null("").to_pylist():
+                    if read > _MEMO_CHARACTERS:  # a path is never longer than what it was read from
+                        root, read = Path(), 0
+                    read += len(h)
+                    pages.append(read_blocks(h, root))
                 labels = model.label([vectors.of(b) for b in pages])
                 texts = ["\n".join(b.text for b, y in zip(page, label, strict=True) if y) for page, label in zip(pages, labels, strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
