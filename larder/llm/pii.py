@@ -312,9 +312,13 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def fit(found: DataFrame, train_spans: int = TRAIN_SPANS) -> Classifier:
-    """Learn from the candidates in ``spans``: from the counts of all vote patterns, and from the features of a bounded sample."""
+    """Learn from the candidates in ``spans`` of each ``doc_id``: from the counts of all vote patterns, and from the features of a bounded sample.
+
+    The sample is chosen by a hash of doc_id and place, so it does not depend on how the rows are laid out.
+    """
     starts = F.when(F.size("spans") > 0, F.sequence(F.lit(0), F.size("spans") - 1, F.lit(WIDTH)))
-    each = found.select("spans", F.explode(starts).alias("at")).select(F.slice("spans", F.col("at") + 4, WIDTH - 3).alias("row"), F.col("spans")[F.col("at")].alias("kind"), F.rand(17).alias("dice"))
+    dice = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("spans")[F.col("at") + 1], F.lit("spans")), F.lit(1 << 20)) / (1 << 20)
+    each = found.select("doc_id", "spans", F.explode(starts).alias("at")).select(F.slice("spans", F.col("at") + 4, WIDTH - 3).alias("row"), F.col("spans")[F.col("at")].alias("kind"), dice.alias("dice"))
     counts = {row["pattern"]: row["count"] for row in each.groupBy(F.col("row")[0].alias("pattern")).count().toLocalIterator()}
     if not counts:
         return Classifier({}, [])
