@@ -70,26 +70,45 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(gram, pa.string()), pa.array(total.values(), pa.int64())], ["lang", "size", "gram", "n"])
 
 
+class Entries:
+    """Log frequencies of words, or of n-grams of a size, in each language.
+
+    Most entries are of few languages, so only those are kept: for each language the log frequency of an entry that it
+    does not have, and for each entry and language that has it how much more it is.
+    """
+
+    def __init__(self, texts: list[str], entry: np.ndarray, lang: np.ndarray, count: np.ndarray, languages: int):
+        self.table = runs.Table()
+        if texts:
+            self.table.add(runs.hash_of(texts), np.arange(len(texts)))
+        total = np.bincount(lang, count, languages) + SMOOTHING * len(texts)
+        self.floor = np.log(SMOOTHING / np.maximum(total, SMOOTHING))
+        self.first = np.searchsorted(entry, np.arange(len(texts) + 1))  # entries come in order
+        self.lang, self.more = lang.astype(np.int32), np.log((count + SMOOTHING) / SMOOTHING).astype(np.float32)
+
+    def sums(self, group: np.ndarray, rows: np.ndarray, groups: int) -> np.ndarray:
+        """groups x languages: what entries ``rows``, each of a group, add up to."""
+        languages, size = len(self.floor), self.first[rows + 1] - self.first[rows]
+        at = np.repeat(self.first[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        more = np.bincount(np.repeat(group, size) * languages + self.lang[at], self.more[at], groups * languages)
+        return more.reshape(groups, languages) + np.bincount(group, minlength=groups)[:, None] * self.floor
+
+
 class Model:
-    """Log frequencies of words and n-grams in each language: a table of hashes for each size, and a row for each entry."""
+    """The entries of each size; 0 for whole words."""
 
     def __init__(self, languages: list[str], found: pa.Table | None = None):
         self.languages = sorted(languages)
-        self.tables, self.logs = {}, {}
+        place = {lang: k for k, lang in enumerate(self.languages)}
         if found is not None:
             found = found.sort_by([("size", "ascending"), ("gram", "ascending"), ("lang", "ascending")])
+        self.entries = {}
         for size in (0, *GRAM_SIZES):
             own = None if found is None else found.filter(pa.compute.equal(found.column("size"), size))
             encoded = pa.array([], pa.string()).dictionary_encode() if own is None else own.column("gram").combine_chunks().dictionary_encode()
-            texts = encoded.dictionary.to_pylist()
-            counts = np.full((len(texts), len(self.languages)), SMOOTHING)
-            self.tables[size] = runs.Table()
-            if texts:
-                place = {lang: k for k, lang in enumerate(self.languages)}
-                lang = np.array([place[x] for x in own.column("lang").to_pylist()])
-                np.add.at(counts, (encoded.indices.to_numpy(), lang), own.column("n").to_numpy())
-                self.tables[size].add(runs.hash_of(texts), np.arange(len(texts)))
-            self.logs[size] = np.log(counts / counts.sum(0)).astype(np.float32)
+            lang = np.array([] if own is None else [place[x] for x in own.column("lang").to_pylist()], np.int64)
+            count = np.array([] if own is None else own.column("n").to_numpy(), np.float64)
+            self.entries[size] = Entries(encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False), lang, count, len(self.languages))
 
 
 class Predictor:
@@ -112,12 +131,11 @@ class Predictor:
             count = np.maximum(end[left] + marks - size + 1 - first, 0)
             word = np.repeat(left, count)
             at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-            rows = self.model.tables[size].find(runs.hashes(codes, at, at + size))
+            rows = self.model.entries[size].table.find(runs.hashes(codes, at, at + size))
             word, rows = word[rows >= 0], rows[rows >= 0]
             hits = np.bincount(word, minlength=len(begin))
             some = np.flatnonzero(hits)
-            for k in range(len(self.model.languages)):
-                out[some, k] = np.bincount(word, self.model.logs[size][rows, k], len(begin))[some] / hits[some]
+            out[some, :-1] = self.model.entries[size].sums(np.searchsorted(some, word), rows, len(some)) / hits[some, None]
             out[some, -1] = marks
             left = left[hits[left] == 0]
         return out
@@ -129,9 +147,9 @@ class Predictor:
         begin, end = runs.runs(codes > 0)
         sums = np.zeros((len(begin), len(self.model.languages) + 1))
         keys = runs.hashes(codes, begin, end)
-        number = self.model.tables[0].find(keys)
+        number = self.model.entries[0].table.find(keys)
         seen = np.flatnonzero(number >= 0)
-        sums[seen, :-1], sums[seen, -1] = self.model.logs[0][number[seen]], 1
+        sums[seen, :-1], sums[seen, -1] = self.model.entries[0].sums(np.arange(len(seen)), number[seen], len(seen)), 1
         unseen = np.flatnonzero(number < 0)
         if self.used > MEMO_WORDS:
             self._forget()
