@@ -126,10 +126,13 @@ def _linked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def close_links(vertices: DataFrame) -> DataFrame:
     """a > b, doc_ids of fingerprints at most three bits apart; enough of them to connect all that are."""
     masks = F.array(*[F.lit(m).cast("long") for m in _block_masks()])
-    keyed = vertices.select("name", "bits", F.posexplode(masks).alias("mask", "of")).select("mask", F.col("bits").bitwiseAND(F.col("of")).alias("key"), "bits", "name")
-    sizes = keyed.groupBy("mask", "key").count().where("count > 1")
-    met = keyed.join(sizes, ["mask", "key"])
-    side = F.ceil(F.col("count") / CELL).cast("int")
+    bucket = F.struct("mask", F.col("bits").bitwiseAND(F.col("of")).alias("key")).alias("bucket")
+    keyed = vertices.select("name", "bits", F.posexplode(masks).alias("mask", "of")).select(bucket, "bits", "name")
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
+    # A bucket with a share of the fingerprints meets its size in every task; only then is it cut into cells.
+    met = join_groups(keyed, staged(vertices.sparkSession, sizes, "buckets"), "bucket").where("size is not null")
+    met = met.select("bucket.*", "bits", "name", "size")
+    side = F.ceil(F.col("size") / CELL).cast("int")
     own = F.pmod(F.xxhash64("bits", "mask"), side).cast("int")
     cells = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), side - 1)))
     cells = cells.select("mask", "key", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"), "bits", "name")
