@@ -6,6 +6,7 @@ import json
 import random
 import re
 import tarfile
+import time
 import zlib
 from collections import Counter
 from functools import cache
@@ -233,10 +234,10 @@ def test_every_word_and_gram_of_the_sample_is_kept(spark):
     rows = [(k, " ".join(some), lang) for lang, all_ in words.items() for k, some in enumerate(itertools.batched(sorted(all_), 1000)) if zlib.crc32(str(k).encode()) % 4 != 2]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     learnt = {w for _, text, _ in rows for w in text.split()}
-    assert model.tables[0].size == len(learnt) and sum(t.size for t in model.tables.values()) > 200_000
+    assert model.entries[0].table.size == len(learnt) and sum(e.table.size for e in model.entries.values()) > 200_000
     for size in langid.GRAM_SIZES:
         known = {g for w in learnt for g in langid.grams(w, size)}
-        assert model.tables[size].size == len(known) and (model.tables[size].find(runs.hash_of(sorted(known))) >= 0).all()
+        assert model.entries[size].table.size == len(known) and (model.entries[size].table.find(runs.hash_of(sorted(known))) >= 0).all()
 
 
 def plain_model(rows):
@@ -741,6 +742,18 @@ def test_embedded_elements_do_not_cut_the_text():
     assert len(text("<p>a<iframe>" * 20_000)) == 20_000  # in linear time
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<span>x", "<b>x", "<div>x", '<a ">"', "<span></b>", "</script ", "<p><li>x</ul>", "<object>x", "<svg>x<p>", '<a "'])
+def test_malformed_pages_take_linear_time(unit):
+    took = []
+    for size in (100_000, 400_000):
+        html = unit * (size // len(unit)) + "'"
+        began = time.process_time()
+        blocks = htmltext.read_blocks(html)
+        htmltext.weak_labels(blocks)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.3
+
+
 def test_html_of_odd_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "no tags"), (3, "u", "no tags"), (None, "u", "<article><p>x</p></article>"), (5, "u", "<article>" + "<p>word here.</p>" * 3000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))

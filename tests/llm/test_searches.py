@@ -253,3 +253,30 @@ def test_best(rows, k):
     scores, ids = np.array([s for s, _ in rows], np.int64), np.array([i for _, i in rows], np.int64)
     top = lexical.best(ids, scores, k)
     assert [(scores[i], ids[i]) for i in top] == [(-s, i) for s, i in sorted((-s, i) for s, i in rows)[:k]]
+
+
+# Earlier operators: what does not depend on the layout, and sizes
+
+
+def test_the_span_classifier_does_not_depend_on_the_layout(spark):
+    from larder.llm import pii
+
+    rows = [(i, f"mail a{i}@b{i % 7}.org or ring +44 20 {7000 + i} 1234, Mr John Smith{i}, key AKIA{i:016d} at 10.0.{i % 250}.7") for i in range(400)]
+    found = pii.candidates(spark.createDataFrame(rows, DOC))
+    fits = [pii.fit(found.repartition(n), train_spans=20) for n in (2, 7)]
+    flat = [r.spans for r in found.limit(50).collect()]
+    assert [list(fits[0].accepts(f)) for f in flat] == [list(fits[1].accepts(f)) for f in flat]
+
+
+def test_the_language_model_follows_what_languages_have(spark):
+    import pickle
+
+    from larder.llm import langid
+
+    rng, letters = random.Random(1), "abcdefghijklmnop"
+    rows = [(lang * 50 + k, " ".join("".join(rng.choices(letters, k=6)) for _ in range(40)), f"l{lang:03d}") for lang in range(120) for k in range(4)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    entries = sum(len(e.lang) for e in model.entries.values())
+    assert len(model.languages) > 100 and len(pickle.dumps(model)) < 60 * entries + 2_000_000
+    dense = sum(e.table.size for e in model.entries.values()) * len(model.languages)
+    assert entries < dense / 5
