@@ -116,6 +116,17 @@ def number_text(value: Column) -> Column:
     return F.concat(F.when(half_up(value) < 0, F.lit("−")).otherwise(F.lit("")), size)
 
 
+def plain_number(value: Column) -> Column:
+    """Shortest text of a number with at most two decimals, for files."""
+    return F.replace(number_text(value), F.lit("−"), F.lit("-"))
+
+
+def uri_component(text: Column) -> Column:
+    """Percent-encoded but for letters, digits and -_.!~*'()."""
+    kept = (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~"))
+    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), kept, F.url_encode(text))
+
+
 def tidy_number(value: Column, unit: Column) -> Column:
     """Left-to-right mark, number, and the unit after a thin space if it is a standard one, else a space."""
     standard = F.lower(unit).isin("kcal", "kj", "g", "mg", "µg", "kg", "lb", "cm", "ml", "cl", "l", "%")

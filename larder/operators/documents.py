@@ -88,6 +88,13 @@ def edited(items: Column, edits: Column) -> Column:
     return F.aggregate(edits, items, step)
 
 
+def moved(items: Column, start: Column, to: Column) -> Column:
+    """Items with the one at place ``start`` (from 0) dragged to place ``to``, of the others' places counted without it; a place that is not there changes nothing."""
+    own, rest = F.get(items, start), F.filter(items, lambda _, i: i != start)
+    there = start.between(0, F.size(items) - 1) & to.between(0, F.size(items) - 1)
+    return F.when(there, F.concat(F.slice(rest, F.lit(1), to), F.array(own), F.slice(rest, to + 1, F.size(items)))).otherwise(items)
+
+
 def apply_edits(entries: DataFrame, log: DataFrame, key: str = "entry") -> DataFrame:
     """Entries (key, items) after a log of edits (key, seq, op, place, item, group, to), each entry's in the order of seq.
 

@@ -108,6 +108,33 @@ def may_rename(names: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(taken, "new", "left").select("old", "new", F.col("_taken").isNull().alias("allowed"))
 
 
+QUICK_ADD = "quick-add"
+
+
+def with_quick_add(foods: DataFrame) -> tuple[DataFrame, int]:
+    """Foods with the reserved one that stands for plain energy (a kcal a portion, archived), and its id; added behind the last id where it is missing."""
+    there = foods.where(F.col("barcode") == QUICK_ADD).agg(F.min("id")).first()[0]
+    if there is not None:
+        return foods, there
+    new = last_id(foods) + 1
+    values = {"id": F.lit(new), "barcode": F.lit(QUICK_ADD), "name": F.lit("Quick Add"), "portion": F.lit(1.0), "nutrition": F.create_map(F.lit("calories"), F.lit(1.0)), "archived": F.lit(True)}
+    row = foods.sparkSession.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in foods.schema])
+    return foods.unionByName(row), new
+
+
+def quick_added(rows: DataFrame, food_id: int, energy: Column, unit: Column) -> DataFrame:
+    """Diary items of plain energy, in kcal or kJ; burned energy is negative; what is no number is left out."""
+    kcal = convert_unit(energy, unit, F.lit("kcal"))
+    return rows.withColumns({"food_id": F.lit(food_id), "portion": F.lit(1.0), "quantity": kcal}).where(F.col("quantity").isNotNull() & ~F.isnan("quantity"))
+
+
+def imported(foods: DataFrame, new: DataFrame, stamp: Column) -> DataFrame:
+    """Foods of an import (without ids) as they are stored: with id and visibility of the first food with their barcode that is not archived, else new and hidden; stamped."""
+    known = foods.where("not archived and barcode is not null").groupBy("barcode").agg(F.min_by(F.struct("id", "hidden"), "id").alias("_known"))
+    met = new.drop("id", "hidden").join(known, "barcode", "left")
+    return met.withColumns({"id": F.col("_known.id"), "hidden": F.coalesce("_known.hidden", F.lit(True)), "date_time": stamp}).drop("_known")
+
+
 def new_activities(fetched: DataFrame, stored: DataFrame) -> DataFrame:
     """Items of burned energy for fetched activities that are not stored yet.
 

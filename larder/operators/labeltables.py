@@ -375,6 +375,28 @@ def table_bounds(lines: DataFrame) -> DataFrame:
     )
 
 
+def best_columns(values: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """image_id, column, basis, n (values): the column of each label that is shown first, from its values (image_id, column, basis, key).
+
+    The fullest one per 100 g or ml; without such a column the fullest of the first column's basis; of equal ones the
+    first.  ``before`` (image_id, basis) is what was shown before more was read: the first column of that basis is kept.
+    """
+    counted = values.groupBy("image_id", "column", "basis").agg(F.count("*").alias("n"))
+    each = counted.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("column", "basis", "n"))).alias("all"))
+    hundred = F.exists("all", lambda c: F.coalesce(c["basis"] == "100", F.lit(False)))
+    basis = F.when(hundred, "100").otherwise(F.get("all", F.lit(0))["basis"])
+    each = each.withColumn("wanted", basis)
+    own = F.filter("all", lambda c: c["basis"].eqNullSafe(F.col("wanted")))
+    best = F.array_min(F.transform(own, lambda c: F.struct((-c["n"]).alias("less"), c["column"].alias("column"), c["basis"].alias("basis"), c["n"].alias("n"))))
+    chosen = F.struct(best["column"].alias("column"), best["basis"].alias("basis"), best["n"].alias("n"))
+    if before is not None:
+        shown = before.where("basis is not null").select("image_id", F.col("basis").alias("shown"))
+        each = each.join(shown, "image_id", "left")
+        same = F.try_element_at(F.filter("all", lambda c: c["basis"] == F.col("shown")), F.lit(1))
+        chosen = F.coalesce(same, chosen)
+    return each.select("image_id", chosen.alias("c")).select("image_id", "c.*")
+
+
 def reviewed(values: DataFrame, edits: DataFrame, basis: DataFrame) -> DataFrame:
     """A label's values as the user confirmed them: the column of the chosen basis, with edits (image_id, key, text) that are
     numbers in place of what was read; an edit that is none leaves the nutrient out."""
@@ -382,3 +404,8 @@ def reviewed(values: DataFrame, edits: DataFrame, basis: DataFrame) -> DataFrame
     typed = edits.select("image_id", "key", leading_number(F.col("text")).alias("_typed"), F.lit(True).alias("_edited"))
     both = chosen.select("image_id", "key", "value").join(typed, ["image_id", "key"], "full")
     return both.select("image_id", "key", F.when(F.col("_edited"), F.col("_typed")).otherwise(F.col("value")).alias("value")).where("value is not null")
+
+
+def reviewed_serving(typed: DataFrame) -> DataFrame:
+    """image_id, amount, unit: the serving that the user confirmed, from the texts (portion, unit) of the review; none where the portion is empty."""
+    return typed.where("coalesce(portion, '') <> ''").select("image_id", leading_number(F.col("portion")).alias("amount"), F.trim("unit").alias("unit"))

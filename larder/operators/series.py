@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.scalars import half_up
+from larder.functions.scalars import convert_unit, half_up
+from larder.sources.shared import staged
 
 
 def kept(series: DataFrame) -> DataFrame:
@@ -47,6 +48,19 @@ def average(series: DataFrame, keys: list[str]) -> DataFrame:
     return kept(series).groupBy(*keys).agg(F.count("value").alias("days"), half_up(mean, 3).alias("average"))
 
 
+def statistic(series: DataFrame, keys: list[str], unit: Column | None = None, shown_in: Column | None = None, period: int = 7) -> DataFrame:
+    """keys, day, index, value, moving, average, slope, intercept: all that a chart of a statistic shows.
+
+    Values are converted from ``unit`` to the one they are shown in; days without a value, or with 0, are gaps; the average
+    is of the unrounded values, the moving one and the trend (null for a single value) of the rounded ones.
+    """
+    if unit is not None:
+        series = series.withColumn("value", convert_unit(F.col("value"), unit, shown_in))
+    days = kept(series.select(*keys, "day", "value"))
+    filled = moving_average(gap_fill(days, keys), keys, period)
+    return filled.join(average(days, keys).drop("days"), keys).join(trend(filled, keys), keys, "left")
+
+
 def gap_clusters(rows: DataFrame, keys: list[str], place: str, tolerance: float) -> DataFrame:
     """Adds ``cluster``: numbered islands of ``place`` whose neighbours are at most ``tolerance`` apart."""
     window = Window.partitionBy(*keys).orderBy(place)
@@ -59,18 +73,29 @@ def gap_clusters(rows: DataFrame, keys: list[str], place: str, tolerance: float)
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], place: str) -> DataFrame:
     """left's id with ``nearest``: right's id at the nearest ``place`` of the same keys; the smaller id on ties.
 
-    Both have keys, id and place.  Rows are merged in order and each looks back and ahead for its neighbours, so pairs are
-    never formed; a group is sorted once in each direction and streamed.
+    Both have keys, id and place.  Rows are merged in the order of keys and places over as many partitions as there are, so
+    a key with most of the rows is in many; in each, rows look back and ahead for their neighbours.  What lies beyond a
+    partition's ends is carried over from the nearest partition of the same keys that has a neighbour: one row for each
+    key and partition.
     """
     there = right.groupBy(*keys, place).agg(F.min("id").alias("id"))
     there = there.select(*keys, place, F.lit(None).cast("long").alias("id"), F.struct(F.col(place).alias("at"), F.col("id").alias("other")).alias("near"))
     both = left.select(*keys, place, F.col("id").cast("long").alias("id"), F.lit(None).cast(there.schema["near"].dataType).alias("near")).union(there)
+    # Written once, since sampled ranges need not come out alike a second time.
+    both = staged(both.repartitionByRange(*keys, place).withColumn("_part", F.spark_partition_id()), "nearest")
     first = F.col("id").isNotNull()  # neighbours at the same place come before the rows that look for them
 
     def look(order: Column) -> Column:
-        window = Window.partitionBy(*keys).orderBy(order, first).rowsBetween(Window.unboundedPreceding, 0)
+        window = Window.partitionBy(*keys, "_part").orderBy(order, first).rowsBetween(Window.unboundedPreceding, 0)
         return F.last("near", ignorenulls=True).over(window)
 
+    ends = both.groupBy(*keys, "_part").agg(F.min("near").alias("_first"), F.max("near").alias("_last"))  # in the order of places
+    part = Window.partitionBy(*keys).orderBy("_part")
+    carried = ends.select(
+        *keys, "_part", F.last("_last", ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", ignorenulls=True).over(part.rowsBetween(1, Window.unboundedFollowing)).alias("_behind"),
+    )
     found = both.withColumn("below", look(F.col(place).asc())).withColumn("above", look(F.col(place).desc())).where("id is not null")
+    found = found.join(carried, [*keys, "_part"]).withColumns({"below": F.coalesce("below", "_before"), "above": F.coalesce("above", "_behind")})
     far = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(place) - F.col(f"{side}.at")).alias("far"), F.col(f"{side}.other").alias("other")))
     return found.select("id", F.least(far("below"), far("above"))["other"].alias("nearest"))

@@ -184,13 +184,3 @@ def manual_order(spark, d):
     return entries.select("entry", F.posexplode("items").alias("place", "item")).select("entry", "item.id", "place")
 
 
-@query("""SELECT "user", day, '{"user":' || CAST("user" AS VARCHAR) || ',"totals":[' || totals || ']}' AS payload FROM (SELECT "user", day, string_agg('{"nutrient":"' || nutrient || '","total":' || total || '}', ',' ORDER BY nutrient) AS totals FROM
- (SELECT "user", day, nutrient, CAST(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS BIGINT) AS VARCHAR) AS total FROM summed WHERE amount >= 0 GROUP BY "user", day, nutrient) GROUP BY "user", day)""", "summed")
-def statistics_payload(spark, d):
-    """What is sent of each user's day: whole totals of its nutrients as JSON."""
-    from larder.operators.nutrition import total_nutrition
-
-    totals = total_nutrition(V.diary_items(spark, d), V.known_foods(spark, d), ["user", "day"], "ignore")
-    entry = F.struct("nutrient", F.round(F.col("total").cast("decimal(18,2)"), 0).cast("long").alias("total"))
-    days = totals.groupBy("user", "day").agg(F.array_sort(F.collect_list(entry)).alias("totals"))
-    return days.select("user", "day", F.to_json(F.struct("user", "totals")).alias("payload"))

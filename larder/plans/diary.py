@@ -133,16 +133,6 @@ def move_group(spark, d):
     return V.diary_items(spark, d).select("entry", "food_id", category.alias("category"))
 
 
-@query("""SELECT "user", day, string_agg(CAST(round_total AS VARCHAR), ';' ORDER BY nutrient) AS line FROM
- (SELECT "user", day, nutrient, CAST(CAST(total AS DECIMAL(18, 2)) AS VARCHAR) AS round_total FROM day_totals WHERE nutrient IN ('calories', 'fat', 'proteins', 'carbohydrates')) GROUP BY ALL""", "day_totals")
-def diary_csv(spark, d):
-    """A line of the diary's CSV export for each day, its columns in alphabetical order."""
-    totals = _day_totals(spark, d).where(F.col("nutrient").isin("calories", "fat", "proteins", "carbohydrates"))
-    cell = F.struct("nutrient", F.col("total").cast("decimal(18,2)").cast("string").alias("text"))
-    line = F.concat_ws(";", F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["text"]))
-    return totals.groupBy("user", "day").agg(line.alias("line"))
-
-
 # Goals
 
 

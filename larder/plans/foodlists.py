@@ -216,13 +216,6 @@ def expand_selection(spark, d):
     return rows.select(F.col("l_orderkey").alias("entry"), F.explode(parts).alias("food_id"), F.col("l_linenumber").alias("place"), (F.col("l_partkey") % 3 == 0).alias("exploded"))
 
 
-@query("SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(CASE WHEN event_type = 'click' THEN -value ELSE value END AS DECIMAL(24, 6))) AS DOUBLE) AS calories FROM events GROUP BY ALL")
-def quick_add_energy(spark, d):
-    """Quick-add rows carry kcal as quantity; activities count negative."""
-    value = F.when(F.col("event_type") == "click", -F.col("value")).otherwise(F.col("value"))
-    return V.table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.sum(value.cast("decimal(24,6)")).cast("double").alias("calories"))
-
-
 @query("SELECT food_id AS id, CASE nutrient WHEN 'proteins' THEN 'protein' WHEN 'carbohydrates' THEN 'carbs' ELSE nutrient END AS nutrient, value FROM nutrients WHERE nutrient <> 'kilojoules'", "nutrients")
 def migrate_nutrients(spark, d):
     old = {"proteins": "protein", "carbohydrates": "carbs"}
@@ -239,15 +232,6 @@ def import_foods_validate(spark, d):
     return rows.select("id", status.alias("status")).select("id", "status", F.when(F.col("status") == "ok", F.concat(F.lit("custom_"), F.col("id").cast("string"))).alias("barcode"))
 
 
-@query("SELECT id, 'code=' || barcode || '&product_name=' || replace(name, ' ', '+') || '&nutriment_fat=' || CAST(CAST(fat AS DECIMAL(18, 2)) AS VARCHAR) AS upload FROM foods WHERE name IS NOT NULL AND barcode <> ''", "foods")
-def upload_string(spark, d):
-    from larder.sources.exchange import upload_string as build
-
-    rows = V.foods(spark, d).where("name IS NOT NULL AND barcode <> ''")
-    fields = {"code": F.col("barcode"), "product_name": F.col("name"), "nutriment_fat": F.col("nutrition")["fat"].cast("decimal(18,2)").cast("string")}
-    return rows.select("id", build(fields).alias("upload"))
-
-
 @query("SELECT id, list_aggregate(xs, 'sum') AS total, len(list_filter(xs, lambda x: x > 5)) AS large, list_contains(xs, 0.5e0) AS has_half FROM (SELECT id, [fat, sugars, carbohydrates] AS xs FROM foods)", "foods")
 def hof_suite(spark, d):
     n = F.col("nutrition")

@@ -95,4 +95,4 @@ def query(sql: str | None = None, views: str = ""):
 
 
 # Modules that register queries; at the end, as they import this one.
-from larder.plans import changes, diary, documents, foodlists, scalars, texts  # noqa: E402, F401
+from larder.plans import changes, diary, documents, exports, foodlists, scalars, texts  # noqa: E402, F401

@@ -170,26 +170,39 @@ def topk_nearest(spark, d):
     return rows.withColumn("place", place).where("place <= 3").select("label", "vec_id")
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_size > 40 THEN 'large' WHEN p_size > p_partkey % 30 THEN 'serving' ELSE '100g' END AS serving FROM part")
-def argmax_portion(spark, d):
-    """The serving of the greatest weight."""
-    size = F.col("p_size")
-    servings = F.array(F.struct(F.when(size > 40, 1000).otherwise(-1).alias("grams"), F.lit("large").alias("name")), F.struct(size.alias("grams"), F.lit("serving").alias("name")), F.struct((F.col("p_partkey") % 30).cast("int").alias("grams"), F.lit("100g").alias("name")))
-    best = F.aggregate(servings, servings[2], lambda a, x: F.when(x["grams"] > a["grams"], x).otherwise(a))
-    best = F.when(size > 40, servings[0]).otherwise(best)
-    return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), best["name"].alias("serving"))
-
-
-@query("SELECT l_orderkey AS label, arg_max(l_linenumber, 1000 * CAST(l_returnflag = 'R' AS INTEGER) + l_quantity * 10 - l_linenumber / 10.0 - l_partkey * 1e-9 - l_suppkey * 1e-15) AS best FROM lineitem GROUP BY 1")
-def best_column(spark, d):
-    """The column with basis 100 first, then the one with most values."""
-    place = F.lit(1000) * (F.col("l_returnflag") == "R").cast("int") + F.col("l_quantity") * 10 - F.col("l_linenumber") / 10.0 - F.col("l_partkey") * 1e-9 - F.col("l_suppkey") * 1e-15
-    return V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("label")).agg(F.max_by("l_linenumber", place).alias("best"))
-
-
 @query("SELECT c_custkey AS id, CASE WHEN c_acctbal > 0 THEN CAST(CAST(floor(c_acctbal / 9 + 0.5e0) AS BIGINT) AS VARCHAR) || 'f / ' || CAST(CAST(floor(c_acctbal / 4 + 0.5e0) AS BIGINT) AS VARCHAR) || 'c' END AS footer FROM customer")
 def macro_footer(spark, d):
     """Rounded grams and letters; null without energy."""
     v = F.col("c_acctbal")
     grams = [F.concat(F.floor(v / n + F.lit(0.5)).cast("string"), F.lit(letter)) for n, letter in ((9, "f"), (4, "c"))]
     return V.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(v > 0, F.concat_ws(" / ", *grams)).alias("footer"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_size * 1e0 ELSE floor(p_retailprice * 0.23900573614e0 * 10e0 + 0.5e0) / 10e0 END AS calories FROM part")
+def energy_to_kcal(spark, d):
+    """Energy as it is saved: kcal as typed, else from kJ."""
+    kcal = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("double"))
+    return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), S.energy_to_kcal(kcal, F.col("p_retailprice")).alias("calories"))
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders")
+def iso_date(spark, d):
+    return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), S.iso_date(F.col("o_orderdate")).alias("date"))
+
+
+@query("SELECT n_nationkey AS id, lower(substring(n_name, 1, 2)) || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE '-' || upper(substring(n_name, 3, 2)) END AS language FROM nation")
+def language_tag(spark, d):
+    name = F.col("n_name")
+    locale = F.when(F.col("n_nationkey") % 3 == 0, F.upper(F.substring(name, 1, 2))).otherwise(F.concat(F.substring(name, 1, 2), F.lit("-"), F.lower(F.substring(name, 3, 2))))
+    return V.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), S.language_tag(locale).alias("language"))
+
+
+@query("SELECT p_partkey AS id, replace(CAST(p_size / 4e0 AS VARCHAR) || ', ' || CAST(p_size + 0.5e0 AS VARCHAR), '.', ',') AS spoken FROM (SELECT * FROM part) WHERE p_size % 4 <> 0 UNION ALL SELECT p_partkey, CAST(CAST(p_size / 4 AS BIGINT) AS VARCHAR) || ', ' || replace(CAST(p_size + 0.5e0 AS VARCHAR), '.', ',') FROM part WHERE p_size % 4 = 0")
+def spoken_numbers(spark, d):
+    size = F.col("p_size").cast("double")
+    return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), S.spoken_numbers(F.array(size / 4, size + 0.5), ",").alias("spoken"))
+
+
+@query("SELECT o_orderkey AS id, CAST(floor((DATE '2024-05-01' - CAST(o_orderdate AS DATE)) / 365.25e0) AS INTEGER) AS age FROM orders")
+def age_in_years(spark, d):
+    return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), S.age_in_years(F.to_date("o_orderdate"), F.lit("2024-05-01").cast("date")).alias("age"))
