@@ -23,7 +23,7 @@ import html as entities
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -53,6 +53,7 @@ _CLOSES["body"] = {"head"}
 _ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE) for tag in _RAW | _HIDDEN}
 _BARRIERS = _INTEGRATION | _BLOCKS
 _SCOPES = frozenset("ul ol dl table div article section aside nav header footer main form body".split())
+_MEANT = frozenset("article main nav header footer aside section form".split())
 #: Words in tags, classes and ids for what a part of a page is; every category is one measure of a path.
 CATEGORIES = {
     "article": ("article", "main", "content", "post", "entry", "story", "body-text"),
@@ -429,23 +430,36 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, live
 
 
-def _spliced(blocks: list[Block], labels: list[int], pool: list[str], rng: random.Random) -> tuple[list[Block], list[int]]:
-    """A copy of a page in another layout: plain containers for the article's tags, boilerplate of some kinds spliced in."""
-    plain = rng.choice([None, "div.content", "div.post", "section", "div"])
-    copies: dict[int, Path] = {}
-    root = Path()
+def _renamed(root: Path, name: Callable[[str], str]) -> Callable[[Path], Path]:
+    """A function of a path: its copy below ``root`` with other labels."""
+    copies: dict[int, tuple[Path, Path]] = {}
 
-    def renamed(path: Path) -> Path:
-        """Its copy below ``root``; of nodes that were met before, the one that was made then."""
+    def copy(path: Path) -> Path:
         above = []
         while path.parent and id(path) not in copies:
             above.append(path)
             path = path.parent
-        copy = copies[id(path)] if path.parent else root
+        found = copies[id(path)][1] if path.parent else root
         for node in reversed(above):
-            copy = copies[id(node)] = copy.below(plain if plain and node.label.split(".")[0] in ("article", "main") else node.label)
-        return copy
+            found = found.below(name(node.label))
+            copies[id(node)] = node, found
+        return found
+
+    return copy
+
+
+def _anonymous(blocks: list[Block], rng: random.Random) -> list[Block]:
+    """A copy of a page without classes and ids, and in half of the copies with plain containers for all that have a meaning."""
+    plain = _MEANT if rng.random() < 0.5 else ("article", "main")
+    renamed = _renamed(Path(), lambda label: "div" if (tag := label.split(".")[0]) in plain else tag)
+    return [b._replace(path=renamed(b.path)) for b in blocks]
 
+
+def _spliced(blocks: list[Block], labels: list[int], pool: list[str], rng: random.Random) -> tuple[list[Block], list[int]]:
+    """A copy of a page in another layout: plain containers for the article's tags, boilerplate of some kinds spliced in."""
+    plain = rng.choice([None, "div.content", "div.post", "section", "div"])
+    root = Path()
+    renamed = _renamed(root, lambda label: plain if plain and label.split(".")[0] in ("article", "main") else label)
     out = [(b._replace(path=renamed(b.path)), y) for b, y in zip(blocks, labels, strict=True)]
     inside = [k for k, (_, y) in enumerate(out) if y]
     for _ in range(rng.randint(1, 4)):
@@ -468,6 +482,12 @@ def _spliced(blocks: list[Block], labels: list[int], pool: list[str], rng: rando
     return list(blocks), list(labels)
 
 
+def _copies(blocks: list[Block], labels: list[int], pool: list[str], rng: random.Random) -> list[tuple[list[Block], list[int]]]:
+    """A page and its copies: in two other layouts, and two without names, so that what needs none is learned, too."""
+    first, second = (_spliced(blocks, labels, pool, rng) for _ in range(2))
+    return [(blocks, labels), first, second, (_anonymous(blocks, rng), labels), (_anonymous(first[0], rng), first[1])]
+
+
 def training_pages(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> list[str]:
     """The first ``TRAIN_BYTES`` of a bounded sample of the pages."""
     ids = pages.where("page_id is not null").select("page_id").distinct()
@@ -488,7 +508,7 @@ def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Labeller:
         labels = [[int(not x.path.boilerplate) for x in b] for b in read]
     pool = [x.text for b in read for x in b]
     rng, vectors, model = random.Random(1), _Vectors(), Labeller(_Vectors.size)
-    data = [s for b, y in zip(read, labels, strict=True) for s in ((b, y), _spliced(b, y, pool, rng), _spliced(b, y, pool, rng))]
+    data = [s for b, y in zip(read, labels, strict=True) for s in _copies(b, y, pool, rng)]
     # Windows of a page, each with vectors that know its place in the page; of a long page some at even distances.
     windows = []
     for b, y in data:

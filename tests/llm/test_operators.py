@@ -684,6 +684,20 @@ def test_other_layouts(spark):
     assert good >= 0.95 * kept and wrong <= 0.1 * good
 
 
+def test_pages_without_names(spark):
+    """Without classes and ids, and with plain containers for all tags that have a meaning, blocks are labelled as before."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    model, vectors = htmltext.fit(pages), htmltext._Vectors()
+    names = re.compile(r"\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
+    tags = re.compile(r"<(/?)(?:article|main|nav|header|footer|aside|section|form)\b")
+    agree = []
+    for row in pages.where("html is not null").collect():
+        want = htmltext.weak_labels(htmltext.read_blocks(row.html))
+        got = model.label([vectors.of(htmltext.read_blocks(tags.sub(r"<\1div", names.sub("", row.html))))])[0]
+        agree.append(len(got) == len(want) and float(np.mean(got == np.array(want, bool))))
+    assert np.mean(agree) >= 0.95
+
+
 def plain_page(rng, words, container, paragraphs):
     """(html, article text) of a page whose class names are in none of the labeller's lists."""
     say = lambda n: (" ".join(rng.choices(words, k=n)) + ".").capitalize()
