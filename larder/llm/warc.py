@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from larder.llm.common import fresh_path, join_groups, staged, storage, text_byt
 
 REVISIT_BYTES = 1000
 RANGE_BYTES = 8 << 20
+MOST_TASKS = 50_000
 _READ = 1 << 18
 _MAGIC = b"\x1f\x8b\x08"
 _ID = "urn:page:"
@@ -75,20 +77,68 @@ def _write_batches(folder: str):
     return run
 
 
-def write_archives(pages: DataFrame) -> DataFrame:
-    """Write all pages; returns the manifest: path, bytes of each archive."""
+def _decided_batches(decisions: str):
+    """Rows as ``_write_batches`` takes them: what a page refers to comes from the file of the task that numbered it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Columns place, page_id, url, html, digest, size."""
+        fs, base = storage(decisions)
+        part, refers = None, {}
+        for batch in batches:
+            found, pages = [], batch.column(0).to_pylist()
+            for place in pages:
+                if place >> _PLACE_BITS != part:
+                    part, refers = place >> _PLACE_BITS, {}
+                    for file in fs.get_file_info(fs_selector(f"{base}/part={part}")):
+                        if file.is_file and file.base_name.endswith(".parquet"):
+                            with fs.open_input_file(file.path) as source:
+                                own = pq.read_table(source)
+                            refers.update(zip(own.column("place").to_pylist(), own.column("refers_to").to_pylist(), strict=True))
+                found.append(refers.get(place))
+            html = pa.array([None if r is not None else h for r, h in zip(found, batch.column(3).to_pylist(), strict=True)], pa.string())
+            columns = [batch.column(1), batch.column(2), html, batch.column(4), batch.column(5), pa.array(found, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "html", "digest", "size", "refers_to"])
+
+    return run
+
+
+def fs_selector(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(folder, allow_not_found=True)
+
+
+_PAGES = "page_id long, url string, html string, digest string, size long, refers_to long"
+#: ``monotonically_increasing_id`` holds the task above this bit.
+_PLACE_BITS = 33
+
+
+def write_archives(pages: DataFrame, broadcast_groups: int = 200_000) -> DataFrame:
+    """Write all pages; returns the manifest: path, bytes of each archive.
+
+    Only digests are grouped.  Groups that have copies are broadcast up to ``broadcast_groups``.  Beyond, pages are
+    numbered and staged where they are, digests alone meet their groups by a shuffle, and what each revisit refers to is
+    written to a file for every task that numbered pages, where the writing tasks find it: no page is ever shuffled.
+    """
     spark = pages.sparkSession
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"digest": F.sha1("html"), "size": F.octet_length("html").cast("long")})
-    # Digests alone are grouped; the pages meet the groups that have copies where they are, unless these are too many to broadcast.
     large = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size")
     keepers = large.agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null")
     keepers = staged(spark, keepers.select(F.concat_ws(":", "digest", "size").alias("key"), "keeper", "n"), "warc-copies")
-    met = join_groups(rows.withColumn("key", F.concat_ws(":", "digest", "size")), keepers, "key")
-    refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    met = met.select("page_id", "url", "html", "digest", "size", refers.alias("refers_to"))
-    met = met.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
+    refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to")
+    key = F.concat_ws(":", "digest", "size")
+    if keepers.count() <= broadcast_groups:
+        met = join_groups(rows.withColumn("key", key), keepers, "key", broadcast_groups).select("page_id", "url", "html", "digest", "size", refers)
+        met = met.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
+    else:
+        numbered = staged(spark, rows.withColumn("place", F.monotonically_increasing_id()), "warc-pages")
+        met = join_groups(numbered.select("place", "page_id", key.alias("key")), keepers, "key", broadcast_groups).select("place", refers)
+        decisions = fresh_path(spark, "warc-refers")
+        revisits = met.where("refers_to is not null").withColumn("part", F.shiftrightunsigned("place", _PLACE_BITS))
+        revisits.repartition("part").write.partitionBy("part").parquet(decisions)
+        met = numbered.select("place", "page_id", "url", "html", "digest", "size").mapInArrow(_decided_batches(decisions), _PAGES)
     return staged(spark, met.mapInArrow(_write_batches(fresh_path(spark, "warc")), "path string, bytes long"), "warc-manifest")
 
 
@@ -158,12 +208,17 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record."""
+def read_archives(manifest: DataFrame, range_bytes: int | None = None) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record.
+
+    A task reads one range of ``range_bytes``; by default of ``RANGE_BYTES``, or as much more as leaves ``MOST_TASKS`` of them.
+    """
+    total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    range_bytes = range_bytes or max(RANGE_BYTES, -(-total // MOST_TASKS))
     size = F.lit(range_bytes).cast("long")
     starts = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, size)).alias("start"))
     ranges = starts.select("path", "start", F.least(F.col("start") + range_bytes, "bytes").alias("end"))
-    # A task for each range: their rows are too small for Spark to see what is behind them.
+    # Their rows are too small for Spark to see what is behind them.
     count = manifest.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
     return ranges.repartition(count).mapInArrow(_read_batches, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
