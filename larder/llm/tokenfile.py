@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.llm.common import fresh_path, splits, staged, storage
@@ -29,6 +29,8 @@ SEQUENCE = 2048
 END_ID = 0
 #: Sequences in a record batch of a file.
 ROWS = 64
+#: Tasks that read files, at most.
+MOST_TASKS = 50_000
 _MANIFEST = "part int, tokens long, documents long, path string"
 
 
@@ -134,11 +136,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, len
     ordered = keyed.repartitionByRange(2 * splits(rows), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     folder = fresh_path(spark, "tokens")
     manifest = staged(spark, ordered.mapInArrow(_write_batches(folder, tokenizer_path, end_id, length), _MANIFEST), "manifest")
-    base, based = 0, []
-    for row in manifest.orderBy("part").toLocalIterator():  # a row for each file
-        based.append((*row, base))
-        base += row.tokens
-    return spark.createDataFrame(based, f"{_MANIFEST}, base long")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each file
+    return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long"))
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +160,7 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids before it in the whole run), n_tokens, ids_crc32 of each document, from the files."""
     files = manifest.select("path", "base")
-    return files.repartition(max(1, files.count())).mapInArrow(_read_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, min(files.count(), MOST_TASKS))).mapInArrow(_read_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
