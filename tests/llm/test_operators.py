@@ -408,11 +408,11 @@ def page_rows():
     return [(1, "http://a/ b", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (9, "u", big), (9, "u", big), (7, "u", other), (None, "u", other), (10, "u", "\x1f\x8b\x08WARC/1.1\r\n" * 200)]
 
 
-@pytest.mark.parametrize("range_bytes", [97, 8 << 20])
-def test_warc(spark, range_bytes):
+@pytest.mark.parametrize(("range_bytes", "broadcast_groups"), [(97, 1000), (None, 1000), (None, 0)])
+def test_warc(spark, range_bytes, broadcast_groups):
     rows = page_rows()
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("clash"), "size": F.lit(0)})
-    got = warc.read_archives(warc.write_archives(pages), range_bytes).collect()
+    got = warc.read_archives(warc.write_archives(pages.repartition(3), broadcast_groups), range_bytes).collect()
     largest: dict = {}
     for i, _, h in rows:
         if len((h or "").encode()) >= 1000 and i is not None:
@@ -425,6 +425,23 @@ def test_warc(spark, range_bytes):
     assert sorted(map(str, got)) == sorted(str(type(got[0])(*w)) for w in want) or sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_many_groups_of_copies_move_no_page(spark, monkeypatch):
+    """Beyond the broadcast only digests are shuffled, and the archives are the same."""
+    kept = {}
+    pages = spark.range(3000).select("id", F.lit("u").alias("url"), F.concat(F.lit("p"), (F.col("id") % 700).cast("string"), F.lit("x" * 1200)).alias("html")).withColumnRenamed("id", "page_id").repartition(5)
+    plain = warc.read_archives(warc.write_archives(pages)).collect()
+    real = common.staged
+
+    def spied(session, df, name):
+        kept[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(session, df, name)
+
+    monkeypatch.setattr(warc, "staged", spied)
+    many = warc.read_archives(warc.write_archives(pages, 10)).collect()
+    assert sorted(map(tuple, many)) == sorted(map(tuple, plain)) and sum(r.record_type == "revisit" for r in many) == 2300
+    assert "Exchange" not in kept["warc-manifest"] and "Join" not in kept["warc-manifest"]
+
+
 def test_warc_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(pages)).count() == 0
