@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import decontam, langid, packing, pii, simhash
-from larder.llm.common import staged
+from larder.llm.common import join_groups, staged
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language the model cannot tell, and fills in the language where it is missing.
 
-    It cannot tell the language of a null text, of one without a letter, and of one without any word that is known or
+    Clean documents of any length stay, so there is no floor for the score: on a corpus in learned languages the stage
+    drops little and its main work is to fill in ``lang``.  It cannot tell the language of a null text, of one without a letter, and of one without any word that is known or
     has a known n-gram of two or more characters.  Repeated rows, and rows without doc_id, are each judged on their own.
     With no labelled document nothing is known, and nothing but texts without a letter is dropped.
     """
@@ -39,7 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     members = found.select(F.col("doc_id").alias("_row"), "component_id").join(numbered.select("_row", "doc_id"), "_row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row"))
     kept = members.groupBy("component_id").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(docs.columns)
+    gone = staged(spark, numbered.select("_row").join(kept, "_row", "left_anti").select("_row", F.lit(1).alias("n"), F.lit(True).alias("_gone")), "gone")
+    # Texts stay where they are unless the rows that go are too many to broadcast.
+    return join_groups(numbered, gone, "_row").where("_gone is null").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
