@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,8 +85,9 @@ def nearest_name(text: Column, extra: dict[str, tuple[str, ...]] | None = None)
     order = {key: -place for place, key in enumerate(synonyms(extra))}  # of equal likenesses the first nutrient's counts
     longest = max(n for _, _, n in names)
     # Edits beyond what a likeness of MATCH allows are not worked out.
-    fields = [(("key", k), ("name", name), ("words", f" {name} "), ("n", n), ("size", len(name)), ("order", order[k]), ("most", (len(name) + _LENGTHS_APART) // 3), ("more", len(name) / 1000)) for k, name, n in names]
-    table = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in row]) for row in fields])
+    fields = [{"key": k, "name": name, "words": f" {name} ", "n": n, "size": len(name), "order": order[k], "most": (len(name) + _LENGTHS_APART) // 3, "more": len(name) / 1000} for k, name, n in names]
+    # One text, which Spark folds to a constant: built of single literals, the table would be most of the plan.
+    table = F.from_json(F.lit(json.dumps(fields)), "array<struct<key:string,name:string,words:string,n:int,size:int,order:int,most:int,more:double>>")
 
     def told(words: Column) -> Column:
         runs = [F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " ")) for n in range(1, longest + 1)]  # noqa: B023
