@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +65,26 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, broadcast_rows: in
     return met.select(*rows.columns, *[value[v].alias(v) for v in values])
 
 
+def give_back() -> None:
+    """Return memory that is no longer needed to the system.  A Python worker lives on for later tasks and stages, and would keep it."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def releasing(run: Callable) -> Callable:
+    """A function of batches for ``mapInArrow``; the task gives back its memory when it has run."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def splits(df: DataFrame) -> int:
     """How many tasks read ``df``, a scan or what is computed from one without a shuffle: a count that follows its bytes."""
     return max(1, df.rdd.getNumPartitions())

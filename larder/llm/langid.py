@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import runs
-from larder.llm.common import id_remainder
+from larder.llm.common import give_back, id_remainder, releasing
 
 HELD_OUT_MODULUS, HELD_OUT = 4, 2
 DOCS_PER_LANGUAGE = 2000
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_per_language / n))])
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 20)) / (1 << 20)
     sample = labelled.where(place < share[F.col("lang")]).select("lang", "text")
-    counted = sample.mapInArrow(_count_batches, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(releasing(_count_batches), "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     return Model(list(sizes), counted.toArrow())  # all words and n-grams of the sample
 
 
@@ -225,6 +225,8 @@ def predictor(spark: SparkSession, model: Model):
         own = Predictor(shared.value)
         for batch in texts:
             yield pd.DataFrame(dict(zip(("lang_pred", "score", "known"), own.predict(batch.tolist()), strict=True)))
+        del own
+        give_back()
 
     return predict.asNondeterministic()  # so that it runs once, however often its result is used
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import splits, staged
+from larder.llm.common import releasing, splits, staged
 from larder.llm.tokens import memo_tokenizer
 
 SEQUENCE = 2048
@@ -128,7 +128,7 @@ def _packed_batches(length: int):
 def along_curve(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, curve (Hilbert key), ids (little-endian 16-bit, with the end id) of every document, in the shared folder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return staged(docs.sparkSession, rows.mapInArrow(_keyed_batches(tokenizer_path, end_id), "doc_id long, curve long, ids binary"), "curve")
+    return staged(docs.sparkSession, rows.mapInArrow(releasing(_keyed_batches(tokenizer_path, end_id)), "doc_id long, curve long, ids binary"), "curve")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, end_id: i
     # As many ranges as the staged table has splits, so that a task's share does not grow with the input; only the key
     # columns are sampled for them, and doc_id splits groups of copies.
     ordered = keyed.repartitionByRange(splits(keyed), "curve", "doc_id").sortWithinPartitions("curve", "doc_id").select("doc_id", "ids")
-    return ordered.mapInArrow(_packed_batches(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ordered.mapInArrow(releasing(_packed_batches(length)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

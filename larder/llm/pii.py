@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import staged
+from larder.llm.common import releasing, staged
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("national_id", "birth_date", "bank_account", "spelled_email", "secret", "local_phone", "street_address", "person")
@@ -308,7 +308,7 @@ def _find_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, spans (flat: kind, start, end, vote pattern, features of each) of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_find_batches, "doc_id long, spans array<long>")
+    return rows.mapInArrow(releasing(_find_batches), "doc_id long, spans array<long>")
 
 
 def fit(found: DataFrame, train_spans: int = TRAIN_SPANS) -> Classifier:
@@ -353,7 +353,7 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, base_sha256 and spans of every document."""
     found = staged(docs.sparkSession, candidates(docs), "candidates")
     columns = ", ".join(f"n_{k} long" for k in BASE_KINDS)
-    return found.mapInArrow(_digest_batches(fit(found)), f"doc_id long, {columns}, base_sha256 string, spans string")
+    return found.mapInArrow(releasing(_digest_batches(fit(found))), f"doc_id long, {columns}, base_sha256 string, spans string")
 
 
 def redact_text(text: str, found: list[int], model: Classifier) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import join_groups, staged, text_bytes
+from larder.llm.common import join_groups, releasing, staged, text_bytes
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -60,7 +60,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, bits (the fingerprint as a signed long) of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_fingerprint_batches, "doc_id long, bits long")
+    return rows.mapInArrow(releasing(_fingerprint_batches), "doc_id long, bits long")
 
 
 def _block_masks() -> list[int]:
@@ -137,7 +137,7 @@ def close_links(vertices: DataFrame) -> DataFrame:
     cells = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), side - 1)))
     cells = cells.select("mask", "key", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"), "bits", "name")
     dealt = cells.repartition("mask", "key", "row", "col").sortWithinPartitions("mask", "key", "row", "col")
-    return dealt.mapInArrow(_linked_batches, "a long, b long").distinct()
+    return dealt.mapInArrow(releasing(_linked_batches), "a long, b long").distinct()
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
