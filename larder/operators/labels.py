@@ -114,7 +114,12 @@ def nearest_name(text: Column, extra: dict[str, tuple[str, ...]] | None = None)
     # Bound as lambda variables, the text and the best name are worked out once and not once for each use.
     bound = F.transform(F.array(F.split(text, " ")), told)
     best = F.transform(bound, lambda t: F.array_max(F.transform(table, lambda n: F.struct(likeness(t, n).alias("likeness"), n["order"].alias("order"), n["key"].alias("key")))))
-    return F.transform(best, lambda x: F.struct(half_up(x["likeness"], 4).alias("likeness"), x["key"].alias("key")))[0]
+    best = F.transform(best, lambda x: F.struct(half_up(x["likeness"], 4).alias("likeness"), x["key"].alias("key")))[0]
+    # An equal name beats all others, so most lines are looked up and only the rest compared.
+    equal: dict[str, dict] = {}
+    for key, name, _ in names:
+        equal.setdefault(name, {"likeness": round(1 + len(name) / 1000, 4), "key": key})
+    return F.coalesce(F.try_element_at(F.from_json(F.lit(json.dumps(equal)), "map<string,struct<likeness:double,key:string>>"), text), best)
 
 
 def synonym_match(labels: DataFrame, extra: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
