@@ -13,6 +13,17 @@ from larder.llm import decontam, langid, packing, pii, simhash
 from larder.llm.common import join_groups, staged
 
 
+#: Rows that a task hands to Python at once, unless the session has a number of its own.  Documents are long: with Spark's
+#: default of 10,000 two tasks hold some hundred MB of texts beside an executor's heap.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _batches_of_texts(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language the model cannot tell, and fills in the language where it is missing.
 
@@ -21,6 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     has a known n-gram of two or more characters.  Repeated rows, and rows without doc_id, are each judged on their own.
     With no labelled document nothing is known, and nothing but texts without a letter is dropped.
     """
+    _batches_of_texts(spark)
     model = langid.fit(docs)
     if not model.languages:
         return docs.where(F.regexp_like(F.col("text").cast("string"), F.lit(r"\p{L}")))
@@ -35,6 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by their place, not by their doc_id: of repeated rows one stays, a distinct text that shares an
     id with a duplicate stays, and rows without doc_id are compared like all others (they come last in a group).
     """
+    _batches_of_texts(spark)
     numbered = staged(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = staged(spark, simhash.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")), "groups")
     members = found.select(F.col("doc_id").alias("_row"), "component_id").join(numbered.select("_row", "doc_id"), "_row")
@@ -51,6 +64,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Each row is judged on its own, also one without doc_id or with a repeated one; a null text contains nothing; with no
     item, or no document, nothing is dropped.
     """
+    _batches_of_texts(spark)
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     numbered = staged(spark, numbered, "rows")
     leaks = decontam.contaminated(numbered.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -63,6 +77,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     All rows stay; a null text stays null, with a null count; what the model accepts is learned from all documents here.
     """
+    _batches_of_texts(spark)
     found = staged(spark, docs.withColumn("_spans", pii.finder()(F.col("text").cast("string"))), "candidates")
     model = pii.fit(found.select("doc_id", F.col("_spans").alias("spans")))
     cleaned = found.withColumn("text", pii.redact(spark, model)(F.col("text").cast("string"), F.col("_spans")))
@@ -76,6 +91,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
+    _batches_of_texts(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
