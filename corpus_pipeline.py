@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import decontam, langid, packing, pii, simhash
-from larder.llm.common import join_groups, staged
+from larder.llm.common import join_groups, shared_root, staged
 
 
 #: Rows that a task hands to Python at once, unless the session has a number of its own.  Documents are long: with Spark's
@@ -24,6 +24,17 @@ def _batches_of_texts(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
+def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` in the checkpoint folder: rows keep their numbers, and lost executors do no harm.
+
+    Unlike a table that is staged, Spark clears it when it is no longer referred to (where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set), so copies of the texts do not add up over the stages.
+    """
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
+    return df.checkpoint()
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language the model cannot tell, and fills in the language where it is missing.
 
@@ -48,7 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     id with a duplicate stays, and rows without doc_id are compared like all others (they come last in a group).
     """
     _batches_of_texts(spark)
-    numbered = staged(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    numbered = _kept(spark, docs.withColumn("_row", F.monotonically_increasing_id()))
     found = staged(spark, simhash.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")), "groups")
     members = found.select(F.col("doc_id").alias("_row"), "component_id").join(numbered.select("_row", "doc_id"), "_row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row"))
@@ -65,8 +76,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     item, or no document, nothing is dropped.
     """
     _batches_of_texts(spark)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    numbered = staged(spark, numbered, "rows")
+    numbered = _kept(spark, docs.withColumn("_row", F.monotonically_increasing_id()))
     leaks = decontam.contaminated(numbered.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     leaks = staged(spark, leaks.select(F.col("doc_id").alias("_row")).distinct(), "leaks")
     return numbered.join(leaks, "_row", "left_anti").select(docs.columns)
@@ -78,7 +88,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     All rows stay; a null text stays null, with a null count; what the model accepts is learned from all documents here.
     """
     _batches_of_texts(spark)
-    found = staged(spark, docs.withColumn("_spans", pii.finder()(F.col("text").cast("string"))), "candidates")
+    found = _kept(spark, docs.withColumn("_spans", pii.finder()(F.col("text").cast("string"))))
     model = pii.fit(found.select("doc_id", F.col("_spans").alias("spans")))
     cleaned = found.withColumn("text", pii.redact(spark, model)(F.col("text").cast("string"), F.col("_spans")))
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
