@@ -1,17 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-TF-IDF passages of a bounded sample of the documents and of the benchmark are factored by a randomised SVD, whose products
-A'(A X) are Spark jobs over the passages.  Words are the benchmark's; their document frequencies are counted over all
-documents.  The sampled passages weigh less than the benchmark's, so the kept directions hold the benchmark's passages
-and, before them, what is common in the corpus; folding in divides by singular values above one, so what is common counts
-little and never nothing.  Every passage of every whole document is folded in and compared with the benchmark's by
+TF-IDF passages of all documents and of the benchmark are factored by a randomised SVD.  Words are the benchmark's; their
+document frequencies are counted over all documents, and so is, in a second pass, how the passages' words occur together:
+the matrix A'A, of which each pair of words is a row, so the SVD's products A'A X are Spark jobs over the words and not over
+the passages.  It is summed in integers, so it does not depend on ids, order or partitions.  The documents' passages weigh
+less than the benchmark's, so the kept directions hold the benchmark's passages and, before them, what is common in the
+corpus; folding in divides by singular values above one, so what is common counts little and never nothing.  Every passage of every whole document is folded in and compared with the benchmark's by
 cosine, and by how much of the other passage it holds.  Near ones are verified on the words around them: longest common
 subsequences of the item's short parts, so reordered sentences count, must cover most of the item, or half of it together
 with the item's answer (its ``answer`` column, else its last sentence), and rare words must be among what is found.
 
 ``SPACE`` benchmark passages share a latent space, whose rank exceeds their number, so nothing of them is lost however
 many items there are.  The benchmark is broadcast in blocks of at most ``BLOCK_SPACES`` spaces (about 25 MB each), one
-search of the documents for each block; frequencies for all blocks are counted in one pass.
+search of the documents for each block; frequencies and pairs for all blocks are counted in one pass each.
 
 Edge cases: items without a word match nothing; a null text is empty and matches nothing; items with equal texts all
 match; repeated rows give one result row; rows without doc_id or items without item_id are left out of the result; an
@@ -39,8 +40,8 @@ SPACE = 384
 MORE_DIRECTIONS = 96
 #: Spaces that are searched at once.
 BLOCK_SPACES = 4
-#: About so many documents give one passage each to the factorisation, with this weight.
-SAMPLE = 4096
+#: The documents' passages count in the factorisation with this weight; if they are more than so many, with as much as those.
+CORPUS = 4096
 SAMPLE_WEIGHT = 0.1
 POWER_STEPS = 2
 #: A passage is near if its cosine is at least this and it holds at least this share of the benchmark's passage.
@@ -53,6 +54,13 @@ MIN_ANSWER = 0.75
 MIN_WEIGHT = 0.45
 _PART = 12
 _CHARACTERS_AT_ONCE = 300_000
+#: A passage's share of a pair of words is counted in these units; sums of 3e10 passages fit 64 bits.
+_UNIT = 1 << 28
+#: Pairs of the most frequent words, so many, are summed in place; a task holds at most so many others before it merges them.
+_IN_PLACE = 2048
+_PAIRS_AT_ONCE = 1_000_000
+_PASSAGES_AT_ONCE = 8192
+_PAIRS_IN_ROW = 512
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -111,22 +119,29 @@ class Words:
             yield self._some(held)
 
 
-def passage_sums(words: np.ndarray, sizes: np.ndarray, directions: np.ndarray, most: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of the words' directions over the passages of texts of ``sizes`` words; each one's text and first word.
+def stretches_of(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each stretch's text, its place there and whether it is followed; places of the words that have a number, and their stretches.
 
-    Only words that have a direction are looked up, and only passages whose words' ``most`` add up to ``least``.
+    A stretch that is followed, or a text's only one, begins a passage.
     """
     stretches = -(-sizes // STEP)
     before = np.cumsum(stretches) - stretches  # stretches of the texts before each
     text = np.repeat(np.arange(len(sizes)), stretches)
-    nth = np.arange(len(text)) - before[text]
     held = np.flatnonzero(words)
-    numbers = words[held]
     text_of_held = np.searchsorted(np.cumsum(sizes), held, side="right")
     stretch = before[text_of_held] + (held - (np.cumsum(sizes) - sizes)[text_of_held]) // STEP
-    follows = np.append(text[1:] == text[:-1], False)
+    return text, np.arange(len(text)) - before[text], np.append(text[1:] == text[:-1], False)[: len(text)], held, stretch
+
+
+def passage_sums(words: np.ndarray, sizes: np.ndarray, directions: np.ndarray, most: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the words' directions over the passages of texts of ``sizes`` words; each one's text and first word.
+
+    Only words that have a direction are looked up, and only passages whose words' ``most`` add up to ``least``.
+    """
+    text, nth, follows, held, stretch = stretches_of(words, sizes)
+    numbers = words[held]
     bound = np.bincount(stretch, most[numbers], len(text))
-    bound += np.where(follows, np.append(bound[1:], 0), 0)
+    bound += np.where(follows, np.append(bound[1:], 0)[: len(text)], 0)
     keep = np.flatnonzero((follows | (nth == 0)) & (bound >= least))
     right = follows[keep]
     # Sums over the stretches of these passages.
@@ -205,68 +220,214 @@ class Benchmark:
         self.passages, self.item_of = np.array(rows, np.int32).reshape(-1, PASSAGE), np.array(of, np.int64)
 
 
-def _frequency_batches(shared, share: float):
-    """Rows (word, n): documents with the word; and rows (passage): a sampled document's passage by word numbers."""
+def _frequency_batches(shared):
+    """Rows (word, n): documents with the word; of word 0, their passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, size = shared.value
-        df, sample = np.zeros(size + 1, np.int64), []
+        df = np.zeros(size + 1, np.int64)
         for batch in batches:
-            dice, at = batch.column(0).to_numpy(), 0  # 0 to 1, by doc_id
-            for numbers, sizes in words.of(batch.column(1).to_pylist()):
+            for numbers, sizes in words.of(batch.column(0).to_pylist()):
                 text = np.repeat(np.arange(len(sizes)), sizes)
-                df += np.bincount(np.unique(text * (size + 1) + numbers) % (size + 1), minlength=size + 1)
-                for k in np.flatnonzero((dice[at : at + len(sizes)] < share) & (sizes > 0)).tolist():
-                    own = numbers[sizes[:k].sum() :][: sizes[k]]
-                    first = int(dice[at + k] / share * max(1, len(own) - STEP))
-                    sample.append(own[first : first + PASSAGE].tolist())
-                at += len(sizes)
+                found = np.bincount(np.unique(text * (size + 1) + numbers) % (size + 1), minlength=size + 1)
+                found[0] = np.maximum(-(-sizes // STEP) - 1, sizes > 0).sum()
+                df += found
         held = np.flatnonzero(df)
-        held = held[held > 0]
-        nulls = [None] * len(held)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held]), pa.array(nulls, pa.list_(pa.int32()))], ["word", "n", "passage"])
-        nulls = pa.array([None] * len(sample), pa.int64())
-        yield pa.RecordBatch.from_arrays([nulls, nulls, pa.array(sample, pa.list_(pa.int32()))], ["word", "n", "passage"])
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held])], ["word", "n"])
 
     return run
 
 
+class Pairs:
+    """Sums over passages of how much of each holds two words: half of A'A, which is this and its transpose.
+
+    A passage is a row of A of length 1; a word's number in ``by_use`` is its place in the order of frequency.
+    """
+
+    def __init__(self, weights: np.ndarray, by_use: np.ndarray):
+        self.weights, self.by_use, self.words = weights, by_use, np.argsort(by_use)
+        self.in_place = min(_IN_PLACE, len(weights))
+        self.often = np.zeros(self.in_place**2, np.int64)
+        self.others: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, words: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counts the texts' passages; gives rows once there are many."""
+        text, nth, follows, held, stretch = stretches_of(words, sizes)
+        begin = np.searchsorted(stretch, np.arange(len(text) + 1))
+        every = np.flatnonzero(follows | (nth == 0))
+        for at in range(0, len(every), _PASSAGES_AT_ONCE):
+            own = every[at : at + _PASSAGES_AT_ONCE]
+            first = begin[own]
+            self._add(words, held, first, begin[own + 1 + follows[own]] - first)
+            if sum(len(k) for k, _ in self.others) > _PAIRS_AT_ONCE:
+                self.others = [self._merged()]
+                if len(self.others[0][0]) > _PAIRS_AT_ONCE // 2:
+                    yield from self._rows(*self.others.pop(), len(self.words))
+
+    def _add(self, words: np.ndarray, held: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+        of = np.repeat(np.arange(len(first)), count)
+        begin = np.cumsum(count) - count
+        numbers = words[held[np.arange(len(of)) + (first - begin)[of]]]
+        scale = self.weights[numbers]
+        norm = np.sqrt(np.bincount(of, scale * scale, len(first)))[of]
+        scale = np.divide(scale, norm, out=np.zeros_like(scale), where=norm > 0)
+        use = self.by_use[numbers]
+        rare = use >= self.in_place
+        self._add_often(of[~rare], use[~rare], scale[~rare], len(first))
+        # A rare word with all words of its passage, other rare ones before it left out.
+        own = np.flatnonzero(rare)
+        size = count[of[own]]
+        other = np.arange(size.sum()) + np.repeat(begin[of[own]] - np.cumsum(size) + size, size)
+        own = np.repeat(own, size)
+        once = ~rare[other] | (other >= own)
+        own, other = own[once], other[once]
+        n = np.rint(scale[own] * scale[other] * np.where(own == other, _UNIT / 2, _UNIT)).astype(np.int64)
+        x, y = use[own].astype(np.int64), use[other]
+        self.others.append((np.minimum(x, y) * len(self.words) + np.maximum(x, y), n))
+
+    def _add_often(self, of: np.ndarray, use: np.ndarray, scale: np.ndarray, passages: int) -> None:
+        # A column for each passage, those with most words first, so that the k-th words are a row's begin.
+        count = np.bincount(of, minlength=passages)
+        order = np.argsort(-count, kind="stable")
+        column = np.empty(passages, np.int64)
+        column[order] = np.arange(passages)
+        row = np.arange(len(of)) - (np.cumsum(count) - count)[of]
+        words, scales = np.zeros((PASSAGE, passages), np.int32), np.zeros((PASSAGE, passages))
+        words[row, column[of]], scales[row, column[of]] = use, scale
+        for k in range(int(count.max(initial=0))):
+            some = int(np.count_nonzero(count > k))
+            x, y = words[: k + 1, :some], words[k, :some]
+            n = scales[: k + 1, :some] * (scales[k, :some] * _UNIT)
+            n[k] /= 2
+            np.add.at(self.often, (np.minimum(x, y) * self.in_place + np.maximum(x, y)).ravel(), np.rint(n).astype(np.int64).ravel())
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip(*self.others, strict=True))
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+    def _rows(self, keys: np.ndarray, n: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+        """For keys in order rows of a word with some of those that are not more frequent, by their places in ``by_use``."""
+        low, high = keys // width, (keys % width).astype(np.int32)
+        first = np.flatnonzero(np.append(True, low[1:] != low[:-1])[: len(low)] | (np.arange(len(low)) % _PAIRS_IN_ROW == 0))
+        ends = np.append(first, len(low))
+        packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (high, n)]
+        for at in range(0, len(first), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(low[first[at : at + 1000]].astype(np.int32)), *(x.slice(at, 1000) for x in packed)], ["low", "high", "n"])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        held = np.flatnonzero(self.often)
+        yield from self._rows(held, self.often[held], self.in_place)
+        if self.others:
+            yield from self._rows(*self._merged(), len(self.words))
+
+
+def _pair_batches(shared):
+    """Rows are texts, or passages by their words' numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, weights, by_use = shared.value
+        pairs = Pairs(weights, by_use)
+        for batch in batches:
+            column = batch.column(0)
+            lists = pa.types.is_list(column.type)
+            for numbers, sizes in [(column.flatten().to_numpy(), column.value_lengths().to_numpy())] if lists else words.of(column.to_pylist()):
+                yield from pairs.add(numbers, sizes)
+        yield from pairs.rest()
+
+    return run
+
+
+def _pair_sums(shared):
+    """Rows of ``Pairs`` in the order of ``low``; gives left, right, n: the sum of each pair, by word numbers, the smaller first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, weights, by_use = shared.value
+        words, own, sums = np.argsort(by_use), -1, np.zeros(len(weights), np.int64)
+
+        def out():
+            met = np.flatnonzero(sums)
+            pair = np.sort([np.full(len(met), words[own]), words[met]], axis=0).astype(np.int32)
+            rows = pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(sums[met])], ["left", "right", "n"])
+            sums[met] = 0
+            return rows
+
+        for batch in batches:
+            for low, high, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if low != own and own >= 0:
+                    yield out()
+                own = low
+                sums[np.frombuffer(high, np.int32)] += np.frombuffer(n, np.int64)
+        if own >= 0:
+            yield out()
+
+    return run
+
+
+def word_pairs(rows: DataFrame, words: Words | None, weights: np.ndarray, df: np.ndarray | None = None) -> DataFrame:
+    """left, right, n: half of A'A, in units, over all passages of ``rows``, a column of texts or of passages as arrays of numbers."""
+    by_use = np.zeros(len(weights), np.int32)
+    by_use[np.argsort(-df if df is not None else weights, kind="stable")] = np.arange(len(weights))
+    shared = rows.sparkSession.sparkContext.broadcast((words, weights, by_use))
+    # Pairs are shuffled some hundred in a row; summed one by one they would cost more than to count them.
+    counted = rows.mapInArrow(releasing(_pair_batches(shared)), "low int, high binary, n binary").repartition("low").sortWithinPartitions("low")
+    return counted.mapInArrow(releasing(_pair_sums(shared)), "left int, right int, n long")
+
+
 def _product_batches(shared):
-    """Rows are passages (places of words, weight); gives A'(A X) of the task's passages, a row for each word."""
+    """Rows (word, other, value) of A'A, best in the order of words; gives rows of A'A X, a word's perhaps in parts."""
+
+    def products(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = shared.value
+        rows = pa.Table.from_batches(held)
+        other, value = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        words, of = np.unique(rows.column(0).to_numpy(), return_inverse=True)
+        for at in range(0, len(words), 256):
+            some = words[at : at + 256]
+            mine = (of >= at) & (of < at + 256)
+            block = np.zeros((len(some), len(x)))
+            block[of[mine] - at, other[mine]] = value[mine]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(block @ x), pa.list_(pa.float64()))], ["word", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, x = shared.value
-        y = np.zeros_like(x)
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                words = np.array(some.column(0).to_pylist(), np.int64).reshape(-1, PASSAGE)
-                scale = weights[words]
-                norm = np.linalg.norm(scale, axis=1, keepdims=True)
-                scale = np.divide(scale, norm, out=np.zeros_like(scale), where=norm > 0) * some.column(1).to_numpy()[:, None]
-                product = np.einsum("pw,pwk->pk", scale, x[words])
-                np.add.at(y, words.ravel(), (scale[:, :, None] * product[:, None, :]).reshape(-1, x.shape[1]))
-        held = np.flatnonzero(y.any(1))
-        for at in range(0, len(held), 1000):
-            some = held[at : at + 1000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(y[some]), pa.list_(pa.float64()))], ["word", "y"])
+            held.append(batch)
+            if sum(b.num_rows for b in held) > _PAIRS_AT_ONCE // 4:
+                yield from products(held)
+                held = []
+        if held:
+            yield from products(held)
 
     return run
 
 
-def factored(spark: SparkSession, own: np.ndarray, sample: np.ndarray, weights: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular directions (a row for each word place) and singular values of the weighted passages, by Spark jobs."""
-    rows = [(r, 1.0) for r in own.tolist()] + [(r, SAMPLE_WEIGHT) for r in sample.tolist()]
-    passages = spark.createDataFrame(rows, "words array<int>, weight double").repartition(-(-len(rows) // 2048))
+def factored(spark: SparkSession, own: np.ndarray, corpus: np.ndarray | DataFrame, weights: np.ndarray, rank: int, weight: float = SAMPLE_WEIGHT) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular directions (a row for each word place) and singular values of the weighted passages, by Spark jobs.
+
+    ``corpus`` is passages as an array, or their pairs as of ``word_pairs``; ``weight`` is that of each of its passages.
+    """
+    parts = []
+    for some, square in ((own, 1.0), (corpus, weight**2)):
+        if not isinstance(some, DataFrame):
+            some = word_pairs(spark.createDataFrame([(r,) for r in some.tolist()], "words array<int>").repartition(max(1, -(-len(some) // 2048))), None, weights)
+        parts.append(some.select("left", "right", (F.lit(square / _UNIT) * F.col("n")).alias("value")))
+    half = parts[0].unionByName(parts[1]).groupBy("left", "right").agg(F.sum("value").alias("value"))
+    sides = [F.struct(F.col(a).alias("word"), F.col(b).alias("other"), ((1 + (F.col(a) == F.col(b)).cast("int")) * F.col("value")).alias("value")) for a, b in (("left", "right"), ("right", "left"))]
+    both = F.when(F.col("left") == F.col("right"), F.array(sides[0])).otherwise(F.array(*sides))
+    met = half.select(F.inline(both))
+    met = staged(spark, met.repartition("word").sortWithinPartitions("word"), "met")
 
     def product(x: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast((weights, x))
+        shared = spark.sparkContext.broadcast(x)
         y = np.zeros_like(x)
-        for row in passages.mapInArrow(releasing(_product_batches(shared)), "word long, y array<double>").toLocalIterator():  # a row for each word and task
+        for row in met.mapInArrow(releasing(_product_batches(shared)), "word int, y array<double>").toLocalIterator():  # a row or two for each word
             y[row.word] += row.y
         return y
 
-    basis = np.random.default_rng(11).standard_normal((len(weights), min(rank, len(rows), len(weights))))
+    basis = np.random.default_rng(11).standard_normal((len(weights), min(rank, len(weights))))
     for _ in range(POWER_STEPS):
         basis = np.linalg.qr(product(basis))[0]
     squares, turn = np.linalg.eigh(basis.T @ product(basis))
@@ -276,12 +437,20 @@ def factored(spark: SparkSession, own: np.ndarray, sample: np.ndarray, weights:
 class Space:
     """Some of the benchmark's passages: their words, each one's folded-in direction, and the passages' directions."""
 
-    def __init__(self, spark: SparkSession, passages: np.ndarray, item_of: np.ndarray, sample: np.ndarray, weights: np.ndarray):
+    def __init__(self, spark: SparkSession, passages: np.ndarray, item_of: np.ndarray, corpus: np.ndarray | DataFrame, weights: np.ndarray, weight: float = SAMPLE_WEIGHT):
+        """``corpus`` and ``weight`` as of ``factored``, by the numbers of all words."""
         self.item_of = item_of
         self.words, own = np.unique(np.append(0, passages.ravel()), return_inverse=True)  # place 0 is no word
         own = own[1:].reshape(-1, PASSAGE)
-        there = np.minimum(np.searchsorted(self.words, sample), len(self.words) - 1)
-        basis, values = factored(spark, own, np.where(self.words[there] == sample, there, 0), weights[self.words], len(own) + MORE_DIRECTIONS)
+        if isinstance(corpus, DataFrame):
+            place = spark.createDataFrame(list(zip(self.words.tolist(), range(len(self.words)), strict=True)), "word int, place int")
+            for side in ("left", "right"):
+                corpus = corpus.join(F.broadcast(place.withColumnRenamed("word", side)), side).drop(side).withColumnRenamed("place", side)
+            # Words' order here is that of their numbers, so a pair is still one row.
+        else:
+            there = np.minimum(np.searchsorted(self.words, corpus), len(self.words) - 1)
+            corpus = np.where(self.words[there] == corpus, there, 0)
+        basis, values = factored(spark, own, corpus, weights[self.words], len(own) + MORE_DIRECTIONS, weight)
         self.directions = (weights[self.words][:, None] * basis / np.maximum(values, 1)).astype(np.float32)
         self.targets = self.directions[own].sum(1)
         self.length = np.linalg.norm(self.targets, axis=1)
@@ -357,20 +526,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, space_passages: int = SP
     if not documents:
         return found
     words, size = Words(known.vocabulary), len(known.vocabulary)
-    dice = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("passages")), F.lit(1 << 30)) / (1 << 30)
-    counting = _frequency_batches(spark.sparkContext.broadcast((words, size)), min(1.0, SAMPLE / documents))
-    counted = staged(spark, rows.select(dice.alias("dice"), "text").mapInArrow(releasing(counting), "word long, n long, passage array<int>"), "frequencies")
+    counting = _frequency_batches(spark.sparkContext.broadcast((words, size)))
+    counted = rows.select("text").mapInArrow(releasing(counting), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     df = np.zeros(size + 1)
-    for row in counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():  # a row for each benchmark word
+    for row in counted.toLocalIterator():  # a row for each benchmark word
         df[row.word] = row.n
     weights = np.log((documents + len(known.items) + 1) / (df + 1))
     weights[0] = 0
-    sample = [r.passage + [0] * (PASSAGE - len(r.passage)) for r in counted.where("passage is not null").select("passage").toLocalIterator()]  # about SAMPLE rows
-    sample = np.array(sorted(sample), np.int64).reshape(-1, PASSAGE)
+    corpus = staged(spark, word_pairs(rows.select("text"), words, weights, df), "pairs")
+    weight = SAMPLE_WEIGHT * np.sqrt(min(1.0, CORPUS / max(df[0], 1)))  # df[0]: passages of all documents
     passages = len(known.passages)
     bounds = list(range(0, passages, space_passages))
     for at in range(0, len(bounds), BLOCK_SPACES):
-        spaces = [Space(spark, known.passages[b : b + space_passages], known.item_of[b : b + space_passages], sample, weights) for b in bounds[at : at + BLOCK_SPACES]]
+        spaces = [Space(spark, known.passages[b : b + space_passages], known.item_of[b : b + space_passages], corpus, weights, weight) for b in bounds[at : at + BLOCK_SPACES]]
         items = {k: Item(*known.items[k], weights) for k in sorted({k for s in spaces for k in s.item_of.tolist()})}
         shared = spark.sparkContext.broadcast((words, size, items, spaces))
         found = found.unionByName(rows.mapInArrow(releasing(_search_batches(shared)), _FOUND))

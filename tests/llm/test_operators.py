@@ -631,6 +631,40 @@ def test_factorisation(spark):
     assert kept.min() > 0.95
 
 
+def test_every_passage_is_factored(spark, docs):
+    """Pairs of words are those of all passages of all documents, also in parts; a document's id does not matter to what is found."""
+    known = decontam.Benchmark([(1, " ".join(r.text for r in docs.limit(30).collect()), None)])
+    words, size = decontam.Words(known.vocabulary), len(known.vocabulary)
+    weights = np.append(0, 1.0 + np.arange(size) % 7)
+    some = docs.limit(150).union(spark.createDataFrame([(1, "", "", "", 0), (2, None, "", "", 0), (3, known.vocabulary[0], "", "", 0)], DOC)).select("text")
+    want = np.zeros((size + 1, size + 1))
+    for numbers, sizes in words.of([r.text for r in some.collect()]):
+        for own in np.split(numbers, np.cumsum(sizes)[:-1]):
+            for at in range(0, max(len(own) - decontam.STEP, 1), decontam.STEP):
+                row = np.bincount(own[at : at + decontam.PASSAGE], weights[own[at : at + decontam.PASSAGE]], size + 1)
+                if length := np.linalg.norm(weights[own[at : at + decontam.PASSAGE]]):
+                    held = np.flatnonzero(row)
+                    want[np.ix_(held, held)] += np.outer(row[held], row[held]) / length**2
+    got = np.zeros_like(want)
+    for r in decontam.word_pairs(some, words, weights).collect():
+        got[r.left, r.right] += r.n / decontam._UNIT
+    assert np.allclose(got + got.T, want, atol=1e-5) and want.max() > 10
+    pairs, parts = decontam.Pairs(weights, np.arange(size + 1)), []
+    pairs.in_place, pairs.often = 5, np.zeros(25, np.int64)
+    for numbers, sizes in words.of([r.text for r in some.collect()]):
+        parts += pairs.add(numbers, sizes)
+    split = np.zeros_like(want)
+    for batch in (*parts, *pairs.rest()):
+        for low, high, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            split[low, np.frombuffer(high, np.int32)] += np.frombuffer(n, np.int64) / decontam._UNIT
+    assert np.allclose(split + split.T, want, atol=1e-5)
+
+    benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    few = docs.where("doc_id < 400")
+    found = [{(r.doc_id, *r[1:]) for r in decontam.contaminated(d, benchmark).collect()} for d in (few, few.withColumn("doc_id", F.col("doc_id") + 7_000_000))]
+    assert found[0] and {(d + 7_000_000, *r) for d, *r in found[0]} == found[1]
+
+
 def test_near_passages_against_brute_force(spark):
     """What is near by the whole TF-IDF vectors is near in the latent space."""
     rng = np.random.default_rng(9)
