@@ -967,6 +967,18 @@ def test_pipeline_judges_rows_not_ids(spark):
     assert sorted(r.text for r in pipeline.decontamination(spark, docs, SMALL).collect()) == sorted([text] * 3 + [other])
 
 
+def test_pipeline_factors_every_passage(spark, monkeypatch):
+    """A document of 64 words has three passages, and all three are in the pipeline's latent space."""
+    import corpus_pipeline as pipeline
+
+    words = sorted({w for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect() for w in decontam.words_of(r.text)})[:64]
+    seen, factored = [], decontam.factored
+    monkeypatch.setattr(decontam, "factored", lambda *x: seen.append(x[2]) or factored(*x))
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "s", 1), (2, " ".join(words[:9]), "en", "s", 1), (3, None, "en", "s", 1)], DOC)
+    assert pipeline.decontamination(spark, docs, SMALL).count() == 3
+    assert abs(sum(2 * r.n for r in seen[0].where("left = right").collect()) / decontam._UNIT - 4) < 1e-6
+
+
 def test_pipeline_language_uses_its_prediction(spark):
     import corpus_pipeline as pipeline
 
