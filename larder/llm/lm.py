@@ -45,6 +45,8 @@ HEAVY_SHARE = 5e-6
 END = b"\n"  # not in any word
 _PAD = END * DEPTH
 _SYMBOLS_AT_ONCE = 1 << 18
+#: A symbol's score depends on it and the DEPTH before it; so many such runs are remembered, then forgotten all at once.
+_REMEMBERED = 1 << 19
 _BUFFER = 1 << 20
 _FLUSH = 300_000
 
@@ -190,6 +192,7 @@ class Tree:
         self.miss = np.log10(PRIOR / (total + PRIOR))  # what a symbol that did not follow loses on its way to the suffix
         whole = int(total[0]) if count else 0
         self.unseen = -np.log10(whole + 256.0)
+        self.memo: runs.Table | None = None
         self.log10 = np.zeros(len(of))
         for depth in range(DEPTH + 1):
             own = np.flatnonzero(self.depth[of] == depth)
@@ -243,21 +246,43 @@ class Tree:
         sizes = np.array([len(s) for s in streams])
         of = np.repeat(np.arange(len(streams)), sizes)
         place = np.arange(len(of)) + (of + 1) * DEPTH
-        window = np.zeros(len(symbols), np.uint64)  # the DEPTH symbols before each
-        for back in range(1, DEPTH + 1):
-            window[back:] |= symbols[: len(symbols) - back].astype(np.uint64) << np.uint64(8 * (back - 1))
+        grams = np.zeros(len(symbols), np.uint64)  # each with the DEPTH symbols before it
+        for back in range(DEPTH + 1):
+            grams[back:] |= symbols[: len(symbols) - back].astype(np.uint64) << np.uint64(8 * back)
         if slices is not None:
-            mine = slices[(window[place] & np.uint64(0xFFFF)).astype(np.int64)] == own
+            mine = slices[(grams[place] >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)] == own
             of, place = of[mine], place[mine]
-        window = window[place]
-        context = np.zeros(len(place), np.int64)
-        left = np.arange(len(place))
+        return np.bincount(of, self._remembered(grams[place]), len(streams))
+
+    def _remembered(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's last symbol, looked up in the tree once for each different gram."""
+        if self.memo is None:
+            self.memo, self.scores = runs.Table(), np.zeros(_REMEMBERED)
+        known = self.memo.find(_key(1, grams, 56))
+        out = self.scores[known]
+        left = np.flatnonzero(known < 0)
+        if len(left):
+            new, of = np.unique(grams[left], return_inverse=True)
+            scores = self._look_up(new)
+            out[left] = scores[of]
+            if self.memo.size + len(new) > _REMEMBERED:
+                self.memo = runs.Table()
+            new, scores = new[:_REMEMBERED], scores[:_REMEMBERED]
+            numbers = np.arange(self.memo.size, self.memo.size + len(new))
+            self.scores[numbers] = scores
+            self.memo.add(_key(1, new, 56), numbers)
+        return out
+
+    def _look_up(self, grams: np.ndarray) -> np.ndarray:
+        window = grams >> np.uint64(8)
+        context = np.zeros(len(grams), np.int64)
+        left = np.arange(len(grams))
         for depth in range(DEPTH, 0, -1):
             found = self.contexts.find(_key(depth + 1, window[left] & np.uint64((1 << 8 * depth) - 1), 56)).astype(np.int64)
             context[left[found >= 0]] = found[found >= 0]
             left = left[found < 0]
         context[left] = 0 if len(self.depth) else -1
-        return np.bincount(of, self._find(context, symbols[place].astype(np.int64)), len(streams))
+        return self._find(context, (grams & np.uint64(255)).astype(np.int64))
 
 
 def sliced(rows: pa.Table, most: int = SLICE_ENTRIES) -> tuple[np.ndarray | None, list[pa.Table]]:

@@ -356,6 +356,22 @@ def test_scores_do_not_depend_on_slices(spark, docs, monkeypatch):
     assert {r.doc_id: pytest.approx(r.score, rel=1e-9) for r in lm.score(docs).collect()} == whole
 
 
+def test_a_gram_is_looked_up_once(spark, docs, monkeypatch):
+    """Scores are the same to the last bit whether all, some or no grams are remembered, and the tree is asked once for each."""
+    table = lm.kept_contexts(docs.select("text")).toArrow()
+    texts = [lm.stream((r.text or "").encode().lower().split()) for r in docs.limit(300).collect()]
+    grams, asked, find = len(lm.grams_of(texts)[0]), [], lm.Tree._find
+    monkeypatch.setattr(lm.Tree, "_find", lambda self, context, symbol: asked.append(len(symbol)) or find(self, context, symbol))
+    tree = lm.Tree(table)
+    asked.clear()
+    whole = tree.score(texts)
+    assert sum(asked) == grams < sum(map(len, texts)) / 3 and np.array_equal(tree.score(texts), whole) and sum(asked) == grams
+    for some in (1, 500):
+        monkeypatch.setattr(lm, "_REMEMBERED", some)
+        tree = lm.Tree(table)
+        assert np.array_equal(tree.score(texts), whole) and tree.memo.size <= some
+
+
 def test_the_tree_grows_with_the_corpus(spark, docs):
     sizes = [lm.kept_contexts(docs.where(f"doc_id % {k} = 0").select("text")).count() for k in (8, 1)]
     assert sizes[1] > 2 * sizes[0]
