@@ -6,9 +6,10 @@ names behind a title).  Labelers vote for or against each candidate: its strict
 variety of characters), a gazetteer, words before it (context), and its borders.  Counts of vote patterns over all
 documents go through expectation-maximisation, which estimates for each kind the labelers' reliabilities without labels.
 Its posteriors train a logistic span classifier with features of its own: hashed shape, ends and length of the span and
-the words around it, beside the votes.  It is fitted on a bounded sample of the candidates (``TRAIN_SPANS`` of each kind,
-chosen by chance).  Base spans always stay; the classifier decides on the others.  Patterns are few (kinds x 3^labelers),
-whatever the corpus, and so are the classifier's weights.
+the words around it, beside the votes.  It is fitted on all candidates: each round sums the errors of every one of them by
+feature, in integers, so the weights do not depend on how the rows are laid out.  Base spans always stay; the classifier
+decides on the others.  Patterns are few (kinds x 3^labelers), whatever the corpus, and so are the classifier's weights.
+Candidates are packed, 34 bytes each; up to ``LOCAL_SPANS`` of them are summed in the driver, beyond in a Spark job a round.
 
 Edge cases: a null text is empty and has no span; offsets are code points, ends exclusive; a proposed span that overlaps
 a base span or an earlier proposed one is left out; with no candidate at all the model accepts nothing; equal votes for
@@ -21,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,12 +38,15 @@ KINDS = BASE_KINDS + MORE_KINDS
 ACCEPT = 0.8
 EM_ROUNDS = 50
 LABELERS = 5
-#: About so many candidates of each kind train the classifier.
-TRAIN_SPANS = 2000
+#: Up to so many candidates train the classifier in the driver (9 MB); beyond, every round is a Spark job over all of them.
+LOCAL_SPANS = 1 << 18
+ROUNDS = 300
 #: Hashed features of a candidate, and the weights that they share.
 FEATURES, BUCKETS = 16, 1 << 14
 #: Numbers of a candidate in a row's flat list: kind, start, end, vote pattern, features.
 WIDTH = 4 + FEATURES
+#: Candidates of a pack at most, and the units in which their errors are summed.
+_PACK, _UNIT = 1 << 15, 1 << 24
 
 _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -241,11 +245,48 @@ def votes_of(pattern: int) -> tuple[int, list[int]]:
     return pattern, vote[::-1]
 
 
+def _chance(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(weights[x].sum(1), -30, 30)))
+
+
+def _uses(pack: np.ndarray) -> np.ndarray:
+    """How often each feature is seen."""
+    return np.bincount(pack[:, 1:].ravel(), minlength=BUCKETS)
+
+
+def _errors(pack: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Sums for each feature of how far its candidates are from the posterior ``wanted`` of their vote pattern, in units."""
+    error = np.rint((wanted[pack[:, 0]] - _chance(weights, pack[:, 1:])) * _UNIT)
+    return np.bincount(pack[:, 1:].ravel(), np.repeat(error, FEATURES), BUCKETS).astype(np.int64)  # exact: below 2^53
+
+
+def _unpacked(pack: bytes) -> np.ndarray:
+    return np.frombuffer(pack, np.uint16).reshape(-1, 1 + FEATURES)
+
+
+def _summed(packs: list[np.ndarray] | DataFrame, of: Callable, *given: np.ndarray) -> np.ndarray:
+    """Sum of ``of`` over all packs; of a table a row for each task reaches the driver."""
+    if not isinstance(packs, DataFrame):
+        return sum((of(pack, *given) for pack in packs), np.zeros(BUCKETS, np.int64))
+    shared = packs.sparkSession.sparkContext.broadcast(given)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for pack in batch.column(0):
+                out += of(_unpacked(pack.as_py()), *shared.value)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], ["sums"])
+
+    found = sum((np.frombuffer(row.sums, np.int64) for row in packs.mapInArrow(run, "sums binary").collect()), np.zeros(BUCKETS, np.int64))
+    shared.destroy()
+    return found
+
+
 class Classifier:
     """Labelers' reliabilities of each kind by EM over counts of vote patterns, and a logistic classifier trained on its posteriors."""
 
-    def __init__(self, counts: dict[int, int], sample: list[list[int]]):
-        """``sample``: candidates as lists of a vote pattern and features."""
+    def __init__(self, counts: dict[int, int], packs: list[np.ndarray] | DataFrame):
+        """``packs``: all candidates, a vote pattern and features each, as arrays or as a table of packs."""
         self.posterior, self.reliability = {}, {}
         for kind in range(len(KINDS)):
             patterns = sorted(p for p in counts if votes_of(p)[0] == kind)
@@ -253,13 +294,12 @@ class Classifier:
                 posterior, self.reliability[kind] = self._expect(np.array([counts[p] for p in patterns], float), np.array([votes_of(p)[1] for p in patterns]))
                 self.posterior |= dict(zip(patterns, posterior.tolist(), strict=True))
         self.weights = np.zeros(BUCKETS)
-        x = np.array([row[1:] for row in sorted(sample)], np.int64).reshape(-1, FEATURES)
-        y = np.array([self.posterior[row[0]] for row in sorted(sample)])
-        momentum = np.zeros(BUCKETS)
-        scale = 1 / np.maximum(np.bincount(x.ravel(), minlength=BUCKETS), 5.0)  # rare features learn no faster than those of five
-        for _ in range(300 if len(x) else 0):
-            error = y - self._chance(x)
-            momentum = 0.8 * momentum + 0.2 * (np.bincount(x.ravel(), np.repeat(error, FEATURES), BUCKETS) * scale - 0.002 * self.weights)
+        momentum, seen = np.zeros(BUCKETS), _summed(packs, _uses) if counts else np.zeros(BUCKETS)
+        scale = 1 / np.maximum(seen, 5.0)  # rare features learn no faster than those of five
+        wanted = np.zeros(len(KINDS) * 3**LABELERS)
+        wanted[list(self.posterior)] = list(self.posterior.values())
+        for _ in range(ROUNDS if seen.any() else 0):
+            momentum = 0.8 * momentum + 0.2 * (_summed(packs, _errors, self.weights, wanted) / _UNIT * scale - 0.002 * self.weights)
             self.weights += momentum
 
     @staticmethod
@@ -279,7 +319,7 @@ class Classifier:
         return posterior, table
 
     def _chance(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.weights[x].sum(1), -30, 30)))
+        return _chance(self.weights, x)
 
     def accepts(self, found: list[int]) -> list[bool]:
         """For each candidate of a flat list whether it stays."""
@@ -311,23 +351,41 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(releasing(_find_batches), "doc_id long, spans array<long>")
 
 
-def fit(found: DataFrame, train_spans: int = TRAIN_SPANS) -> Classifier:
-    """Learn from the candidates in ``spans`` of each ``doc_id``: from the counts of all vote patterns, and from the features of a bounded sample.
-
-    The sample is chosen by a hash of doc_id and place, so it does not depend on how the rows are laid out.
-    """
-    starts = F.when(F.size("spans") > 0, F.sequence(F.lit(0), F.size("spans") - 1, F.lit(WIDTH)))
-    dice = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("spans")[F.col("at") + 1], F.lit("spans")), F.lit(1 << 20)) / (1 << 20)
-    each = found.select("doc_id", "spans", F.explode(starts).alias("at")).select(F.slice("spans", F.col("at") + 4, WIDTH - 3).alias("row"), F.col("spans")[F.col("at")].alias("kind"), dice.alias("dice"))
-    counts = {row["pattern"]: row["count"] for row in each.groupBy(F.col("row")[0].alias("pattern")).count().toLocalIterator()}
-    if not counts:
-        return Classifier({}, [])
-    of_kind: dict[int, int] = {}
-    for pattern, n in counts.items():
-        of_kind[votes_of(pattern)[0]] = of_kind.get(votes_of(pattern)[0], 0) + n
-    share = F.create_map(*[F.lit(x) for kind, n in of_kind.items() for x in (kind, min(1.0, train_spans / n))])
-    sample = each.where(F.col("dice") < share[F.col("kind").cast("int")])
-    return Classifier(counts, [row["row"] for row in sample.select("row").toLocalIterator()])
+def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()])], ["pack"])
+
+    for batch in batches:
+        rows = batch.column(0).flatten().to_numpy().reshape(-1, WIDTH)[:, 3:].astype(np.uint16)
+        for at in range(0, len(rows), _PACK):
+            held.append(rows[at : at + _PACK])
+            size += len(held[-1])
+            if size >= _PACK:
+                yield out()
+                held, size = [], 0
+    if size:
+        yield out()
+
+
+def _pattern_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(len(KINDS) * 3**LABELERS, np.int64)
+    for batch in batches:
+        for pack in batch.column(0):
+            counts += np.bincount(_unpacked(pack.as_py())[:, 0], minlength=len(counts))
+    seen = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["pattern", "n"])
+
+
+def fit(found: DataFrame) -> Classifier:
+    """Learn from all candidates in ``spans``: from the counts of their vote patterns, and from the features of each."""
+    packs = staged(found.sparkSession, found.select("spans").mapInArrow(releasing(_pack_batches), "pack binary"), "packs")
+    counted = packs.mapInArrow(_pattern_batches, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    counts = {row.pattern: row.n for row in counted.collect()}  # at most kinds x 3^labelers
+    if sum(counts.values()) <= LOCAL_SPANS:
+        return Classifier(counts, [np.concatenate([_unpacked(row.pack) for row in packs.collect()])] if counts else [])
+    return Classifier(counts, packs)
 
 
 def _digest_batches(model: Classifier):

@@ -240,6 +240,33 @@ def test_every_word_and_gram_of_the_sample_is_kept(spark):
         assert model.entries[size].table.size == len(known) and (model.entries[size].table.find(runs.hash_of(sorted(known))) >= 0).all()
 
 
+def many_texts(n):
+    """Labelled documents over the former sample of 2000 a language, a word of its own in each."""
+    rng = random.Random(5)
+    return [(k, f"the boat {''.join(rng.choices('bcdfghklmnprstvw', k=9))}", "en") for k in range(n)] + [(k, "das Haus am Fluss", "de") for k in range(n, 2 * n)]
+
+
+def test_all_labelled_documents_are_learned_from(spark):
+    rows = many_texts(3200)
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    learnt = [text for k, text, lang in rows if lang == "en" and zlib.crc32(str(k).encode()) % 4 != 2]
+    assert len(learnt) > 2200 and (model.entries[0].table.find(runs.hash_of([t.split()[2] for t in learnt])) >= 0).all()
+    assert np.isclose(np.exp(-model.entries[0].floor[1]) * langid.SMOOTHING, 3 * len(learnt) + langid.SMOOTHING * model.entries[0].table.size)
+    assert langid.Predictor(model).predict([learnt[7]])[2].tolist() == [3]
+
+
+@pytest.mark.parametrize("most", [0, 3, 400])
+def test_words_beyond_the_broadcast_are_joined(spark, docs, odd, monkeypatch, most):
+    rows = docs.union(odd.select(docs.columns))
+    want = sorted(map(tuple, langid.identify(rows, langid.fit(rows)).collect()), key=str)
+    monkeypatch.setattr(langid, "BROADCAST_WORDS", most)
+    model = langid.fit(rows)
+    assert model.rest.count() > 0 and model.entries[0].table.size <= most
+    got = sorted(map(tuple, langid.identify(rows, model).collect()), key=str)
+    assert [(*x[:3], x[4]) for x in got] == [(*x[:3], x[4]) for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=1e-4)
+    assert langid.identify(rows.where("false"), model).count() == 0
+
+
 def plain_model(rows):
     """log frequencies by size and n-gram, from (lang, size, n-gram, n)."""
     languages = sorted({r[0] for r in rows})
@@ -573,6 +600,21 @@ def test_reliabilities_are_found_by_em():
     assert not pii.Classifier({}, []).accepts([4, 0, 3, 0] + [0] * pii.FEATURES)[0]
 
 
+def test_all_candidates_are_learned_from(spark, monkeypatch):
+    """Over 2000 candidates of a kind, in the driver and in Spark jobs."""
+    seen, summed = [], pii._summed
+    monkeypatch.setattr(pii, "ROUNDS", 4)
+    monkeypatch.setattr(pii, "_summed", lambda packs, of, *x: seen.append((of, summed(packs, of, *x))) or seen[-1][1])
+    docs = spark.createDataFrame([(k, f"call {k % 9} or write to a{k}.b@c{k % 7}.org") for k in range(5000)] + [(None, None)], "doc_id long, text string").repartition(3)
+    found = common.staged(spark, pii.candidates(docs), "candidates")
+    local = pii.fit(found)
+    assert seen[0][0] is pii._uses and seen[0][1].sum() == 5000 * pii.FEATURES
+    monkeypatch.setattr(pii, "LOCAL_SPANS", 100)
+    monkeypatch.setattr(pii, "_PACK", 64)
+    by_jobs = pii.fit(found)
+    assert len(seen) == 10 and local.weights.any() and (local.weights == by_jobs.weights).all()
+
+
 def test_secrets_of_documents_are_found(spark, docs):
     got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
     for r in docs.collect():
@@ -1003,3 +1045,19 @@ def test_pipeline_language_uses_its_prediction(spark):
     docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows + odd], DOC)
     kept = {r.doc_id: r.lang for r in pipeline.language(spark, docs, SMALL).collect() if r.doc_id is None or r.doc_id > 100}
     assert kept == {101: "de", None: "en"}
+
+
+def test_pipeline_learns_from_all_documents(spark, monkeypatch):
+    """The language stage keeps a text whose only word stands in one of over 2000 labelled documents, also by a join."""
+    import corpus_pipeline as pipeline
+
+    rows = many_texts(3200)
+    learnt = [text.split()[2] for k, text, _ in rows if len(text.split()) == 3 and zlib.crc32(str(k).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows] + [(10_000 + k, w, None, "s", 1) for k, w in enumerate(learnt)] + [(20_000, "你好", None, "s", 1)], DOC)
+    models, predictor = [], langid.predictor
+    monkeypatch.setattr(langid, "predictor", lambda spark, model: models.append(model) or predictor(spark, model))
+    want = sorted(map(tuple, pipeline.language(spark, docs, SMALL).collect()))
+    assert (models[0].entries[0].table.find(runs.hash_of(learnt)) >= 0).all()
+    assert len(want) == docs.count() - 1 and {r[2] for r in want if r[0] >= 10_000} == {"en"}
+    monkeypatch.setattr(langid, "BROADCAST_WORDS", 5)
+    assert sorted(map(tuple, pipeline.language(spark, docs, SMALL).collect())) == want and len(models) == 1
