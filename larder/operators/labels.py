@@ -74,8 +74,14 @@ _UNIT = "|".join(sorted([*_UNITS, *_PLAIN_UNITS], key=len, reverse=True))
 _NUMBER = rf"(?i)(?<![\p{{L}}0-9.,])(?<!\p{{L}}[-‐])[0-9]+(?:[.,][0-9]+)?(?:\s*(?:{_UNIT}))?(?!\p{{L}})"
 
 
-def nearest_name(text: Column, extra: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """struct(likeness, key) of the nutrient whose name is nearest to a normalised text.
+def _edits_within(size: int, likeness: float, weight: float) -> int:
+    """The most edits that leave a name of a size the likeness, whatever the length of the other text (which they bound)."""
+    share = min(1 - (likeness - size / 1000 - 0.001) / weight, 0.99)  # likenesses are rounded
+    return int(share * size / (1 - share) + 1e-6)
+
+
+def nearest_name(text: Column, extra: dict[str, tuple[str, ...]] | None = None, least: float = MATCH) -> Column:
+    """struct(likeness, key) of the nutrient whose name is nearest to a normalised text, if the likeness is ``least`` or more; else some lower likeness.
 
     Equal texts have 1, a name contained as words 0.9; else what an edit distance leaves of the whole text if it is about
     as long as the name, and if it is not, of its best run of as many words as the name has, weighted 0.95.  Longer names
@@ -84,36 +90,43 @@ def nearest_name(text: Column, extra: dict[str, tuple[str, ...]] | None = None)
     names = [(key, name, name.count(" ") + 1) for key, own in synonyms(extra).items() for name in own]
     order = {key: -place for place, key in enumerate(synonyms(extra))}  # of equal likenesses the first nutrient's counts
     longest = max(n for _, _, n in names)
-    # Edits beyond what a likeness of MATCH allows are not worked out.
-    fields = [{"key": k, "name": name, "words": f" {name} ", "n": n, "size": len(name), "order": order[k], "most": (len(name) + _LENGTHS_APART) // 3, "more": len(name) / 1000} for k, name, n in names]
-    # One text, which Spark folds to a constant: built of single literals, the table would be most of the plan.
-    table = F.from_json(F.lit(json.dumps(fields)), "array<struct<key:string,name:string,words:string,n:int,size:int,order:int,most:int,more:double>>")
+
+    def by_length(chosen: list[tuple[str, str, int]], most, apart: int) -> list[list[dict]]:
+        """For each length of a text the names that it can be with so many edits, of lengths up to so much apart; others are not looked at."""
+        fields = [{"key": key, "name": name, "words": f" {name} ", "size": len(name), "order": order[key], "most": most(len(name)), "more": len(name) / 1000} for key, name, _ in chosen]
+        return [[f for f in fields if abs(f["size"] - length) <= min(f["most"], apart)] for length in range(max([f["size"] + f["most"] for f in fields], default=0) + 1)]
+
+    # Each one text, which Spark folds to a constant: built of single literals, the tables would be most of the plan.
+    kind = "array<array<struct<key:string,name:string,words:string,size:int,order:int,most:int,more:double>>>"
+    whole = by_length([x for x in names if len(x[1]) >= _SPELLED], lambda size: _edits_within(size, least, 1.0), _LENGTHS_APART)
+    edits = lambda size: _edits_within(size, least, _RUN_WEIGHT) if size >= _HIDDEN else 0
+    by_run = [by_length([x for x in names if x[2] == n], edits, max(len(name) for _, name, _ in names)) for n in range(1, longest + 1)]
+    whole, by_run = F.from_json(F.lit(json.dumps(whole)), kind), F.from_json(F.lit(json.dumps(by_run)), f"array<{kind}>")
 
     def told(words: Column) -> Column:
         runs = [F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " ")) for n in range(1, longest + 1)]  # noqa: B023
         none = F.array().cast("array<string>")
         runs = [F.when(F.size(words) >= n, run).otherwise(none) for n, run in enumerate(runs, 1)]
-        whole = F.array_join(words, " ")
-        return F.struct(whole.alias("text"), F.concat(F.lit(" "), whole, F.lit(" ")).alias("words"), F.length(whole).alias("length"), F.array(*runs).alias("runs"))
+        text = F.array_join(words, " ")
+        return F.struct(text.alias("text"), F.concat(F.lit(" "), text, F.lit(" ")).alias("words"), F.length(text).alias("length"), F.array(*runs).alias("runs"))
 
     def edits_left(a: Column, size: Column, n: Column) -> Column:
         edits = F.call_function("levenshtein", a, n["name"], n["most"])  # -1 beyond, which pmod makes a large number
         return F.lit(1.0) - F.pmod(edits, F.lit(1 << 20)) / F.greatest(size, n["size"])
 
-    def likeness(t: Column, n: Column) -> Column:
-        near = F.abs(t["length"] - n["size"]) <= _LENGTHS_APART
-        best_run = F.array_max(F.transform(F.element_at(t["runs"], n["n"]), lambda run: edits_left(run, F.length(run), n)))
-        return n["more"] + (
-            F.when(t["text"] == n["name"], 1.0)
-            .when(F.contains(t["words"], n["words"]), 0.9)
-            .when(near & (n["size"] >= _SPELLED), edits_left(t["text"], t["length"], n))
-            .when(~(near & (n["size"] >= _SPELLED)) & (n["size"] >= _HIDDEN), F.coalesce(best_run, F.lit(0.0)) * _RUN_WEIGHT)
-            .otherwise(0.0)
-        )
+    def scored(t: Column, table: Column, length: Column, likeness) -> Column:
+        score = lambda n: F.when(F.contains(t["words"], n["words"]), 0.9).otherwise(likeness(n))
+        return F.transform(F.coalesce(F.get(table, length), F.array()), lambda n: F.struct((n["more"] + score(n)).alias("likeness"), n["order"].alias("order"), n["key"].alias("key")))
+
+    def best_of(t: Column) -> Column:
+        """The best of the names that are about as long as the whole text, and of those that a run may be and that are not."""
+        apart = lambda n: (F.abs(t["length"] - n["size"]) > _LENGTHS_APART) & (n["size"] >= _HIDDEN)
+        hidden = lambda run: lambda n: F.when(apart(n), edits_left(run, F.length(run), n) * _RUN_WEIGHT).otherwise(0.0)
+        of_runs = F.transform(t["runs"], lambda runs, k: F.flatten(F.transform(runs, lambda run: scored(t, F.get(by_run, k), F.length(run), hidden(run)))))
+        return F.array_max(F.concat(scored(t, whole, t["length"], lambda n: edits_left(t["text"], t["length"], n)), F.flatten(of_runs)))
 
     # Bound as lambda variables, the text and the best name are worked out once and not once for each use.
-    bound = F.transform(F.array(F.split(text, " ")), told)
-    best = F.transform(bound, lambda t: F.array_max(F.transform(table, lambda n: F.struct(likeness(t, n).alias("likeness"), n["order"].alias("order"), n["key"].alias("key")))))
+    best = F.transform(F.transform(F.array(F.split(text, " ")), told), best_of)
     best = F.transform(best, lambda x: F.struct(half_up(x["likeness"], 4).alias("likeness"), x["key"].alias("key")))[0]
     # An equal name beats all others, so most lines are looked up and only the rest compared.
     equal: dict[str, dict] = {}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.scalars import half_up, leading_number, normalise_label, rotated
 from larder.operators.labels import header, label_match, label_tokens, nearest_name, repaired_energy, repaired_kcal
+from larder.sources.shared import staged
 
 # The usual order of a table's nutrients; nutrients that always come right after another; those given in grams.
 USUAL_ORDER = ("energy", "fat", "saturated-fat", "carbohydrates", "sugars", "fiber", "proteins", "salt")
@@ -68,19 +69,18 @@ def aligned(names: np.ndarray, rows: np.ndarray, height: float) -> list[int | No
     distance in line heights, while anything left alone costs 1."""
     n, m = len(names), len(rows)
     far = np.abs(np.subtract.outer(np.asarray(names, float), np.asarray(rows, float))) / max(height, 1e-9)
-    pair = np.where(far > REACH, np.inf, far**2)
-    rest = np.zeros((n + 1, m + 1))  # the least cost of what is below a name and a row
-    rest[n, :], rest[:, m] = np.arange(m, -1, -1), np.arange(n, -1, -1)
+    pair = np.where(far > REACH, np.inf, far**2).tolist()  # single numbers are quicker to get from lists
+    rest = [[float(n - i + m - j) for j in range(m + 1)] for i in range(n + 1)]  # the least cost of what is below a name and a row
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            rest[i, j] = min(pair[i, j] + rest[i + 1, j + 1], 1 + rest[i + 1, j], 1 + rest[i, j + 1])
+            rest[i][j] = min(pair[i][j] + rest[i + 1][j + 1], 1 + rest[i + 1][j], 1 + rest[i][j + 1])
     out: list[int | None] = [None] * m
     i = j = 0
     while i < n and j < m:
-        if rest[i, j] == pair[i, j] + rest[i + 1, j + 1]:
+        if rest[i][j] == pair[i][j] + rest[i + 1][j + 1]:
             out[j] = i
             i, j = i + 1, j + 1
-        elif rest[i, j] == 1 + rest[i + 1, j]:
+        elif rest[i][j] == 1 + rest[i + 1][j]:
             i += 1
         else:
             j += 1
@@ -119,6 +119,18 @@ _LINE = "struct<text: string, x: double, y: double, w: double, h: double, cx: do
 _TOKEN = "struct<y: double, x: double, value: double, unit: string, digits: string, line: int>"
 
 
+def read_texts(lines: DataFrame) -> DataFrame:
+    """text, name, tokens, is_head: what the texts of lines say, each different text read once.
+
+    Labels repeat their texts, and reading one takes longer than all else that is done with its line.  The table is staged, so
+    Spark knows its size and sends a small one to all tasks; of a large one a text that many lines have is split as a skewed join.
+    """
+    texts = lines.select("text").distinct().repartition(lines.sparkSession.sparkContext.defaultParallelism)  # few bytes, but much work
+    texts = texts.select("text", label_match(F.col("text")).alias("name"), label_tokens(F.col("text")).alias("tokens"))
+    is_head = F.col("name").isNull() & F.col("text").rlike(_HEAD) & ~F.col("text").rlike(r"(?i)[0-9]\s?(?:kj|kcal)\b")
+    return staged(texts.withColumn("is_head", is_head), "label-texts")
+
+
 def grouped_lines(lines: DataFrame) -> DataFrame:
     """A row per label: height, all its lines straightened by the median angle, names (wrapped ones joined), values and heads.
 
@@ -126,10 +138,9 @@ def grouped_lines(lines: DataFrame) -> DataFrame:
     """
     width = F.col("w") if "w" in lines.columns else F.col("h") * F.length("text") / 2
     read = lines.where(F.trim("text") != "").select(
-        "image_id", "text", F.col("cx").cast("double"), F.col("cy").cast("double"), F.col("h").cast("double"), F.coalesce(F.col("angle").cast("double"), F.lit(0.0)).alias("angle"),
-        F.coalesce(width.cast("double"), F.lit(0.0)).alias("w"), label_match(F.col("text")).alias("name"), label_tokens(F.col("text")).alias("tokens"),
+        "image_id", "text", F.col("cx").cast("double"), F.col("cy").cast("double"), F.col("h").cast("double"), F.coalesce(F.col("angle").cast("double"), F.lit(0.0)).alias("angle"), F.coalesce(width.cast("double"), F.lit(0.0)).alias("w"),
     )
-    read = read.withColumn("is_head", F.col("name").isNull() & F.col("text").rlike(_HEAD) & ~F.col("text").rlike(r"(?i)[0-9]\s?(?:kj|kcal)\b"))
+    read = read.join(read_texts(read), "text")
     one = read.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("cy", "cx", "text", "w", "h", "angle", "name", "tokens", "is_head"))).alias("raw"))
     one = one.withColumns({"angle": _median(F.transform("raw", lambda x: x["angle"])), "height": _median(F.transform("raw", lambda x: x["h"]))})
 
@@ -155,7 +166,7 @@ def grouped_lines(lines: DataFrame) -> DataFrame:
         below = F.when(loose(line), F.get(_by(F.filter("raw", lambda o: loose(o) & near(o)), "y"), F.lit(0)))
 
         def joined(b: Column) -> Column:
-            match = F.when(b.isNotNull(), _let(normalise_label(F.concat_ws(" ", line["text"], b["text"])), lambda t: nearest_name(t)))
+            match = F.when(b.isNotNull(), _let(normalise_label(F.concat_ws(" ", line["text"], b["text"])), lambda t: nearest_name(t, least=WRAPPED)))
             key = _let(match, lambda m: F.when(m["likeness"] >= WRAPPED, m["key"]))
             return F.struct(((line["y"] + b["y"]) / 2).alias("y"), F.least(left(line), left(b)).alias("x"), key.alias("key"), i.alias("line"))
 

@@ -8,13 +8,16 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from larder.functions import scalars as S
 from larder.operators import documents as D
 from larder.operators import edits as E
 from larder.operators import goals as G
 from larder.operators import labels as B
+from larder.operators import labeltables as T
 from larder.operators.numbering import numbered
 from larder.plans import registry
+from larder.plans import texts as plans
 from larder.sources import migrations as M
 
 
@@ -270,6 +273,26 @@ def test_label_names_against_a_plain_match(spark):
     assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != plain_match(t)] == []
 
 
+def test_names_with_more_edits_than_lengths_are_apart(spark):
+    """As long as its name but for three letters, a text may have four edits; a higher least likeness tells the same names from there on."""
+    texts = ["kohlednhydrat xx", "qq srhrfach ungesattite fettsauren", "saturated fatty acids", "acids", "zz vrzadigde vetzuren", "total sugers and fibre", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = rows.select("t", B.label_key(F.col("t")).alias("k"), B.nearest_name(F.col("t")).alias("m"), B.nearest_name(F.col("t"), least=0.85).alias("w")).collect()
+    assert all(r.k == plain_match(r.t) for r in found) and found[0].k == "carbohydrates"
+    likely = lambda m: m if m and (m.likeness or 0) >= 0.85 else None
+    assert [likely(r.m) for r in found] == [likely(r.w) for r in found] and likely(found[1].w).key == "polyunsaturated-fat"
+
+
+def test_each_text_of_labels_is_read_once(spark):
+    """However many lines have it; and the labels of a table that is one split are in several tasks."""
+    texts = ["Fat", "3,5 g", "per 100 g", "#~#"]
+    lines = spark.range(4000).select((F.col("id") % 500).alias("image_id"), F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 4 + 1).cast("int")).alias("text"), F.lit(0.0).alias("cx"), F.col("id").cast("double").alias("cy"), F.lit(20.0).alias("h"), F.lit(0.0).alias("angle"))
+    read = {r.text: (r.name and r.name.key, [t.value for t in r.tokens], r.is_head) for r in T.read_texts(lines).collect()}
+    assert read == {"Fat": ("fat", [], False), "3,5 g": (None, [3.5], False), "per 100 g": (None, [100.0], True), "#~#": (None, [], False)}
+    assert T.read_texts(lines).count() == 4 and "regexp_extract_all" not in plan(T.grouped_lines(lines))
+    assert plans._photo(spark, SMALL, [("Fat", 0, 0)]).rdd.getNumPartitions() > 1
+
+
 def test_further_names_are_a_parameter(spark):
     rows = spark.createDataFrame([(1, "telitett zsirsavak")], "id int, text string")
     assert [r.key for r in B.synonym_match(rows, {"saturated-fat": ("telitett zsirsavak",)}).collect()] == ["saturated-fat"]
