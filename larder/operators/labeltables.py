@@ -39,14 +39,19 @@ def _median(values: Column) -> Column:
 
 def _by(items: Column, *fields: str) -> Column:
     """Structs in the order of some of their fields, then of all."""
-    keyed = F.transform(items, lambda x: F.struct(F.struct(*[x[f].alias(f) for f in fields]).alias("by"), x.alias("x")))
-    return F.transform(F.array_sort(keyed), lambda k: k["x"])
+    keyed = F.transform(items, lambda x: F.struct(*[x[f].alias(f"by_{f}") for f in fields], x.alias("x")))
+    return F.transform(F.sort_array(keyed), lambda k: k["x"])
+
+
+def _is_new(values: Column, value: Column, i: Column) -> Column:
+    """Whether a value is not among the first i; array_position, which would say so too, is slow where it finds one."""
+    return value.isNotNull() & ~F.coalesce(F.array_contains(F.slice(values, F.lit(1), i), value), F.lit(False))
 
 
 def _once(items: Column, field: str) -> Column:
     """The first struct of each value of a field."""
     both = F.struct(items.alias("items"), F.transform(items, lambda x: x[field]).alias("values"))
-    return _let(both, lambda b: F.filter(b["items"], lambda x, i: F.array_position(b["values"], x[field]) == i + 1))
+    return _let(both, lambda b: F.filter(b["items"], lambda x, i: _is_new(b["values"], x[field], i)))
 
 
 def clusters(items: Column, item_type: str, field: str, tolerance: Column, by_mean: bool) -> Column:
@@ -100,16 +105,20 @@ def with_inferred(keys: Column) -> Column:
     the one nutrient that is missing between two, and salt after proteins at the end.  A known nutrient is not inferred."""
     order = F.array(*map(F.lit, USUAL_ORDER))
     parents = F.create_map(*[F.lit(x) for pair in FOLLOWS.items() for x in pair])
+    places = F.create_map(*[F.lit(x) for place, key in enumerate(USUAL_ORDER, 1) for x in (key, place)])
+    known = lambda part: F.filter(part, lambda k: k.isNotNull())
 
-    def candidate(key: Column, i: Column) -> Column:
-        known = lambda part: F.filter(part, lambda k: k.isNotNull())
-        last = F.get(F.reverse(known(F.slice(keys, F.lit(1), i))), F.lit(0))
-        coming, below = F.get(known(F.slice(keys, i + 2, F.size(keys))), F.lit(0)), F.get(keys, i + 1)
-        place = lambda k: F.array_position(order, k)
-        between = F.when((place(last) > 0) & (place(coming) - place(last) == 2), F.get(order, place(last).cast("int")))
+    def told(around: Column, i: Column) -> Column:
+        last, coming, below = around["last"], around["coming"], F.get(keys, i + 1)
+        place = lambda k: F.try_element_at(places, k)
+        between = F.when(place(coming) - place(last) == 2, F.get(order, place(last)))
         final = F.when((last == "proteins") & coming.isNull() & (i == F.size(keys) - 1), "salt")
         found = F.coalesce(F.try_element_at(parents, F.coalesce(below, F.lit(""))), between, final)
-        return F.when(key.isNull() & ~F.coalesce(F.array_contains(known(keys), found), F.lit(False)), found)
+        return _let(found, lambda f: F.when(~F.coalesce(F.array_contains(known(keys), f), F.lit(False)), f))
+
+    def candidate(key: Column, i: Column) -> Column:
+        last, coming = F.get(F.reverse(known(F.slice(keys, F.lit(1), i))), F.lit(0)), F.get(known(F.slice(keys, i + 2, F.size(keys))), F.lit(0))
+        return F.when(key.isNull(), _let(F.struct(last.alias("last"), coming.alias("coming")), lambda around: told(around, i)))
 
     first = lambda g, i: F.when(F.array_position(g, F.get(g, i)) == i + 1, F.get(g, i))
     return _let(F.transform(keys, candidate), lambda g: F.transform(keys, lambda k, i: F.coalesce(k, first(g, i))))
@@ -141,7 +150,7 @@ def grouped_lines(lines: DataFrame) -> DataFrame:
         "image_id", "text", F.col("cx").cast("double"), F.col("cy").cast("double"), F.col("h").cast("double"), F.coalesce(F.col("angle").cast("double"), F.lit(0.0)).alias("angle"), F.coalesce(width.cast("double"), F.lit(0.0)).alias("w"),
     )
     read = read.join(read_texts(read), "text")
-    one = read.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("cy", "cx", "text", "w", "h", "angle", "name", "tokens", "is_head"))).alias("raw"))
+    one = read.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("cy", "cx", "text", "w", "h", "angle", "name", "tokens", "is_head"))).alias("raw"))
     one = one.withColumns({"angle": _median(F.transform("raw", lambda x: x["angle"])), "height": _median(F.transform("raw", lambda x: x["h"]))})
 
     def straight(line: Column) -> Column:
@@ -202,7 +211,7 @@ def panels(labels: DataFrame) -> DataFrame:
     each = each.withColumns({"rows": rows(lambda t: ~_is_energy(t)), "energy_rows": rows(_is_energy)})
     each = each.withColumn("of", _aligner()(F.transform("names", lambda n: n["y"]), F.transform("rows", lambda r: r["at"]), F.col("height")))
     keys = F.transform("of", lambda k: F.get("names", k)["key"])
-    each = each.withColumn("keys", keys).withColumn("keys", F.transform("keys", lambda k, i: F.when(F.array_position("keys", k) == i + 1, k)))
+    each = each.withColumn("keys", keys).withColumn("keys", F.transform("keys", lambda k, i: F.when(_is_new(F.col("keys"), k, i), k)))
     return each.withColumn("keys", with_inferred(F.col("keys")))
 
 
@@ -253,9 +262,13 @@ def _columns(each: DataFrame) -> DataFrame:
     cell_type = "struct<key: string, value: double, unit: string, digits: string, x: double, y: double>"
     found = F.filter(clusters(F.col("cells"), cell_type, "x", F.col("height") * 1.2, by_mean=False), lambda c: F.size(c["items"]) >= 2)
     each = _cells(each).withColumn("centres", F.transform(found, lambda c: _median(F.transform(c["items"], lambda x: x["x"]))))
-    nearest = lambda c: _let(F.transform("centres", lambda x: F.abs(x - c["x"])), lambda far: F.array_position(far, F.array_min(far)))
-    each = each.select("image_id", "panel", "height", "lines", "cells", F.posexplode_outer("centres").alias("column", "x"), "centres")
-    each = each.withColumn("cells", F.filter("cells", lambda c: nearest(c) == F.col("column") + 1))
+    far = lambda x, c: F.abs(x - c["x"])
+    nearest = lambda c: F.array_min(F.transform("centres", lambda x, i: F.when(far(x, c).isNotNull(), F.struct(far(x, c).alias("far"), i.alias("i")))))["i"]
+    # What the label states is looked for here, so the grouping by column need not carry all lines with each.
+    stated = lambda group: F.regexp_extract(F.lower(F.array_join(F.transform("lines", lambda line: line["text"]), "\n")), _SERVING, group)
+    each = each.withColumns({"stated": stated(1), "stated_unit": stated(2)})
+    each = each.select("image_id", "panel", "height", "lines", "stated", "stated_unit", "cells", F.posexplode_outer("centres").alias("column", "x"), "centres")
+    each = each.withColumn("cells", F.filter("cells", lambda c: nearest(c) == F.col("column")))
     top = F.array_min(F.transform("cells", lambda c: c["y"]))
     over = lambda line: F.abs(line["x"] - F.col("x")) < F.greatest(line["w"] / 2, F.col("height") * 2)
     above = lambda low, high: _by(F.filter("lines", lambda line: over(line) & (line["y"] < F.col("top") + F.col("height") * low) & (line["y"] > F.col("top") - F.col("height") * high)), "y")
@@ -266,16 +279,15 @@ def _columns(each: DataFrame) -> DataFrame:
     basis, amount, unit = header(F.when(F.col("text").rlike(r"(?i)\b100\s?(?:g|ml)\b"), F.regexp_extract("text", r"(?i)\b100\s?(?:g|ml)\b", 0)).otherwise(F.col("text")))
     each = each.withColumn("head", F.struct(basis.alias("basis"), amount.alias("amount"), unit.alias("unit")))
     # The nth columns of all panels are one column; of a nutrient that two panels have, the first panel's value stays.
+    each = each.select("image_id", "panel", "column", "cells", "head", "stated", "stated_unit").repartition("image_id")  # one shuffle for both groupings
     merged = each.groupBy("image_id", "column").agg(
-        F.array_sort(F.collect_list(F.struct("panel", "cells"))).alias("parts"), F.min_by("head", F.when(F.col("head.basis").isNotNull(), F.col("panel"))).alias("head"), F.first("lines").alias("lines"),
+        F.array_sort(F.collect_list(F.struct("panel", "cells"))).alias("parts"), F.min_by("head", F.when(F.col("head.basis").isNotNull(), F.col("panel"))).alias("head"), F.first("stated").alias("stated"), F.first("stated_unit").alias("stated_unit"),
     )
     cells = F.flatten(F.transform("parts", lambda p: _by(p["cells"], "y", "x")))
     merged = merged.withColumn("cells", _let(_once(cells, "key"), _fitting_energy))
-    stated = F.regexp_extract(F.lower(F.array_join(F.transform("lines", lambda line: line["text"]), "\n")), _SERVING, 1)
-    stated_unit = F.regexp_extract(F.lower(F.array_join(F.transform("lines", lambda line: line["text"]), "\n")), _SERVING, 2)
     column = F.struct("column", "cells", F.col("head.basis").alias("basis"), F.col("head.amount").alias("amount"), F.col("head.unit").alias("unit"))
     return merged.groupBy("image_id").agg(
-        F.filter(F.array_sort(F.collect_list(column)), lambda c: F.size(c["cells"]) >= 2).alias("columns"), F.first(F.replace(stated, F.lit(","), F.lit(".")).try_cast("double")).alias("stated"), F.first(stated_unit).alias("stated_unit"),
+        F.filter(F.array_sort(F.collect_list(column)), lambda c: F.size(c["cells"]) >= 2).alias("columns"), F.first(F.replace("stated", F.lit(","), F.lit(".")).try_cast("double")).alias("stated"), F.first("stated_unit").alias("stated_unit"),
     )
 
 

@@ -164,8 +164,9 @@ def _photo(spark, d, texts: list[tuple[str, float, float]], turn: float = 0.02)
             value = F.replace(value, F.lit(mark), number) if mark in text else value
         return F.struct(value.alias("text"), F.lit(float(x)).alias("cx"), F.lit(float(y)).alias("cy"), F.lit(10.0 * len(text)).alias("w"))
 
-    parts = V.table(spark, d, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # a small file is one split, but its labels are many lines
-    rows = parts.select(F.col("p_partkey").alias("image_id"), F.inline(F.array(*[line(*t) for t in texts])))
+    parts = V.table(spark, d, "part")
+    tasks = max(4 * spark.sparkContext.defaultParallelism, len(texts) * parts.rdd.getNumPartitions())  # few bytes, but a row becomes many lines
+    rows = parts.repartition(tasks, "p_partkey").select(F.col("p_partkey").alias("image_id"), F.inline(F.array(*[line(*t) for t in texts])))
     return rows.select("image_id", "text", (F.col("cx") - F.col("cy") * turn).alias("cx"), (F.col("cy") + F.col("cx") * turn).alias("cy"), "w", F.lit(20.0).alias("h"), F.lit(turn).alias("angle"))
 
 
